@@ -53,6 +53,23 @@ def canon(cols, rows):
     return [cols[i] for i in order], Counter(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(spark_df, con, sql: str):
+    """Columns whose Spark type and DuckDB type differ."""
+    duck = dict((r[0], r[1]) for r in con.execute(f"DESCRIBE ({sql})").fetchall())
+    out = []
+    for f in spark_df.schema.fields:
+        st = f.dataType.simpleString()
+        want = SPARK_TO_DUCK.get(st, st.upper())
+        if duck.get(f.name) != want:
+            out.append(f"{f.name}:{st}/{duck.get(f.name)}")
+    return out
+
+
 def compare(spark_df, con, sql: str):
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -63,12 +80,15 @@ def compare(spark_df, con, sql: str):
     dc, dm = canon(d_cols, d_rows)
     ok = sc == dc and sm == dm
     detail = ""
+    types = type_mismatches(spark_df, con, sql) if sc == dc else []
+    if types:
+        detail = f"types {types} "
     if sc != dc:
-        detail = f"columns spark={sc} duck={dc}"
+        detail += f"columns spark={sc} duck={dc}"
     elif sm != dm:
         only_s = list((sm - dm).elements())[:3]
         only_d = list((dm - sm).elements())[:3]
-        detail = f"rows spark={len(s_rows)} duck={len(d_rows)}; only spark {only_s}; only duck {only_d}"
+        detail += f"rows spark={len(s_rows)} duck={len(d_rows)}; only spark {only_s}; only duck {only_d}"
     return ok, len(s_rows), len(d_rows), detail
 
 
