@@ -5,20 +5,10 @@ from __future__ import annotations
 from tillroll.oracle.fixtures_sql import with_fixtures
 
 
-def _sources():
-    from tillroll.oracle import reports_sql
-    mods = [reports_sql]
-    for name in ("writes_sql", "insights_sql"):
-        try:
-            mods.append(__import__(f"tillroll.oracle.{name}", fromlist=["SQL"]))
-        except ImportError:
-            pass
-    return mods
-
-
 def oracle_statements() -> dict[str, str]:
+    from tillroll.oracle import insights_sql, reports_sql, writes_sql
     out: dict[str, str] = {}
-    for mod in _sources():
+    for mod in (reports_sql, writes_sql, insights_sql):
         for name, (tables, body) in mod.SQL.items():
             out[name] = with_fixtures(tables, body)
     return out

@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import audit, reports
+from tillroll.operators import audit, insights, reports, writes
 from tillroll.schema import AS_OF
+from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.fixtures import PosTables
+from tillroll.streaming.kitchen import kitchen_queue_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -144,3 +146,171 @@ def _sizes(t: PosTables):
 @register("product_addons_list")
 def _addons(t: PosTables):
     return reports.product_addons_list(t.products, t.product_addons)
+
+
+# ---- write paths ------------------------------------------------------------
+def _priced(t: PosTables):
+    return writes.price_lines(t.cart_lines, t.products, t.product_sizes, t.product_addons)
+
+
+def _checkout(t: PosTables):
+    priced = _priced(t)
+    return priced, writes.checkout_orders(t.carts, writes.cart_totals(priced, t.carts))
+
+
+@register("price_lines")
+def _price_lines(t: PosTables):
+    return _priced(t)
+
+
+@register("merge_cart_lines")
+def _merge(t: PosTables):
+    return writes.merge_cart_lines(t.cart_adds)
+
+
+@register("cart_totals")
+def _cart_totals(t: PosTables):
+    return writes.cart_totals(_priced(t), t.carts)
+
+
+@register("checkout_orders")
+def _checkout_orders(t: PosTables):
+    return _checkout(t)[1]
+
+
+@register("checkout_items")
+def _checkout_items(t: PosTables):
+    priced, orders = _checkout(t)
+    return writes.checkout_items(priced, orders)
+
+
+@register("checkout_addons")
+def _checkout_addons(t: PosTables):
+    return writes.checkout_addons(t.cart_lines, t.product_addons, _checkout(t)[1])
+
+
+@register("checkout_payments")
+def _checkout_payments(t: PosTables):
+    return writes.checkout_payments(_checkout(t)[1])
+
+
+@register("accept_registrations")
+def _accept(t: PosTables):
+    return writes.accept_registrations(t.registration_requests, t.registrations, t.users, AS_OF)["outcomes"]
+
+
+@register("accept_registrations_users")
+def _accept_users(t: PosTables):
+    return writes.accept_registrations(t.registration_requests, t.registrations, t.users, AS_OF)["new_users"]
+
+
+@register("accept_registrations_remaining")
+def _accept_left(t: PosTables):
+    return writes.accept_registrations(t.registration_requests, t.registrations, t.users, AS_OF)["remaining"]
+
+
+@register("reject_registrations")
+def _reject(t: PosTables):
+    return writes.reject_registrations(t.registration_requests, t.registrations)["outcomes"]
+
+
+@register("reject_registrations_remaining")
+def _reject_left(t: PosTables):
+    return writes.reject_registrations(t.registration_requests, t.registrations)["remaining"]
+
+
+@register("registration_conflicts")
+def _conflicts(t: PosTables):
+    ensure_checkpoint_dir(t.spark)
+    return writes.registration_conflicts(t.signups, t.users, t.registrations)
+
+
+@register("apply_order_status")
+def _apply_status(t: PosTables):
+    return writes.apply_order_status(t.orders, t.status_events, t.users)["orders"]
+
+
+@register("order_status_outcomes")
+def _status_outcomes(t: PosTables):
+    return writes.apply_order_status(t.orders, t.status_events, t.users)["outcomes"]
+
+
+@register("apply_staff_status")
+def _staff_status(t: PosTables):
+    return writes.apply_staff_status(t.users, t.staff_updates)
+
+
+@register("apply_availability")
+def _availability(t: PosTables):
+    return writes.apply_availability(t.products, t.availability_updates)
+
+
+@register("apply_image_url")
+def _image(t: PosTables):
+    return writes.apply_image_url(t.products, t.image_updates)
+
+
+@register("sessionize_logins")
+def _sessions(t: PosTables):
+    return writes.sessionize_logins(t.login_events)
+
+
+@register("held_cart_totals")
+def _held(t: PosTables):
+    return writes.held_cart_totals(t.held_carts)
+
+
+# ---- browser computations ------------------------------------------------------
+@register("category_counts")
+def _cat_counts(t: PosTables):
+    """U01, manager form: every product."""
+    return insights.category_counts(t.products, t.categories)
+
+
+@register("category_counts_available")
+def _cat_counts_avail(t: PosTables):
+    """U01, cashier form: available products only."""
+    return insights.category_counts(t.products, t.categories, available_only=True)
+
+
+@register("menu_by_category")
+def _menu_by_cat(t: PosTables):
+    """U02 with the cashier's tab set to category 2 (the operator's
+    parameter, not a sample: every product of that category is returned)."""
+    return insights.menu_by_category(reports.active_menu(t.products, t.product_sizes, t.product_addons), 2)
+
+
+@register("products_grouped")
+def _grouped(t: PosTables):
+    """U03 in flat form (one row per product with chunk and position)."""
+    menu = reports.active_menu(t.products, t.product_sizes, t.product_addons)
+    return insights.flatten_grouped(insights.products_grouped(menu))
+
+
+@register("kitchen_status")
+def _kitchen_status(t: PosTables):
+    return insights.kitchen_status(t.orders, AS_OF)
+
+
+@register("daily_comparison")
+def _comparison(t: PosTables):
+    return insights.daily_comparison(reports.daily_report(t.orders, AS_OF),
+                                     reports.hours_report(t.user_sessions, AS_OF))
+
+
+@register("daily_history")
+def _history(t: PosTables):
+    return insights.daily_history(t.orders, t.user_sessions, AS_OF)
+
+
+@register("transaction_labels")
+def _labels(t: PosTables):
+    return insights.transaction_labels(reports.cashier_transactions(t.orders, t.order_items))
+
+
+# ---- streaming -------------------------------------------------------------------
+@register("kitchen_queue_stream")
+def _kitchen_stream(t: PosTables):
+    """The kitchen board after streaming every status request in four
+    micro-batches; equals R09 over the orders after B08."""
+    return kitchen_queue_stream(t.spark, t.orders, t.users, t.order_items, t.status_events)

@@ -341,3 +341,44 @@ class PosTables:
             (F.col("product_id") % 2).alias("addon_id"),
             F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("change"),
         )
+
+    # ---- held carts (B11) ----------------------------------------------------------
+    @cached_property
+    def held_carts(self) -> DataFrame:
+        """Browser held-cart lists as stored text: per cashier and day, the
+        JSON list of that day's carts, newest first, each cart priced with
+        B01 and carrying its chosen addons. Some extra documents are not
+        JSON lists (an object, a cut-off text) and must yield no carts."""
+        from tillroll.functions.scalars import quantity_or_one
+        from tillroll.operators.writes import line_addons, price_lines
+        priced = price_lines(self.cart_lines, self.products, self.product_sizes, self.product_addons)
+        la = line_addons(self.cart_lines, self.product_addons)
+        addons = la.groupBy(F.col("line_id").alias("la_line")).agg(F.array_sort(F.collect_list(F.struct(
+            F.col("addon_id").alias("id"), F.col("addon_name").alias("name"), "extra_price"))).alias("addons"))
+        empty = F.array().cast(addons.schema["addons"].dataType)
+        lines = priced.join(addons, priced["line_id"] == addons["la_line"], "left")
+        item = F.struct(F.col("product_id").alias("productId"), F.col("product_name").alias("productName"),
+                        F.col("size_id").alias("sizeId"), F.col("size_label").alias("sizeLabel"),
+                        F.coalesce(F.col("addons"), empty).alias("addons"),
+                        F.col("unit_price").alias("unitPrice"),
+                        quantity_or_one(F.col("quantity")).alias("quantity"))
+        per_cart = lines.groupBy(F.col("cart_id").alias("pc_cart")).agg(
+            F.array_sort(F.collect_list(F.struct("line_id", item.alias("item")))).alias("its"))
+        c = self.carts.join(per_cart, F.col("cart_id") == F.col("pc_cart"))
+        held = F.struct(_cat("hold-", F.col("cart_id").cast("string")).alias("id"),
+                        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("createdAt"),
+                        F.transform("its", lambda x: x["item"]).alias("items"),
+                        F.col("discount").alias("isDiscountActive"), F.col("notes").alias("note"))
+        holder = _cat(F.col("cashier_id").cast("string"), "-", F.date_format("created_at", "yyyyMMdd"))
+        docs = (c.groupBy(holder.alias("holder_id"), F.col("cashier_id").alias("h_cashier"))
+                .agg(F.sort_array(F.collect_list(F.struct("created_at", "cart_id", held.alias("held"))),
+                                  asc=False).alias("hs"))
+                .select("holder_id", "h_cashier",
+                        F.to_json(F.transform("hs", lambda x: x["held"])).alias("held_json")))
+        bad = (docs.filter(F.col("h_cashier") % 10 == 3).select(
+                   _cat(F.col("holder_id"), "-object").alias("holder_id"),
+                   F.lit('{"not": "a list"}').alias("held_json"))
+               .unionByName(docs.filter(F.col("h_cashier") % 10 == 7).select(
+                   _cat(F.col("holder_id"), "-cut").alias("holder_id"),
+                   F.lit('[{"id": "hold-').alias("held_json"))))
+        return docs.select("holder_id", "held_json").unionByName(bad)
