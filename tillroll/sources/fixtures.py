@@ -8,8 +8,6 @@ reads two columns of ``orders.parquet``.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +34,37 @@ def _cat(*parts) -> Column:
 
 
 class PosTables:
-    """Lazily derived point-of-sale tables for one scale-factor folder."""
+    """The point-of-sale tables of one scale-factor folder.
+
+    ``tables.orders`` etc. build each table from the raw scans. With
+    ``store=True`` (the default) each table is written once per Spark
+    application to the session's checkpoint folder, bucketed on its join key
+    (see ``tillroll.sources.store``), and read back from there, as an
+    application's stored tables would be; later queries scan the stored
+    table instead of re-deriving it.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.store = store
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            build = getattr(self, f"_build_{name}")
+            if self.store:
+                from tillroll.sources.store import stored_table
+                self._tables[name] = stored_table(self.spark, self.sf_dir, name, build)
+            else:
+                self._tables[name] = build()
+        return self._tables[name]
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
     # ---- staff and catalogue ---------------------------------------------
-    @cached_property
-    def users(self) -> DataFrame:
+    def _build_users(self) -> DataFrame:
         c = self.raw("customer")
         key = F.col("c_custkey")
         return c.select(
@@ -61,8 +78,7 @@ class PosTables:
             add_seconds(key * 61, t0()).alias("created_at"),
         )
 
-    @cached_property
-    def categories(self) -> DataFrame:
+    def _build_categories(self) -> DataFrame:
         # One row per distinct type: bounded by the type vocabulary, not rows.
         types = self.raw("part").select("p_type").distinct()
         return types.select(
@@ -70,8 +86,7 @@ class PosTables:
             F.col("p_type").alias("name"),
         )
 
-    @cached_property
-    def products(self) -> DataFrame:
+    def _build_products(self) -> DataFrame:
         p = self.raw("part")
         c = self.categories
         return p.join(c, c["name"] == p["p_type"]).select(
@@ -85,8 +100,7 @@ class PosTables:
             F.when(p["p_size"] % 5 == 0, 0).otherwise(1).alias("is_available"),
         )
 
-    @cached_property
-    def product_sizes(self) -> DataFrame:
+    def _build_product_sizes(self) -> DataFrame:
         labels = F.when(F.col("k") == 0, "Small").when(F.col("k") == 1, "Medium").otherwise("Large")
         return (self.products.filter(F.col("id") % 3 == 0)
                 .select("id", "base_price", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
@@ -95,8 +109,7 @@ class PosTables:
                         labels.alias("label"),
                         (F.col("base_price") + F.col("k") * 50).cast(MONEY).alias("price")))
 
-    @cached_property
-    def product_addons(self) -> DataFrame:
+    def _build_product_addons(self) -> DataFrame:
         return (self.products.filter(F.col("id") % 4 == 1)
                 .select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
                 .select((F.col("id") * 2 + F.col("k")).alias("id"),
@@ -107,8 +120,7 @@ class PosTables:
                          .alias("is_available")))
 
     # ---- orders ------------------------------------------------------------
-    @cached_property
-    def orders_base(self) -> DataFrame:
+    def _build_orders_base(self) -> DataFrame:
         o = self.raw("orders")
         key = F.col("o_orderkey")
         open_status = (F.floor(key / 30).cast("bigint") % 3)
@@ -128,8 +140,7 @@ class PosTables:
             add_seconds((key % 30) * 86400 + (key * 7919) % 86400, t0()).alias("created_at"),
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    def _build_orders(self) -> DataFrame:
         b = self.orders_base
         oid, sub, st = F.col("id"), F.col("subtotal"), F.col("status")
         done = st.isin("completed", "refunded")
@@ -148,8 +159,7 @@ class PosTables:
              .alias("refunded_at"),
         )
 
-    @cached_property
-    def lines(self) -> DataFrame:
+    def _build_lines(self) -> DataFrame:
         li = self.raw("lineitem")
         w = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -169,8 +179,7 @@ class PosTables:
                (s["id"] == lines["product_id"] * 3 + lines["l_linenumber"] % 4)
         return lines.join(s, cond, "left")
 
-    @cached_property
-    def order_items(self) -> DataFrame:
+    def _build_order_items(self) -> DataFrame:
         lines = self.lines
         p = self.products.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
         j = self._size_of_line(lines.join(p, p["p_id"] == lines["product_id"]))
@@ -183,8 +192,7 @@ class PosTables:
             (lines["quantity"] * lines["unit_price"]).cast(MONEY).alias("line_subtotal"),
         )
 
-    @cached_property
-    def order_item_addons(self) -> DataFrame:
+    def _build_order_item_addons(self) -> DataFrame:
         lines = self.lines.filter(F.col("l_suppkey") % 2 == 0)
         a = self.product_addons
         j = lines.join(a, a["product_id"] == lines["product_id"])
@@ -198,8 +206,7 @@ class PosTables:
             (lines["quantity"] * a["extra_price"]).cast(MONEY).alias("addon_subtotal"),
         )
 
-    @cached_property
-    def payments(self) -> DataFrame:
+    def _build_payments(self) -> DataFrame:
         return self.orders.filter(F.col("status") != "held").select(
             "id", F.col("id").alias("order_id"), "payment_method",
             F.col("total").alias("amount_due"), F.col("total").alias("amount_received"),
@@ -209,8 +216,7 @@ class PosTables:
         )
 
     # ---- sessions and logins ----------------------------------------------
-    @cached_property
-    def user_sessions(self) -> DataFrame:
+    def _build_user_sessions(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "signup")
         start = whole_second(F.col("ts"))
         return e.select(
@@ -221,8 +227,7 @@ class PosTables:
              .alias("logged_out_at"),
         )
 
-    @cached_property
-    def login_events(self) -> DataFrame:
+    def _build_login_events(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type").isin("signup", "error"))
         return e.select(
             F.col("event_id").alias("id"), "user_id", "ts",
@@ -230,8 +235,7 @@ class PosTables:
         )
 
     # ---- registrations -----------------------------------------------------
-    @cached_property
-    def registrations(self) -> DataFrame:
+    def _build_registrations(self) -> DataFrame:
         s = self.raw("supplier")
         key = F.col("s_suppkey")
         ks = key.cast("string")
@@ -246,15 +250,13 @@ class PosTables:
             add_seconds(key * 3600, t0()).alias("submitted_at"),
         )
 
-    @cached_property
-    def registration_requests(self) -> DataFrame:
+    def _build_registration_requests(self) -> DataFrame:
         s = self.raw("supplier").filter(F.col("s_suppkey") % 3 != 2)
         known = s.select((F.col("s_suppkey") + 1).cast("int").alias("registration_id"))
         unknown = self.spark.range(1).select(F.lit(1000000).alias("registration_id"))
         return known.unionByName(unknown)
 
-    @cached_property
-    def signups(self) -> DataFrame:
+    def _build_signups(self) -> DataFrame:
         s = self.raw("supplier")
         key = F.col("s_suppkey")
         ks = key.cast("string")
@@ -267,8 +269,7 @@ class PosTables:
         )
 
     # ---- request streams ----------------------------------------------------
-    @cached_property
-    def status_events(self) -> DataFrame:
+    def _build_status_events(self) -> DataFrame:
         lines = self.lines.filter(F.col("l_suppkey") % 2 == 1)
         o = self.orders.select(F.col("id").alias("o_id"), "cashier_id", "created_at")
         j = lines.join(o, o["o_id"] == lines["order_id"])
@@ -281,8 +282,7 @@ class PosTables:
             add_seconds((F.col("id") % 1000) * 60, F.col("created_at")).alias("event_time"),
         )
 
-    @cached_property
-    def staff_updates(self) -> DataFrame:
+    def _build_staff_updates(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type").isin("error", "click", "view"))
         return e.select(
             F.col("event_id").alias("seq"), "user_id",
@@ -291,15 +291,13 @@ class PosTables:
             (F.col("user_id") + F.col("event_id") % 2).alias("manager_id"),
         )
 
-    @cached_property
-    def availability_updates(self) -> DataFrame:
+    def _build_availability_updates(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "view")
         return e.select(F.col("event_id").alias("seq"),
                         (F.col("event_id") % 200).cast("int").alias("product_id"),
                         (F.col("event_id") % 3).cast("int").alias("is_available"))
 
-    @cached_property
-    def image_updates(self) -> DataFrame:
+    def _build_image_updates(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "purchase")
         return e.select(F.col("event_id").alias("seq"),
                         (F.col("event_id") % 200).cast("int").alias("product_id"),
@@ -307,8 +305,7 @@ class PosTables:
                         .alias("image_url"))
 
     # ---- carts ----------------------------------------------------------------
-    @cached_property
-    def carts(self) -> DataFrame:
+    def _build_carts(self) -> DataFrame:
         o = self.raw("orders")
         key = F.col("o_orderkey")
         return o.select(
@@ -320,8 +317,7 @@ class PosTables:
             add_seconds((key % 30) * 86400 + (key * 7919) % 86400, t0()).alias("created_at"),
         )
 
-    @cached_property
-    def cart_lines(self) -> DataFrame:
+    def _build_cart_lines(self) -> DataFrame:
         lines = self.lines
         j = self._size_of_line(lines)
         s = self.product_sizes
@@ -332,8 +328,7 @@ class PosTables:
             (lines["l_suppkey"] % 2 == 0).alias("with_addons"),
         )
 
-    @cached_property
-    def cart_adds(self) -> DataFrame:
+    def _build_cart_adds(self) -> DataFrame:
         return self.lines.select(
             F.col("id").alias("seq"), F.col("order_id").alias("cart_id"),
             (F.col("product_id") % 7).alias("product_id"),
@@ -343,8 +338,7 @@ class PosTables:
         )
 
     # ---- held carts (B11) ----------------------------------------------------------
-    @cached_property
-    def held_carts(self) -> DataFrame:
+    def _build_held_carts(self) -> DataFrame:
         """Browser held-cart lists as stored text: per cashier and day, the
         JSON list of that day's carts, newest first, each cart priced with
         B01 and carrying its chosen addons. Some extra documents are not
@@ -382,3 +376,9 @@ class PosTables:
                    _cat(F.col("holder_id"), "-cut").alias("holder_id"),
                    F.lit('[{"id": "hold-').alias("held_json"))))
         return docs.select("holder_id", "held_json").unionByName(bad)
+
+
+TABLE_NAMES = ('users', 'categories', 'products', 'product_sizes', 'product_addons', 'orders_base', 'orders', 'lines', 'order_items', 'order_item_addons', 'payments', 'user_sessions', 'login_events', 'registrations', 'registration_requests', 'signups', 'status_events', 'staff_updates', 'availability_updates', 'image_updates', 'carts', 'cart_lines', 'cart_adds', 'held_carts')
+
+for _name in TABLE_NAMES:
+    setattr(PosTables, _name, property(lambda self, _n=_name: self.table(_n)))
