@@ -260,9 +260,11 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     (requested_at, id) order, so a sign-up clashing with an *earlier
     accepted* one gets ``request_exists``.
 
-    The in-batch order is resolved in rounds without pairing rows: per
-    username and per email group, the earliest live (undecided or accepted)
-    request and the earliest accepted one are aggregates; a request that is
+    Sign-ups that share no username or email with another one in the batch
+    are accepted at once. The contested rest is resolved in rounds without
+    pairing rows: per username and per email group, the earliest live
+    (undecided or accepted) request and the earliest accepted one are
+    aggregates; a request that is
     the earliest live in both its groups is accepted, one with an earlier
     accepted clash is refused. Each round decides at least the earliest
     undecided request; the state is checkpointed to the session's
@@ -275,13 +277,24 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
             .select("id", "username", "email", "requested_at",
                     F.when(F.col("u_id").isNotNull(), "user_exists")
                      .when(F.col("r_id").isNotNull(), "request_exists").alias("outcome")))
-    decided = base.filter(F.col("outcome").isNotNull())
+    decided = base.filter(F.col("outcome").isNotNull()).select("id", "username", "email", "outcome")
     cand = base.filter(F.col("outcome").isNull()).select(
         "id", "username", "email", F.struct("requested_at", "id").alias("ord"))
-    keys = _identity_keys(cand, "id").join(cand.select(F.col("id").alias("kid"), "ord"), "kid")
+    # Only sign-ups sharing a username or email with another one in the
+    # batch depend on the order; the rest are accepted outright.
+    ckeys = _identity_keys(cand, "id")
+    shared = ckeys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    contested_ids = ckeys.join(shared, ["kind", "key"], "left_semi").select(F.col("kid").alias("c_id")).distinct()
+    free = cand.join(contested_ids, cand["id"] == contested_ids["c_id"], "left_anti").select(
+        "id", "username", "email", F.lit("accepted").alias("outcome"))
+    contested = cand.join(contested_ids, cand["id"] == contested_ids["c_id"], "left_semi")
+    if contested.limit(1).count() == 0:
+        return decided.unionByName(free)
+    contested = contested.checkpoint()
+    keys = _identity_keys(contested, "id").join(contested.select(F.col("id").alias("kid"), "ord"), "kid")
     keys = keys.checkpoint()
     # state: 0 undecided, 1 accepted, 2 refused
-    state = cand.select("id", F.lit(0).alias("state")).checkpoint()
+    state = contested.select("id", F.lit(0).alias("state")).checkpoint()
     for _ in range(max_rounds):
         if state.filter(F.col("state") == 0).limit(1).count() == 0:
             break
@@ -298,11 +311,11 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
                .select("id", F.when(F.col("state") != 0, F.col("state"))
                        .when(F.col("beaten"), 2).when(F.col("earliest"), 1).otherwise(0).alias("state")))
         state = nxt.checkpoint()
-    resolved = cand.join(state, "id").select(
+    resolved = contested.join(state, "id").select(
         "id", "username", "email",
         F.when(F.col("state") == 1, "accepted").when(F.col("state") == 2, "request_exists")
          .alias("outcome"))
-    return decided.select("id", "username", "email", "outcome").unionByName(resolved)
+    return decided.unionByName(free).unionByName(resolved)
 
 
 # ---- B08: order status changes ------------------------------------------------------------

@@ -1,23 +1,29 @@
-"""Stored point-of-sale tables: written once, bucketed on their join keys.
+"""Stored point-of-sale tables: written once, laid out for their joins.
 
 A point-of-sale application keeps its tables stored; only the tests derive
 them. Each derived table is written once per Spark application to the
-session's checkpoint folder (the cluster's shared folder) and read back:
-
-* tables joined or grouped on the order id (orders, order_items, payments,
-  status_events, lines) are bucketed on it, so ``order_items`` grouped by
-  ``order_id`` and joined to ``orders.id`` plans with no Exchange; the same
-  holds for users / sessions / logins on the user id and for carts and their
-  lines on the cart id. All buckets of one store use one bucket count, so
-  any two of them co-locate;
-* the bucket count follows the input size (about 128 MB of source Parquet
-  per bucket, at least the cluster's default parallelism up to 32, at most
-  Spark's bucket limit), and each bucket is written as one sorted file;
-* tables read whole or tiny are stored unbucketed.
-
-The stored tables live under ``<checkpoint dir>/tillroll-tables/<app>/``:
-one Spark application never sees another's half-written files, and a lost
-executor only costs a task retry of the write.
+session's checkpoint folder (the cluster's shared folder) and read back.
+
+Layout, per table (``LAYOUT``):
+
+* ``bucket``: bucketed on a key whose groups are bounded by what one till
+  can ring up -- the order id for orders, their lines, payments and status
+  requests; the cart id for carts and cart lines; the product id for the
+  menu tables. ``order_items`` grouped by ``order_id`` and joined to
+  ``orders.id`` then plans with no Exchange. All bucketed tables of one
+  store share one bucket count, so any two of them co-locate.
+* ``files``: hashed into evenly sized files on the row's own unique id.
+  Used for everything keyed by a user, a cashier or a request sequence:
+  one busy user may own a third of all sessions, and bucketing on the user
+  would pin that third to one task and hide it from AQE's skew handling.
+  These tables shuffle on their real keys, after map-side aggregation, and
+  the operators split hot groups themselves (time buckets, seq ranges).
+
+The bucket / file count follows the input size (about 128 MB of source
+Parquet each, at least the default parallelism up to 32, at most Spark's
+bucket limit); each bucket is one file, sorted on its natural order.
+Stored tables live under ``<checkpoint dir>/tillroll-tables/<app>/``, so
+one application never reads another's half-written files.
 """
 
 from __future__ import annotations
@@ -31,31 +37,31 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-# table -> (bucket column, sort columns); None = stored unbucketed.
-LAYOUT: dict[str, tuple[str, tuple[str, ...]] | None] = {
-    "users": ("id", ("id",)),
-    "categories": None,
-    "products": ("id", ("id",)),
-    "product_sizes": ("product_id", ("product_id", "id")),
-    "product_addons": ("product_id", ("product_id", "id")),
-    "orders": ("id", ("id",)),
-    "lines": ("order_id", ("order_id", "id")),
-    "order_items": ("order_id", ("order_id", "id")),
-    "order_item_addons": ("order_item_id", ("order_item_id", "id")),
-    "payments": ("order_id", ("order_id",)),
-    "user_sessions": ("user_id", ("user_id", "logged_in_at", "id")),
-    "login_events": ("user_id", ("user_id", "ts", "id")),
-    "registrations": None,
-    "registration_requests": None,
-    "signups": None,
-    "status_events": ("order_id", ("order_id", "seq")),
-    "staff_updates": ("user_id", ("user_id", "seq")),
-    "availability_updates": ("product_id", ("product_id", "seq")),
-    "image_updates": ("product_id", ("product_id", "seq")),
-    "carts": ("cart_id", ("cart_id",)),
-    "cart_lines": ("cart_id", ("cart_id", "line_id")),
-    "cart_adds": ("cart_id", ("cart_id", "seq")),
-    "held_carts": None,
+# table -> (layout, key column, sort columns)
+LAYOUT: dict[str, tuple[str, str, tuple[str, ...]]] = {
+    "users": ("files", "id", ("id",)),
+    "categories": ("files", "id", ("id",)),
+    "products": ("bucket", "id", ("id",)),
+    "product_sizes": ("bucket", "product_id", ("product_id", "id")),
+    "product_addons": ("bucket", "product_id", ("product_id", "id")),
+    "orders": ("bucket", "id", ("id",)),
+    "lines": ("bucket", "order_id", ("order_id", "id")),
+    "order_items": ("bucket", "order_id", ("order_id", "id")),
+    "order_item_addons": ("files", "id", ("order_item_id", "id")),
+    "payments": ("bucket", "order_id", ("order_id",)),
+    "status_events": ("bucket", "order_id", ("order_id", "seq")),
+    "user_sessions": ("files", "id", ("logged_in_at", "id")),
+    "login_events": ("files", "id", ("ts", "id")),
+    "registrations": ("files", "id", ("id",)),
+    "registration_requests": ("files", "registration_id", ("registration_id",)),
+    "signups": ("files", "id", ("id",)),
+    "staff_updates": ("files", "seq", ("seq",)),
+    "availability_updates": ("files", "seq", ("seq",)),
+    "image_updates": ("files", "seq", ("seq",)),
+    "carts": ("bucket", "cart_id", ("cart_id",)),
+    "cart_lines": ("bucket", "cart_id", ("cart_id", "line_id")),
+    "cart_adds": ("files", "seq", ("seq",)),
+    "held_carts": ("files", "holder_id", ("holder_id",)),
 }
 TRANSIENT = {"orders_base"}          # only an intermediate of ``orders``
 
@@ -89,16 +95,16 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
         return build()
     key = _store_key(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tables/{key}/{name}"
-    layout = LAYOUT.get(name)
-    if layout is None:
+    mode, col, sort = LAYOUT[name]
+    n = bucket_count(spark, sf_dir)
+    if mode == "files":
         if (key, name) not in _WRITTEN:
-            build().write.mode("overwrite").parquet(path)
+            (build().repartition(n, F.col(col)).sortWithinPartitions(*sort)
+             .write.mode("overwrite").parquet(path))
             _WRITTEN.add((key, name))
         return spark.read.parquet(path)
     table = f"tillroll_{key}_{name}"
     if not spark.catalog.tableExists(table):
-        n = bucket_count(spark, sf_dir)
-        col, sort = layout
         (build().repartition(n, F.col(col)).write.mode("overwrite").format("parquet")
          .option("path", path).bucketBy(n, col).sortBy(*sort).saveAsTable(table))
     return spark.table(table)
