@@ -8,7 +8,8 @@ logout times. Events are derived from that state:
   (listed / completed / voided / refunded) with ``explode`` over an array of
   conditional structs; no union of four filtered scans;
 * one scan of ``user_sessions`` gives clock-in and clock-out events;
-* the actor's name comes from **one** join to ``users`` over the union.
+* the actor must exist (semi-joins on the user id), then the actor's name
+  comes from one join to ``users`` over the union.
 
 The log is state-based: an order voided and later refunded shows only the
 refund, since only the current status is known.
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalars import clock_time, grouped_2dp, hours_1dp_text, minutes_between
-from tillroll.operators.reports import item_counts
 from tillroll.schema import AUDIT_LIMIT, PESO
+from tillroll.session import ensure_checkpoint_dir
 
 ORDER_KINDS = ("listed", "completed", "voided", "refunded")
 SESSION_KINDS = ("clocked-in", "clocked-out")
@@ -52,9 +53,8 @@ def _events(df: DataFrame, keep: list[str], specs: list[tuple[str, Column, Colum
             .select(*keep, "ev.action_type", "ev.event_time"))
 
 
-def order_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
-                 kinds=ORDER_KINDS) -> DataFrame:
-    """Order-derived events with their details text, before the actor join."""
+def order_events(orders: DataFrame, kinds=ORDER_KINDS) -> DataFrame:
+    """Order-derived events as narrow rows (no text yet)."""
     st = F.col("status")
     specs = {
         "listed": (F.lit(True), F.col("created_at")),
@@ -62,51 +62,23 @@ def order_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
         "voided": (st == "voided", F.col("voided_at")),
         "refunded": (st == "refunded", F.col("refunded_at")),
     }
-    ev = _events(orders, ["id", "cashier_id", "completed_by", "total"],
-                 [(k, *specs[k]) for k in kinds])
-    is_done = F.col("action_type") == "completed"
-    ev = ev.select("*", F.when(is_done, F.coalesce("completed_by", "cashier_id"))
-                   .otherwise(F.col("cashier_id")).alias("actor_id"))
-    if "listed" in kinds or "completed" in kinds:
-        ic = item_counts(order_items).withColumnRenamed("order_id", "ic_order_id")
-        ev = ev.join(ic, ev["id"] == ic["ic_order_id"], "left")
-    else:
-        ev = ev.withColumn("item_count", F.lit(None).cast("bigint"))
-    if "completed" in kinds:
-        # A completed order also names its cashier, who must exist.
-        cashier = users.select(F.col("id").alias("cashier_uid"), F.col("username").alias("cashier_username"))
-        ev = ev.join(cashier, (ev["cashier_id"] == cashier["cashier_uid"]) & is_done, "left") \
-               .filter(~is_done | F.col("cashier_uid").isNotNull())
-    else:
-        ev = ev.withColumn("cashier_username", F.lit(None).cast("string"))
-    order_no = F.concat(F.lit("Order #"), F.col("id").cast("string"), F.lit(" - "))
-    units = F.coalesce(F.col("item_count"), F.lit(0)).cast("string")
-    money = F.concat(F.lit(PESO), grouped_2dp("total"))
-    kind = F.col("action_type")
-    details = (F.when(kind == "listed",
-                      F.concat(order_no, units, F.lit(" item(s), "), money, F.lit(" sent to kitchen")))
-               .when(kind == "completed",
-                     F.concat(order_no, units, F.lit(" item(s), "), money, F.lit(" by cashier @"),
-                              F.col("cashier_username")))
-               .when(kind == "voided", F.concat(order_no, F.lit("Transaction cancelled")))
-               .otherwise(F.concat(order_no, money, F.lit(" refunded"))))
-    return ev.select("actor_id", "action_type", "event_time", F.col("id").alias("source_id"),
-                     details.alias("details"))
+    ev = _events(orders, ["id", "cashier_id", "completed_by", "total"], [(k, *specs[k]) for k in kinds])
+    actor = F.when(F.col("action_type") == "completed", F.coalesce("completed_by", "cashier_id")) \
+             .otherwise(F.col("cashier_id"))
+    return ev.select(F.col("id").alias("source_id"), actor.cast("bigint").alias("actor_id"), "cashier_id",
+                     "total", F.lit(None).cast("timestamp_ntz").alias("logged_in_at"),
+                     F.lit(None).cast("timestamp_ntz").alias("logged_out_at"), "action_type", "event_time")
 
 
 def session_events(user_sessions: DataFrame, kinds=SESSION_KINDS) -> DataFrame:
-    """Clock-in / clock-out events with their details text."""
+    """Clock-in / clock-out events as narrow rows (no text yet)."""
     start, end = F.col("logged_in_at"), F.col("logged_out_at")
     specs = {"clocked-in": (F.lit(True), start), "clocked-out": (end.isNotNull(), end)}
     ev = _events(user_sessions, ["id", "user_id", "logged_in_at", "logged_out_at"],
                  [(k, *specs[k]) for k in kinds])
-    details = F.when(
-        F.col("action_type") == "clocked-in",
-        F.concat(F.lit("Started shift at "), clock_time(start))).otherwise(
-        F.concat(F.lit("Ended shift at "), clock_time(end), F.lit(" - "),
-                 hours_1dp_text(minutes_between(start, end)), F.lit(" hours worked")))
-    return ev.select(F.col("user_id").alias("actor_id"), "action_type", "event_time",
-                     F.col("id").alias("source_id"), details.alias("details"))
+    return ev.select(F.col("id").alias("source_id"), F.col("user_id").cast("bigint").alias("actor_id"),
+                     F.lit(None).cast("bigint").alias("cashier_id"), F.lit(None).cast("decimal(10,2)").alias("total"),
+                     "logged_in_at", "logged_out_at", "action_type", "event_time")
 
 
 def _label(kind: Column) -> Column:
@@ -116,23 +88,82 @@ def _label(kind: Column) -> Column:
     return out
 
 
-def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
-                 user_sessions: DataFrame, kinds=ALL_KINDS, keep_source: bool = False) -> DataFrame:
-    """All audit events of the given kinds (R03a-f for one kind each), with
-    the actor's username and name. Rows whose actor is not a user drop out,
-    as the inner joins of the reference do."""
+def _event_keys(orders: DataFrame, user_sessions: DataFrame, kinds) -> DataFrame:
     parts = []
     ok = [k for k in kinds if k in ORDER_KINDS]
     sk = [k for k in kinds if k in SESSION_KINDS]
     if ok:
-        parts.append(order_events(orders, order_items, users, ok))
+        parts.append(order_events(orders, ok))
     if sk:
         parts.append(session_events(user_sessions, sk))
-    ev = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    actor = users.select(F.col("id").alias("actor_uid"), "username", "name")
-    out = ev.join(actor, ev["actor_id"] == actor["actor_uid"]).select(
-        "username", "name", "action_type", _label(F.col("action_type")).alias("action_label"),
-        "details", "event_time", "source_id")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _with_known_users(ev: DataFrame, users: DataFrame) -> DataFrame:
+    """Keep the events whose actor is a user and, for completions, whose
+    cashier is one too (the inner joins of the original). Semi-joins on the
+    id column only; no OR in a join condition."""
+    ids = users.select(F.col("id").cast("bigint").alias("uid"))
+    ev = ev.join(ids, ev["actor_id"] == ids["uid"], "left_semi")
+    done = F.col("action_type") == "completed"
+    checked = ev.filter(done).join(ids, F.col("cashier_id") == ids["uid"], "left_semi")
+    return ev.filter(~done).unionByName(checked)
+
+
+def _describe(ev: DataFrame, order_items: DataFrame, users: DataFrame, small: bool) -> DataFrame:
+    """Add the actor's username and name, the label and the details text.
+
+    With ``small`` (the audit log's bounded top rows) every lookup is first
+    cut down to the keys of those rows: ``order_items`` by a broadcast
+    semi-join on their order ids before the unit sum, ``users`` by their user
+    ids. The cut lookups are bounded by the row count too, so they are the
+    broadcast side of the final left joins.
+    """
+    kinds_with_units = F.col("action_type").isin("listed", "completed")
+    is_done = F.col("action_type") == "completed"
+    items = order_items
+    names = users.select(F.col("id").cast("bigint").alias("uid"), "username", "name")
+    cashier = users.select(F.col("id").cast("bigint").alias("cashier_uid"),
+                           F.col("username").alias("cashier_username"))
+    if small:
+        want_o = ev.filter(kinds_with_units).select(F.col("source_id").alias("w_id")).distinct()
+        want_u = ev.select(F.col("actor_id").alias("w_uid")).distinct()
+        want_c = ev.filter(is_done).select(F.col("cashier_id").alias("w_cid")).distinct()
+        items = items.join(F.broadcast(want_o), items["order_id"] == want_o["w_id"], "left_semi")
+        names = names.join(F.broadcast(want_u), names["uid"] == want_u["w_uid"], "left_semi")
+        cashier = cashier.join(F.broadcast(want_c), cashier["cashier_uid"] == want_c["w_cid"], "left_semi")
+    ic = items.groupBy(F.col("order_id").alias("ic_order_id")).agg(F.sum("quantity").alias("item_count"))
+    if small:
+        ic, names, cashier = F.broadcast(ic), F.broadcast(names), F.broadcast(cashier)
+    d = (ev.join(ic, (ev["source_id"] == ic["ic_order_id"]) & kinds_with_units, "left")
+         .join(cashier, (ev["cashier_id"] == cashier["cashier_uid"]) & is_done, "left")
+         .join(names, ev["actor_id"] == names["uid"], "left"))
+    order_no = F.concat(F.lit("Order #"), F.col("source_id").cast("string"), F.lit(" - "))
+    units = F.coalesce(F.col("item_count"), F.lit(0)).cast("string")
+    money = F.concat(F.lit(PESO), grouped_2dp("total"))
+    start, end = F.col("logged_in_at"), F.col("logged_out_at")
+    kind = F.col("action_type")
+    details = (F.when(kind == "listed",
+                      F.concat(order_no, units, F.lit(" item(s), "), money, F.lit(" sent to kitchen")))
+               .when(kind == "completed",
+                     F.concat(order_no, units, F.lit(" item(s), "), money, F.lit(" by cashier @"),
+                              F.col("cashier_username")))
+               .when(kind == "voided", F.concat(order_no, F.lit("Transaction cancelled")))
+               .when(kind == "refunded", F.concat(order_no, money, F.lit(" refunded")))
+               .when(kind == "clocked-in", F.concat(F.lit("Started shift at "), clock_time(start)))
+               .otherwise(F.concat(F.lit("Ended shift at "), clock_time(end), F.lit(" - "),
+                                   hours_1dp_text(minutes_between(start, end)), F.lit(" hours worked"))))
+    return d.select("username", "name", "action_type", _label(kind).alias("action_label"),
+                    details.alias("details"), "event_time", "source_id")
+
+
+def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
+                 user_sessions: DataFrame, kinds=ALL_KINDS, keep_source: bool = False) -> DataFrame:
+    """All audit events of the given kinds (R03a-f for one kind each), with
+    the actor's username and name. Events whose actor (or, for a
+    completion, whose cashier) is not a user drop out, as in the original."""
+    ev = _with_known_users(_event_keys(orders, user_sessions, kinds), users)
+    out = _describe(ev, order_items, users, small=False)
     return out if keep_source else out.drop("source_id")
 
 
@@ -140,12 +171,25 @@ def audit_log(orders: DataFrame, order_items: DataFrame, users: DataFrame,
               user_sessions: DataFrame, limit: int = AUDIT_LIMIT) -> DataFrame:
     """The newest ``limit`` events of all six kinds.
 
+    Two phases. First the narrow event keys (one scan of orders, one of
+    sessions) are checked against the user ids and the newest ``limit`` are
+    taken: ``orderBy().limit()`` plans as TakeOrderedAndProject, where every
+    partition keeps its own top rows and nothing is fully sorted. Only then
+    are texts built: the unit counts of just those orders and the names of
+    just those users, joined with the bounded top rows broadcast. The largest
+    table, ``order_items``, is never aggregated in full for a 100-row report.
+
     Ties on the whole-second event time are broken by action type and then
     the order or session id, so the rows that survive the limit are fixed.
-    Spark plans this as TakeOrderedAndProject: every partition keeps its own
-    top ``limit`` and only those rows reach the final merge; nothing is
-    fully sorted.
     """
-    ev = audit_events(orders, order_items, users, user_sessions, keep_source=True)
-    return (ev.orderBy(F.col("event_time").desc(), F.col("action_type"), F.col("source_id"))
-            .limit(limit).drop("source_id"))
+    ev = _with_known_users(_event_keys(orders, user_sessions, ALL_KINDS), users)
+    top = ev.orderBy(F.col("event_time").desc(), F.col("action_type"), F.col("source_id")).limit(limit)
+    # The top rows feed four lookups; write them once to the shared
+    # checkpoint folder instead of recomputing the event scan per lookup.
+    ensure_checkpoint_dir(top.sparkSession)
+    top = top.checkpoint(eager=True)
+    out = _describe(top, order_items, users, small=True)
+    # At most ``limit`` rows: sort them in one partition, no range shuffle.
+    return (out.coalesce(1).sortWithinPartitions(F.col("event_time").desc(), F.col("action_type"),
+                                                 F.col("source_id"))
+            .drop("source_id"))
