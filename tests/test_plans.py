@@ -35,3 +35,22 @@ def test_daily_report_pushes_day_ranges_into_the_orders_scan(spark):
 def test_order_stats_reads_only_needed_columns(spark):
     scan = _orders_scan(entry.queries()["order_stats"](spark, SMALL))
     assert scan["read_schema"] == "struct<status:string,total:decimal(10,2)>"
+
+
+def test_lines_and_orders_join_without_shuffle(spark):
+    text = plan_text(entry.queries()["items_sold"](spark, SMALL), "simple")
+    assert "Exchange hashpartitioning(order_id" not in text
+    assert "Exchange hashpartitioning(id" not in text
+
+
+def test_sessionize_shuffles_on_user_and_time_bucket(spark):
+    text = plan_text(entry.queries()["sessionize_logins"](spark, SMALL), "simple")
+    assert "Exchange hashpartitioning(user_id#" in text and ", bucket#" in text
+    # the per-user window runs over the per-bucket summary, not over events
+    assert "Window [lead(first" in text
+
+
+def test_audit_log_describes_only_the_top_rows(spark):
+    text = plan_text(entry.queries()["audit_log"](spark, SMALL), "simple")
+    assert "LeftSemi" in text and "BroadcastExchange" in text
+    assert "TakeOrderedAndProject" not in text      # the limit ran before, in the checkpointed phase
