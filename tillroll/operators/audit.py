@@ -17,6 +17,8 @@ refund, since only the current status is known.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,10 +186,12 @@ def audit_log(orders: DataFrame, order_items: DataFrame, users: DataFrame,
     """
     ev = _with_known_users(_event_keys(orders, user_sessions, ALL_KINDS), users)
     top = ev.orderBy(F.col("event_time").desc(), F.col("action_type"), F.col("source_id")).limit(limit)
-    # The top rows feed four lookups; write them once to the shared
-    # checkpoint folder instead of recomputing the event scan per lookup.
-    ensure_checkpoint_dir(top.sparkSession)
-    top = top.checkpoint(eager=True)
+    # The top rows feed four lookups: write them once (one job) to the
+    # shared checkpoint folder instead of re-running the event scan per lookup.
+    spark = top.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-audit/{uuid.uuid4().hex}"
+    top.coalesce(1).write.parquet(path)
+    top = spark.read.schema(top.schema).parquet(path)
     out = _describe(top, order_items, users, small=True)
     # At most ``limit`` rows: sort them in one partition, no range shuffle.
     return (out.coalesce(1).sortWithinPartitions(F.col("event_time").desc(), F.col("action_type"),

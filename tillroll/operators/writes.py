@@ -81,9 +81,16 @@ def merge_cart_lines(cart_adds: DataFrame, chunk_rows: int = 4096) -> DataFrame:
 
     The floored running sum has a closed form: q = S - min(0, min prefix S).
     Its (sum, min-prefix) summary is associative, so a hot (cart, key) is
-    split into ``seq`` ranges of ``chunk_rows``: each range is summarised
-    from a bounded array, then the few range summaries are combined in
-    order. No window puts a whole key into one task.
+    split into ``seq`` ranges of ``chunk_rows``:
+
+    1. a running sum per range (a window whose partition is one range, so
+       at most ``chunk_rows`` rows since ``seq`` is unique), summarised per
+       range by hash aggregation into (sum, min prefix);
+    2. a running sum of the range sums over the key's ranges in order (a
+       window over one row per range) turns each range minimum into a key
+       minimum; one more aggregation gives (S, min prefix) per key.
+
+    No window ever holds a whole key.
     """
     if "addon_ids" in cart_adds.columns:
         ids = F.coalesce(F.col("addon_ids"), F.array().cast("array<bigint>"))
@@ -93,23 +100,19 @@ def merge_cart_lines(cart_adds: DataFrame, chunk_rows: int = 4096) -> DataFrame:
     keyed = cart_adds.select("cart_id", cart_key(F.col("product_id"), F.col("size_id"), ids).alias("cart_key"),
                              "seq", F.col("change").cast("bigint").alias("change"),
                              F.floor(F.col("seq") / chunk_rows).alias("chunk"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("m"))
-
-    def step(acc, x, total, low):
-        s = acc["s"] + x[total]
-        return F.struct(s.alias("s"), F.least(acc["m"], acc["s"] + x[low]).alias("m"))
-
-    chunks = (keyed.groupBy("cart_id", "cart_key", "chunk")
-              .agg(F.array_sort(F.collect_list(F.struct("seq", "change"))).alias("steps"))
-              .select("cart_id", "cart_key", "chunk",
-                      F.aggregate("steps", zero, lambda acc, x: step(acc, x, "change", "change"))
-                      .alias("summary")))
-    merged = (chunks.groupBy("cart_id", "cart_key")
-              .agg(F.array_sort(F.collect_list(F.struct("chunk", "summary.s", "summary.m"))).alias("parts"))
-              .select("cart_id", "cart_key",
-                      F.aggregate("parts", zero, lambda acc, x: step(acc, x, "s", "m")).alias("total")))
-    qty = (F.col("total.s") - F.col("total.m")).cast("bigint")
-    return merged.select("cart_id", "cart_key", qty.alias("quantity")).filter(F.col("quantity") > 0)
+    upto_here = Window.partitionBy("cart_id", "cart_key", "chunk").orderBy("seq") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefixed = keyed.select("cart_id", "cart_key", "chunk", "change", F.sum("change").over(upto_here).alias("p"))
+    ranges = prefixed.groupBy("cart_id", "cart_key", "chunk").agg(
+        F.sum("change").alias("t"), F.least(F.min("p"), F.lit(0)).alias("m"))
+    before = Window.partitionBy("cart_id", "cart_key").orderBy("chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    shifted = ranges.select("cart_id", "cart_key", "t",
+                            (F.coalesce(F.sum("t").over(before), F.lit(0)) + F.col("m")).alias("low"))
+    keys = shifted.groupBy("cart_id", "cart_key").agg(
+        F.sum("t").alias("s"), F.least(F.min("low"), F.lit(0)).alias("m"))
+    qty = (F.col("s") - F.col("m")).cast("bigint")
+    return keys.select("cart_id", "cart_key", qty.alias("quantity")).filter(F.col("quantity") > 0)
 
 
 # ---- B03 / B04: totals and checkout --------------------------------------------------------

@@ -69,6 +69,7 @@ BYTES_PER_BUCKET = 128 << 20
 MAX_BUCKETS = 100_000
 _BUCKETS: dict[tuple[str, str], int] = {}
 _WRITTEN: set[tuple[str, str]] = set()
+_FRAMES: dict[tuple[str, str], DataFrame] = {}   # read once per application
 
 
 def _store_key(spark: SparkSession, sf_dir: str) -> str:
@@ -94,6 +95,13 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     if name in TRANSIENT:
         return build()
     key = _store_key(spark, sf_dir)
+    if (key, name) in _FRAMES:
+        return _FRAMES[(key, name)]
+    _FRAMES[(key, name)] = df = _stored(spark, sf_dir, key, name, build)
+    return df
+
+
+def _stored(spark: SparkSession, sf_dir: str, key: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tables/{key}/{name}"
     mode, col, sort = LAYOUT[name]
     n = bucket_count(spark, sf_dir)
