@@ -347,3 +347,58 @@ def test_cashier_time_current_session_rules(spark):
     cur = spark.createDataFrame([(7, 1)], "user_id bigint, session_id bigint")
     r = reports.cashier_time_summary(s, now, cur).first()
     assert (r.total_time_seconds, r.session_time_seconds) == (3600, 4 * 3600)
+
+
+# ---- T3 / T5 / T6 / T8: report semantics -----------------------------------------------------
+def test_daily_report_counts_current_status_and_zero_when_empty(spark):
+    as_of = TS(2024, 1, 30, 23, 0)
+    done = TS(2024, 1, 30, 10)
+    o = spark.createDataFrame([
+        order(1, 1, "completed", "5.00", created=TS(2024, 1, 30, 9), completed_at=done),
+        # completed today, then refunded yesterday-relative later: counts only as a refund
+        order(2, 1, "refunded", "7.00", created=TS(2024, 1, 30, 9), completed_at=done,
+              refunded_at=TS(2024, 1, 30, 11)),
+        order(3, 1, "completed", "9.00", created=TS(2024, 1, 28, 9), completed_at=TS(2024, 1, 29, 8))],
+        ORDERS)
+    r = reports.daily_report(o, as_of).first()
+    assert (r.transactions_made, r.daily_revenue) == (1, Decimal("5.00"))
+    assert (r.transactions_made_yesterday, r.daily_revenue_yesterday) == (1, Decimal("9.00"))
+    assert (r.orders_refunded, r.refunded_total) == (1, Decimal("7.00"))
+    z = reports.daily_report(spark.createDataFrame([], ORDERS), as_of).first()
+    assert all(v == 0 for v in z)                                       # T5: never NULL
+
+
+def test_order_stats_average_over_completed_only(spark):
+    o = spark.createDataFrame([order(1, 1, "completed", "10.00"), order(2, 1, "completed", "20.01"),
+                               order(3, 1, "voided", "1000.00")], ORDERS)
+    r = reports.order_stats(o).first()
+    assert (r.total_transactions, r.total_revenue, r.avg_transaction) == (3, Decimal("30.01"), Decimal("15.005000"))
+    e = reports.order_stats(spark.createDataFrame([], ORDERS)).first()
+    assert (e.total_transactions, e.total_revenue, e.avg_transaction) == (0, 0, 0)
+
+
+def test_hours_open_session_runs_to_as_of_on_its_login_day(spark):
+    as_of = TS(2024, 1, 30, 2, 0)
+    s = spark.createDataFrame([(1, 5, TS(2024, 1, 29, 20, 0), None),           # open since yesterday: 6 h
+                               (2, 6, TS(2024, 1, 30, 1, 0), TS(2024, 1, 30, 1, 30))], SESSIONS)
+    r = reports.hours_report(s, as_of).first()
+    assert (r.seconds_clocked, r.staff_count) == (1800, 1)
+    assert (r.seconds_clocked_yesterday, r.staff_count_yesterday) == (6 * 3600, 1)
+    assert r.hours_clocked_yesterday == 6.0
+
+
+# ---- T15 / T24: pricing ------------------------------------------------------------------------
+def test_price_lines_size_replaces_base_and_addons_add(spark):
+    products = spark.createDataFrame([(1, "Latte", Decimal("100.00"))], "id int, name string, base_price decimal(10,2)")
+    sizes = spark.createDataFrame([(3, 1, "Large", Decimal("130.00"))],
+                                  "id int, product_id int, label string, price decimal(10,2)")
+    addons = spark.createDataFrame([(2, 1, "Oat", Decimal("15.00"), 1), (3, 1, "Old", Decimal("99.00"), 0)],
+                                   "id int, product_id int, name string, extra_price decimal(10,2), is_available int")
+    lines = spark.createDataFrame([(1, 1, 1, None, 1, False), (2, 1, 1, 3, 1, True), (3, 1, 1, 99, 1, True)],
+                                  "line_id bigint, cart_id bigint, product_id bigint, size_id int, quantity int, "
+                                  "with_addons boolean")
+    got = {r.line_id: (r.unit_price, r.size_label, r.addon_count) for r in
+           writes.price_lines(lines, products, sizes, addons).collect()}
+    assert got == {1: (Decimal("100.00"), None, 0),                    # no size: base price
+                   2: (Decimal("145.00"), "Large", 1),                 # size price + available addon only
+                   3: (Decimal("115.00"), None, 1)}                    # unknown size: base price

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.scalars import seconds_between
+from tillroll.functions.scalars import initials, item_display_name, product_image, seconds_between
 from tillroll.schema import MONEY_OUT, PENDING_LIMIT
 
 
@@ -120,19 +120,24 @@ def pending_registrations(registrations: DataFrame, limit: int = PENDING_LIMIT)
 
 
 def staff_profiles(users: DataFrame) -> DataFrame:
-    """All staff, newest first; the password never leaves the table."""
-    return (users.select("id", "username", "name", "email", "role", "is_active", "created_at")
+    """All staff, newest first, with the avatar initials the manager
+    screen shows; the password never leaves the table."""
+    return (users.select("id", "username", "name", "email", "role", "is_active", "created_at",
+                         initials(F.col("name")).alias("initials"))
             .orderBy(F.col("created_at").desc(), F.col("id").desc()))
 
 
 def menu_catalog(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Every product with its category name, by category then name
-    (case- and accent-insensitive, as the database collation sorts)."""
+    """Every product with its category name and the image the manager
+    screen shows (its own, else the category's, else the default), by
+    category then name (case- and accent-insensitive, as the database
+    collation sorts)."""
     c = categories.select(F.col("id").alias("c_id"), F.col("name").alias("category_name"))
     p = products
     return (p.join(c, p["category_id"] == c["c_id"])
             .select(p["id"], p["category_id"], "category_name", p["name"], p["description"],
-                    p["base_price"], p["image_url"], p["is_available"])
+                    p["base_price"], p["image_url"], p["is_available"],
+                    product_image(p["image_url"], p["category_id"]).alias("image"))
             .orderBy(F.col("category_id"), F.collate(F.col("name"), "UNICODE_CI_AI"), F.col("id")))
 
 
@@ -176,6 +181,24 @@ def order_lines_nested(order_items: DataFrame, order_item_addons: DataFrame) ->
     return items.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
+def item_display_names(order_items: DataFrame, order_item_addons: DataFrame) -> DataFrame:
+    """F12 over every order item: the profile's 'Name (Size) + A, B', the
+    kitchen's 'Name (Size)' and its 'Add-ons: A, B' line ('' without
+    addons). Addon names are gathered per item (an item's addons, by id)
+    and joined back."""
+    a = order_item_addons.groupBy(F.col("order_item_id").alias("a_item_id")).agg(
+        F.array_sort(F.collect_list(F.struct("id", "addon_name"))).alias("a"))
+    j = order_items.join(a, order_items["id"] == a["a_item_id"], "left")
+    names = F.transform(F.coalesce(F.col("a"), F.array().cast(a.schema["a"].dataType)), lambda x: x["addon_name"])
+    return j.select(
+        "order_id", F.col("id").alias("item_id"),
+        item_display_name(F.col("product_name"), F.col("size_label"), names).alias("display_name"),
+        item_display_name(F.col("product_name"), F.col("size_label"), F.array().cast("array<string>"))
+         .alias("kitchen_name"),
+        F.when(F.size(names) > 0, F.concat(F.lit("Add-ons: "), F.array_join(names, ", "))).otherwise(F.lit(""))
+         .alias("addon_text"))
+
+
 def kitchen_tickets(orders: DataFrame, users: DataFrame, order_items: DataFrame,
                     order_item_addons: DataFrame) -> DataFrame:
     """The kitchen queue with each order's items and addons nested."""

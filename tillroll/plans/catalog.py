@@ -108,6 +108,11 @@ def _order_lines(t: PosTables):
                                  ["order_id"])
 
 
+@register("item_display_names")
+def _item_names(t: PosTables):
+    return reports.item_display_names(t.order_items, t.order_item_addons)
+
+
 @register("cashier_transactions")
 def _cashier_tx(t: PosTables):
     return reports.cashier_transactions(t.orders, t.order_items)
