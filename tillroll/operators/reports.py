@@ -201,9 +201,19 @@ def item_display_names(order_items: DataFrame, order_item_addons: DataFrame) ->
 
 def kitchen_tickets(orders: DataFrame, users: DataFrame, order_items: DataFrame,
                     order_item_addons: DataFrame) -> DataFrame:
-    """The kitchen queue with each order's items and addons nested."""
+    """The kitchen queue with each order's items and addons nested.
+
+    Only the queued orders' lines are nested: lines and addons are cut to
+    the queue by semi-joins first (lines share the order-id buckets with
+    orders, so that cut needs no shuffle), instead of nesting every order
+    ever taken and keeping the pending few."""
     queue = kitchen_queue(orders, users, order_items)
-    nested = order_lines_nested(order_items, order_item_addons)
+    queued = orders.filter(F.col("status") == "pending").select(F.col("id").alias("q_id"))
+    items = order_items.join(queued, order_items["order_id"] == queued["q_id"], "left_semi")
+    item_ids = items.select(F.col("id").alias("q_item_id"))
+    addons = order_item_addons.join(item_ids, order_item_addons["order_item_id"] == item_ids["q_item_id"],
+                                    "left_semi")
+    nested = order_lines_nested(items, addons)
     empty = F.array().cast(nested.schema["items"].dataType)
     return (queue.join(nested, queue["id"] == nested["order_id"], "left")
             .select(*[queue[c] for c in queue.columns],
