@@ -154,7 +154,7 @@ def checkout_orders(carts: DataFrame, totals: DataFrame) -> DataFrame:
         money("subtotal").alias("subtotal"), money("tax_amount").alias("tax_amount"),
         money("discount_amount").alias("discount_amount"), money("total").alias("total"),
         "payment_method",
-        F.nullif(F.col("notes"), F.lit("")).alias("notes"),
+        blank_to_null(F.col("notes")).alias("notes"),      # trimmed by the till, '' stored as NULL
         "created_at", reason.alias("reject_reason"))
 
 

@@ -40,7 +40,7 @@ CHECKOUT = """co AS (select c.cart_id id, c.cashier_id, null::bigint session_id,
         cast(round(tot.subtotal, 2) as decimal(10,2)) subtotal, cast(round(tot.tax_amount, 2) as decimal(10,2)) tax_amount,
         cast(round(tot.discount_amount, 2) as decimal(10,2)) discount_amount,
         cast(round(tot.total, 2) as decimal(10,2)) total,
-        c.payment_method, nullif(c.notes, '') notes, c.created_at, r.reason reject_reason
+        c.payment_method, nullif(trim(c.notes), '') notes, c.created_at, r.reason reject_reason
       from pos_carts c join tot on tot.cart_id = c.cart_id
       cross join lateral (select case when tot.item_count = 0 then 'no_items'
                                when c.payment_method is null or c.payment_method not in ('cash', 'gcash')
