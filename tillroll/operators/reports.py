@@ -13,7 +13,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.scalars import initials, item_display_name, product_image, seconds_between
+from tillroll.functions.scalars import (duration_text, initials, item_display_name, product_image,
+                                        seconds_between)
 from tillroll.schema import MONEY_OUT, PENDING_LIMIT
 
 
@@ -274,6 +275,8 @@ def cashier_time_summary(user_sessions: DataFrame, as_of: dt.datetime,
     counts up to ``as_of``; other open sessions count 0. The current-session
     time runs to ``as_of`` even when that session is closed.
 
+    Both durations also come as the profile prints them ('2h 5m', '7m').
+
     ``current_sessions`` (user_id, session_id) names each user's current
     session; by default it is the latest by (logged_in_at, id), found in the
     same single aggregation (no join, no window).
@@ -286,21 +289,27 @@ def cashier_time_summary(user_sessions: DataFrame, as_of: dt.datetime,
             F.sum(closed).alias("closed_s"),
             F.max(F.struct(start.alias("s"), F.col("id").alias("id"), end.alias("e"))).alias("cur"))
         open_cur = F.when(F.col("cur.e").isNull(), seconds_between(F.col("cur.s"), now)).otherwise(0)
-        return g.select(
+        return _with_time_texts(g.select(
             "user_id", F.col("cur.id").alias("current_session_id"),
             (F.coalesce(F.col("closed_s"), F.lit(0)) + open_cur).cast("bigint").alias("total_time_seconds"),
-            seconds_between(F.col("cur.s"), now).cast("bigint").alias("session_time_seconds"))
+            seconds_between(F.col("cur.s"), now).cast("bigint").alias("session_time_seconds")))
     cur = current_sessions.select(F.col("user_id").alias("c_user"), F.col("session_id").alias("c_id"))
     s = user_sessions.join(cur, (user_sessions["id"] == cur["c_id"])
                            & (user_sessions["user_id"] == cur["c_user"]), "left")
     is_cur = F.col("c_id").isNotNull()
-    return s.groupBy("user_id").agg(
+    return _with_time_texts(s.groupBy("user_id").agg(
         F.max("c_id").alias("current_session_id"),
         F.coalesce(F.sum(F.when(end.isNotNull(), seconds_between(start, end))
                          .when(is_cur, seconds_between(start, now)).otherwise(0)), F.lit(0))
          .cast("bigint").alias("total_time_seconds"),
         F.coalesce(F.max(F.when(is_cur, seconds_between(start, now))), F.lit(0))
-         .cast("bigint").alias("session_time_seconds"))
+         .cast("bigint").alias("session_time_seconds")))
+
+
+def _with_time_texts(df: DataFrame) -> DataFrame:
+    """The profile's 'Xh Ym' / 'Ym' texts for both durations."""
+    return df.select("*", duration_text(F.col("total_time_seconds")).alias("total_time_text"),
+                     duration_text(F.col("session_time_seconds")).alias("session_time_text"))
 
 
 # ---- R16 - R18: details and menu options -------------------------------------------
