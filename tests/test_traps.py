@@ -402,3 +402,59 @@ def test_price_lines_size_replaces_base_and_addons_add(spark):
     assert got == {1: (Decimal("100.00"), None, 0),                    # no size: base price
                    2: (Decimal("145.00"), "Large", 1),                 # size price + available addon only
                    3: (Decimal("115.00"), None, 1)}                    # unknown size: base price
+
+
+# ---- R17 / R18 / U03: menu ---------------------------------------------------------------------
+PRODUCTS = ("id int, category_id int, name string, description string, base_price decimal(10,2), "
+            "image_url string, is_available int")
+SIZES = "id int, product_id int, label string, price decimal(10,2)"
+ADDONS = "id int, product_id int, name string, extra_price decimal(10,2), is_available int"
+
+
+def test_menu_options_and_ordering(spark):
+    p = spark.createDataFrame([(1, 1, "A", None, Decimal("1"), None, 1), (2, 1, "B", None, Decimal("1"), None, 1),
+                               (3, 1, "C", None, Decimal("1"), None, 1), (4, 1, "D", None, Decimal("1"), None, 0)],
+                              PRODUCTS)
+    s = spark.createDataFrame([(10, 1, "L", Decimal("9")), (11, 1, "S", Decimal("5")), (12, 4, "X", Decimal("1"))],
+                              SIZES)
+    a = spark.createDataFrame([(20, 2, "zest", Decimal("1"), 1), (21, 2, "Éclair", Decimal("1"), 1),
+                               (22, 2, "apple", Decimal("1"), 1), (23, 3, "gone", Decimal("1"), 0)], ADDONS)
+    assert rows(reports.active_menu(p, s, a), "id", "has_options") == [(1, 1), (2, 1), (3, 0)]
+    assert rows(reports.product_sizes_list(p, s), "id", "position") == [(10, 2), (11, 1)]   # 4 is unavailable
+    got = sorted(reports.product_addons_list(p, a).collect(), key=lambda r: r.position)
+    assert [r.name for r in got] == ["apple", "Éclair", "zest"]     # accent- and case-insensitive order
+
+
+def test_products_grouped_splits_categories_by_id_range(spark):
+    menu = spark.createDataFrame([(i, 1 if i % 2 else 7, f"p{i}", None, Decimal("1"), None, 0)
+                                  for i in (1, 2, 3, 1500, 1501, 4000)],
+                                 "id int, category_id int, name string, description string, "
+                                 "base_price decimal(10,2), image_url string, has_options int")
+    g = insights.products_grouped(menu, chunk_ids=1024)
+    got = sorted((r.category_id, r.header, r.chunk, [x.id for x in r.items]) for r in g.collect())
+    assert got == [(1, "☕ Coffee", 0, [1, 3]), (1, "☕ Coffee", 1, [1501]),
+                   (7, " Category 7", 0, [2]), (7, " Category 7", 1, [1500]), (7, " Category 7", 3, [4000])]
+
+
+# ---- B06 / B09: rejections and latest-wins updates ----------------------------------------------
+def test_reject_registrations_outcomes(spark):
+    regs = spark.createDataFrame([(1, "Pending"), (2, "Rejected"), (3, "Pending")], "id int, status string")
+    req = spark.createDataFrame([(1,), (2,), (9,)], "registration_id int")
+    out = writes.reject_registrations(req, regs)
+    assert rows(out["outcomes"], "registration_id", "outcome") == [(1, "deleted"), (2, "not_pending"),
+                                                                   (9, "not_pending")]
+    assert sorted(r.id for r in out["remaining"].collect()) == [2, 3]
+
+
+def test_staff_status_refuses_self_disable_and_unknown_values(spark):
+    users = spark.createDataFrame([(1, "m", "M", "m@x", "Manager", "active", TS(2024, 1, 1)),
+                                   (2, "c", "C", "c@x", "Cashier", "active", TS(2024, 1, 1))], USERS)
+    upd = spark.createDataFrame([(1, 1, "disabled", 1),      # manager disabling themself: refused
+                                 (2, 2, "disabled", 1), (3, 2, "paused", 1),   # later invalid value: refused
+                                 (4, 9, "disabled", 1)],     # unknown user: no effect
+                                "seq bigint, user_id bigint, is_active string, manager_id bigint")
+    got = rows(writes.apply_staff_status(users, upd), "id", "is_active")
+    assert got == [(1, "active"), (2, "disabled")]
+    prods = spark.createDataFrame([(5, 1, "P", None, Decimal("1"), None, 1)], PRODUCTS)
+    av = spark.createDataFrame([(1, 5, 0), (2, 5, 2)], "seq bigint, product_id int, is_available int")
+    assert rows(writes.apply_availability(prods, av), "id", "is_available") == [(5, 0)]
