@@ -167,19 +167,30 @@ ADDON_FIELDS = ("id", "order_item_id", "addon_id", "addon_name", "quantity", "ad
 def order_lines_nested(order_items: DataFrame, order_item_addons: DataFrame) -> DataFrame:
     """Per order, its items by id, each with its addons by id.
 
-    Two grouped collects replace the per-order and per-item query loops; each
-    array holds one order's lines or one line's addons. Items without addons
-    carry an empty array.
+    Grouped collects replace the per-order and per-item query loops. The
+    lines are grouped where they lie (bucketed on the order id, so no
+    shuffle); the addons learn their order id through a narrow (item id,
+    order id) projection and are gathered per order; each item then takes
+    its addons from its own order's row. No full line row is shuffled, and
+    every array is bounded by one order. Items without addons carry an
+    empty array.
     """
     addon_struct = F.struct(*[F.col(c) for c in ADDON_FIELDS])
-    addons = order_item_addons.groupBy(F.col("order_item_id").alias("a_item_id")).agg(
-        F.array_sort(F.collect_list(addon_struct)).alias("addons"))
-    empty = F.array().cast(addons.schema["addons"].dataType)
-    items = order_items.join(addons, order_items["id"] == addons["a_item_id"], "left").select(
-        "order_id",
-        F.struct(*[order_items[c] for c in ITEM_FIELDS],
-                 F.coalesce(F.col("addons"), empty).alias("addons")).alias("item"))
-    return items.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    item_order = order_items.select(F.col("id").alias("io_item"), F.col("order_id").alias("io_order"))
+    tagged = order_item_addons.join(item_order, order_item_addons["order_item_id"] == item_order["io_item"])
+    by_order = tagged.groupBy(F.col("io_order").alias("a_order_id")).agg(
+        F.collect_list(addon_struct).alias("order_addons"))
+    items = order_items.groupBy("order_id").agg(
+        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ITEM_FIELDS]))).alias("its"))
+    j = items.join(by_order, items["order_id"] == by_order["a_order_id"], "left")
+    empty = F.array().cast(by_order.schema["order_addons"].dataType)
+    pool = F.coalesce(F.col("order_addons"), empty)
+
+    def with_addons(it):
+        mine = F.array_sort(F.filter(pool, lambda a: a["order_item_id"] == it["id"]))
+        return F.struct(*[it[c].alias(c) for c in ITEM_FIELDS], mine.alias("addons"))
+
+    return j.select("order_id", F.transform("its", with_addons).alias("items"))
 
 
 def item_display_names(order_items: DataFrame, order_item_addons: DataFrame) -> DataFrame:
