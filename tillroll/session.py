@@ -57,3 +57,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=base)
     sc.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings to build a cluster session with, sized from the input.
+
+    * about 256 MB of input per initial shuffle partition, at least two per
+      core, so a partition fits an executor core's memory share without
+      spilling, and AQE coalesces small ones after the map side;
+    * AQE's advisory size at 256 MB and skew handling on: a join partition
+      over 5x the median and 512 MB is split;
+    * files read in 256 MB splits.
+
+    Operators never set these themselves; callers pass them to
+    ``build_session(extra=...)`` or their own builder.
+    """
+    cores = max(1, executors * cores_per_executor)
+    partitions = max(2 * cores, -(-input_bytes // (256 << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(min(partitions, 1_000_000)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    }
