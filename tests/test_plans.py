@@ -54,3 +54,13 @@ def test_audit_log_describes_only_the_top_rows(spark):
     text = plan_text(entry.queries()["audit_log"](spark, SMALL), "simple")
     assert "LeftSemi" in text and "BroadcastExchange" in text
     assert "TakeOrderedAndProject" not in text      # the limit ran before, in the checkpointed phase
+
+
+def test_audit_events_scan_orders_and_sessions_once(tables):
+    import re
+    from tillroll.operators import audit
+    ev = audit._with_known_users(audit._event_keys(tables.orders, tables.user_sessions, audit.ALL_KINDS),
+                                 tables.users)
+    text = plan_text(ev, "simple")
+    assert len(re.findall(r"_orders\[", text)) == 1
+    assert "CartesianProduct" not in text and "Union" in text     # orders branch + sessions branch

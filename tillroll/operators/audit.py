@@ -103,13 +103,16 @@ def _event_keys(orders: DataFrame, user_sessions: DataFrame, kinds) -> DataFrame
 
 def _with_known_users(ev: DataFrame, users: DataFrame) -> DataFrame:
     """Keep the events whose actor is a user and, for completions, whose
-    cashier is one too (the inner joins of the original). Semi-joins on the
-    id column only; no OR in a join condition."""
+    cashier is one too (the inner joins of the original). Joins on the id
+    column only; no OR in a join condition."""
     ids = users.select(F.col("id").cast("bigint").alias("uid"))
     ev = ev.join(ids, ev["actor_id"] == ids["uid"], "left_semi")
+    # The cashier check applies to completions only: one conditional left
+    # join and a filter, so the events are produced by a single scan.
+    cashiers = users.select(F.col("id").cast("bigint").alias("cashier_uid"))
     done = F.col("action_type") == "completed"
-    checked = ev.filter(done).join(ids, F.col("cashier_id") == ids["uid"], "left_semi")
-    return ev.filter(~done).unionByName(checked)
+    checked = ev.join(cashiers, (ev["cashier_id"] == cashiers["cashier_uid"]) & done, "left")
+    return checked.filter(~done | F.col("cashier_uid").isNotNull()).drop("cashier_uid")
 
 
 def _describe(ev: DataFrame, order_items: DataFrame, users: DataFrame, small: bool) -> DataFrame:
