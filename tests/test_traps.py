@@ -191,15 +191,27 @@ def test_checkout_defaults_and_rejections(spark, tables):
     got = {r.id: (r.status, r.reject_reason, r.notes) for r in orders.collect()}
     assert got == {1: ("pending", None, None), 2: (None, "invalid_payment_method", "x"),
                    3: (None, "no_items", "note")}
-    item = writes.checkout_items(priced, orders).first()
+    item = writes.checkout_items(priced, carts).first()
     assert (item.quantity, item.product_size_id, item.size_label, item.line_subtotal) == (1, None, None,
                                                                                             Decimal("2.50"))
 
 
+def test_checkout_rows_belong_exactly_to_accepted_orders(spark, tables):
+    priced = writes.price_lines(tables.cart_lines, tables.products, tables.product_sizes, tables.product_addons)
+    orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts))
+    accepted = {r.id for r in orders.filter("reject_reason is null").collect()}
+    item_orders = {r.order_id for r in writes.checkout_items(priced, tables.carts).select("order_id").collect()}
+    assert item_orders == accepted
+    addon_items = {r.order_item_id for r in writes.checkout_addons(tables.cart_lines, tables.product_addons,
+                                                                  tables.carts).collect()}
+    lines_of_accepted = {r.line_id for r in priced.collect() if r.cart_id in accepted}
+    assert addon_items <= lines_of_accepted
+
+
 def test_checkout_invariants(spark, tables):
     priced = writes.price_lines(tables.cart_lines, tables.products, tables.product_sizes, tables.product_addons)
     orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts))
-    items = writes.checkout_items(priced, orders)
+    items = writes.checkout_items(priced, tables.carts)
     acc = orders.filter("reject_reason is null")
     sums = items.groupBy("order_id").agg(F.sum("line_subtotal").alias("s"))
     bad = acc.join(sums, acc.id == sums.order_id).filter(F.col("subtotal") != F.col("s")).count()

@@ -158,14 +158,22 @@ def checkout_orders(carts: DataFrame, totals: DataFrame) -> DataFrame:
         "created_at", reason.alias("reject_reason"))
 
 
-def _accepted(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("reject_reason").isNull()).select(F.col("id").alias("acc_id"))
+def _payable(carts: DataFrame) -> DataFrame:
+    """Carts whose payment method the server accepts.
 
+    A cart that has a priced line has at least one unit (quantity 0 counts
+    as 1), so the only other refusal (no items) never applies to it: the
+    line rows of accepted carts are exactly the lines of payable carts. The
+    item and addon rows are therefore found without computing the totals
+    (and pricing the lines) a second time."""
+    return carts.filter(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS)).select(
+        F.col("cart_id").alias("acc_id"))
 
-def checkout_items(priced_lines: DataFrame, orders: DataFrame) -> DataFrame:
+
+def checkout_items(priced_lines: DataFrame, carts: DataFrame) -> DataFrame:
     """order_items rows for accepted carts; quantity 0 / NULL → 1,
     empty size → NULL, amounts rounded to cents."""
-    pl = priced_lines.join(_accepted(orders), priced_lines["cart_id"] == F.col("acc_id"), "left_semi")
+    pl = priced_lines.join(_payable(carts), priced_lines["cart_id"] == F.col("acc_id"), "left_semi")
     q = quantity_or_one(F.col("quantity"))
     return pl.select(
         F.col("line_id").alias("id"), F.col("cart_id").alias("order_id"), "product_id", "product_name",
@@ -175,10 +183,12 @@ def checkout_items(priced_lines: DataFrame, orders: DataFrame) -> DataFrame:
         money(F.col("unit_price") * q).alias("line_subtotal"))
 
 
-def checkout_addons(cart_lines: DataFrame, product_addons: DataFrame, orders: DataFrame) -> DataFrame:
-    """order_item_addons rows; an addon's quantity is its line's."""
+def checkout_addons(cart_lines: DataFrame, product_addons: DataFrame, carts: DataFrame) -> DataFrame:
+    """order_item_addons rows of accepted carts; an addon's quantity is
+    its line's. (A line with an addon is a line of a known product, so it is
+    priced and its cart has items.)"""
     la = line_addons(cart_lines, product_addons)
-    la = la.join(_accepted(orders), la["cart_id"] == F.col("acc_id"), "left_semi")
+    la = la.join(_payable(carts), la["cart_id"] == F.col("acc_id"), "left_semi")
     q = quantity_or_one(F.col("quantity"))
     return la.select(
         F.col("line_id").alias("order_item_id"), "addon_id", "addon_name", q.alias("quantity"),

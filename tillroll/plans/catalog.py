@@ -185,13 +185,12 @@ def _checkout_orders(t: PosTables):
 
 @register("checkout_items")
 def _checkout_items(t: PosTables):
-    priced, orders = _checkout(t)
-    return writes.checkout_items(priced, orders)
+    return writes.checkout_items(_priced(t), t.carts)
 
 
 @register("checkout_addons")
 def _checkout_addons(t: PosTables):
-    return writes.checkout_addons(t.cart_lines, t.product_addons, _checkout(t)[1])
+    return writes.checkout_addons(t.cart_lines, t.product_addons, t.carts)
 
 
 @register("checkout_payments")
