@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,9 @@ MAX_BUCKETS = 100_000
 _BUCKETS: dict[tuple[str, str], int] = {}
 _WRITTEN: set[tuple[str, str]] = set()
 _FRAMES: dict[tuple[str, str], DataFrame] = {}   # read once per application
+# First use writes the table; queries built from several threads must not
+# write the same path at once. Re-entrant: building one table may store another.
+_LOCK = threading.RLock()
 
 
 def _store_key(spark: SparkSession, sf_dir: str) -> str:
@@ -95,10 +99,10 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     if name in TRANSIENT:
         return build()
     key = _store_key(spark, sf_dir)
-    if (key, name) in _FRAMES:
+    with _LOCK:
+        if (key, name) not in _FRAMES:
+            _FRAMES[(key, name)] = _stored(spark, sf_dir, key, name, build)
         return _FRAMES[(key, name)]
-    _FRAMES[(key, name)] = df = _stored(spark, sf_dir, key, name, build)
-    return df
 
 
 def _stored(spark: SparkSession, sf_dir: str, key: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
