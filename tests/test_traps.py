@@ -470,3 +470,17 @@ def test_staff_status_refuses_self_disable_and_unknown_values(spark):
     prods = spark.createDataFrame([(5, 1, "P", None, Decimal("1"), None, 1)], PRODUCTS)
     av = spark.createDataFrame([(1, 5, 0), (2, 5, 2)], "seq bigint, product_id int, is_available int")
     assert rows(writes.apply_availability(prods, av), "id", "is_available") == [(5, 0)]
+
+
+def test_signup_rounds_never_leave_outcomes_empty(spark):
+    import pytest
+    t = TS(2024, 1, 1)
+    # a chain where each sign-up clashes with the next: decided one per round
+    data = [(i, f"u{i // 2}", f"e{(i + 1) // 2}", t + dt.timedelta(seconds=i)) for i in range(8)]
+    s = spark.createDataFrame(data, SIGNUPS)
+    users = spark.createDataFrame([], USERS)
+    regs = spark.createDataFrame([], "username string, email string")
+    got = dict(rows(writes.registration_conflicts(s, users, regs), "id", "outcome"))
+    assert got == replay_signups(data, set(), set())
+    with pytest.raises(RuntimeError):
+        writes.registration_conflicts(s, users, regs, max_rounds=1)

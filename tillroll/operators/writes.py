@@ -308,9 +308,11 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     keys = keys.checkpoint()
     # state: 0 undecided, 1 accepted, 2 refused
     state = contested.select("id", F.lit(0).alias("state")).checkpoint()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         if state.filter(F.col("state") == 0).limit(1).count() == 0:
             break
+        if _ == max_rounds:
+            raise RuntimeError(f"sign-up clashes still undecided after {max_rounds} rounds")
         ks = keys.join(state.withColumnRenamed("id", "kid"), "kid")
         live = F.col("state") < 2
         groups = ks.groupBy("kind", "key").agg(
