@@ -14,3 +14,24 @@ def test_stream_board_equals_batch(spark, tables):
                                    batches=batches)
         assert got.columns == batch.columns
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_board_step_adds_arrivals_and_refuses_requests_for_unknown_orders(spark):
+    import datetime as dt
+    from decimal import Decimal
+    from tillroll.streaming.kitchen import board_step
+    cols = ("id bigint, status string, notes string, created_at timestamp_ntz, total decimal(10,2), "
+            "cashier_name string, cashier_username string, item_count bigint, cashier_id bigint")
+    t = dt.datetime(2024, 1, 30, 9)
+    board = spark.createDataFrame([(1, "pending", None, t, Decimal("1"), "A", "a", 1, 7)], cols)
+    arrivals = spark.createDataFrame([(2, "pending", None, t, Decimal("2"), "A", "a", 1, 7),
+                                      (3, "pending", None, t, Decimal("3"), "A", "a", 1, 7)], cols)
+    users = spark.createDataFrame([(7, "Cashier"), (9, "Kitchen")], "id int, role string")
+    later = t + dt.timedelta(minutes=5)
+    events = spark.createDataFrame([(2, 1, "complete", 9, later),        # arrived this batch: completed
+                                    (3, 2, "voided", 9, later),          # not the owner: refused
+                                    (4, 3, "complete", 9, later)],       # unknown order: nothing
+                                   "order_id bigint, seq bigint, event_type string, actor_id bigint, "
+                                   "event_time timestamp_ntz")
+    got = sorted(r.id for r in board_step(board, events, users, arrivals).collect())
+    assert got == [1, 3]

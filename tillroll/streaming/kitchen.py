@@ -3,11 +3,11 @@
 The application re-queries the pending list every 15 s. Here the board is
 state updated per micro-batch:
 
-* An order leaves the board at its first *valid* status request: a complete
-  by a Kitchen/Manager user, a void or refund by the owning cashier. Nothing
-  brings an order back to pending, so the board only shrinks under status
-  requests, and the result does not depend on how requests are split into
-  batches or ordered across them.
+* New orders (``arrivals``) join the board; an order leaves it at its first
+  *valid* status request: a complete by a Kitchen/Manager user, a void or
+  refund by the owning cashier. Nothing brings an order back to pending, so
+  status requests only shrink the board, and the result does not depend on
+  how requests are split into batches or ordered across them.
 * The state is the board itself (pending orders with their cashier id),
   not the order history, so it is bounded by the kitchen queue, not by all
   orders ever taken. Each batch joins its requests against the board only.
@@ -45,11 +45,19 @@ def initial_board(orders: DataFrame, users: DataFrame, order_items: DataFrame) -
                     "cashier_id"))
 
 
-def board_step(board: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
-    """Remove the orders that have a valid status request in ``events``."""
+def board_step(board: DataFrame, events: DataFrame, users: DataFrame,
+               arrivals: DataFrame | None = None) -> DataFrame:
+    """One micro-batch: add the newly checked-out orders (``arrivals``, rows
+    shaped like the board), then remove the orders that have a valid status
+    request in ``events``. A request for an order the board does not hold
+    (finished, or not taken yet) changes nothing, as the server refuses
+    it. Arrivals enter before the batch's requests are checked, so an order
+    taken and completed within one batch never shows."""
+    if arrivals is not None:
+        board = board.unionByName(arrivals.select(*board.columns))
     roles = users.select(F.col("id").alias("u_id"), F.col("role").alias("actor_role"))
-    ev = events.join(board.select(F.col("id").alias("b_id"), F.col("cashier_id").alias("b_cashier")),
-                     events["order_id"] == F.col("b_id"))
+    live = board.select(F.col("id").alias("b_id"), F.col("cashier_id").alias("b_cashier"))
+    ev = events.join(live, events["order_id"] == live["b_id"])
     ev = ev.join(roles, ev["actor_id"] == roles["u_id"], "left")
     valid = (F.col("event_type").isin("voided", "refunded") & (F.col("actor_id") == F.col("b_cashier"))) | \
             ((F.col("event_type") == "complete") & F.col("actor_role").isin(*KITCHEN_ROLES))
