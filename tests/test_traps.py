@@ -100,6 +100,7 @@ def test_accept_registration_conflict_is_case_and_accent_insensitive(spark):
     assert rows(out["outcomes"], "registration_id", "outcome") == [
         (10, "conflict"), (11, "conflict"), (12, "accepted"), (13, "not_pending"), (14, "not_pending")]
     assert rows(out["new_users"], "id", "username") == [(13, "ana")]
+    assert rows(out["users"], "id", "username") == [(1, "José"), (13, "ana")]
     assert sorted(r.id for r in out["remaining"].collect()) == [10, 11, 13]
 
 

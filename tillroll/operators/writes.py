@@ -230,7 +230,8 @@ def accept_registrations(requests: DataFrame, registrations: DataFrame, users: D
     ``conflict`` (username or email already a user, case- and
     accent-insensitively), else ``accepted``. Returns the outcomes, the new
     user rows (id = current max user id + registration id, so ids are
-    stable across re-runs) and the registrations left after the deletes.
+    stable across re-runs), the user table with them added, and the
+    registrations left after the deletes.
     """
     req = requests.select(F.col("registration_id").alias("rid")).distinct()
     pending = registrations.filter(F.col("status") == "Pending")
@@ -248,7 +249,8 @@ def accept_registrations(requests: DataFrame, registrations: DataFrame, users: D
         (F.coalesce(max_id, F.lit(0)) + F.col("id")).cast("int").alias("id"), "username", "name", "email", "role",
         F.lit("active").alias("is_active"), ntz(as_of).alias("created_at"))
     remaining = registrations.join(accepted, registrations["id"] == accepted["a_id"], "left_anti")
-    return {"outcomes": outcomes, "new_users": new_users, "remaining": remaining}
+    users_after = users.select(*new_users.columns).unionByName(new_users)
+    return {"outcomes": outcomes, "new_users": new_users, "users": users_after, "remaining": remaining}
 
 
 def reject_registrations(requests: DataFrame, registrations: DataFrame) -> dict[str, DataFrame]:
