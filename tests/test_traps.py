@@ -310,6 +310,8 @@ def test_category_counts_zero_and_all(spark):
         ("1", 2), ("2", 0), ("all", 3)]
     assert rows(insights.category_counts(products, cats, True), "category", "product_count") == [
         ("1", 1), ("2", 0), ("all", 2)]
+    assert rows(insights.category_counts(products, cats, True), "category", "showing_text") == [
+        ("1", "Showing 1 item"), ("2", "Showing 0 items"), ("all", "Showing 2 items")]
 
 
 def test_kitchen_status_empty_and_hours(spark):

@@ -22,7 +22,8 @@ def category_counts(products: DataFrame, categories: DataFrame, available_only:
     """Products per category plus an 'all' row; categories without
     products show 0. The cashier screen counts available products, the
     manager screen all of them. ``rollup`` gives the per-category and the
-    total counts in one aggregation."""
+    total counts in one aggregation. ``showing_text`` is the line the menu
+    prints for that tab (U02): 'Showing 1 item', 'Showing 12 items'."""
     p = products.filter(F.col("is_available") == 1) if available_only else products
     counts = p.rollup("category_id").agg(F.count(F.lit(1)).alias("n"))
     per_cat = categories.select(F.col("id").alias("cat_id")).join(
@@ -31,7 +32,9 @@ def category_counts(products: DataFrame, categories: DataFrame, available_only:
                           F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("product_count"))
     total = counts.filter(F.col("category_id").isNull()).select(
         F.lit("all").alias("category"), F.col("n").cast("bigint").alias("product_count"))
-    return rows.unionByName(total)
+    n = F.col("product_count")
+    showing = F.concat(F.lit("Showing "), n.cast("string"), F.when(n == 1, F.lit(" item")).otherwise(F.lit(" items")))
+    return rows.unionByName(total).select("category", "product_count", showing.alias("showing_text"))
 
 
 def menu_by_category(menu: DataFrame, category: str | int = "all") -> DataFrame:

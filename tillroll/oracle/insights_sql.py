@@ -97,16 +97,19 @@ def _history() -> str:
     return f", {od}, {sd}, {days} select t.*, {ycols} from days t left join days y on y.day = t.day - 1"
 
 
+SHOWING = ("'Showing ' || product_count::varchar || case when product_count = 1 then ' item' else ' items' end "
+           "showing_text")
+
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
-    "category_counts": (("products", "categories"), """select cast(c.id as varchar) category,
-          count(p.id)::bigint product_count
+    "category_counts": (("products", "categories"), f"""select category, product_count, {SHOWING} from (
+        select cast(c.id as varchar) category, count(p.id)::bigint product_count
         from pos_categories c left join pos_products p on p.category_id = c.id group by c.id
-        union all select 'all', count(*)::bigint from pos_products"""),
-    "category_counts_available": (("products", "categories"), """select cast(c.id as varchar) category,
-          count(p.id)::bigint product_count
+        union all select 'all', count(*)::bigint from pos_products) t"""),
+    "category_counts_available": (("products", "categories"), f"""select category, product_count, {SHOWING} from (
+        select cast(c.id as varchar) category, count(p.id)::bigint product_count
         from pos_categories c left join pos_products p on p.category_id = c.id and p.is_available = 1
         group by c.id
-        union all select 'all', count(*)::bigint from pos_products where is_available = 1"""),
+        union all select 'all', count(*)::bigint from pos_products where is_available = 1) t"""),
     "menu_by_category": (MENU_TABLES, f"select * from ({MENU}) m where m.category_id = 2"),
     "products_grouped": (MENU_TABLES, f"""select category_id, header, chunk,
           (row_number() over (partition by category_id, chunk order by id) - 1)::int pos,
