@@ -500,6 +500,7 @@ def held_cart_totals(held: DataFrame, json_col: str = "held_json", holder_col: s
     tax = sub * F.lit(TAX_RATE).cast("decimal(3,2)")
     return carts.select(
         holder_col, (F.col("n") - F.col("idx")).cast("int").alias("position"),
+        F.concat(F.lit("Held Order #"), (F.col("n") - F.col("idx")).cast("string")).alias("title"),
         F.col("cart.id").alias("held_id"), count.cast("bigint").alias("item_count"),
         F.round(sub, 2).cast(MONEY_OUT).alias("subtotal"),
         F.round(disc, 2).cast(MONEY_OUT).alias("discount_amount"),

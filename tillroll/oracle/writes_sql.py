@@ -175,6 +175,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         select cashier_id::varchar || '-' || strftime(created_at, '%Y%m%d') holder_id,
           (row_number() over (partition by cashier_id, cast(created_at as date) order by created_at, cart_id))::int
             position,
+          'Held Order #' || row_number() over (partition by cashier_id, cast(created_at as date)
+                                               order by created_at, cart_id) title,
           'hold-' || cart_id held_id, item_count,
           cast(round(sub, 2) as decimal(18,2)) subtotal,
           cast(round(case when discount then sub * 0.05 else 0 end, 2) as decimal(18,2)) discount_amount,
