@@ -15,8 +15,10 @@ from tillroll.schema import MONEY, T0 as T0_VALUE
 from tillroll.sources.parquet import read_table
 
 def t0() -> Column:
-    """The fixture clock origin, 2024-01-01 00:00:00."""
-    return F.lit(T0_VALUE).cast("timestamp_ntz")
+    """The fixture clock origin, 2024-01-01 00:00:00, as a TIMESTAMP_NTZ
+    literal built from text (a Python datetime literal would be read as a
+    local-time TIMESTAMP and shift with the session time zone)."""
+    return F.lit(T0_VALUE.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def add_seconds(n: Column, ts: Column) -> Column:
@@ -25,8 +27,10 @@ def add_seconds(n: Column, ts: Column) -> Column:
 
 
 def whole_second(ts: Column) -> Column:
-    """FIXTURES macro SEC(ts)."""
-    return F.date_trunc("SECOND", ts).cast("timestamp_ntz")
+    """FIXTURES macro SEC(ts): drop the fraction of a second. Built from the
+    NTZ fields, so no time-zone conversion takes part."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                                F.floor(F.second(ts)).cast("decimal(8,6)"))
 
 
 def _cat(*parts) -> Column:
