@@ -44,8 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) is a fresh scratch folder
-    created under ``$TILLROLL_SCRATCH`` or the system temp dir.
+    as is. Only when it is unset and the master is ``local`` (tests) is a
+    fresh scratch folder created under ``$TILLROLL_SCRATCH`` or the system
+    temp dir; on any other master an unset folder is an error, because a
+    machine-local folder is not seen by the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = os.environ.get("TILLROLL_SCRATCH") or tempfile.gettempdir()
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=base)
     sc.setCheckpointDir(path)
