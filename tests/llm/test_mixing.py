@@ -1,0 +1,80 @@
+import re
+
+import numpy as np
+from helpers import edge_rows, frame, prose, rows_of
+
+from tillroll.llm.mixing import mix, source_targets, take
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5):
+    """Share by weight, stop at twice the size, share the excess again."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), share * sum(sizes.values()), set(names)
+    while open_ and left > 1e-9:
+        total, spare = sum(w[s] for s in open_), 0.0
+        for s in list(open_):
+            target[s] += left * w[s] / total
+            if target[s] >= 2 * sizes[s]:
+                spare += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+        left = spare
+    return target
+
+
+def many_rows():
+    import random
+    rng = random.Random(6)
+    return edge_rows() + [(1000 + i, prose(rng, rng.choice([1, 5, 50, 50, 400])), "en", f"s{rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7])}") for i in range(800)]
+
+
+def by_source(rows):
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    return sizes
+
+
+def test_targets_and_taken(spark):
+    rows = many_rows()
+    sizes, df = by_source(rows), frame(spark, rows)
+    want = brute_targets(sizes)
+    got = mix(df).collect()
+    assert len(got) == len(rows)
+    for s in sizes:
+        own = [r for r in got if r["source"] == s]
+        assert all(r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s]) for r in own)
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= max(r["size"] for r in own) + 1
+        assert all(0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in own)
+
+
+def test_rates_solve_the_balance(spark):
+    rows = many_rows()
+    want = brute_targets(by_source(rows))
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in mix(frame(spark, rows)).collect() if r["source"] == s and r["size"]]
+        x, rate = np.array([r["size"] for r in own], float), np.array([r["rate"] for r in own])
+        lo, hi = -500.0, 500.0
+        for _ in range(200):  # bisection for the dual variable
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if (x * np.minimum(2, np.exp(np.minimum(lam * x / x.mean(), 5)))).sum() < want[s] else (lo, lam)
+        assert np.allclose(rate, np.minimum(2, np.exp(np.minimum(lam * x / x.mean(), 5))), atol=2e-5)
+
+
+def test_reruns_agree(spark):
+    df = frame(spark, many_rows())
+    cols = ["doc_id", "text_md5", "taken", "target"]
+    assert rows_of(mix(df).select(cols)) == rows_of(mix(df.repartition(7)).select(cols))
+
+
+def test_take_and_empty(spark):
+    df = frame(spark, edge_rows())
+    taken = take(df)
+    assert taken.columns == df.columns
+    assert taken.count() == sum(r["copies"] for r in mix(df).collect())
+    empty = df.where("false")
+    assert mix(empty).count() == 0 and take(empty).count() == 0
+    assert source_targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, size long")).where("target = 0").count() == 2

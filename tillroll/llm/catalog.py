@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontaminate, line_dedup, sharding, token_counts
-from tillroll.llm.common import ship
+from tillroll.llm import (decontaminate, language_id, lattice_lm, line_dedup, mixing, near_dedup, nearest, sharding, token_counts,
+                          url_filter)
+from tillroll.llm.common import crc32_mod, ship
 from tillroll.llm.oracles import LLM_ORACLES  # noqa: F401
 from tillroll.sources.parquet import read_table
 
@@ -29,6 +30,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: The rules of the URL filter: host and path, and verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("score").alias("block_score"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "class_id", "class_size")
+
+
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                      folds=5, held_out_fold=1)
+
+
 def op6_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,6 +62,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("over_limit", F.col("n_tokens") > 2048))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc32_mod("doc_id", 4) == 2).alias("held_out"))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return docs.select("doc_id", "held_out", language_id.language(model, "text", spark).alias("guess")).select(
+        "doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
 def _registered(f):
     @functools.wraps(f)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +88,6 @@ def _registered(f):
     return query
 
 
-LLM_QUERIES = {f.__name__: _registered(f) for f in (op1_shard_by_bytes, op2_decontaminate, op6_dedup_lines, op7_token_counts)}
+LLM_QUERIES = {f.__name__: _registered(f) for f in (
+    op1_shard_by_bytes, op2_decontaminate, op3_url_filter, op4_near_duplicates, op5_lattice_scores, op6_dedup_lines,
+    op7_token_counts, op8_nearest, op9_mix_sources, op10_language)}

@@ -11,7 +11,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
@@ -70,6 +70,24 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def attach(docs: DataFrame, decisions: DataFrame, cols: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Rows ``_row`` (a struct of all columns of ``docs``) with the columns ``cols`` of ``decisions``, as ``_<name>``.
+
+    ``decisions`` has one row per row of ``docs``, told by the id and
+    ``text_md5`` (of the text, null as empty). Rows that repeat both are paired one to one.
+    """
+    def nth(key: str, digest: str) -> Column:
+        return F.row_number().over(Window.partitionBy(key, digest).orderBy(digest))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_lid"),
+                       F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_lmd5"))
+    rows = rows.withColumn("_ln", nth("_lid", "_lmd5"))
+    found = decisions.select(F.col(id_col).alias("_rid"), F.col("text_md5").alias("_rmd5"), *[F.col(c).alias(f"_{c}") for c in cols])
+    found = found.withColumn("_rn", nth("_rid", "_rmd5"))
+    joined = rows.join(found, F.col("_lid").eqNullSafe(F.col("_rid")) & (F.col("_lmd5") == F.col("_rmd5")) & (F.col("_ln") == F.col("_rn")))
+    return joined.select("_row", *[f"_{c}" for c in cols])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

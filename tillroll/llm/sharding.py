@@ -7,7 +7,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import small_side, stored
+from tillroll.llm.common import attach, small_side, stored
 
 #: Bytes a document counts besides its text.
 OVERHEAD = 8
@@ -113,13 +113,7 @@ def attach_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
     Repeated rows (same id and text) are paired with their places one to one.
     """
-    same = Window.partitionBy("_id", "_md5").orderBy("_md5")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (shard_col, slot_col)]).alias("_row"),
-                       F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_md5"))
     places = shard_by_bytes(docs, shards, id_col, text_col)
-    rows = rows.withColumn("_nth", F.row_number().over(same))
-    places = places.select(F.col(id_col).alias("_pid"), F.col("text_md5").alias("_pmd5"), "shard", "slot").withColumn(
-        "_pnth", F.row_number().over(Window.partitionBy("_pid", "_pmd5").orderBy("shard", "slot")))
-    joined = rows.join(places, (F.col("_md5") == F.col("_pmd5")) & F.col("_id").eqNullSafe(F.col("_pid"))
-                       & (F.col("_nth") == F.col("_pnth")))
-    return joined.select("_row.*", F.col("shard").alias(shard_col), F.col("slot").alias(slot_col))
+    rows = attach(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (shard_col, slot_col)]), places,
+                  ["shard", "slot"], id_col, text_col)
+    return rows.select("_row.*", F.col("_shard").alias(shard_col), F.col("_slot").alias(slot_col))
