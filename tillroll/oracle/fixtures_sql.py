@@ -19,14 +19,14 @@ def SEC(ts: str) -> str:
 
 # name -> (dependencies, select text)
 DEFS: dict[str, tuple[tuple[str, ...], str]] = {
-    "users": ((), f"""select cast(c_custkey as int) id, 'user'||c_custkey username, c_name name,
+    "users": ((), f"""select cast(c_custkey as bigint) id, 'user'||c_custkey username, c_name name,
         'user'||c_custkey||'@example.org' email,
         case c_custkey%25 when 0 then 'Manager' when 1 then 'Kitchen' else 'Cashier' end role,
         case when c_acctbal<0 then 'disabled' else 'active' end is_active,
         {ADD('c_custkey*61', T0)} created_at from customer"""),
     "categories": ((), """select cast(dense_rank() over(order by p_type) as int) id, p_type name
         from (select distinct p_type from part) t"""),
-    "products": (("categories",), """select cast(p_partkey as int) id, c.id category_id,
+    "products": (("categories",), """select cast(p_partkey as bigint) id, c.id category_id,
         p_name||' '||p_partkey name, p_brand description,
         cast(p_retailprice as decimal(10,2)) base_price,
         case when p_size%3=0 then '/img/'||p_partkey end image_url,
@@ -84,19 +84,21 @@ DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "login_events": ((), """select event_id id, user_id, ts,
         case event_type when 'signup' then 'login' else 'logout' end event_type
         from events where event_type in ('signup','error')"""),
-    "registrations": ((), f"""select cast(s_suppkey+1 as int) id,
+    "registrations": ((), f"""select cast(s_suppkey+1 as bigint) id,
         case when s_suppkey%10=0 then 'USER'||s_suppkey else 'applicant'||s_suppkey end username,
         s_name name,
         case when s_suppkey%10=1 then 'user'||s_suppkey||'@example.org'
              else 'applicant'||s_suppkey||'@example.org' end email,
         'Cashier' role, case when s_suppkey%6=5 then 'Rejected' else 'Pending' end status,
         {ADD('s_suppkey*3600', T0)} submitted_at from supplier"""),
-    "registration_requests": ((), """select cast(s_suppkey+1 as int) registration_id from supplier
+    "registration_requests": ((), """select cast(s_suppkey+1 as bigint) registration_id from supplier
         where s_suppkey%3<>2 union all select 1000000"""),
-    "signups": ((), f"""select cast(s_suppkey as int) id,
-        case s_suppkey%4 when 0 then 'user'||s_suppkey when 1 then 'Applicant'||s_suppkey
-             else 'new'||s_suppkey end username,
-        'new'||s_suppkey||'@example.org' email, {ADD('s_suppkey*60', T0)} requested_at from supplier"""),
+    "signups": ((), f"""select cast(s_suppkey as bigint) id,
+        case when s_suppkey%4=0 then 'user'||s_suppkey when s_suppkey%4=1 then 'Applicant'||s_suppkey
+             when s_suppkey%7<5 then 'New'||(s_suppkey//7) else 'new'||s_suppkey||'x' end username,
+        case when s_suppkey%14<6 then 'pair'||(s_suppkey//14)||'@example.org'
+             else 'new'||s_suppkey||'@example.org' end email,
+        {ADD('((s_suppkey*37)%1009)*60', T0)} requested_at from supplier"""),
     "status_events": (("lines", "orders"), f"""select l.order_id, l.id seq,
         case l.l_returnflag when 'A' then 'complete' when 'N' then 'voided' else 'refunded' end event_type,
         case when l.l_suppkey%5=0 then 1 else o.cashier_id end actor_id,
@@ -105,13 +107,13 @@ DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "staff_updates": ((), """select event_id seq, user_id,
         case event_type when 'error' then 'disabled' when 'click' then 'active' else 'paused' end is_active,
         user_id+event_id%2 manager_id from events where event_type in ('error','click','view')"""),
-    "availability_updates": ((), """select event_id seq, cast(event_id%200 as int) product_id,
+    "availability_updates": ((), """select event_id seq, cast(event_id%200 as bigint) product_id,
         cast(event_id%3 as int) is_available from events where event_type='view'"""),
-    "image_updates": ((), """select event_id seq, cast(event_id%200 as int) product_id,
+    "image_updates": ((), """select event_id seq, cast(event_id%200 as bigint) product_id,
         '/assets/products/product_'||event_id||'.png' image_url from events where event_type='purchase'"""),
     "carts": ((), f"""select o_orderkey cart_id, o_custkey cashier_id, o_orderkey%4=0 discount,
         case o_orderkey%3 when 0 then 'cash' when 1 then 'gcash' else 'card' end payment_method,
-        case when o_orderpriority='1-URGENT' then 'rush' else '' end notes,
+        case o_orderpriority when '1-URGENT' then chr(10)||' rush'||chr(9) when '2-HIGH' then chr(10) else '' end notes,
         {ADD('(o_orderkey%30)*86400+(o_orderkey*7919)%86400', T0)} created_at from orders"""),
     "cart_lines": (("lines", "product_sizes"), """select l.id line_id, l.order_id cart_id, l.product_id,
         s.id size_id, case when l.quantity%10=0 then 0 else l.quantity end quantity,
@@ -120,7 +122,7 @@ DEFS: dict[str, tuple[tuple[str, ...], str]] = {
           on s.product_id=l.product_id and s.id=l.product_id*3+l.l_linenumber%4"""),
     "cart_adds": (("lines",), """select id seq, order_id cart_id, product_id%7 product_id,
         cast(null as int) size_id, product_id%2 addon_id,
-        case when l_returnflag='R' then -1 else 1 end change from pos_lines"""),
+        case when id%11=0 then 0 when l_returnflag='R' then -1 else 1 end change from pos_lines"""),
 }
 
 
@@ -147,5 +149,5 @@ def with_fixtures(tables, body: str) -> str:
     """
     ctes = ",\n".join(f"pos_{n} AS ({DEFS[n][1]})" for n in _closure(tables))
     if body.lstrip().startswith(","):
-        return f"WITH {ctes}{body}"
-    return f"WITH {ctes}\n{body}"
+        return f"WITH RECURSIVE {ctes}{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"

@@ -22,8 +22,11 @@ def t0() -> Column:
 
 
 def add_seconds(n: Column, ts: Column) -> Column:
-    """FIXTURES macro ADD(n, t)."""
-    return F.timestamp_add("SECOND", n.cast("int"), ts)
+    """FIXTURES macro ADD(n, t). Whole days and seconds of a day, so that no
+    part of a BIGINT ``n`` overflows."""
+    n = n.cast("bigint")
+    return ts + F.make_dt_interval(days=F.floor(n / 86400).cast("int"),
+                                   secs=F.pmod(n, F.lit(86400)).cast("decimal(18,6)"))
 
 
 def whole_second(ts: Column) -> Column:
@@ -72,7 +75,7 @@ class PosTables:
         c = self.raw("customer")
         key = F.col("c_custkey")
         return c.select(
-            key.cast("int").alias("id"),
+            key.cast("bigint").alias("id"),
             _cat("user", key.cast("string")).alias("username"),
             F.col("c_name").alias("name"),
             _cat("user", key.cast("string"), "@example.org").alias("email"),
@@ -94,7 +97,7 @@ class PosTables:
         p = self.raw("part")
         c = self.categories
         return p.join(c, c["name"] == p["p_type"]).select(
-            p["p_partkey"].cast("int").alias("id"),
+            p["p_partkey"].cast("bigint").alias("id"),
             c["id"].alias("category_id"),
             _cat(p["p_name"], " ", p["p_partkey"].cast("string")).alias("name"),
             p["p_brand"].alias("description"),
@@ -244,7 +247,7 @@ class PosTables:
         key = F.col("s_suppkey")
         ks = key.cast("string")
         return s.select(
-            (key + 1).cast("int").alias("id"),
+            (key + 1).cast("bigint").alias("id"),
             F.when(key % 10 == 0, _cat("USER", ks)).otherwise(_cat("applicant", ks)).alias("username"),
             F.col("s_name").alias("name"),
             F.when(key % 10 == 1, _cat("user", ks, "@example.org"))
@@ -256,20 +259,25 @@ class PosTables:
 
     def _build_registration_requests(self) -> DataFrame:
         s = self.raw("supplier").filter(F.col("s_suppkey") % 3 != 2)
-        known = s.select((F.col("s_suppkey") + 1).cast("int").alias("registration_id"))
-        unknown = self.spark.range(1).select(F.lit(1000000).alias("registration_id"))
+        known = s.select((F.col("s_suppkey") + 1).cast("bigint").alias("registration_id"))
+        unknown = self.spark.range(1).select(F.lit(1000000).cast("bigint").alias("registration_id"))
         return known.unionByName(unknown)
 
     def _build_signups(self) -> DataFrame:
+        # Emails clash in pairs and usernames in other pairs, so sign-ups of a
+        # batch depend on each other in chains.
         s = self.raw("supplier")
         key = F.col("s_suppkey")
         ks = key.cast("string")
+        shared_mail = F.floor(key / 14).cast("bigint").cast("string")
         return s.select(
-            key.cast("int").alias("id"),
+            key.cast("bigint").alias("id"),
             F.when(key % 4 == 0, _cat("user", ks)).when(key % 4 == 1, _cat("Applicant", ks))
-             .otherwise(_cat("new", ks)).alias("username"),
-            _cat("new", ks, "@example.org").alias("email"),
-            add_seconds(key * 60, t0()).alias("requested_at"),
+             .when(key % 7 < 5, _cat("New", F.floor(key / 7).cast("bigint").cast("string")))
+             .otherwise(_cat("new", ks, "x")).alias("username"),
+            F.when(key % 14 < 6, _cat("pair", shared_mail, "@example.org"))
+             .otherwise(_cat("new", ks, "@example.org")).alias("email"),
+            add_seconds(F.pmod(key * 37, F.lit(1009)) * 60, t0()).alias("requested_at"),
         )
 
     # ---- request streams ----------------------------------------------------
@@ -298,13 +306,13 @@ class PosTables:
     def _build_availability_updates(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "view")
         return e.select(F.col("event_id").alias("seq"),
-                        (F.col("event_id") % 200).cast("int").alias("product_id"),
+                        (F.col("event_id") % 200).cast("bigint").alias("product_id"),
                         (F.col("event_id") % 3).cast("int").alias("is_available"))
 
     def _build_image_updates(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "purchase")
         return e.select(F.col("event_id").alias("seq"),
-                        (F.col("event_id") % 200).cast("int").alias("product_id"),
+                        (F.col("event_id") % 200).cast("bigint").alias("product_id"),
                         _cat("/assets/products/product_", F.col("event_id").cast("string"), ".png")
                         .alias("image_url"))
 
@@ -317,7 +325,8 @@ class PosTables:
             (key % 4 == 0).alias("discount"),
             F.when(key % 3 == 0, "cash").when(key % 3 == 1, "gcash").otherwise("card")
              .alias("payment_method"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", "rush").otherwise("").alias("notes"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", "\n rush\t").when(F.col("o_orderpriority") == "2-HIGH", "\n")
+             .otherwise("").alias("notes"),
             add_seconds((key % 30) * 86400 + (key * 7919) % 86400, t0()).alias("created_at"),
         )
 
@@ -338,28 +347,21 @@ class PosTables:
             (F.col("product_id") % 7).alias("product_id"),
             F.lit(None).cast("int").alias("size_id"),
             (F.col("product_id") % 2).alias("addon_id"),
-            F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("change"),
+            F.when(F.col("id") % 11 == 0, 0).when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("change"),
         )
 
     # ---- held carts (B11) ----------------------------------------------------------
     def _build_held_carts(self) -> DataFrame:
         """Browser held-cart lists as stored text: per cashier and day, the
-        JSON list of that day's carts, newest first, each cart priced with
-        B01 and carrying its chosen addons. Some extra documents are not
-        JSON lists (an object, a cut-off text) and must yield no carts."""
-        from tillroll.functions.scalars import quantity_or_one
-        from tillroll.operators.writes import line_addons, price_lines
-        priced = price_lines(self.cart_lines, self.products, self.product_sizes, self.product_addons)
-        la = line_addons(self.cart_lines, self.product_addons)
-        addons = la.groupBy(F.col("line_id").alias("la_line")).agg(F.array_sort(F.collect_list(F.struct(
-            F.col("addon_id").alias("id"), F.col("addon_name").alias("name"), "extra_price"))).alias("addons"))
-        empty = F.array().cast(addons.schema["addons"].dataType)
-        lines = priced.join(addons, priced["line_id"] == addons["la_line"], "left")
-        item = F.struct(F.col("product_id").alias("productId"), F.col("product_name").alias("productName"),
-                        F.col("size_id").alias("sizeId"), F.col("size_label").alias("sizeLabel"),
-                        F.coalesce(F.col("addons"), empty).alias("addons"),
-                        F.col("unit_price").alias("unitPrice"),
-                        quantity_or_one(F.col("quantity")).alias("quantity"))
+        JSON list of that day's carts, newest first, each line with the unit
+        price it was held at. Some extra documents must be read strictly: an
+        object, a cut-off text, trailing text and single quotes hold no carts;
+        white space around a list, fractions and a missing price are valid."""
+        names = self.products.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
+        prices = self.lines.select(F.col("id").alias("l_id"), "unit_price")
+        lines = self.cart_lines.join(prices, F.col("line_id") == F.col("l_id")).join(names, F.col("product_id") == F.col("p_id"))
+        item = F.struct(F.col("product_id").alias("productId"), F.col("p_name").alias("productName"),
+                        F.col("size_id").alias("sizeId"), F.col("unit_price").alias("unitPrice"), "quantity")
         per_cart = lines.groupBy(F.col("cart_id").alias("pc_cart")).agg(
             F.array_sort(F.collect_list(F.struct("line_id", item.alias("item")))).alias("its"))
         c = self.carts.join(per_cart, F.col("cart_id") == F.col("pc_cart"))
@@ -373,14 +375,25 @@ class PosTables:
                                   asc=False).alias("hs"))
                 .select("holder_id", "h_cashier",
                         F.to_json(F.transform("hs", lambda x: x["held"])).alias("held_json")))
-        bad = (docs.filter(F.col("h_cashier") % 10 == 3).select(
-                   _cat(F.col("holder_id"), "-object").alias("holder_id"),
-                   F.lit('{"not": "a list"}').alias("held_json"))
-               .unionByName(docs.filter(F.col("h_cashier") % 10 == 7).select(
-                   _cat(F.col("holder_id"), "-cut").alias("holder_id"),
-                   F.lit('[{"id": "hold-').alias("held_json"))))
-        return docs.select("holder_id", "held_json").unionByName(bad)
-
+        odd = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(text).alias("text"))
+                        for k, (name, text) in enumerate(ODD_DOCUMENTS)])
+        extra = docs.select("holder_id", "h_cashier", F.explode(odd).alias("o")) \
+            .filter(F.col("h_cashier") % len(ODD_DOCUMENTS) == F.col("o.k")) \
+            .select(_cat(F.col("holder_id"), "-", F.col("o.name")).alias("holder_id"), F.col("o.text").alias("held_json"))
+        return docs.select("holder_id", "held_json").unionByName(extra)
+
+
+# Held-cart documents next to the regular ones: name and text.
+ODD_DOCUMENTS = (
+    ("object", '{"not": "a list"}'),
+    ("cut", '[{"id": "hold-'),
+    ("trailing", '[{"id":"t","items":[{"unitPrice":5,"quantity":1}]}] xyz'),
+    ("single", "[{'id':'s','items':[]}]"),
+    ("two", '[{"id":"a","items":[]}],[{"id":"b","items":[]}]'),
+    ("odd", '\n\t [{"id":"odd","items":[{"unitPrice":10.005,"quantity":2},{"unitPrice":4,"quantity":2.5},'
+            '{"unitPrice":null,"quantity":1}],"isDiscountActive":false}]\r\n'),
+    ("empty", " [] "),
+)
 
 TABLE_NAMES = ('users', 'categories', 'products', 'product_sizes', 'product_addons', 'orders_base', 'orders', 'lines', 'order_items', 'order_item_addons', 'payments', 'user_sessions', 'login_events', 'registrations', 'registration_requests', 'signups', 'status_events', 'staff_updates', 'availability_updates', 'image_updates', 'carts', 'cart_lines', 'cart_adds', 'held_carts')
 

@@ -19,11 +19,15 @@ Layout, per table (``LAYOUT``):
   These tables shuffle on their real keys, after map-side aggregation, and
   the operators split hot groups themselves (time buckets, seq ranges).
 
-The bucket / file count follows the input size (about 128 MB of source
-Parquet each, at least the default parallelism up to 32, at most Spark's
-bucket limit); each bucket is one file, sorted on its natural order.
-Stored tables live under ``<checkpoint dir>/tillroll-tables/<app>/``, so
-one application never reads another's half-written files.
+The bucket / file count of a table follows the bytes of the source files it
+is derived from (``SOURCES``; about 128 MB each, at least the default
+parallelism up to 32, at most Spark's bucket limit), so a small table of a
+large folder stays a few files. Tables that join on a bucket key have the
+same sources' count. Each bucket is one file, sorted on its natural order.
+Stored tables live under ``<checkpoint dir>/tillroll-tables/<app>/<files>/``:
+one application never reads another's half-written files, and a folder
+whose files change (names, sizes or times) gets new stored tables.
+``drop_tables`` deletes all of an application's stored tables.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources.parquet import table_path
 
 # table -> (layout, key column, sort columns)
 LAYOUT: dict[str, tuple[str, str, tuple[str, ...]]] = {
@@ -66,9 +71,18 @@ LAYOUT: dict[str, tuple[str, str, tuple[str, ...]]] = {
 }
 TRANSIENT = {"orders_base"}          # only an intermediate of ``orders``
 
+# table -> the source table whose size it follows
+SOURCES: dict[str, str] = {
+    "users": "customer", "categories": "part", "products": "part", "product_sizes": "part", "product_addons": "part",
+    "orders": "lineitem", "lines": "lineitem", "order_items": "lineitem", "order_item_addons": "lineitem",
+    "payments": "lineitem", "status_events": "lineitem", "carts": "lineitem", "cart_lines": "lineitem",
+    "cart_adds": "lineitem", "held_carts": "lineitem", "user_sessions": "events", "login_events": "events",
+    "staff_updates": "events", "availability_updates": "events", "image_updates": "events",
+    "registrations": "supplier", "registration_requests": "supplier", "signups": "supplier",
+}
+
 BYTES_PER_BUCKET = 128 << 20
 MAX_BUCKETS = 100_000
-_BUCKETS: dict[tuple[str, str], int] = {}
 _WRITTEN: set[tuple[str, str]] = set()
 _FRAMES: dict[tuple[str, str], DataFrame] = {}   # read once per application
 # First use writes the table; queries built from several threads must not
@@ -76,22 +90,48 @@ _FRAMES: dict[tuple[str, str], DataFrame] = {}   # read once per application
 _LOCK = threading.RLock()
 
 
+def _source_files(spark: SparkSession, sf_dir: str, source: str) -> tuple[int, str]:
+    """Bytes of a source table and a digest of its files' names, sizes and times (one listing, no data read)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, source))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0, "none"
+    summary = fs.getContentSummary(path)
+    times, it = [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        times.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return summary.getLength(), hashlib.sha1("\n".join(sorted(times)).encode()).hexdigest()
+
+
 def _store_key(spark: SparkSession, sf_dir: str) -> str:
     app = spark.sparkContext.applicationId
-    return hashlib.sha1(f"{app}|{sf_dir}".encode()).hexdigest()[:12]
+    state = [_source_files(spark, sf_dir, source)[1] for source in sorted(set(SOURCES.values()) | {"orders"})]
+    return hashlib.sha1("|".join([app, sf_dir, *state]).encode()).hexdigest()[:12]
 
 
-def bucket_count(spark: SparkSession, sf_dir: str) -> int:
-    """One bucket per ~128 MB of source Parquet, floored at the default
+def bucket_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """One bucket per ~128 MB of the table's source, floored at the default
     parallelism (capped to 32) so small inputs still scan in parallel."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUCKETS:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-                 .option("recursiveFileLookup", "true").load(sf_dir))
-        total = files.agg(F.sum("length")).first()[0] or 0
-        floor = max(1, min(spark.sparkContext.defaultParallelism, 32))
-        _BUCKETS[key] = int(min(MAX_BUCKETS, max(floor, math.ceil(total / BYTES_PER_BUCKET))))
-    return _BUCKETS[key]
+    total = _source_files(spark, sf_dir, SOURCES[name])[0]
+    floor = max(1, min(spark.sparkContext.defaultParallelism, 32))
+    return int(min(MAX_BUCKETS, max(floor, math.ceil(total / BYTES_PER_BUCKET))))
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the stored tables of this application and their catalog entries."""
+    with _LOCK:
+        for t in spark.catalog.listTables():
+            if t.name.startswith("tillroll_"):
+                spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _FRAMES.clear()
+        _WRITTEN.clear()
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tables/{spark.sparkContext.applicationId}"
 
 
 def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -106,9 +146,9 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
 
 
 def _stored(spark: SparkSession, sf_dir: str, key: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-tables/{key}/{name}"
+    path = f"{_root(spark)}/{key}/{name}"
     mode, col, sort = LAYOUT[name]
-    n = bucket_count(spark, sf_dir)
+    n = bucket_count(spark, sf_dir, name)
     if mode == "files":
         if (key, name) not in _WRITTEN:
             (build().repartition(n, F.col(col)).sortWithinPartitions(*sort)
