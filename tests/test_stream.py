@@ -1,37 +1,77 @@
 """The streamed kitchen board equals the batch board (R09 over the
-orders after B08), and does not depend on how requests are batched."""
+orders after B08), however the feed is cut, and survives a restart."""
+
+import datetime as dt
+import uuid
+from decimal import Decimal
+
+import pytest
 
 from tillroll.operators import reports, writes
-from tillroll.streaming.kitchen import kitchen_queue_stream
+from tillroll.session import ensure_checkpoint_dir
+from tillroll.streaming.kitchen import (BOARD_SCHEMA, FEED_SCHEMA, Board, feed_rows, kitchen_queue_stream, run_board_stream,
+                                        write_feed)
+
+T = dt.datetime(2024, 1, 30, 9)
+USERS = "id bigint, username string, name string, role string"
 
 
-def test_stream_board_equals_batch(spark, tables):
+def board_of(tables):
     after = writes.apply_order_status(tables.orders, tables.status_events, tables.users)["orders"]
-    batch = reports.kitchen_queue(after, tables.users, tables.order_items)
-    want = sorted(map(tuple, batch.collect()))
-    for batches in (1, 3):
-        got = kitchen_queue_stream(spark, tables.orders, tables.users, tables.order_items, tables.status_events,
-                                   batches=batches)
-        assert got.columns == batch.columns
-        assert sorted(map(tuple, got.collect())) == want
-
-
-def test_board_step_adds_arrivals_and_refuses_requests_for_unknown_orders(spark):
-    import datetime as dt
-    from decimal import Decimal
-    from tillroll.streaming.kitchen import board_step
-    cols = ("id bigint, status string, notes string, created_at timestamp_ntz, total decimal(10,2), "
-            "cashier_name string, cashier_username string, item_count bigint, cashier_id bigint")
-    t = dt.datetime(2024, 1, 30, 9)
-    board = spark.createDataFrame([(1, "pending", None, t, Decimal("1"), "A", "a", 1, 7)], cols)
-    arrivals = spark.createDataFrame([(2, "pending", None, t, Decimal("2"), "A", "a", 1, 7),
-                                      (3, "pending", None, t, Decimal("3"), "A", "a", 1, 7)], cols)
-    users = spark.createDataFrame([(7, "Cashier"), (9, "Kitchen")], "id int, role string")
-    later = t + dt.timedelta(minutes=5)
-    events = spark.createDataFrame([(2, 1, "complete", 9, later),        # arrived this batch: completed
-                                    (3, 2, "voided", 9, later),          # not the owner: refused
-                                    (4, 3, "complete", 9, later)],       # unknown order: nothing
-                                   "order_id bigint, seq bigint, event_type string, actor_id bigint, "
-                                   "event_time timestamp_ntz")
-    got = sorted(r.id for r in board_step(board, events, users, arrivals).collect())
-    assert got == [1, 3]
+    return reports.kitchen_queue(after, tables.users, tables.order_items)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 8])
+def test_stream_board_equals_batch(spark, tables, batches):
+    batch = board_of(tables)
+    got = kitchen_queue_stream(spark, tables.orders, tables.users, tables.order_items, tables.status_events, batches=batches)
+    assert got.columns == batch.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def checkout(order_id, cashier=7, status="pending", quantities=(1,)):
+    return (order_id * 1000, order_id, (status, None, T, Decimal("1.00"), cashier, list(quantities)), None)
+
+
+def request(order_id, n, kind, actor):
+    return (order_id * 1000 + n, order_id, None, (kind, actor, T + dt.timedelta(minutes=5)))
+
+
+def users(spark):
+    return spark.createDataFrame([(7, "a", "A", "Cashier"), (9, "k", "K", "Kitchen")], USERS)
+
+
+def drops(spark):
+    return [[checkout(1), checkout(2, quantities=(2, 3)), request(3, 1, "complete", 9)],      # 3 is not taken yet: refused
+            [request(1, 1, "complete", 7), checkout(3), checkout(4, status="held"), checkout(5), request(5, 1, "voided", 7)],
+            [request(1, 2, "complete", 9), request(2, 1, "voided", 9), checkout(6, cashier=8)],    # no cashier 8
+            [request(1, 3, "refunded", 7)]]
+
+
+def test_orders_arrive_and_finish_in_different_batches_across_a_restart(spark):
+    work = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
+    seen = []
+    for k, drop in enumerate(drops(spark)):          # each call restarts the query on the same folders
+        spark.createDataFrame(drop, FEED_SCHEMA).coalesce(1).write.parquet(f"{work}/feed/drop={k}")
+        board = run_board_stream(spark, f"{work}/feed", users(spark), work, compact_every=2)
+        seen.append(sorted((r.id, r.item_count) for r in board.collect()))
+    assert seen == [[(1, 1), (2, 5)], [(1, 1), (2, 5), (3, 1)], [(2, 5), (3, 1)], [(2, 5), (3, 1)]]
+
+
+def test_a_retried_epoch_gives_the_same_board(spark):
+    root = f"{ensure_checkpoint_dir(spark)}/board-{uuid.uuid4().hex}"
+    board = Board(spark, root, compact_every=3)
+    for epoch, drop in enumerate([*drops(spark), [checkout(20 + 1)], [checkout(22)], [checkout(22)]]):
+        batch = spark.createDataFrame(drop, FEED_SCHEMA)
+        board.step(batch, epoch, users(spark))
+        once = sorted(map(tuple, board.at(epoch).collect()))
+        board.step(batch, epoch, users(spark))
+        assert sorted(map(tuple, board.at(epoch).collect())) == once
+    assert [r[0] for r in once] == [2, 3, 21, 22]
+
+
+def test_an_empty_feed_leaves_an_empty_board(spark, tables):
+    work = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
+    write_feed(feed_rows(tables.orders.limit(0), tables.order_items.limit(0), tables.status_events.limit(0)), f"{work}/feed", 2)
+    assert run_board_stream(spark, f"{work}/feed", users(spark), work).count() == 0
+    assert Board(spark, work).at(-1).columns == [c.split()[0] for c in BOARD_SCHEMA.split(", ")]

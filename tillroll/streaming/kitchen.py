@@ -1,20 +1,24 @@
-"""The kitchen board kept live from a stream of status requests.
+"""The kitchen board kept live from a stream of checkouts and status requests.
 
-The application re-queries the pending list every 15 s. Here the board is
+The application re-queries the pending list every 15 s. Here one stream
+carries both what the till sends (checked-out orders with their lines) and
+what the kitchen and the cashiers send (status requests), and the board is
 state updated per micro-batch:
 
-* New orders (``arrivals``) join the board; an order leaves it at its first
-  *valid* status request: a complete by a Kitchen/Manager user, a void or
-  refund by the owning cashier. Nothing brings an order back to pending, so
-  status requests only shrink the board, and the result does not depend on
-  how requests are split into batches or ordered across them.
-* The state is the board itself (pending orders with their cashier id),
-  not the order history, so it is bounded by the kitchen queue, not by all
-  orders ever taken. Each batch joins its requests against the board only.
-* Each epoch writes its board to ``<work_dir>/board/epoch=<n>`` with
-  overwrite; a retried epoch rewrites the same folder, and epoch ``n`` reads
-  epoch ``n-1``, so a lost executor or a restarted query gives the same
-  board. ``work_dir`` lives under the session's checkpoint folder.
+* A checked-out order joins the board; it leaves it at its first *valid*
+  status request: a complete by a Kitchen/Manager user, a void or refund by
+  the owning cashier. Nothing brings an order back to pending. A request for an
+  order that the board does not hold (finished, or never pending) changes
+  nothing, as the server refuses it. So the result does not depend on how
+  the stream is cut into batches, as long as a checkout is read no later than
+  its requests.
+* The board is bounded by the kitchen queue, not by all orders ever taken.
+* Epoch ``n`` writes only what it changed: the orders that arrived and stay,
+  and the ids that left (``epoch=<n>/arrived`` and ``/removed``, written with
+  overwrite). Every ``compact_every`` epochs the whole board is written once
+  and older epochs are deleted. A retried epoch rewrites its own folders and
+  a restarted query goes on from the last one. ``work_dir`` lives
+  under the session's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -25,76 +29,153 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.reports import item_counts
 from tillroll.schema import KITCHEN_ROLES
 from tillroll.session import ensure_checkpoint_dir
 
 BOARD_COLS = ("id", "status", "notes", "created_at", "total", "cashier_name", "cashier_username", "item_count")
+BOARD_SCHEMA = ("id bigint, status string, notes string, created_at timestamp_ntz, total decimal(10,2), cashier_name string, "
+                "cashier_username string, item_count bigint, cashier_id bigint")
 
+# One feed row is a checkout (``checkout`` set) or a status request (``request`` set).
+FEED_SCHEMA = ("feed_seq bigint, order_id bigint, "
+               "checkout struct<status:string,notes:string,created_at:timestamp_ntz,total:decimal(10,2),cashier_id:bigint,"
+               "quantities:array<bigint>>, "
+               "request struct<event_type:string,actor_id:bigint,event_time:timestamp_ntz>")
 
-def initial_board(orders: DataFrame, users: DataFrame, order_items: DataFrame) -> DataFrame:
-    """Board state: R09's rows plus the cashier id the void/refund check needs."""
-    pending = orders.filter(F.col("status") == "pending").select(
-        "id", "status", "notes", "created_at", "total", "cashier_id")
-    u = users.select(F.col("id").alias("u_id"), F.col("name").alias("cashier_name"),
-                     F.col("username").alias("cashier_username"))
-    ic = item_counts(order_items)
-    return (pending.join(u, pending["cashier_id"] == u["u_id"])
-            .join(ic, pending["id"] == ic["order_id"], "left")
-            .select(*BOARD_COLS[:-1], F.coalesce(F.col("item_count"), F.lit(0)).cast("bigint").alias("item_count"),
-                    "cashier_id"))
-
-
-def board_step(board: DataFrame, events: DataFrame, users: DataFrame,
-               arrivals: DataFrame | None = None) -> DataFrame:
-    """One micro-batch: add the newly checked-out orders (``arrivals``, rows
-    shaped like the board), then remove the orders that have a valid status
-    request in ``events``. A request for an order the board does not hold
-    (finished, or not taken yet) changes nothing, as the server refuses
-    it. Arrivals enter before the batch's requests are checked, so an order
-    taken and completed within one batch never shows."""
-    if arrivals is not None:
-        board = board.unionByName(arrivals.select(*board.columns))
-    roles = users.select(F.col("id").alias("u_id"), F.col("role").alias("actor_role"))
+
+def arrivals(batch: DataFrame, users: DataFrame) -> DataFrame:
+    """The batch's pending checkouts as board rows: R09's columns and the cashier id that void and refund are checked against."""
+    o = batch.filter(F.col("checkout").isNotNull() & (F.col("checkout.status") == "pending")).select(
+        F.col("order_id").alias("id"), "checkout.status", "checkout.notes", "checkout.created_at", "checkout.total", "checkout.cashier_id",
+        F.aggregate("checkout.quantities", F.lit(0).cast("bigint"), lambda acc, q: acc + F.coalesce(q, F.lit(0))).alias("item_count"))
+    u = users.select(F.col("id").alias("u_id"), F.col("name").alias("cashier_name"), F.col("username").alias("cashier_username"))
+    return o.join(u, o["cashier_id"] == u["u_id"]).select(*BOARD_COLS, F.col("cashier_id").cast("bigint"))
+
+
+def finished(board: DataFrame, requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Ids of board orders that have a valid request (order_id, event_type, actor_id) in the batch.
+
+    Only completions are looked up in ``users``, and there only among the
+    Kitchen and Manager users."""
     live = board.select(F.col("id").alias("b_id"), F.col("cashier_id").alias("b_cashier"))
-    ev = events.join(live, events["order_id"] == live["b_id"])
-    ev = ev.join(roles, ev["actor_id"] == roles["u_id"], "left")
-    valid = (F.col("event_type").isin("voided", "refunded") & (F.col("actor_id") == F.col("b_cashier"))) | \
-            ((F.col("event_type") == "complete") & F.col("actor_role").isin(*KITCHEN_ROLES))
-    done = ev.filter(valid).select(F.col("b_id").alias("done_id"))
-    return board.join(done, board["id"] == done["done_id"], "left_anti")
-
-
-def run_board_stream(spark: SparkSession, events_path: str, events_schema, board: DataFrame,
-                     users: DataFrame, work_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """Process every file under ``events_path`` (available-now trigger) and
-    return the final board (R09's columns)."""
-    board_root = os.path.join(work_dir, "board")
-    board.write.mode("overwrite").parquet(os.path.join(board_root, "epoch=-1"))
-
-    def step(batch: DataFrame, epoch_id: int) -> None:
-        prev = spark.read.parquet(os.path.join(board_root, f"epoch={epoch_id - 1}"))
-        nxt = board_step(prev, batch, users)
-        nxt.write.mode("overwrite").parquet(os.path.join(board_root, f"epoch={epoch_id}"))
-
-    q = (spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_batch)
-         .parquet(events_path)
-         .writeStream.foreachBatch(step)
-         .option("checkpointLocation", os.path.join(work_dir, "stream-checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return spark.read.parquet(os.path.join(board_root, f"epoch={last}")).select(*BOARD_COLS)
+    ev = requests.join(live, requests["order_id"] == live["b_id"])
+    kitchen = users.filter(F.col("role").isin(*KITCHEN_ROLES)).select(F.col("id").alias("u_id"))
+    completed = ev.filter(F.col("event_type") == "complete").join(kitchen, F.col("actor_id") == kitchen["u_id"], "left_semi")
+    other = ev.filter(F.col("event_type").isin("voided", "refunded") & (F.col("actor_id") == F.col("b_cashier")))
+    return completed.select(F.col("b_id").alias("id")).unionByName(other.select(F.col("b_id").alias("id"))).distinct()
+
+
+class Board:
+    """The stored board of one stream under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 16):
+        self.spark, self.root, self.every = spark, root, compact_every
+
+    def _path(self, epoch: int, what: str) -> str:
+        return os.path.join(self.root, f"epoch={epoch}", what)
+
+    def at(self, epoch: int) -> DataFrame:
+        """The board after ``epoch`` (-1: before the first): the last whole board and the changes since."""
+        if epoch < 0:
+            return self.spark.createDataFrame([], BOARD_SCHEMA)
+        base = epoch // self.every * self.every
+        board = self.spark.read.schema(BOARD_SCHEMA).parquet(self._path(base, "board"))
+        later = range(base + 1, epoch + 1)
+        if not later:
+            return board
+        came = self.spark.read.schema(BOARD_SCHEMA).parquet(*[self._path(e, "arrived") for e in later])
+        left = self.spark.read.schema("id bigint").parquet(*[self._path(e, "removed") for e in later])
+        return board.unionByName(came).join(left, "id", "left_anti").select(*board.columns)
+
+    def step(self, batch: DataFrame, epoch: int, users: DataFrame) -> None:
+        """Apply one micro-batch. Checkouts enter before the batch's requests
+        are checked, so an order taken and finished within it never shows."""
+        before = self.at(epoch - 1)
+        # A checkout that is on the board already was read twice.
+        came = arrivals(batch, users).dropDuplicates(["id"]).join(before.select("id"), "id", "left_anti").select(*before.columns)
+        requests = batch.filter(F.col("request").isNotNull()).select("order_id", "request.event_type", "request.actor_id")
+        gone = finished(before.unionByName(came), requests, users)
+        gone.write.mode("overwrite").parquet(self._path(epoch, "removed"))
+        gone = self.spark.read.schema("id bigint").parquet(self._path(epoch, "removed"))
+        came = came.join(gone, "id", "left_anti").select(*before.columns)
+        if epoch % self.every:
+            came.write.mode("overwrite").parquet(self._path(epoch, "arrived"))
+        else:
+            board = before.join(gone, "id", "left_anti").select(*before.columns).unionByName(came)
+            board.write.mode("overwrite").parquet(self._path(epoch, "board"))
+            self._forget(epoch - self.every)
+
+    def _forget(self, upto: int) -> None:
+        """Delete epochs before ``upto``; the board at ``upto`` and later stays, for a retry of the current epoch."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for e in range(max(0, upto - self.every), max(0, upto)):
+            fs.delete(fs_path(os.path.join(self.root, f"epoch={e}")), True)
+
+
+def run_board_stream(spark: SparkSession, feed_path: str, users: DataFrame, work_dir: str,
+                     files_per_batch: int = 1, compact_every: int = 16) -> DataFrame:
+    """Read every new file under ``feed_path`` (available-now trigger, at most
+    ``files_per_batch`` files a micro-batch) and return the board (R09's
+    columns). Called again on the same ``work_dir`` it goes on where it stopped."""
+    board = Board(spark, os.path.join(work_dir, "board"), compact_every)
+    query = (spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+             .option("recursiveFileLookup", "true").parquet(feed_path)
+             .writeStream.foreachBatch(lambda batch, epoch: board.step(batch, epoch, users))
+             .option("checkpointLocation", os.path.join(work_dir, "stream-checkpoint"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return board.at(_last_epoch(spark, work_dir)).select(*BOARD_COLS)
+
+
+def _last_epoch(spark: SparkSession, work_dir: str) -> int:
+    """The last micro-batch that the stream has committed, or -1."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(work_dir, "stream-checkpoint", "commits"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return -1
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
+def feed_rows(orders: DataFrame, order_items: DataFrame, status_events: DataFrame) -> DataFrame:
+    """The stand-in feed in ``FEED_SCHEMA``: one row per checkout with its lines'
+    quantities, one per status request, numbered so that a checkout comes
+    before its requests."""
+    lines = order_items.groupBy(F.col("order_id").alias("l_order")).agg(
+        F.collect_list(F.col("quantity").cast("bigint")).alias("quantities"))
+    o = orders.join(lines, orders["id"] == lines["l_order"], "left")
+    no_lines = F.array().cast("array<bigint>")
+    checkouts = o.select(
+        (F.col("id") * 1000).alias("feed_seq"), F.col("id").alias("order_id"),
+        F.struct("status", "notes", "created_at", "total", F.col("cashier_id").cast("bigint").alias("cashier_id"),
+                 F.coalesce("quantities", no_lines).alias("quantities")).alias("checkout"))
+    requests = status_events.select(F.col("seq").alias("feed_seq"), "order_id", F.struct(
+        "event_type", F.col("actor_id").cast("bigint").alias("actor_id"), "event_time").alias("request"))
+    return checkouts.unionByName(requests, allowMissingColumns=True)
+
+
+def write_feed(feed: DataFrame, path: str, drops: int) -> None:
+    """Write the feed as ``drops`` deliveries, one after the other, by ranges of
+    ``feed_seq``. Within a delivery the rows of an order share a file, so a
+    checkout is never read after its requests; AQE sizes the files by bytes."""
+    cuts = feed.select(F.percentile_approx("feed_seq", [i / drops for i in range(1, drops)] or [0.5])).first()[0] or []
+    bounds = [None, *(cuts if drops > 1 else []), None]
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        part = feed
+        if low is not None:
+            part = part.filter(F.col("feed_seq") > low)
+        if high is not None:
+            part = part.filter(F.col("feed_seq") <= high)
+        part.repartition("order_id").write.mode("overwrite").parquet(os.path.join(path, f"drop={k}"))
 
 
 def kitchen_queue_stream(spark: SparkSession, orders: DataFrame, users: DataFrame, order_items: DataFrame,
                          status_events: DataFrame, batches: int = 4) -> DataFrame:
-    """S01 end to end: the status requests are written as ``batches`` files
-    (ranges of ``seq``) under the checkpoint folder, streamed one file per
-    micro-batch, and the final board is returned. It equals R09 over the
-    orders after B08."""
+    """S01 end to end from an empty board: checkouts and status requests arrive
+    in ``batches`` deliveries under the checkpoint folder and are streamed;
+    the final board is returned. It equals R09 over the orders after B08."""
     work_dir = os.path.join(ensure_checkpoint_dir(spark), f"kitchen-stream-{uuid.uuid4().hex}")
-    events_path = os.path.join(work_dir, "events")
-    status_events.repartitionByRange(batches, "seq").write.parquet(events_path)
-    board = initial_board(orders, users, order_items)
-    return run_board_stream(spark, events_path, status_events.schema, board, users, work_dir)
+    feed_path = os.path.join(work_dir, "feed")
+    write_feed(feed_rows(orders, order_items, status_events), feed_path, batches)
+    return run_board_stream(spark, feed_path, users, work_dir)
