@@ -8,8 +8,8 @@ logout times. Events are derived from that state:
   (listed / completed / voided / refunded) with ``explode`` over an array of
   conditional structs; no union of four filtered scans;
 * one scan of ``user_sessions`` gives clock-in and clock-out events;
-* the actor must exist (semi-joins on the user id), then the actor's name
-  comes from one join to ``users`` over the union.
+* the actor must exist: one inner join to ``users`` over the union tests and
+  names; completions are tested and named for their cashier the same way.
 
 The log is state-based: an order voided and later refunded shows only the
 refund, since only the current status is known.
@@ -55,7 +55,10 @@ def _events(df: DataFrame, keep: list[str], specs: list[tuple[str, Column, Colum
             .select(*keep, "ev.action_type", "ev.event_time"))
 
 
-def order_events(orders: DataFrame, kinds=ORDER_KINDS) -> DataFrame:
+UNIT_KINDS = ("listed", "completed")          # kinds whose text names the order's units
+
+
+def order_events(orders: DataFrame, kinds=ORDER_KINDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Order-derived events as narrow rows (no text yet)."""
     st = F.col("status")
     specs = {
@@ -64,12 +67,13 @@ def order_events(orders: DataFrame, kinds=ORDER_KINDS) -> DataFrame:
         "voided": (st == "voided", F.col("voided_at")),
         "refunded": (st == "refunded", F.col("refunded_at")),
     }
-    ev = _events(orders, ["id", "cashier_id", "completed_by", "total"], [(k, *specs[k]) for k in kinds])
+    ev = _events(orders, ["id", "cashier_id", "completed_by", "total", *extra], [(k, *specs[k]) for k in kinds])
     actor = F.when(F.col("action_type") == "completed", F.coalesce("completed_by", "cashier_id")) \
              .otherwise(F.col("cashier_id"))
-    return ev.select(F.col("id").alias("source_id"), actor.cast("bigint").alias("actor_id"), "cashier_id",
+    return ev.select(F.col("id").alias("source_id"), actor.cast("bigint").alias("actor_id"),
+                     F.when(F.col("action_type") == "completed", F.col("cashier_id")).cast("bigint").alias("cashier_id"),
                      "total", F.lit(None).cast("timestamp_ntz").alias("logged_in_at"),
-                     F.lit(None).cast("timestamp_ntz").alias("logged_out_at"), "action_type", "event_time")
+                     F.lit(None).cast("timestamp_ntz").alias("logged_out_at"), "action_type", "event_time", *extra)
 
 
 def session_events(user_sessions: DataFrame, kinds=SESSION_KINDS) -> DataFrame:
@@ -90,59 +94,26 @@ def _label(kind: Column) -> Column:
     return out
 
 
-def _event_keys(orders: DataFrame, user_sessions: DataFrame, kinds) -> DataFrame:
-    parts = []
-    ok = [k for k in kinds if k in ORDER_KINDS]
-    sk = [k for k in kinds if k in SESSION_KINDS]
-    if ok:
-        parts.append(order_events(orders, ok))
-    if sk:
-        parts.append(session_events(user_sessions, sk))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _with_known_users(ev: DataFrame, users: DataFrame) -> DataFrame:
-    """Keep the events whose actor is a user and, for completions, whose
-    cashier is one too (the inner joins of the original). Joins on the id
-    column only; no OR in a join condition."""
-    ids = users.select(F.col("id").cast("bigint").alias("uid"))
-    ev = ev.join(ids, ev["actor_id"] == ids["uid"], "left_semi")
-    # The cashier check applies to completions only: one conditional left
-    # join and a filter, so the events are produced by a single scan.
-    cashiers = users.select(F.col("id").cast("bigint").alias("cashier_uid"))
-    done = F.col("action_type") == "completed"
-    checked = ev.join(cashiers, (ev["cashier_id"] == cashiers["cashier_uid"]) & done, "left")
-    return checked.filter(~done | F.col("cashier_uid").isNotNull()).drop("cashier_uid")
-
-
-def _describe(ev: DataFrame, order_items: DataFrame, users: DataFrame, small: bool) -> DataFrame:
-    """Add the actor's username and name, the label and the details text.
-
-    With ``small`` (the audit log's bounded top rows) every lookup is first
-    cut down to the keys of those rows: ``order_items`` by a broadcast
-    semi-join on their order ids before the unit sum, ``users`` by their user
-    ids. The cut lookups are bounded by the row count too, so they are the
-    broadcast side of the final left joins.
-    """
-    kinds_with_units = F.col("action_type").isin("listed", "completed")
-    is_done = F.col("action_type") == "completed"
-    items = order_items
-    names = users.select(F.col("id").cast("bigint").alias("uid"), "username", "name")
-    cashier = users.select(F.col("id").cast("bigint").alias("cashier_uid"),
-                           F.col("username").alias("cashier_username"))
-    if small:
-        want_o = ev.filter(kinds_with_units).select(F.col("source_id").alias("w_id")).distinct()
-        want_u = ev.select(F.col("actor_id").alias("w_uid")).distinct()
-        want_c = ev.filter(is_done).select(F.col("cashier_id").alias("w_cid")).distinct()
-        items = items.join(F.broadcast(want_o), items["order_id"] == want_o["w_id"], "left_semi")
-        names = names.join(F.broadcast(want_u), names["uid"] == want_u["w_uid"], "left_semi")
-        cashier = cashier.join(F.broadcast(want_c), cashier["cashier_uid"] == want_c["w_cid"], "left_semi")
-    ic = items.groupBy(F.col("order_id").alias("ic_order_id")).agg(F.sum("quantity").alias("item_count"))
-    if small:
-        ic, names, cashier = F.broadcast(ic), F.broadcast(names), F.broadcast(cashier)
-    d = (ev.join(ic, (ev["source_id"] == ic["ic_order_id"]) & kinds_with_units, "left")
-         .join(cashier, (ev["cashier_id"] == cashier["cashier_uid"]) & is_done, "left")
-         .join(names, ev["actor_id"] == names["uid"], "left"))
+def _units(order_items: DataFrame) -> DataFrame:
+    return order_items.groupBy(F.col("order_id").alias("ic_order_id")).agg(F.sum("quantity").alias("item_count"))
+
+
+def _cashier_names(users: DataFrame) -> DataFrame:
+    return users.select(F.col("id").cast("bigint").alias("cashier_uid"), F.col("username").alias("cashier_username"))
+
+
+def _actor_names(users: DataFrame) -> DataFrame:
+    return users.select(F.col("id").cast("bigint").alias("uid"), "username", "name")
+
+
+def _named(ev: DataFrame, users: DataFrame) -> DataFrame:
+    """The events of known users with the actor's names; one inner join tests and names."""
+    names = _actor_names(users)
+    return ev.join(names, ev["actor_id"] == names["uid"])
+
+
+def _texts(d: DataFrame) -> DataFrame:
+    """Label and details text of events that carry names and units."""
     order_no = F.concat(F.lit("Order #"), F.col("source_id").cast("string"), F.lit(" - "))
     units = F.coalesce(F.col("item_count"), F.lit(0)).cast("string")
     money = F.concat(F.lit(PESO), grouped_2dp("total"))
@@ -166,37 +137,103 @@ def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
                  user_sessions: DataFrame, kinds=ALL_KINDS, keep_source: bool = False) -> DataFrame:
     """All audit events of the given kinds (R03a-f for one kind each), with
     the actor's username and name. Events whose actor (or, for a
-    completion, whose cashier) is not a user drop out, as in the original."""
-    ev = _with_known_users(_event_keys(orders, user_sessions, kinds), users)
-    out = _describe(ev, order_items, users, small=False)
+    completion, whose cashier) is not a user drop out.
+
+    Units are counted and joined first, while orders and lines still lie on
+    the order id. Completions, and only they, then meet the cashiers, and all
+    events the actors, each in one inner join. Session events take part in
+    the actor join alone.
+    """
+    parts = []
+    rest = [k for k in kinds if k in ORDER_KINDS and k != "completed"]
+    counted = orders
+    if any(k in UNIT_KINDS for k in kinds):
+        ic = _units(order_items)
+        counted = orders.join(ic, orders["id"] == ic["ic_order_id"], "left")
+    if rest:
+        with_units = "listed" in rest
+        parts.append(order_events(counted if with_units else orders, rest, ("item_count",) if with_units else ()))
+    if "completed" in kinds:
+        done = order_events(counted, ("completed",), ("item_count",))
+        cashier = _cashier_names(users)
+        parts.append(done.join(cashier, done["cashier_id"] == cashier["cashier_uid"]).drop("cashier_uid"))
+    if any(k in SESSION_KINDS for k in kinds):
+        parts.append(session_events(user_sessions, [k for k in kinds if k in SESSION_KINDS]))
+    ev = parts[0]
+    for p in parts[1:]:
+        ev = ev.unionByName(p, allowMissingColumns=True)
+    for c, t in (("item_count", "bigint"), ("cashier_username", "string")):
+        if c not in ev.columns:
+            ev = ev.withColumn(c, F.lit(None).cast(t))
+    out = _texts(_named(ev, users))
     return out if keep_source else out.drop("source_id")
 
 
+def newest_known(orders: DataFrame, users: DataFrame, user_sessions: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` events of known users, as narrow rows.
+
+    The newest k events are taken first (each partition keeps its own k;
+    nothing is fully sorted or shuffled), and only their users are looked up.
+    If fewer than ``limit`` survive, k is doubled until enough do or the
+    events run out, so the answer is exact.
+    """
+    ev = order_events(orders).unionByName(session_events(user_sessions))
+    newest = [F.col("event_time").desc(), F.col("action_type"), F.col("source_id")]
+    ids = users.select(F.col("id").cast("bigint").alias("uid"))
+    spark, k = orders.sparkSession, limit
+    while True:
+        top = _written(ev.orderBy(*newest).limit(k), spark)
+        taken = top.count()
+        known = top.join(ids, F.col("actor_id") == F.col("uid")).drop("uid")
+        cashiers = ids.withColumnRenamed("uid", "cashier_uid")
+        done = known.filter(F.col("action_type") == "completed").join(cashiers, F.col("cashier_id") == F.col("cashier_uid"), "left_semi")
+        known = _written(known.filter(F.col("action_type") != "completed").unionByName(done).orderBy(*newest).limit(limit), spark)
+        if taken < k or known.count() >= limit:
+            return known
+        k *= 2
+
+
+#: Up to this many rows the audit log's lookups are sent to every executor; beyond, the planner shuffles them.
+SMALL_ROWS = 10_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= 2 * SMALL_ROWS else df
+
+
+def _wanted(top: DataFrame) -> DataFrame:
+    return top.select(F.explode(F.array("actor_id", "cashier_id")).alias("w_uid")).filter(F.col("w_uid").isNotNull()).distinct()
+
+
+def _written(df: DataFrame, spark) -> DataFrame:
+    """Write a few rows once to the shared checkpoint folder, for the lookups that follow."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-audit/{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def audit_log(orders: DataFrame, order_items: DataFrame, users: DataFrame,
               user_sessions: DataFrame, limit: int = AUDIT_LIMIT) -> DataFrame:
     """The newest ``limit`` events of all six kinds.
 
-    Two phases. First the narrow event keys (one scan of orders, one of
-    sessions) are checked against the user ids and the newest ``limit`` are
-    taken: ``orderBy().limit()`` plans as TakeOrderedAndProject, where every
-    partition keeps its own top rows and nothing is fully sorted. Only then
-    are texts built: the unit counts of just those orders and the names of
-    just those users, joined with the bounded top rows broadcast. The largest
-    table, ``order_items``, is never aggregated in full for a 100-row report.
+    The newest events of known users are found from narrow rows
+    (``newest_known``). Only then are texts built: the units of just those
+    orders and the names of just those users. The largest table,
+    ``order_items``, is never aggregated in full for a 100-row report.
 
     Ties on the whole-second event time are broken by action type and then
     the order or session id, so the rows that survive the limit are fixed.
     """
-    ev = _with_known_users(_event_keys(orders, user_sessions, ALL_KINDS), users)
-    top = ev.orderBy(F.col("event_time").desc(), F.col("action_type"), F.col("source_id")).limit(limit)
-    # The top rows feed four lookups: write them once (one job) to the
-    # shared checkpoint folder instead of re-running the event scan per lookup.
-    spark = top.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-audit/{uuid.uuid4().hex}"
-    top.coalesce(1).write.parquet(path)
-    top = spark.read.schema(top.schema).parquet(path)
-    out = _describe(top, order_items, users, small=True)
+    top = newest_known(orders, users, user_sessions, limit)
+    want_o = top.filter(F.col("action_type").isin(*UNIT_KINDS)).select(F.col("source_id").alias("w_id")).distinct()
+    items = order_items.join(_small(want_o, limit), order_items["order_id"] == want_o["w_id"], "left_semi")
+    ic, cashier, names = _units(items), _cashier_names(users), _actor_names(users)
+    wanted = _small(_wanted(top), 2 * limit)
+    cashier = cashier.join(wanted, cashier["cashier_uid"] == F.col("w_uid"), "left_semi")
+    names = names.join(wanted, names["uid"] == F.col("w_uid"), "left_semi")
+    d = (top.join(_small(ic, limit), (top["source_id"] == ic["ic_order_id"]) & F.col("action_type").isin(*UNIT_KINDS), "left")
+         .join(_small(cashier, limit), F.col("cashier_id") == cashier["cashier_uid"], "left")
+         .join(_small(names, 2 * limit), F.col("actor_id") == names["uid"]))
     # At most ``limit`` rows: sort them in one partition, no range shuffle.
-    return (out.coalesce(1).sortWithinPartitions(F.col("event_time").desc(), F.col("action_type"),
-                                                 F.col("source_id"))
+    return (_texts(d).coalesce(1).sortWithinPartitions(F.col("event_time").desc(), F.col("action_type"), F.col("source_id"))
             .drop("source_id"))

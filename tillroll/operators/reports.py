@@ -151,8 +151,9 @@ def kitchen_queue(orders: DataFrame, users: DataFrame, order_items: DataFrame) -
     u = users.select(F.col("id").alias("u_id"), F.col("name").alias("cashier_name"),
                      F.col("username").alias("cashier_username"))
     ic = item_counts(order_items)
-    return (pending.join(u, pending["cashier_id"] == u["u_id"])
-            .join(ic, pending["id"] == ic["order_id"], "left")
+    # Orders and lines share the order-id buckets: count before the cashier join moves the rows.
+    counted = pending.join(ic, pending["id"] == ic["order_id"], "left")
+    return (counted.join(u, counted["cashier_id"] == u["u_id"])
             .select("id", "status", "notes", "created_at", "total", "cashier_name", "cashier_username",
                     F.coalesce(F.col("item_count"), F.lit(0)).cast("bigint").alias("item_count"))
             .orderBy("created_at", "id"))
@@ -168,29 +169,24 @@ def order_lines_nested(order_items: DataFrame, order_item_addons: DataFrame) ->
     """Per order, its items by id, each with its addons by id.
 
     Grouped collects replace the per-order and per-item query loops. The
-    lines are grouped where they lie (bucketed on the order id, so no
-    shuffle); the addons learn their order id through a narrow (item id,
-    order id) projection and are gathered per order; each item then takes
-    its addons from its own order's row. No full line row is shuffled, and
-    every array is bounded by one order. Items without addons carry an
-    empty array.
+    addons learn their order id through a narrow (item id, order id)
+    projection. Item and addon rows then meet in one shuffle on the order
+    id: they are grouped per (order, item), which gives each item its addons
+    without looking through the order's other addons, and then per order.
+    Every array is bounded by one order. Items without addons carry an empty
+    array.
     """
-    addon_struct = F.struct(*[F.col(c) for c in ADDON_FIELDS])
+    item = F.struct(*[F.col(c) for c in ITEM_FIELDS])
+    addon = F.struct(*[F.col(c) for c in ADDON_FIELDS])
     item_order = order_items.select(F.col("id").alias("io_item"), F.col("order_id").alias("io_order"))
-    tagged = order_item_addons.join(item_order, order_item_addons["order_item_id"] == item_order["io_item"])
-    by_order = tagged.groupBy(F.col("io_order").alias("a_order_id")).agg(
-        F.collect_list(addon_struct).alias("order_addons"))
-    items = order_items.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ITEM_FIELDS]))).alias("its"))
-    j = items.join(by_order, items["order_id"] == by_order["a_order_id"], "left")
-    empty = F.array().cast(by_order.schema["order_addons"].dataType)
-    pool = F.coalesce(F.col("order_addons"), empty)
-
-    def with_addons(it):
-        mine = F.array_sort(F.filter(pool, lambda a: a["order_item_id"] == it["id"]))
-        return F.struct(*[it[c].alias(c) for c in ITEM_FIELDS], mine.alias("addons"))
-
-    return j.select("order_id", F.transform("its", with_addons).alias("items"))
+    items = order_items.select("order_id", F.col("id").alias("item_id"), item.alias("it"))
+    addons = order_item_addons.join(item_order, order_item_addons["order_item_id"] == item_order["io_item"]).select(
+        F.col("io_order").alias("order_id"), F.col("order_item_id").alias("item_id"), addon.alias("ad"))
+    rows = items.unionByName(addons, allowMissingColumns=True).repartition("order_id")
+    per_item = rows.groupBy("order_id", "item_id").agg(
+        F.first("it", ignorenulls=True).alias("it"), F.array_sort(F.collect_list("ad")).alias("addons"))
+    nested = F.struct(*[F.col(f"it.{c}").alias(c) for c in ITEM_FIELDS], F.col("addons"))
+    return per_item.groupBy("order_id").agg(F.array_sort(F.collect_list(nested)).alias("items"))
 
 
 def item_display_names(order_items: DataFrame, order_item_addons: DataFrame) -> DataFrame:
@@ -219,12 +215,12 @@ def kitchen_tickets(orders: DataFrame, users: DataFrame, order_items: DataFrame,
     the queue by semi-joins first (lines share the order-id buckets with
     orders, so that cut needs no shuffle), instead of nesting every order
     ever taken and keeping the pending few."""
-    queue = kitchen_queue(orders, users, order_items)
     queued = orders.filter(F.col("status") == "pending").select(F.col("id").alias("q_id"))
     items = order_items.join(queued, order_items["order_id"] == queued["q_id"], "left_semi")
     item_ids = items.select(F.col("id").alias("q_item_id"))
     addons = order_item_addons.join(item_ids, order_item_addons["order_item_id"] == item_ids["q_item_id"],
                                     "left_semi")
+    queue = kitchen_queue(orders, users, items)
     nested = order_lines_nested(items, addons)
     empty = F.array().cast(nested.schema["items"].dataType)
     return (queue.join(nested, queue["id"] == nested["order_id"], "left")
@@ -266,16 +262,29 @@ def cashier_transactions(orders: DataFrame, order_items: DataFrame,
 
 
 # ---- R13 - R15: cashier summary ------------------------------------------------
-def cashier_order_count(orders: DataFrame) -> DataFrame:
-    """Orders per cashier (any status)."""
-    return orders.groupBy("cashier_id").agg(F.count(F.lit(1)).alias("total_transactions"))
+def _with_missing(found: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``found`` plus the rows of ``keys`` that it lacks, whose other columns are NULL."""
+    same = [found[c].eqNullSafe(keys[f"k_{c}"]) for c in names]
+    cond = same[0] if len(same) == 1 else same[0] & same[1]
+    return found.join(keys, cond, "full_outer").select(
+        *[F.coalesce(found[c], keys[f"k_{c}"]).alias(c) for c in names], *[found[c] for c in found.columns if c not in names])
+
+
+def cashier_order_count(orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Orders per cashier (any status), 0 for a user without orders."""
+    counts = orders.groupBy("cashier_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = users.select(F.col("id").cast("bigint").alias("k_cashier_id"))
+    return _with_missing(counts, keys, ("cashier_id",)).select(
+        "cashier_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_transactions"))
 
 
-def session_revenue(orders: DataFrame) -> DataFrame:
-    """Completed revenue per (cashier, session); 0 when none completed."""
+def session_revenue(orders: DataFrame, user_sessions: DataFrame) -> DataFrame:
+    """Completed revenue per (cashier, session); 0 when none completed, also for a session without orders."""
     done = F.col("status") == "completed"
-    return orders.groupBy("cashier_id", "session_id").agg(
-        _sum_if(done, F.col("total")).alias("session_revenue"))
+    sums = orders.groupBy("cashier_id", "session_id").agg(_sum_if(done, F.col("total")).alias("r"))
+    keys = user_sessions.select(F.col("user_id").cast("bigint").alias("k_cashier_id"), F.col("id").alias("k_session_id"))
+    return _with_missing(sums, keys, ("cashier_id", "session_id")).select(
+        "cashier_id", "session_id", F.coalesce("r", F.lit(0)).cast(MONEY_OUT).alias("session_revenue"))
 
 
 def cashier_time_summary(user_sessions: DataFrame, as_of: dt.datetime,
