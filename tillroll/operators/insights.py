@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalars import (capitalize_first, peso_cents, peso_whole, seconds_between,
@@ -21,17 +21,16 @@ from tillroll.schema import CATEGORY_EMOJIS, CATEGORY_NAMES, MONEY_OUT, PESO
 def category_counts(products: DataFrame, categories: DataFrame, available_only: bool = False) -> DataFrame:
     """Products per category plus an 'all' row; categories without
     products show 0. The cashier screen counts available products, the
-    manager screen all of them. ``rollup`` gives the per-category and the
-    total counts in one aggregation. ``showing_text`` is the line the menu
-    prints for that tab (U02): 'Showing 1 item', 'Showing 12 items'."""
+    manager screen all of them. The 'all' row counts every product, also one
+    without a category, and is 0 for an empty table. ``showing_text`` is the
+    line the menu prints for that tab (U02): 'Showing 1 item', 'Showing 12 items'."""
     p = products.filter(F.col("is_available") == 1) if available_only else products
-    counts = p.rollup("category_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = p.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
     per_cat = categories.select(F.col("id").alias("cat_id")).join(
-        counts.filter(F.col("category_id").isNotNull()), F.col("cat_id") == F.col("category_id"), "left")
+        counts, F.col("cat_id") == F.col("category_id"), "left")
     rows = per_cat.select(F.col("cat_id").cast("string").alias("category"),
                           F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("product_count"))
-    total = counts.filter(F.col("category_id").isNull()).select(
-        F.lit("all").alias("category"), F.col("n").cast("bigint").alias("product_count"))
+    total = p.agg(F.count(F.lit(1)).alias("product_count")).select(F.lit("all").alias("category"), "product_count")
     n = F.col("product_count")
     showing = F.concat(F.lit("Showing "), n.cast("string"), F.when(n == 1, F.lit(" item")).otherwise(F.lit(" items")))
     return rows.unionByName(total).select("category", "product_count", showing.alias("showing_text"))
@@ -53,25 +52,28 @@ def category_header(category_id: Column) -> Column:
                                F.concat(F.lit("Category "), category_id.cast("string"))))
 
 
-def products_grouped(menu: DataFrame, chunk_ids: int = 1024) -> DataFrame:
-    """Products nested under their category, by id, with the header the
-    upload page prints.
+def products_grouped(menu: DataFrame, range_ids: int = 65_536) -> DataFrame:
+    """The products of each category by id, with the header the upload
+    page prints: one row per product with its place ``pos`` (from 0) in the
+    whole category.
 
-    A category can hold most of the catalogue, so its list is split by
-    product-id range into rows of at most ``chunk_ids`` products (ids are
-    unique, so a range bounds the array); rows of one category follow each
-    other by ``chunk``."""
-    item = F.struct("id", "name", "description", "base_price", "image_url", "has_options")
-    return (menu.groupBy("category_id", F.floor(F.col("id") / chunk_ids).alias("chunk"))
-            .agg(F.array_sort(F.collect_list(item)).alias("items"))
-            .select("category_id", category_header(F.col("category_id")).alias("header"), "chunk", "items"))
-
-
-def flatten_grouped(grouped: DataFrame) -> DataFrame:
-    """Flat form of U03 (one row per product with its position in the chunk)."""
-    return grouped.select("category_id", "header", "chunk",
-                          F.posexplode("items").alias("pos", "p")).select(
-        "category_id", "header", "chunk", "pos", "p.*")
+    A category can hold most of the catalogue, so no window holds a whole
+    category: products are numbered within id ranges of ``range_ids``, and a
+    running sum over the ranges' counts gives each range its offset. The
+    result does not depend on ``range_ids``.
+    """
+    cut = menu.withColumn("id_range", F.floor(F.col("id") / range_ids))
+    counts = cut.groupBy("category_id", "id_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("category_id").orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("category_id").alias("o_category"), F.col("id_range").alias("o_range"),
+                            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("category_id", "id_range").orderBy("id"))
+    numbered = cut.withColumn("place", place)
+    j = numbered.join(offsets, numbered["category_id"].eqNullSafe(F.col("o_category"))
+                      & (numbered["id_range"] == F.col("o_range")))
+    return j.select("category_id", category_header(F.col("category_id")).alias("header"),
+                    (F.col("offset") + F.col("place") - 1).cast("bigint").alias("pos"),
+                    "id", "name", "description", "base_price", "image_url", "has_options")
 
 
 # ---- U04: kitchen status cards -----------------------------------------------------
@@ -154,8 +156,9 @@ DAY_METRICS = ("transactions_made", "daily_revenue", "orders_refunded", "refunde
 
 
 def daily_history(orders: DataFrame, user_sessions: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """R04's and R05's figures for *every* day, each with the value of
-    the calendar day before (0 when that day had nothing).
+    """R04's and R05's figures for *every* calendar day from the first with
+    activity to ``as_of``'s day (or the last with activity, if later), each
+    with the value of the day before. A day without activity shows 0.
 
     An order counts once, on the day of the timestamp of its current status
     (completed_at / refunded_at / voided_at); a session counts on its login
@@ -182,16 +185,17 @@ def daily_history(orders: DataFrame, user_sessions: DataFrame, as_of: dt.datetim
     sd = user_sessions.groupBy(F.to_date("logged_in_at").alias("s_day")).agg(
         F.sum(dur).cast("bigint").alias("seconds_clocked"),
         F.count_distinct("user_id").alias("staff_count"))
-    days = od.join(sd, od["day"] == sd["s_day"], "full_outer").select(
-        F.coalesce(F.col("day"), F.col("s_day")).alias("day"),
-        *[F.coalesce(F.col(m), F.lit(0)).cast(MONEY_OUT if m.endswith(("revenue", "total")) else "bigint").alias(m)
-          for m in DAY_METRICS])
+    report_day = F.lit(as_of.strftime("%Y-%m-%d")).cast("date")
+    active = od.select("day").unionByName(sd.select(F.col("s_day").alias("day")))
+    spine = active.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence(
+        F.least("a", report_day), F.greatest("b", report_day))).alias("c_day"))
+    kept = {m: MONEY_OUT if m.endswith(("revenue", "total")) else "bigint" for m in DAY_METRICS}
+    days = (spine.join(od, spine["c_day"] == od["day"], "left").join(sd, spine["c_day"] == sd["s_day"], "left")
+            .select(F.col("c_day").alias("day"), *[F.coalesce(F.col(m), F.lit(0)).cast(t).alias(m) for m, t in kept.items()]))
     prev = days.select(F.date_add(F.col("day"), 1).alias("p_day"), *[F.col(m).alias(f"{m}_yesterday") for m in DAY_METRICS])
     j = days.join(prev, days["day"] == prev["p_day"], "left")
-    return j.select("day", *DAY_METRICS, *[
-        F.coalesce(F.col(f"{m}_yesterday"), F.lit(0)).cast(MONEY_OUT if m.endswith(("revenue", "total"))
-                                                           else "bigint").alias(f"{m}_yesterday")
-        for m in DAY_METRICS])
+    return j.select("day", *DAY_METRICS, *[F.coalesce(F.col(f"{m}_yesterday"), F.lit(0)).cast(t).alias(f"{m}_yesterday")
+                                           for m, t in kept.items()])
 
 
 # ---- U07: history row labels --------------------------------------------------------

@@ -32,27 +32,27 @@ def price_lines(cart_lines: DataFrame, products: DataFrame, product_sizes: DataF
                 product_addons: DataFrame) -> DataFrame:
     """Unit price = (size price, else base price) + chosen addon prices.
 
-    ``with_addons`` chooses every available addon of the product. Addon
-    prices are summed per product *before* the join (one row per product),
-    so lines never multiply against addon rows.
+    ``with_addons`` chooses every available addon of the product. Everything
+    a line needs is first gathered in one row per product (its sizes in an
+    array, its addons' count and sum), where the menu tables lie together;
+    the lines then meet the menu in a single join.
     """
-    p = products.select(F.col("id").alias("p_id"), F.col("name").alias("product_name"), "base_price")
-    s = product_sizes.select(F.col("id").alias("s_id"), F.col("product_id").alias("s_product_id"),
-                             F.col("label").alias("size_label"), F.col("price").alias("size_price"))
+    s = product_sizes.groupBy(F.col("product_id").alias("s_product_id")).agg(
+        F.collect_list(F.struct("id", "label", "price")).alias("sizes"))
     a = (product_addons.filter(F.col("is_available") == 1)
          .groupBy(F.col("product_id").alias("a_product_id"))
          .agg(F.count(F.lit(1)).alias("n_addons"), F.sum("extra_price").alias("sum_addons")))
-    cl = cart_lines
-    j = (cl.join(p, cl["product_id"] == p["p_id"])
-         .join(s, (cl["size_id"] == s["s_id"]) & (cl["product_id"] == s["s_product_id"]), "left")
-         .join(a, (cl["product_id"] == a["a_product_id"]) & cl["with_addons"], "left"))
-    addon_total = F.coalesce(F.col("sum_addons"), F.lit(0)).cast(MONEY_OUT)
+    menu = (products.select(F.col("id").alias("p_id"), F.col("name").alias("product_name"), "base_price")
+            .join(s, F.col("p_id") == s["s_product_id"], "left").join(a, F.col("p_id") == a["a_product_id"], "left"))
+    j = cart_lines.join(menu, cart_lines["product_id"] == menu["p_id"])
+    size = F.get(F.filter("sizes", lambda x: x["id"] == F.col("size_id")), 0)
+    addon_total = F.when(F.col("with_addons"), F.coalesce(F.col("sum_addons"), F.lit(0))).otherwise(0).cast(MONEY_OUT)
     return j.select(
-        "line_id", "cart_id", "product_id", "product_name", "size_id", "size_label", "quantity",
+        "line_id", "cart_id", "product_id", "product_name", "size_id", size["label"].alias("size_label"), "quantity",
         "with_addons",
-        F.coalesce(F.col("n_addons"), F.lit(0)).cast("bigint").alias("addon_count"),
+        F.when(F.col("with_addons"), F.coalesce(F.col("n_addons"), F.lit(0))).otherwise(0).cast("bigint").alias("addon_count"),
         addon_total.alias("addon_total"),
-        (F.coalesce(F.col("size_price"), F.col("base_price")) + addon_total).cast(MONEY).alias("unit_price"))
+        (F.coalesce(size["price"], F.col("base_price")) + addon_total).cast(MONEY).alias("unit_price"))
 
 
 def line_addons(cart_lines: DataFrame, product_addons: DataFrame) -> DataFrame:
@@ -74,98 +74,169 @@ def cart_key(product_id: Column, size_id: Column, addon_ids: Column) -> Column:
                        F.coalesce(size_id.cast("string"), F.lit("base")), ids)
 
 
-def merge_cart_lines(cart_adds: DataFrame, chunk_rows: int = 4096) -> DataFrame:
-    """Replay +1 / -1 changes per (cart, line key) with the quantity
-    floored at 0 (a minus on a missing line does nothing; a later add
-    restarts at 1) and keep lines above 0.
+RANGE_BITS = 16
 
-    The floored running sum has a closed form: q = S - min(0, min prefix S).
-    Its (sum, min-prefix) summary is associative, so a hot (cart, key) is
-    split into ``seq`` ranges of ``chunk_rows``:
 
-    1. a running sum per range (a window whose partition is one range, so
-       at most ``chunk_rows`` rows since ``seq`` is unique), summarised per
-       range by hash aggregation into (sum, min prefix);
-    2. a running sum of the range sums over the key's ranges in order (a
-       window over one row per range) turns each range minimum into a key
-       minimum; one more aggregation gives (S, min prefix) per key.
+def _fold_ranges(parts: DataFrame, parent: Column) -> DataFrame:
+    """Combine neighbouring parts of a key's change sequence, those with the
+    same ``parent``, into one part each.
 
-    No window ever holds a whole key.
+    A part is (pos, reset, t, m): on a quantity q it acts as
+    max(q + t, t - m), or, with ``reset``, it gives t whatever q was.
+    """
+    group = Window.partitionBy("cart_id", "cart_key", "parent")
+    p = parts.withColumn("parent", parent)
+    p = p.withColumn("last_reset", F.max(F.when(F.col("reset"), F.col("pos"))).over(group)) \
+         .filter(F.col("last_reset").isNull() | (F.col("pos") >= F.col("last_reset")))
+    before = group.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("low", F.coalesce(F.sum("t").over(before), F.lit(0)) + F.col("m"))
+    g = p.groupBy("cart_id", "cart_key", F.col("parent").alias("pos")).agg(
+        F.bool_or("reset").alias("reset"), F.sum("t").alias("s"), F.least(F.min("low"), F.lit(0)).alias("lowest"))
+    return g.select("cart_id", "cart_key", "pos", "reset",
+                    F.when(F.col("reset"), F.col("s") - F.col("lowest")).otherwise(F.col("s")).alias("t"),
+                    F.when(F.col("reset"), 0).otherwise(F.col("lowest")).cast("bigint").alias("m"))
+
+
+def merge_cart_lines(cart_adds: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
+    """Replay the changes per (cart, line key) in ``seq`` order and keep
+    lines above 0. A change of +1 / -1 is added with the quantity floored at
+    0 (a minus on a missing line does nothing; a later add restarts at 1); a
+    change of 0 removes the line at once.
+
+    Floored adding has a closed form, q = S - min(0, lowest prefix sum), and
+    its (sum, lowest prefix) summary is associative; a removal makes what
+    came before irrelevant. Changes are folded over ranges of ``seq``, then
+    ranges of ranges, and so on (``2 ** range_bits`` at each level, as many
+    levels as the largest ``seq`` needs). However a hot key's changes are spread over
+    ``seq``, no window holds more than ``2 ** range_bits`` rows of it.
     """
     if "addon_ids" in cart_adds.columns:
         ids = F.coalesce(F.col("addon_ids"), F.array().cast("array<bigint>"))
     else:
         ids = F.when(F.col("addon_id").isNull(), F.array().cast("array<bigint>")) \
                .otherwise(F.array(F.col("addon_id").cast("bigint")))
-    keyed = cart_adds.select("cart_id", cart_key(F.col("product_id"), F.col("size_id"), ids).alias("cart_key"),
-                             "seq", F.col("change").cast("bigint").alias("change"),
-                             F.floor(F.col("seq") / chunk_rows).alias("chunk"))
-    upto_here = Window.partitionBy("cart_id", "cart_key", "chunk").orderBy("seq") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefixed = keyed.select("cart_id", "cart_key", "chunk", "change", F.sum("change").over(upto_here).alias("p"))
-    ranges = prefixed.groupBy("cart_id", "cart_key", "chunk").agg(
-        F.sum("change").alias("t"), F.least(F.min("p"), F.lit(0)).alias("m"))
-    before = Window.partitionBy("cart_id", "cart_key").orderBy("chunk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    shifted = ranges.select("cart_id", "cart_key", "t",
-                            (F.coalesce(F.sum("t").over(before), F.lit(0)) + F.col("m")).alias("low"))
-    keys = shifted.groupBy("cart_id", "cart_key").agg(
-        F.sum("t").alias("s"), F.least(F.min("low"), F.lit(0)).alias("m"))
-    qty = (F.col("s") - F.col("m")).cast("bigint")
-    return keys.select("cart_id", "cart_key", qty.alias("quantity")).filter(F.col("quantity") > 0)
+    change = F.col("change").cast("bigint")
+    parts = cart_adds.select(
+        "cart_id", cart_key(F.col("product_id"), F.col("size_id"), ids).alias("cart_key"),
+        F.col("seq").cast("bigint").alias("pos"), (change == 0).alias("reset"), change.alias("t"),
+        F.least(change, F.lit(0)).cast("bigint").alias("m"))
+    ends = cart_adds.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    bits = max((abs(int(x)).bit_length() for x in ends if x is not None), default=0)
+    for _ in range(-(-bits // range_bits) - 1):
+        parts = _fold_ranges(parts, F.shiftright("pos", range_bits))
+    parts = _fold_ranges(parts, F.lit(0).cast("bigint"))
+    return parts.select("cart_id", "cart_key", (F.col("t") - F.col("m")).cast("bigint").alias("quantity")) \
+        .filter(F.col("quantity") > 0)
 
 
 # ---- B03 / B04: totals and checkout --------------------------------------------------------
 def cart_totals(priced_lines: DataFrame, carts: DataFrame) -> DataFrame:
-    """Per cart, units, subtotal, 5 % discount when flagged, 12 % tax on
+    """Per cart, lines, units, subtotal, 5 % discount when flagged, 12 % tax on
     the subtotal before discount, and total = subtotal - discount + tax.
     Each amount is rounded half up on its own from exact decimals, so the
     total may differ by 0.01 from the sum of the rounded parts."""
     q = quantity_or_one(F.col("quantity"))
     sums = priced_lines.groupBy(F.col("cart_id").alias("t_cart_id")).agg(
-        F.sum(q).cast("bigint").alias("item_count"),
+        F.count(F.lit(1)).alias("line_count"), F.sum(q).cast("bigint").alias("item_count"),
         F.sum(F.col("unit_price") * q).alias("sub"))
     j = carts.join(sums, carts["cart_id"] == sums["t_cart_id"], "left")
     sub = F.coalesce(F.col("sub"), F.lit(0)).cast("decimal(30,2)")
     disc = F.when(F.col("discount"), sub * F.lit(DISCOUNT_RATE).cast("decimal(3,2)")).otherwise(F.lit(0))
     tax = sub * F.lit(TAX_RATE).cast("decimal(3,2)")
     return j.select(
-        "cart_id", F.coalesce(F.col("item_count"), F.lit(0)).cast("bigint").alias("item_count"),
+        "cart_id", F.coalesce(F.col("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
+        F.coalesce(F.col("item_count"), F.lit(0)).cast("bigint").alias("item_count"),
         F.round(sub, 2).cast(MONEY_OUT).alias("subtotal"),
         F.round(disc, 2).cast(MONEY_OUT).alias("discount_amount"),
         F.round(tax, 2).cast(MONEY_OUT).alias("tax_amount"),
         F.round(sub - disc + tax, 2).cast(MONEY_OUT).alias("total"))
 
 
-def checkout_orders(carts: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row per cart. Accepted carts become pending orders; the
-    others carry the reason the server would refuse them (no items, then a
-    payment method other than cash or gcash)."""
+def _reason(carts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Carts with their totals and the reason the server would refuse them:
+    no items (no lines, whatever their quantities), then a payment method
+    other than cash or gcash."""
     t = totals.withColumnRenamed("cart_id", "t_cart_id")
     j = carts.join(t, carts["cart_id"] == t["t_cart_id"], "left")
-    n = F.coalesce(F.col("item_count"), F.lit(0))
-    reason = (F.when(n == 0, "no_items")
-              .when(~F.coalesce(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS), F.lit(False)),
-                    "invalid_payment_method"))
+    return j.withColumn("reason", F.when(F.coalesce(F.col("line_count"), F.lit(0)) == 0, "no_items").when(
+        ~F.coalesce(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS), F.lit(False)), "invalid_payment_method"))
+
+
+def _cart_sessions(accepted: DataFrame, user_sessions: DataFrame) -> DataFrame:
+    """The session of each accepted cart (cart_id, cashier_id, created_at):
+    adds ``session_id`` and ``new_since``.
+
+    A cart belongs to the cashier's last session begun by then, if that is
+    still open. Otherwise the cart opens a session, which the cashier's next
+    carts up to the next login share; its id is the highest session id plus
+    that first cart's id, so re-runs agree. ``new_since`` is the time the
+    session was opened by a cart, else NULL.
+
+    Logins and carts are range-partitioned together by (user, time); each
+    cart looks back within its own part of a user, and a summary with one row
+    per user and part carries the last login over to the next parts. No
+    window holds a whole user.
+    """
+    logins = user_sessions.select(
+        F.col("user_id").cast("bigint").alias("uid"), F.col("logged_in_at").alias("ts"), F.lit(0).alias("kind"),
+        F.col("id").cast("bigint").alias("rid"), F.struct(F.col("logged_in_at").alias("at"), F.col("id").cast("bigint").alias("id"),
+                                                          F.col("logged_out_at").alias("out")).alias("s"))
+    carts = accepted.select(F.col("cashier_id").cast("bigint").alias("uid"), F.col("created_at").alias("ts"), F.lit(1).alias("kind"),
+                            F.col("cart_id").cast("bigint").alias("rid"), F.lit(None).cast(logins.schema["s"].dataType).alias("s"))
+    ev = logins.unionByName(carts).repartitionByRange("uid", "ts", "kind", "rid") \
+        .withColumn("part", F.spark_partition_id()).checkpoint()
+    lasts = ev.groupBy("uid", "part").agg(F.max("s").alias("last"))
+    earlier = Window.partitionBy("uid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(F.col("uid").alias("c_uid"), F.col("part").alias("c_part"), F.max("last").over(earlier).alias("carried"))
+    here = Window.partitionBy("uid", "part").orderBy("ts", "kind", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ev.withColumn("own", F.last("s", ignorenulls=True).over(here)).filter(F.col("kind") == 1)
+    found = found.join(carried, found["uid"].eqNullSafe(F.col("c_uid")) & (found["part"] == F.col("c_part")), "left") \
+        .withColumn("cur", F.coalesce("own", "carried"))
+    still_open = F.col("cur").isNotNull() & (F.col("cur.out").isNull() | (F.col("cur.out") > F.col("ts")))
+    found = found.select("uid", "ts", "rid", F.col("cur.id").alias("after"), F.when(still_open, F.col("cur.id")).alias("open_id"))
+    first = found.filter(F.col("open_id").isNull()).groupBy(F.col("uid").alias("f_uid"), F.col("after").alias("f_after")).agg(
+        F.min(F.struct("ts", "rid")).alias("first"))
+    top = user_sessions.select(F.max("id").cast("bigint")).scalar()
+    j = found.join(first, found["uid"].eqNullSafe(F.col("f_uid")) & found["after"].eqNullSafe(F.col("f_after"))
+                   & found["open_id"].isNull(), "left")
+    return j.select(F.col("rid").alias("cart_id"), F.col("uid").alias("cashier_id"), F.col("ts").alias("created_at"),
+                    F.coalesce("open_id", F.coalesce(top, F.lit(0)) + F.col("first.rid")).alias("session_id"),
+                    F.col("first.ts").alias("new_since"))
+
+
+def checkout_orders(carts: DataFrame, totals: DataFrame, user_sessions: DataFrame) -> DataFrame:
+    """One row per cart. Accepted carts become pending orders of the
+    cashier's open session (see ``checkout_sessions`` for those that open
+    one); the others have no session and carry the reason they are refused."""
+    j = _reason(carts, totals)
+    accepted = j.filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
+    of_cart = _cart_sessions(accepted, user_sessions).select(F.col("cart_id").alias("s_cart_id"), "session_id")
+    j = j.join(of_cart, j["cart_id"] == of_cart["s_cart_id"], "left")
     return j.select(
-        F.col("cart_id").alias("id"), "cashier_id",
-        F.lit(None).cast("bigint").alias("session_id"),
-        F.when(reason.isNull(), F.lit("pending")).alias("status"),
+        F.col("cart_id").alias("id"), "cashier_id", "session_id",
+        F.when(F.col("reason").isNull(), F.lit("pending")).alias("status"),
         money("subtotal").alias("subtotal"), money("tax_amount").alias("tax_amount"),
         money("discount_amount").alias("discount_amount"), money("total").alias("total"),
         "payment_method",
         blank_to_null(F.col("notes")).alias("notes"),      # trimmed by the till, '' stored as NULL
-        "created_at", reason.alias("reject_reason"))
+        "created_at", F.col("reason").alias("reject_reason"))
+
+
+def checkout_sessions(carts: DataFrame, totals: DataFrame, user_sessions: DataFrame) -> DataFrame:
+    """B04e: the sessions that checkouts open, for cashiers without an open one."""
+    accepted = _reason(carts, totals).filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
+    opened = _cart_sessions(accepted, user_sessions).filter(F.col("new_since").isNotNull())
+    return opened.groupBy(F.col("session_id").alias("id")).agg(
+        F.min("cashier_id").alias("user_id"), F.min("new_since").alias("logged_in_at"))
 
 
 def _payable(carts: DataFrame) -> DataFrame:
     """Carts whose payment method the server accepts.
 
-    A cart that has a priced line has at least one unit (quantity 0 counts
-    as 1), so the only other refusal (no items) never applies to it: the
-    line rows of accepted carts are exactly the lines of payable carts. The
-    item and addon rows are therefore found without computing the totals
-    (and pricing the lines) a second time."""
+    A priced line makes its cart one with items, so the only other refusal
+    (no items) never applies to it: the line rows of accepted carts are
+    exactly the lines of payable carts. The item and addon rows are therefore
+    found without computing the totals (and pricing the lines) a second time."""
     return carts.filter(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS)).select(
         F.col("cart_id").alias("acc_id"))
 
@@ -217,7 +288,7 @@ def _identity_keys(df: DataFrame, id_col: str | None) -> DataFrame:
 
 def _clashing_ids(df: DataFrame, id_col: str, existing: DataFrame) -> DataFrame:
     """Ids of ``df`` whose username or email exists in ``existing``."""
-    keys = _identity_keys(existing, None).distinct()
+    keys = _identity_keys(existing, None)
     mine = _identity_keys(df, id_col)
     return mine.join(keys, ["kind", "key"], "left_semi").select("kid").distinct()
 
@@ -246,7 +317,7 @@ def accept_registrations(requests: DataFrame, registrations: DataFrame, users: D
     new = found.join(accepted, found["id"] == accepted["a_id"], "left_semi")
     max_id = users.select(F.max("id")).scalar()
     new_users = new.select(
-        (F.coalesce(max_id, F.lit(0)) + F.col("id")).cast("int").alias("id"), "username", "name", "email", "role",
+        (F.coalesce(max_id, F.lit(0)) + F.col("id")).cast("bigint").alias("id"), "username", "name", "email", "role",
         F.lit("active").alias("is_active"), ntz(as_of).alias("created_at"))
     remaining = registrations.join(accepted, registrations["id"] == accepted["a_id"], "left_anti")
     users_after = users.select(*new_users.columns).unionByName(new_users)
@@ -267,8 +338,7 @@ def reject_registrations(requests: DataFrame, registrations: DataFrame) -> dict[
     return {"outcomes": outcomes, "remaining": remaining}
 
 
-def registration_conflicts(signups: DataFrame, users: DataFrame, registrations: DataFrame,
-                           max_rounds: int = 1000) -> DataFrame:
+def registration_conflicts(signups: DataFrame, users: DataFrame, registrations: DataFrame) -> DataFrame:
     """Outcome of each new sign-up: ``user_exists`` (username or email
     is a user), else ``request_exists`` (a registration of any status has
     it), else ``accepted``. Within the batch, requests are served in
@@ -282,8 +352,9 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     aggregates; a request that is
     the earliest live in both its groups is accepted, one with an earlier
     accepted clash is refused. Each round decides at least the earliest
-    undecided request; the state is checkpointed to the session's
-    checkpoint folder between rounds so lineage stays short.
+    undecided request, so the rounds end by themselves; the state is
+    checkpointed to the session's checkpoint folder between rounds so
+    lineage stays short.
     """
     user_clash = _clashing_ids(signups, "id", users).withColumnRenamed("kid", "u_id")
     reg_clash = _clashing_ids(signups, "id", registrations).withColumnRenamed("kid", "r_id")
@@ -291,7 +362,7 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
             .join(reg_clash, signups["id"] == reg_clash["r_id"], "left")
             .select("id", "username", "email", "requested_at",
                     F.when(F.col("u_id").isNotNull(), "user_exists")
-                     .when(F.col("r_id").isNotNull(), "request_exists").alias("outcome")))
+                     .when(F.col("r_id").isNotNull(), "request_exists").alias("outcome"))).checkpoint()
     decided = base.filter(F.col("outcome").isNotNull()).select("id", "username", "email", "outcome")
     cand = base.filter(F.col("outcome").isNull()).select(
         "id", "username", "email", F.struct("requested_at", "id").alias("ord"))
@@ -310,11 +381,7 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     keys = keys.checkpoint()
     # state: 0 undecided, 1 accepted, 2 refused
     state = contested.select("id", F.lit(0).alias("state")).checkpoint()
-    for _ in range(max_rounds + 1):
-        if state.filter(F.col("state") == 0).limit(1).count() == 0:
-            break
-        if _ == max_rounds:
-            raise RuntimeError(f"sign-up clashes still undecided after {max_rounds} rounds")
+    while state.filter(F.col("state") == 0).limit(1).count():
         ks = keys.join(state.withColumnRenamed("id", "kid"), "kid")
         live = F.col("state") < 2
         groups = ks.groupBy("kind", "key").agg(
@@ -342,14 +409,18 @@ def _classified_events(orders: DataFrame, status_events: DataFrame, users: DataF
     Kitchen or Manager user; unknown order: never)."""
     o = orders.select(F.col("id").alias("o_id"), F.col("cashier_id").alias("o_cashier"),
                       F.col("status").alias("base_status"))
-    u = users.select(F.col("id").alias("u_id"), F.col("role").alias("actor_role"))
-    ev = (status_events.join(o, status_events["order_id"] == o["o_id"], "left")
-          .join(u, status_events["actor_id"] == u["u_id"], "left"))
-    allowed = F.when(F.col("event_type").isin("voided", "refunded"), F.col("actor_id") == F.col("o_cashier")) \
-               .when(F.col("event_type") == "complete", F.col("actor_role").isin(*KITCHEN_ROLES))
-    valid = F.col("o_id").isNotNull() & F.coalesce(allowed, F.lit(False))
-    return ev.select("order_id", "seq", "event_type", "actor_id", "event_time", "base_status",
-                     valid.alias("valid"))
+    ev = status_events.join(o, status_events["order_id"] == o["o_id"], "left")
+    # Only completions need a role, and only Kitchen and Manager users matter
+    # for them: the other events never leave their order's bucket.
+    kitchen = users.filter(F.col("role").isin(*KITCHEN_ROLES)).select(F.col("id").alias("u_id"))
+    is_complete = F.coalesce(F.col("event_type") == "complete", F.lit(False))
+    complete = ev.filter(is_complete).join(kitchen, F.col("actor_id") == kitchen["u_id"], "left") \
+        .withColumn("allowed", F.col("u_id").isNotNull()).drop("u_id")
+    other = ev.filter(~is_complete).withColumn(
+        "allowed", F.col("event_type").isin("voided", "refunded") & (F.col("actor_id") == F.col("o_cashier")))
+    valid = F.col("o_id").isNotNull() & F.coalesce(F.col("allowed"), F.lit(False))
+    return complete.unionByName(other).select("order_id", "seq", "event_type", "actor_id", "event_time", "base_status",
+                                              valid.alias("valid"))
 
 
 def _status_summary(classified: DataFrame) -> DataFrame:
@@ -434,8 +505,35 @@ def apply_image_url(products: DataFrame, image_updates: DataFrame) -> DataFrame:
     return _apply_latest(products, _latest(image_updates, "product_id", "image_url"), "image_url")
 
 
+def _update_outcomes(updates: DataFrame, table: DataFrame, key: str, refusal: Column | None = None) -> DataFrame:
+    """(seq, key, outcome) of every request: the refusal, else ``not_found`` for an unknown id, else ``updated``."""
+    known = table.select(F.col("id").alias("known_id"))
+    j = updates.join(known, updates[key] == known["known_id"], "left")
+    outcome = F.when(F.col("known_id").isNull(), "not_found").otherwise("updated")
+    return j.select("seq", key, (outcome if refusal is None else F.coalesce(refusal, outcome)).alias("outcome"))
+
+
+def staff_status_outcomes(users: DataFrame, staff_updates: DataFrame) -> DataFrame:
+    """B09a per request: ``invalid_status``, ``own_account``, ``not_found`` or ``updated``, checked in this order."""
+    status = F.col("is_active")
+    refusal = F.when(~F.coalesce(status.isin(*ACCOUNT_STATES), F.lit(False)), "invalid_status").when(
+        (F.col("manager_id") == F.col("user_id")) & (status == "disabled"), "own_account")
+    return _update_outcomes(staff_updates, users, "user_id", refusal)
+
+
+def availability_outcomes(products: DataFrame, availability_updates: DataFrame) -> DataFrame:
+    """B09b per request: ``invalid_value``, ``not_found`` or ``updated``."""
+    refusal = F.when(~F.coalesce(F.col("is_available").isin(0, 1), F.lit(False)), "invalid_value")
+    return _update_outcomes(availability_updates, products, "product_id", refusal)
+
+
+def image_outcomes(products: DataFrame, image_updates: DataFrame) -> DataFrame:
+    """B09c per request: ``not_found`` or ``updated``."""
+    return _update_outcomes(image_updates, products, "product_id")
+
+
 # ---- B10: logins into sessions -------------------------------------------------------------
-def sessionize_logins(login_events: DataFrame, bucket: str = "hour") -> DataFrame:
+def sessionize_logins(login_events: DataFrame) -> DataFrame:
     """Login / logout events → user_sessions rows.
 
     A login opens a session; the user's next event decides its end: a
@@ -443,22 +541,21 @@ def sessionize_logins(login_events: DataFrame, bucket: str = "hour") -> DataFram
     (the application closes dangling sessions that way), no next event
     leaves it open. A logout without an open session changes nothing.
 
-    "Next event of the user" is a lead over (ts, id). To keep a very active
-    user from becoming one window partition, the lead runs per (user, time
-    bucket); the last event of a bucket takes the first event of the user's
-    next non-empty bucket from a per-bucket summary (one row per bucket).
+    "Next event of the user" is a lead over (ts, id). The events are
+    range-partitioned on (user, ts, id), so a very active user, even one
+    whose events all fall into one hour, spreads over several parts. The lead
+    runs per (user, part); the last event of a part takes the user's first
+    event of the next part from a summary with one row per user and part.
     """
-    # Whole buckets since the epoch, computed on TIMESTAMP_NTZ (no time zone).
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    ev = login_events.select("id", "user_id", "ts", "event_type",
-                             F.timestamp_diff(bucket.upper(), epoch, F.col("ts")).alias("bucket"))
-    w = Window.partitionBy("user_id", "bucket").orderBy("ts", "id")
+    ev = login_events.select("id", "user_id", "ts", "event_type").repartitionByRange("user_id", "ts", "id") \
+        .withColumn("part", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("user_id", "part").orderBy("ts", "id")
+    firsts = ev.groupBy("user_id", "part").agg(F.min(F.struct("ts", "id", "event_type")).alias("first"))
+    nb = firsts.select(F.col("user_id").alias("nb_user"), F.col("part").alias("nb_part"),
+                       F.lead("first").over(Window.partitionBy("user_id").orderBy("part")).alias("next_first"))
     ev = ev.select("*", F.lead("event_type").over(w).alias("nxt_type"), F.lead("ts").over(w).alias("nxt_ts"))
-    firsts = ev.groupBy("user_id", "bucket").agg(F.min(F.struct("ts", "id", "event_type")).alias("first"))
-    nb = firsts.select(F.col("user_id").alias("nb_user"), F.col("bucket").alias("nb_bucket"),
-                       F.lead("first").over(Window.partitionBy("user_id").orderBy("bucket")).alias("next_first"))
     logins = ev.filter(F.col("event_type") == "login")
-    j = logins.join(nb, (logins["user_id"] == nb["nb_user"]) & (logins["bucket"] == nb["nb_bucket"])
+    j = logins.join(nb, (logins["user_id"] == nb["nb_user"]) & (logins["part"] == nb["nb_part"])
                     & logins["nxt_type"].isNull(), "left")
     next_type = F.coalesce(F.col("nxt_type"), F.col("next_first.event_type"))
     next_ts = F.when(F.col("nxt_type").isNotNull(), F.col("nxt_ts")).otherwise(F.col("next_first.ts"))
@@ -470,31 +567,45 @@ def sessionize_logins(login_events: DataFrame, bucket: str = "hour") -> DataFram
 HELD_CARTS_SCHEMA = (
     "array<struct<id:string,createdAt:string,"
     "items:array<struct<productId:bigint,productName:string,sizeId:bigint,sizeLabel:string,"
-    "addons:array<struct<id:bigint,name:string,extra_price:decimal(18,2)>>,"
-    "unitPrice:decimal(18,2),quantity:int>>,"
+    "addons:array<struct<id:bigint,name:string,extra_price:decimal(24,8)>>,"
+    "unitPrice:decimal(24,8),quantity:decimal(14,6)>>,"
     "isDiscountActive:boolean,note:string>>")
+# Strict JSON: no quotes, numbers or names that a standard reader refuses.
+_STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowNonNumericNumbers": "false",
+           "allowNumericLeadingZeros": "false", "allowComments": "false"}
+
+
+def _json_list(text: Column) -> Column:
+    """The parsed list of held carts, or NULL unless the whole text is one JSON list.
+
+    The reader looks at the first value of a text only. Put inside a list and
+    inside an object, whatever follows the value breaks at least one of the two.
+    """
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{HELD_CARTS_SCHEMA}>", _STRICT)
+    whole = F.from_json(F.concat(F.lit('{"carts":'), text, F.lit("}")), f"carts {HELD_CARTS_SCHEMA}, broken string",
+                        {**_STRICT, "columnNameOfCorruptRecord": "broken"})
+    return F.when((F.size(wrapped) == 1) & whole["broken"].isNull() & whole["carts"].isNotNull(), F.get(wrapped, 0))
 
 
 def held_cart_totals(held: DataFrame, json_col: str = "held_json", holder_col: str = "holder_id") -> DataFrame:
     """Parse each browser's held-cart list and price every held cart.
 
-    A document that is not valid JSON, or not a JSON list, holds no carts.
-    The list is newest first, so a cart's number is (list length - index):
-    the oldest is 1. Totals follow B03 (12 % tax before the 5 % discount,
-    each amount rounded on its own) on exact decimals.
+    A document that is not valid JSON as a whole, or not a JSON list, holds
+    no carts. The list is newest first, so a cart's number is (list length -
+    index): the oldest is 1. Prices and quantities keep their decimals; a
+    missing price or quantity makes its line 0. ``item_count`` is the sum of
+    the quantities without a fraction. Totals follow B03 (12 % tax before the
+    5 % discount, each amount rounded on its own) on exact decimals.
     """
-    text = F.col(json_col)
-    parsed = held.select(holder_col, F.when(F.ltrim(text).startswith("["),
-                                            F.from_json(text, HELD_CARTS_SCHEMA)).alias("carts"))
+    parsed = held.select(holder_col, _json_list(F.col(json_col)).alias("carts"))
     carts = parsed.filter(F.col("carts").isNotNull()).select(
         holder_col, F.size("carts").alias("n"), F.posexplode("carts").alias("idx", "cart"))
     items = F.coalesce(F.col("cart.items"), F.array().cast(
         carts.schema["cart"].dataType["items"].dataType))
-    zero_q = F.lit(0).cast("bigint")
-    zero_m = F.lit(0).cast("decimal(30,2)")
-    count = F.aggregate(items, zero_q, lambda acc, i: acc + F.coalesce(i["quantity"], F.lit(0)))
-    sub = F.aggregate(items, zero_m,
-                      lambda acc, i: (acc + i["unitPrice"] * i["quantity"]).cast("decimal(30,2)"))
+    count = F.aggregate(items, F.lit(0).cast("decimal(30,6)"),
+                        lambda acc, i: (acc + F.coalesce(i["quantity"], F.lit(0))).cast("decimal(30,6)"))
+    sub = F.aggregate(items, F.lit(0).cast("decimal(30,8)"),
+                      lambda acc, i: (acc + F.coalesce(i["unitPrice"] * i["quantity"], F.lit(0))).cast("decimal(30,8)"))
     disc = F.when(F.coalesce(F.col("cart.isDiscountActive"), F.lit(False)),
                   sub * F.lit(DISCOUNT_RATE).cast("decimal(3,2)")).otherwise(F.lit(0))
     tax = sub * F.lit(TAX_RATE).cast("decimal(3,2)")

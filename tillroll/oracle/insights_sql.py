@@ -92,7 +92,11 @@ def _history() -> str:
         from pos_user_sessions group by 1)"""
     cols = ", ".join(_cast(f"coalesce({'od' if i < 6 else 'sd'}.{m}, 0)", m) + f" {m}"
                      for i, m in enumerate(METRICS))
-    days = f"days AS (select coalesce(od.day, sd.day) AS day, {cols} from od full outer join sd on od.day = sd.day)"
+    spine = f"""spine AS (select cast(unnest(generate_series(
+          least(min(day), cast({AS_OF} as date))::timestamp, greatest(max(day), cast({AS_OF} as date))::timestamp,
+          interval 1 day)) as date) AS day from (select day from od union all select day from sd))"""
+    days = (f"{spine}, days AS (select spine.day, {cols} from spine left join od on od.day = spine.day "
+            f"left join sd on sd.day = spine.day)")
     ycols = ", ".join(_cast(f"coalesce(y.{m}, 0)", m) + f" {m}_yesterday" for m in METRICS)
     return f", {od}, {sd}, {days} select t.*, {ycols} from days t left join days y on y.day = t.day - 1"
 
@@ -111,11 +115,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         group by c.id
         union all select 'all', count(*)::bigint from pos_products where is_available = 1) t"""),
     "menu_by_category": (MENU_TABLES, f"select * from ({MENU}) m where m.category_id = 2"),
-    "products_grouped": (MENU_TABLES, f"""select category_id, header, chunk,
-          (row_number() over (partition by category_id, chunk order by id) - 1)::int pos,
+    "products_grouped": (MENU_TABLES, f"""select category_id, {_header('category_id')} header,
+          row_number() over (partition by category_id order by id) - 1 pos,
           id, name, description, base_price, image_url, has_options
-        from (select m.*, floor(m.id / 1024)::bigint chunk, {_header('m.category_id')} header
-              from ({MENU}) m) g"""),
+        from ({MENU}) m"""),
     "kitchen_status": (("orders",), f"""select active_orders,
           case when active_orders > 0 then m else 0 end oldest_wait_minutes,
           case when active_orders = 0 then '0m' when m < 60 then m::varchar || 'm'

@@ -7,7 +7,7 @@ operators' aggregate formulations.
 
 from __future__ import annotations
 
-from tillroll.oracle.reports_sql import AS_OF
+from tillroll.oracle.reports_sql import AS_OF, KITCHEN_QUEUE
 
 Q1 = "coalesce(nullif({q}, 0), 1)"
 
@@ -25,9 +25,9 @@ PRICED = f"""pl AS (select cl.line_id, cl.cart_id, cl.product_id, p.name product
 PRICED_TABLES = ("cart_lines", "products", "product_sizes", "product_addons")
 
 _q = Q1.format(q="quantity")
-TOTALS = f"""tt AS (select cart_id, sum({_q})::bigint item_count,
+TOTALS = f"""tt AS (select cart_id, count(*)::bigint line_count, sum({_q})::bigint item_count,
         cast(sum(unit_price * {_q}) as decimal(18,2)) sub from pl group by cart_id),
-    tot AS (select c.cart_id, coalesce(tt.item_count, 0)::bigint item_count,
+    tot AS (select c.cart_id, coalesce(tt.line_count, 0)::bigint line_count, coalesce(tt.item_count, 0)::bigint item_count,
         cast(round(coalesce(tt.sub, 0), 2) as decimal(18,2)) subtotal,
         cast(round(case when c.discount then coalesce(tt.sub, 0) * 0.05 else 0 end, 2) as decimal(18,2))
           discount_amount,
@@ -35,17 +35,32 @@ TOTALS = f"""tt AS (select cart_id, sum({_q})::bigint item_count,
         cast(round(coalesce(tt.sub, 0) - case when c.discount then coalesce(tt.sub, 0) * 0.05 else 0 end
                    + coalesce(tt.sub, 0) * 0.12, 2) as decimal(18,2)) total
       from pos_carts c left join tt on tt.cart_id = c.cart_id)"""
-CHECKOUT = """co AS (select c.cart_id id, c.cashier_id, null::bigint session_id,
-        case when r.reason is null then 'pending' end status,
-        cast(round(tot.subtotal, 2) as decimal(10,2)) subtotal, cast(round(tot.tax_amount, 2) as decimal(10,2)) tax_amount,
-        cast(round(tot.discount_amount, 2) as decimal(10,2)) discount_amount,
-        cast(round(tot.total, 2) as decimal(10,2)) total,
-        c.payment_method, nullif(trim(c.notes), '') notes, c.created_at, r.reason reject_reason
-      from pos_carts c join tot on tot.cart_id = c.cart_id
-      cross join lateral (select case when tot.item_count = 0 then 'no_items'
-                               when c.payment_method is null or c.payment_method not in ('cash', 'gcash')
-                               then 'invalid_payment_method' end reason) r)"""
-CHECKOUT_TABLES = PRICED_TABLES + ("carts",)
+CHECKOUT = """judged AS (select c.*, tot.subtotal, tot.tax_amount, tot.discount_amount, tot.total,
+        case when tot.line_count = 0 then 'no_items'
+             when c.payment_method is null or c.payment_method not in ('cash', 'gcash')
+             then 'invalid_payment_method' end reason
+      from pos_carts c join tot on tot.cart_id = c.cart_id),
+    logins AS (select user_id, logged_in_at, max(id) id, arg_max_null(logged_out_at, id) ended
+      from pos_user_sessions group by user_id, logged_in_at),
+    seated AS (select j.cart_id, j.cashier_id, j.created_at, l.id login,
+        coalesce(l.id is not null and (l.ended is null or l.ended > j.created_at), false) still_open
+      from judged j asof left join logins l on l.user_id = j.cashier_id and l.logged_in_at <= j.created_at
+      where j.reason is null),
+    placed AS (select cart_id, cashier_id, case when still_open then login
+          else (select coalesce(max(id), 0) from pos_user_sessions)
+               + first_value(cart_id) over (partition by cashier_id, login, still_open order by created_at, cart_id) end session_id,
+        case when not still_open
+             then min(created_at) over (partition by cashier_id, login, still_open) end opened
+      from seated),
+    co AS (select j.cart_id id, j.cashier_id, p.session_id::bigint session_id,
+        case when j.reason is null then 'pending' end status,
+        cast(round(subtotal, 2) as decimal(10,2)) subtotal, cast(round(tax_amount, 2) as decimal(10,2)) tax_amount,
+        cast(round(discount_amount, 2) as decimal(10,2)) discount_amount, cast(round(total, 2) as decimal(10,2)) total,
+        payment_method, nullif(trim(notes, chr(9) || chr(10) || chr(13) || ' '), '') notes, j.created_at,
+        j.reason reject_reason
+      from judged j left join placed p on p.cart_id = j.cart_id)"""
+TOTALS_TABLES = PRICED_TABLES + ("carts",)
+CHECKOUT_TABLES = TOTALS_TABLES + ("user_sessions",)
 
 CI = "collate nocase.noaccent"
 
@@ -90,21 +105,42 @@ def _latest(table: str, key: str, value: str, valid: str = "true") -> str:
 
 PRODUCT_COLS = "p.id, p.category_id, p.name, p.description, p.base_price, p.image_url"
 
-HELD = f"""ct AS (select c.cart_id, c.cashier_id, c.created_at, c.discount,
-        sum({_q})::bigint item_count, cast(sum(pl.unit_price * {_q}) as decimal(18,2)) sub
-      from pos_carts c join pl on pl.cart_id = c.cart_id group by c.cart_id, c.cashier_id, c.created_at, c.discount)"""
+HELD = """ct AS (select c.cart_id, c.cashier_id, c.created_at, c.discount,
+        sum(cl.quantity)::bigint item_count, cast(sum(l.unit_price * cl.quantity) as decimal(18,2)) sub
+      from pos_carts c join pos_cart_lines cl on cl.cart_id = c.cart_id join pos_lines l on l.id = cl.line_id
+      join pos_products p on p.id = cl.product_id
+      group by c.cart_id, c.cashier_id, c.created_at, c.discount)"""
+
+# Sign-ups replayed one by one in (requested_at, id) order, carrying the names and mails taken so far.
+REPLAY = f"""queue AS (select s.*, lower(s.username) u, lower(s.email) e, row_number() over (order by requested_at, id) turn,
+        case when {_exists_identity('pos_users', 's')} then 'user_exists'
+             when {_exists_identity('pos_registrations', 's')} then 'request_exists' end before
+      from pos_signups s),
+    replay AS (select 0::bigint turn, []::varchar[] us, []::varchar[] es, null::varchar outcome
+      union all
+      select q.turn, if(r.o = 'accepted', list_append(us, u), us), if(r.o = 'accepted', list_append(es, e), es), r.o
+      from replay join queue q on q.turn = replay.turn + 1
+      cross join lateral (select coalesce(q.before, if(list_contains(us, q.u) or list_contains(es, q.e),
+                                                       'request_exists', 'accepted')) o) r)"""
+
+
+def _outcomes(updates: str, table: str, key: str, refusal: str = "") -> str:
+    return (f"select seq, {key}, case {refusal} when {key} not in (select id from {table}) then 'not_found' "
+            f"else 'updated' end outcome from {updates}")
+
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "price_lines": (PRICED_TABLES, f", {PRICED} select * from pl"),
     "merge_cart_lines": (("cart_adds",), """, k AS (select cart_id,
           product_id::varchar || '|' || coalesce(size_id::varchar, 'base') || '|' || coalesce(addon_id::varchar, '')
             cart_key, seq, change from pos_cart_adds),
+        z AS (select *, max(case when change = 0 then seq end) over (partition by cart_id, cart_key) removed from k),
         r AS (select cart_id, cart_key, seq, sum(change) over (partition by cart_id, cart_key order by seq
-                rows between unbounded preceding and current row) s from k),
+                rows between unbounded preceding and current row) s from z where removed is null or seq > removed),
         f AS (select cart_id, cart_key, (arg_max(s, seq) - least(0, min(s)))::bigint quantity
               from r group by cart_id, cart_key)
         select * from f where quantity > 0"""),
-    "cart_totals": (CHECKOUT_TABLES, f", {PRICED}, {TOTALS} select * from tot"),
+    "cart_totals": (TOTALS_TABLES, f", {PRICED}, {TOTALS} select * from tot"),
     "checkout_orders": (CHECKOUT_TABLES, f", {PRICED}, {TOTALS}, {CHECKOUT} select * from co"),
     "checkout_items": (CHECKOUT_TABLES, f""", {PRICED}, {TOTALS}, {CHECKOUT}
         select pl.line_id id, pl.cart_id order_id, pl.product_id, pl.product_name,
@@ -122,9 +158,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         select id order_id, payment_method, total amount_due, total amount_received,
           cast(0 as decimal(10,2)) change_due, cast(null as varchar) reference_no, created_at paid_at
         from co where reject_reason is null"""),
+    "checkout_sessions": (CHECKOUT_TABLES, f""", {PRICED}, {TOTALS}, {CHECKOUT}
+        select distinct session_id::bigint id, cashier_id user_id, opened logged_in_at from placed where opened is not null"""),
     "accept_registrations": (REG_TABLES, f", {REQ}, {PEND}, {ACCEPT} select * from acc"),
     "accept_registrations_users": (REG_TABLES, f""", {REQ}, {PEND}, {ACCEPT}
-        select cast((select max(id) from pos_users) + p.id as int) id, p.username, p.name, p.email, p.role,
+        select cast((select max(id) from pos_users) + p.id as bigint) id, p.username, p.name, p.email, p.role,
           'active' is_active, {AS_OF} created_at
         from pend p join acc on acc.registration_id = p.id and acc.outcome = 'accepted'"""),
     "accept_registrations_remaining": (REG_TABLES, f""", {REQ}, {PEND}, {ACCEPT}
@@ -136,13 +174,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "reject_registrations_remaining": (("registration_requests", "registrations"), f""", {REQ}, {PEND}
         select * from pos_registrations
         where id not in (select p.id from pend p join req on req.registration_id = p.id)"""),
-    # Exact for batches without clashes *inside* the batch (the fixture has
-    # none); the in-batch order rule is covered by brute-force unit tests.
-    "registration_conflicts": (("signups", "users", "registrations"), f"""select s.id, s.username, s.email,
-        case when {_exists_identity('pos_users', 's')} then 'user_exists'
-             when {_exists_identity('pos_registrations', 's')} then 'request_exists'
-             else 'accepted' end outcome
-        from pos_signups s"""),
+    "registration_conflicts": (("signups", "users", "registrations"), f""", {REPLAY}
+        select q.id, q.username, q.email, replay.outcome from replay join queue q using (turn)"""),
     "apply_order_status": (STATUS_TABLES, f""", {STATUS}
         select o.id, o.cashier_id, o.session_id,
           coalesce(case l.last_type when 'complete' then 'completed' else l.last_type end, o.status) status,
@@ -153,6 +186,17 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from pos_orders o left join last l on l.order_id = o.id"""),
     "order_status_outcomes": (STATUS_TABLES, f""", {STATUS}
         select order_id, seq, event_type, case when applied then 'applied' else 'refused' end outcome from ap"""),
+    "kitchen_queue_stream": (STATUS_TABLES + ("order_items",), f""", {STATUS}, after AS (
+          select o.id, o.cashier_id, coalesce(case l.last_type when 'complete' then 'completed' else l.last_type end, o.status) status,
+            o.notes, o.created_at, o.total from pos_orders o left join last l on l.order_id = o.id)
+        {KITCHEN_QUEUE.replace('pos_orders', 'after')}"""),
+    "staff_status_outcomes": (("users", "staff_updates"), _outcomes("pos_staff_updates", "pos_users", "user_id",
+        "when is_active is null or is_active not in ('active', 'disabled') then 'invalid_status' "
+        "when manager_id = user_id and is_active = 'disabled' then 'own_account'")),
+    "availability_outcomes": (("products", "availability_updates"), _outcomes(
+        "pos_availability_updates", "pos_products", "product_id",
+        "when is_available is null or is_available not in (0, 1) then 'invalid_value'")),
+    "image_outcomes": (("products", "image_updates"), _outcomes("pos_image_updates", "pos_products", "product_id")),
     "apply_staff_status": (("users", "staff_updates"), f""", {_latest('pos_staff_updates', 'user_id', 'is_active',
         "is_active in ('active', 'disabled') and not (manager_id = user_id and is_active = 'disabled')")}
         select u.id, u.username, u.name, u.email, u.role, coalesce(l.v, u.is_active) is_active, u.created_at
@@ -171,7 +215,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             case lead(event_type) over w when 'logout' then lead(ts) over w when 'login' then ts end logged_out_at
           from pos_login_events window w as (partition by user_id order by ts, id)) s
         where event_type = 'login'"""),
-    "held_cart_totals": (CHECKOUT_TABLES, f""", {PRICED}, {HELD}
+    "held_cart_totals": (("carts", "cart_lines", "lines", "products"), f""", {HELD}
         select cashier_id::varchar || '-' || strftime(created_at, '%Y%m%d') holder_id,
           (row_number() over (partition by cashier_id, cast(created_at as date) order by created_at, cart_id))::int
             position,
@@ -182,5 +226,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
           cast(round(case when discount then sub * 0.05 else 0 end, 2) as decimal(18,2)) discount_amount,
           cast(round(sub * 0.12, 2) as decimal(18,2)) tax_amount,
           cast(round(sub - case when discount then sub * 0.05 else 0 end + sub * 0.12, 2) as decimal(18,2)) total
-        from ct"""),
+        from ct
+        union all
+        select distinct cashier_id::varchar || '-' || strftime(created_at, '%Y%m%d') || '-odd', 1, 'Held Order #1', 'odd', 5,
+          cast(10.005 * 2 + 4 * 2.5 as decimal(18,2)), 0.00, cast((10.005 * 2 + 4 * 2.5) * 0.12 as decimal(18,2)),
+          cast((10.005 * 2 + 4 * 2.5) * 1.12 as decimal(18,2))
+        from ct where cashier_id % 7 = 5"""),
 }

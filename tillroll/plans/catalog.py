@@ -24,8 +24,8 @@ QUERIES: dict[str, QueryFn] = {}
 
 def register(name: str):
     def deco(fn: Callable[[PosTables], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(PosTables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str, store: bool = True) -> DataFrame:
+            return fn(PosTables(spark, sf_dir, store))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -120,12 +120,12 @@ def _cashier_tx(t: PosTables):
 
 @register("cashier_order_count")
 def _cashier_count(t: PosTables):
-    return reports.cashier_order_count(t.orders)
+    return reports.cashier_order_count(t.orders, t.users)
 
 
 @register("session_revenue")
 def _session_revenue(t: PosTables):
-    return reports.session_revenue(t.orders)
+    return reports.session_revenue(t.orders, t.user_sessions)
 
 
 @register("cashier_time_summary")
@@ -160,7 +160,8 @@ def _priced(t: PosTables):
 
 def _checkout(t: PosTables):
     priced = _priced(t)
-    return priced, writes.checkout_orders(t.carts, writes.cart_totals(priced, t.carts))
+    ensure_checkpoint_dir(t.spark)
+    return priced, writes.checkout_orders(t.carts, writes.cart_totals(priced, t.carts), t.user_sessions)
 
 
 @register("price_lines")
@@ -198,6 +199,12 @@ def _checkout_payments(t: PosTables):
     return writes.checkout_payments(_checkout(t)[1])
 
 
+@register("checkout_sessions")
+def _checkout_sessions(t: PosTables):
+    ensure_checkpoint_dir(t.spark)
+    return writes.checkout_sessions(t.carts, writes.cart_totals(_priced(t), t.carts), t.user_sessions)
+
+
 @register("accept_registrations")
 def _accept(t: PosTables):
     return writes.accept_registrations(t.registration_requests, t.registrations, t.users, AS_OF)["outcomes"]
@@ -254,8 +261,24 @@ def _image(t: PosTables):
     return writes.apply_image_url(t.products, t.image_updates)
 
 
+@register("staff_status_outcomes")
+def _staff_outcomes(t: PosTables):
+    return writes.staff_status_outcomes(t.users, t.staff_updates)
+
+
+@register("availability_outcomes")
+def _availability_outcomes(t: PosTables):
+    return writes.availability_outcomes(t.products, t.availability_updates)
+
+
+@register("image_outcomes")
+def _image_outcomes(t: PosTables):
+    return writes.image_outcomes(t.products, t.image_updates)
+
+
 @register("sessionize_logins")
 def _sessions(t: PosTables):
+    ensure_checkpoint_dir(t.spark)
     return writes.sessionize_logins(t.login_events)
 
 
@@ -286,9 +309,7 @@ def _menu_by_cat(t: PosTables):
 
 @register("products_grouped")
 def _grouped(t: PosTables):
-    """U03 in flat form (one row per product with chunk and position)."""
-    menu = reports.active_menu(t.products, t.product_sizes, t.product_addons)
-    return insights.flatten_grouped(insights.products_grouped(menu))
+    return insights.products_grouped(reports.active_menu(t.products, t.product_sizes, t.product_addons))
 
 
 @register("kitchen_status")
@@ -315,6 +336,6 @@ def _labels(t: PosTables):
 # ---- streaming -------------------------------------------------------------------
 @register("kitchen_queue_stream")
 def _kitchen_stream(t: PosTables):
-    """The kitchen board after streaming every status request in four
-    micro-batches; equals R09 over the orders after B08."""
+    """The kitchen board after streaming every checkout and status request
+    from an empty board; equals R09 over the orders after B08."""
     return kitchen_queue_stream(t.spark, t.orders, t.users, t.order_items, t.status_events)
