@@ -4,7 +4,8 @@ Usage: python tests/skew_report.py [sf_dir]
 
 A third of all login events is given to one user and a third of all cart
 adds to one (cart, line) key: stand-in input, built only here. Then the
-library's B10 and B02 run next to the naive form (one window per key), with
+library's B10 and B02 (also with the hot user's events all within one hour, and the hot
+key's changes spread over all of ``seq``) run next to the naive form (one window per key), with
 the event log written to a fresh scratch folder. For every stage the report
 gives the largest task's share of the stage's input records: 1/tasks when
 the work is spread evenly, close to 1/3 or more when one task holds the
@@ -73,7 +74,13 @@ def main(argv):
         spark.sparkContext.setJobDescription(desc)
         df.write.format("noop").mode("overwrite").save()
 
+    # The same hot user with all its events within one hour, and a key whose changes are spread over all of seq.
+    one_hour = F.timestamp_add("MICROSECOND", (F.col("id") % 3_600_000_000).cast("bigint"), F.lit("2024-01-05 10:00:00").cast("timestamp_ntz"))
+    burst = hot_logins.withColumn("ts", F.when(F.col("user_id") == 0, one_hour).otherwise(F.col("ts")))
+    spread = hot_adds.withColumn("seq", F.when(F.col("cart_id") == 1, F.col("seq") * 1_000_003).otherwise(F.col("seq")))
     run("B10 library", writes.sessionize_logins(hot_logins))
+    run("B10 library, hot user within one hour", writes.sessionize_logins(burst))
+    run("B02 library, hot key over all of seq", writes.merge_cart_lines(spread))
     w = Window.partitionBy("user_id").orderBy("ts", "id")
     run("B10 naive window per user", hot_logins.select("*", F.lead("ts").over(w).alias("n")))
     run("B02 library", writes.merge_cart_lines(hot_adds))

@@ -161,11 +161,23 @@ def test_merge_cart_lines_equals_replay_across_chunks(spark):
         q = want.get(key, 0)
         want[key] = max(0, q + ch) if (q > 0 or ch > 0) else 0
     want = {k: v for k, v in want.items() if v > 0}
-    for chunk in (3, 4096):                      # many ranges per key, and one
-        got = {(r.cart_id, r.cart_key): r.quantity for r in writes.merge_cart_lines(df, chunk_rows=chunk).collect()}
+    for bits in (1, 3, 16):                      # many ranges per key and level, and one
+        got = {(r.cart_id, r.cart_key): r.quantity for r in writes.merge_cart_lines(df, range_bits=bits).collect()}
         assert got == want
 
 
+def test_merge_cart_lines_spread_over_all_of_seq_and_removals(spark):
+    rnd = random.Random(9)
+    adds = [(rnd.randrange(-(2 ** 62), 2 ** 62), rnd.randrange(2), 1, None, None, rnd.choice([1, 1, 1, -1, -1, 0])) for _ in range(300)]
+    df = spark.createDataFrame(adds, "seq bigint, cart_id bigint, product_id bigint, size_id int, addon_id bigint, change int")
+    want = {}
+    for _, cart, _, _, _, ch in sorted(adds, key=lambda a: a[0]):
+        want[cart] = max(0, want.get(cart, 0) + ch) if ch else 0
+    got = {r.cart_id: r.quantity for r in writes.merge_cart_lines(df).collect()}
+    assert got == {k: v for k, v in want.items() if v > 0}
+    assert writes.merge_cart_lines(df.limit(0)).count() == 0
+
+
 # ---- T16-T19: totals and checkout ---------------------------------------------------------------
 def test_half_cent_discount_and_total_round_up(spark):
     lines = spark.createDataFrame([(1, 1, Decimal("0.10"), 1), (2, 2, Decimal("0.50"), 0)],
@@ -188,7 +200,8 @@ def test_checkout_defaults_and_rejections(spark, tables):
         [(10, 1, 7, "P", 0, "", 0, Decimal("2.50")), (20, 2, 7, "P", None, None, 2, Decimal("1.00"))],
         "line_id bigint, cart_id bigint, product_id bigint, product_name string, size_id int, "
         "size_label string, quantity int, unit_price decimal(10,2)")
-    orders = writes.checkout_orders(carts, writes.cart_totals(priced, carts))
+    none = spark.createDataFrame([], SESSIONS)
+    orders = writes.checkout_orders(carts, writes.cart_totals(priced, carts), none)
     got = {r.id: (r.status, r.reject_reason, r.notes) for r in orders.collect()}
     assert got == {1: ("pending", None, None), 2: (None, "invalid_payment_method", "x"),
                    3: (None, "no_items", "note")}
@@ -199,7 +212,7 @@ def test_checkout_defaults_and_rejections(spark, tables):
 
 def test_checkout_rows_belong_exactly_to_accepted_orders(spark, tables):
     priced = writes.price_lines(tables.cart_lines, tables.products, tables.product_sizes, tables.product_addons)
-    orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts))
+    orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts), tables.user_sessions)
     accepted = {r.id for r in orders.filter("reject_reason is null").collect()}
     item_orders = {r.order_id for r in writes.checkout_items(priced, tables.carts).select("order_id").collect()}
     assert item_orders == accepted
@@ -211,7 +224,7 @@ def test_checkout_rows_belong_exactly_to_accepted_orders(spark, tables):
 
 def test_checkout_invariants(spark, tables):
     priced = writes.price_lines(tables.cart_lines, tables.products, tables.product_sizes, tables.product_addons)
-    orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts))
+    orders = writes.checkout_orders(tables.carts, writes.cart_totals(priced, tables.carts), tables.user_sessions)
     items = writes.checkout_items(priced, tables.carts)
     acc = orders.filter("reject_reason is null")
     sums = items.groupBy("order_id").agg(F.sum("line_subtotal").alias("s"))
@@ -222,6 +235,52 @@ def test_checkout_invariants(spark, tables):
     assert drift <= Decimal("0.01")
 
 
+def test_a_cart_of_lines_that_cancel_out_has_items(spark):
+    carts = spark.createDataFrame([(1, 5, False, "cash", "\n", TS(2024, 1, 1))],
+                                  "cart_id bigint, cashier_id bigint, discount boolean, payment_method string, notes string, "
+                                  "created_at timestamp_ntz")
+    priced = spark.createDataFrame([(10, 1, 2, Decimal("1.00")), (11, 1, -2, Decimal("1.00"))],
+                                   "line_id bigint, cart_id bigint, quantity int, unit_price decimal(10,2)")
+    got = writes.checkout_orders(carts, writes.cart_totals(priced, carts), spark.createDataFrame([], SESSIONS)).first()
+    assert (got.reject_reason, got.notes, got.session_id) == (None, None, 1)
+
+
+def test_checkout_sessions_equal_replay(spark):
+    rnd = random.Random(12)
+    t = TS(2024, 1, 1)
+    at = lambda: t + dt.timedelta(minutes=rnd.randrange(600))
+    logins = []
+    for u in range(3):
+        times = sorted({at() for _ in range(12)})
+        for k, start in enumerate(times):
+            nxt = times[k + 1] if k + 1 < len(times) else None
+            end = rnd.choice([None, start + dt.timedelta(minutes=rnd.randrange(60)), nxt])
+            logins.append((len(logins) + 1, u, start, min(end, nxt) if end and nxt else end))
+    carts = [(100 + i, rnd.randrange(5), False, rnd.choice(["cash", "card"]), "", at()) for i in range(120)]
+    cdf = spark.createDataFrame(carts, "cart_id bigint, cashier_id bigint, discount boolean, payment_method string, notes string, "
+                                       "created_at timestamp_ntz")
+    lines = spark.createDataFrame([(c[0], c[0], 1, Decimal("1.00")) for c in carts],
+                                  "line_id bigint, cart_id bigint, quantity int, unit_price decimal(10,2)")
+    sdf = spark.createDataFrame(logins, SESSIONS)
+    want, opened, top = {}, {}, len(logins)
+    for cid, u, _, pay, _, when in sorted(carts, key=lambda c: (c[5], c[0])):
+        if pay == "card":
+            want[cid] = None
+            continue
+        before = [x for x in logins if x[1] == u and x[2] <= when]
+        last = max(before, key=lambda x: (x[2], x[0]), default=None)
+        if last and (last[3] is None or last[3] > when):
+            want[cid] = last[0]
+        else:
+            key = (u, last and last[0])
+            opened.setdefault(key, (top + cid, when))
+            want[cid] = opened[key][0]
+    totals = writes.cart_totals(lines, cdf)
+    assert {r.id: r.session_id for r in writes.checkout_orders(cdf, totals, sdf).collect()} == want
+    got = rows(writes.checkout_sessions(cdf, totals, sdf), "id", "user_id", "logged_in_at")
+    assert got == sorted((i, k[0], when) for k, (i, when) in opened.items())
+
+
 # ---- B08: status requests ----------------------------------------------------------------
 EVENTS = "order_id bigint, seq bigint, event_type string, actor_id bigint, event_time timestamp_ntz"
 
@@ -285,8 +344,12 @@ def test_sessionize_equals_replay_across_buckets(spark):
                 continue
             nxt = es[k + 1] if k + 1 < len(es) else None
             want[e[0]] = None if nxt is None else (nxt[2] if nxt[3] == "logout" else e[2])
-    for bucket in ("minute", "hour"):
-        got = {r.id: r.logged_out_at for r in writes.sessionize_logins(df, bucket=bucket).collect()}
+    for partitions in ("1", "4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = {r.id: r.logged_out_at for r in writes.sessionize_logins(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == want
     opens = writes.sessionize_logins(df).filter("logged_out_at is null").groupBy("user_id").count()
     assert opens.filter("count > 1").count() == 0
@@ -302,6 +365,16 @@ def test_held_carts_bad_documents_hold_nothing(spark):
     assert got == [("a", 1, "h1", 1, Decimal("0.56")), ("a", 2, "h2", 2, Decimal("21.40"))]
 
 
+def test_held_carts_are_read_as_strictly_as_a_browser_does(spark):
+    cart = '[{"id":"h","items":[{"unitPrice":10.005,"quantity":2},{"unitPrice":null,"quantity":3},{"unitPrice":2,"quantity":2.5}]}]'
+    texts = {"ok": cart, "space": f"\n\t {cart} \r\n", "trailing": cart + " xyz", "two": cart + "," + cart, "close": cart + "], [",
+             "member": cart + ', "x": 1', "single": "[{'id':'h','items':[]}]", "name": '[{id:"h"}]', "nan": '[{"id":"h","items":[{"unitPrice":NaN}]}]',
+             "null": "null", "text": '"[]"', "number": "5", "blank": "", "comment": "/* a */ []"}
+    df = spark.createDataFrame(list(texts.items()), "holder_id string, held_json string")
+    got = rows(writes.held_cart_totals(df), "holder_id", "item_count", "subtotal", "total")
+    assert got == [("ok", 7, Decimal("25.01"), Decimal("28.01")), ("space", 7, Decimal("25.01"), Decimal("28.01"))]
+
+
 # ---- U01 / U04 / U05 / U06 ------------------------------------------------------------------
 def test_category_counts_zero_and_all(spark):
     products = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 9, 1)], "id int, category_id int, is_available int")
@@ -314,6 +387,59 @@ def test_category_counts_zero_and_all(spark):
         ("1", "Showing 1 item"), ("2", "Showing 0 items"), ("all", "Showing 2 items")]
 
 
+def test_category_counts_of_an_empty_table_and_of_products_without_category(spark):
+    cats = spark.createDataFrame([(1,)], "id int")
+    products = spark.createDataFrame([(1, 1, 1), (2, None, 1)], "id int, category_id int, is_available int")
+    assert rows(insights.category_counts(products, cats), "category", "product_count") == [("1", 1), ("all", 2)]
+    assert rows(insights.category_counts(products.limit(0), cats), "category", "product_count") == [("1", 0), ("all", 0)]
+
+
+def test_daily_history_has_days_without_activity(spark):
+    o = spark.createDataFrame([order(1, 1, "completed", completed_at=TS(2024, 1, 1, 9)),
+                               order(2, 1, "completed", completed_at=TS(2024, 1, 3, 9))], ORDERS)
+    none = spark.createDataFrame([], SESSIONS)
+    got = rows(insights.daily_history(o, none, TS(2024, 1, 4, 12)), "day", "transactions_made", "transactions_made_yesterday")
+    assert got == [(dt.date(2024, 1, d), a, b) for d, a, b in ((1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 0, 1))]
+    got = rows(insights.daily_history(o.limit(0), none, TS(2024, 1, 4, 12)), "day", "transactions_made")
+    assert got == [(dt.date(2024, 1, 4), 0)]
+
+
+def test_cashiers_and_sessions_without_orders_count_zero(spark):
+    o = spark.createDataFrame([order(1, 1, "completed", total="5.00"), order(2, None, "pending")], ORDERS)
+    users = spark.createDataFrame([(1, "a", "A", "a@x", "Cashier", "active", TS(2024, 1, 1)),
+                                   (2, "b", "B", "b@x", "Cashier", "active", TS(2024, 1, 1))], USERS)
+    sessions = spark.createDataFrame([(1, 1, TS(2024, 1, 1), None), (7, 2, TS(2024, 1, 1), None)], SESSIONS)
+    counts = {r.cashier_id: r.total_transactions for r in reports.cashier_order_count(o, users).collect()}
+    assert counts == {1: 1, 2: 0, None: 1}
+    got = {(r.cashier_id, r.session_id): r.session_revenue for r in reports.session_revenue(o, sessions).collect()}
+    assert got == {(1, 1): Decimal("5.00"), (2, 7): Decimal("0.00"), (None, 1): Decimal("0.00")}
+
+
+def test_notes_and_initials(spark):
+    df = spark.createDataFrame([("\n",), (" a\n",), ("\u00a0\t",), ("a b",), (None,)], "x string")
+    assert [r[0] for r in df.select(scalars.blank_to_null("x")).collect()] == [None, "a", None, "a b", None]
+    df = spark.createDataFrame([(" juan  dela cruz ",), ("é",), ("",), (None,), (" \t",)], "x string")
+    assert [r[0] for r in df.select(scalars.initials("x")).collect()] == ["JD", "É", "NA", "NA", "NA"]
+
+
+def test_nesting_of_one_large_order(spark):
+    n = 4000
+    items = spark.createDataFrame([(i, 1, 5, "P", None, None, 1, Decimal("1"), Decimal("1")) for i in range(n)], ITEMS)
+    addons = spark.createDataFrame([(i, i // 2, 9, f"A{i % 2}", 1, Decimal("1"), Decimal("1")) for i in range(n)],
+                                   "id bigint, order_item_id bigint, addon_id bigint, addon_name string, quantity int, "
+                                   "addon_price decimal(10,2), addon_subtotal decimal(10,2)")
+    r = reports.order_lines_nested(items, addons).collect()
+    assert len(r) == 1 and [x.id for x in r[0]["items"]] == list(range(n))
+    assert [[a.id for a in x.addons] for x in r[0]["items"]] == [[2 * i, 2 * i + 1] if 2 * i < n else [] for i in range(n)]
+
+
+def test_derived_times_and_ids_do_not_overflow(spark):
+    from tillroll.sources.fixtures import add_seconds, t0
+    df = spark.createDataFrame([(600_000 * 3600,), (36_000_000 * 61,), (86_399,), (-1,)], "n bigint")
+    got = [r[0] for r in df.select(add_seconds(F.col("n"), t0())).collect()]
+    assert got == [TS(2024, 1, 1) + dt.timedelta(seconds=n) for n in (600_000 * 3600, 36_000_000 * 61, 86_399, -1)]
+
+
 def test_kitchen_status_empty_and_hours(spark):
     empty = spark.createDataFrame([], ORDERS)
     r = insights.kitchen_status(empty, TS(2024, 1, 30)).first()
@@ -440,15 +566,16 @@ def test_menu_options_and_ordering(spark):
     assert [r.name for r in got] == ["apple", "Éclair", "zest"]     # accent- and case-insensitive order
 
 
-def test_products_grouped_splits_categories_by_id_range(spark):
-    menu = spark.createDataFrame([(i, 1 if i % 2 else 7, f"p{i}", None, Decimal("1"), None, 0)
-                                  for i in (1, 2, 3, 1500, 1501, 4000)],
-                                 "id int, category_id int, name string, description string, "
+def test_products_grouped_does_not_depend_on_the_ranges(spark):
+    menu = spark.createDataFrame([(i, c, f"p{i}", None, Decimal("1"), None, 0)
+                                  for i, c in ((5, 1), (1023, 1), (1024, 1), (2050, 1), (2, 7), (4000, 7), (3, None))],
+                                 "id bigint, category_id int, name string, description string, "
                                  "base_price decimal(10,2), image_url string, has_options int")
-    g = insights.products_grouped(menu, chunk_ids=1024)
-    got = sorted((r.category_id, r.header, r.chunk, [x.id for x in r.items]) for r in g.collect())
-    assert got == [(1, "☕ Coffee", 0, [1, 3]), (1, "☕ Coffee", 1, [1501]),
-                   (7, " Category 7", 0, [2]), (7, " Category 7", 1, [1500]), (7, " Category 7", 3, [4000])]
+    want = {(1, "☕ Coffee", 0, 5), (1, "☕ Coffee", 1, 1023), (1, "☕ Coffee", 2, 1024), (1, "☕ Coffee", 3, 2050),
+            (7, " Category 7", 0, 2), (7, " Category 7", 1, 4000), (None, None, 0, 3)}
+    for ids in (2, 1024, 65_536):
+        got = insights.products_grouped(menu, range_ids=ids).collect()
+        assert {(r.category_id, r.header, r.pos, r.id) for r in got} == want
 
 
 # ---- B06 / B09: rejections and latest-wins updates ----------------------------------------------
@@ -475,8 +602,20 @@ def test_staff_status_refuses_self_disable_and_unknown_values(spark):
     assert rows(writes.apply_availability(prods, av), "id", "is_available") == [(5, 0)]
 
 
+def test_update_outcomes(spark):
+    users = spark.createDataFrame([(1, "m", "M", "m@x", "Manager", "active", TS(2024, 1, 1))], USERS)
+    upd = spark.createDataFrame([(1, 1, "disabled", 1), (2, 1, "disabled", 2), (3, 1, "paused", 1), (4, 9, "active", 1), (5, 1, None, 1)],
+                                "seq bigint, user_id bigint, is_active string, manager_id bigint")
+    assert rows(writes.staff_status_outcomes(users, upd), "seq", "outcome") == [
+        (1, "own_account"), (2, "updated"), (3, "invalid_status"), (4, "not_found"), (5, "invalid_status")]
+    prods = spark.createDataFrame([(5, 1, "P", None, Decimal("1"), None, 1)], PRODUCTS)
+    av = spark.createDataFrame([(1, 5, 0), (2, 5, 2), (3, 6, 1)], "seq bigint, product_id int, is_available int")
+    assert rows(writes.availability_outcomes(prods, av), "seq", "outcome") == [(1, "updated"), (2, "invalid_value"), (3, "not_found")]
+    im = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "seq bigint, product_id int, image_url string")
+    assert rows(writes.image_outcomes(prods, im), "seq", "outcome") == [(1, "updated"), (2, "not_found")]
+
+
 def test_signup_rounds_never_leave_outcomes_empty(spark):
-    import pytest
     t = TS(2024, 1, 1)
     # a chain where each sign-up clashes with the next: decided one per round
     data = [(i, f"u{i // 2}", f"e{(i + 1) // 2}", t + dt.timedelta(seconds=i)) for i in range(8)]
@@ -485,5 +624,3 @@ def test_signup_rounds_never_leave_outcomes_empty(spark):
     regs = spark.createDataFrame([], "username string, email string")
     got = dict(rows(writes.registration_conflicts(s, users, regs), "id", "outcome"))
     assert got == replay_signups(data, set(), set())
-    with pytest.raises(RuntimeError):
-        writes.registration_conflicts(s, users, regs, max_rounds=1)
