@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,16 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
+    """The texts in order, in runs of about ``limit`` bytes (at least one text), so that a task holds little at a time whatever Spark's batch size."""
+    _, offsets = flat_bytes(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of every text, in order, and the n+1 word offsets of the texts.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import flat_bytes, gram_hashes, word_hashes
+from tillroll.llm.common import flat_bytes, gram_hashes, slices, word_hashes
 
 #: Words of one fingerprint. A window of 10 words then has 6 of them, and winnowing over 6 keeps at least one.
 GRAM = 5
@@ -156,15 +156,17 @@ def _matcher(index):
     @F.arrow_udf(f"struct<n_words:bigint,hits:{HIT}>")
     def match(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            data, offsets = flat_bytes(part)
-            words, at = word_hashes(data, offsets)
-            hits = index.value.match(words, at)
+            hits, n_words = [], []
+            for piece in slices(part):
+                words, at = word_hashes(*flat_bytes(piece))
+                hits += index.value.match(words, at)
+                n_words.append(np.diff(at))
             flat = [h for doc in hits for h in doc]
             spans = pa.StructArray.from_arrays(
                 [pa.array([h[0] for h in flat], pa.string()), pa.array([h[1] for h in flat], pa.int32()),
                  pa.array([h[2] for h in flat], pa.int32())], names=["item", "first", "after"])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(d) for d in hits]), pa.int32()), spans)
-            yield pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64()), lists], names=["n_words", "hits"])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), lists], names=["n_words", "hits"])
 
     return match
 

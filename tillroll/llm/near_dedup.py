@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import flat_bytes, gram_hashes, mix, small_side, stored, word_hashes
+from tillroll.llm.common import flat_bytes, gram_hashes, mix, slices, small_side, stored, word_hashes
 
 SHINGLE = 5
 #: Samples of a signature: 16 bands of 3. A bucket is a pair of bands out of the same group of bands, so it needs six
@@ -42,11 +42,12 @@ def shingles_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     A shingle is five words; a text of fewer words, but not none, is one shingle.
     """
-    words, at = word_hashes(*flat_bytes(texts))
-    grams = gram_hashes(words, SHINGLE)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        own = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else gram_hashes(words[a:b], b - a) if b > a else grams[:0]
-        yield np.unique(own, return_counts=True)
+    for part in slices(texts):
+        words, at = word_hashes(*flat_bytes(part))
+        grams = gram_hashes(words, SHINGLE)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else gram_hashes(words[a:b], b - a) if b > a else grams[:0]
+            yield np.unique(own, return_counts=True)
 
 
 def cells(shingles: np.ndarray) -> np.ndarray:
@@ -106,9 +107,10 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, docs = np.zeros(1 << CELL_BITS, np.int64), 0
         for part in parts:
-            found = [u for u, _ in shingles_of(part.column(0))]
-            docs += len(found)
-            load += np.bincount(cells(np.concatenate(found)) if found else np.zeros(0, np.int64), minlength=1 << CELL_BITS)
+            for piece in slices(part.column(0)):
+                found = [cells(u) for u, _ in shingles_of(piece)]
+                docs += len(found)
+                np.add.at(load, np.concatenate(found), 1)
         rows = load.astype(np.uint32 if load.max() < 1 << 32 else np.uint64).reshape(256, -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *range(256)], pa.int32()), pa.array([docs, *[0] * 256], pa.int64()),
