@@ -159,7 +159,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                    rounds: int = 2) -> DataFrame:
     """Put every document into a class of near duplicates.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z. A
@@ -169,9 +170,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     similarity of at least ``threshold`` are linked, and a class is a
     connected part.
 
-    No bucket is expanded into all its pairs: its nodes are compared with one
-    node of the bucket; those not linked to it are compared with further
-    nodes of the bucket in later rounds, until none is left. No bucket is capped.
+    No bucket is expanded into all its pairs, and none is capped: each round
+    compares all nodes of a bucket with one of them, its centre, so the work
+    grows with the number of nodes. The first centre is the node that meets
+    most others over all its buckets: the original among its edited copies,
+    and the same one in many buckets. In each of the later ``rounds`` it is another node for every
+    bucket, and only nodes of another class than the centre's are compared. A
+    document has 35 buckets, and two documents of similarity 0.8 share nine of
+    them on average, so it meets many centres of its class.
 
     Returns one row per input row: the id, ``class_id`` (the smallest id in
     the class), ``class_size`` (rows), and ``text_md5``. Documents with null text are each a class of their
@@ -202,46 +208,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), "dedup-nodes")
 
     buckets = nodes.select("nid", F.explode("s.keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).where("a < b").select("key")
-    left = stored(buckets.join(shared, "key"), "dedup-members")  # members of buckets that wait for a link
-    hit = stored(left.select("nid").distinct(), "dedup-hit")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = buckets.join(shared, "key")
+    members = stored(members, "dedup-members")
+    degree = members.groupBy("nid").agg(F.sum("n").alias("degree"))
+    n_hit = degree.count()
+    members = stored(members.join(small_side(degree, n_hit), "nid").select("key", "nid", "degree"), "dedup-members")
+    hit = stored(members.select("nid").distinct(), "dedup-hit")
     wanted = nodes.join(small_side(hit, hit.count()), "nid").select("nid", F.col("text_md5").alias("md5"), F.col("first_id"), F.col("s.samples").alias("samples"))
     wanted = stored(wanted, "dedup-wanted")
     n_wanted = wanted.count()
     texts = rows.join(small_side(wanted.select("nid", "md5", "first_id"), n_wanted), (md5 == F.col("md5")) & F.col("id").eqNullSafe(F.col("first_id")))
     texts = stored(texts.groupBy("nid").agg(F.first("text").alias("text")), "dedup-texts")
 
-    edges = []
-    checked = None
-    tries = 1
-    while n_wanted:
-        seeds = [0, *np.random.default_rng(tries).integers(0, 1 << 62, tries - 1).tolist()]
-        # The least value after flipping fixed bits is some node of the bucket, another one for each seed.
-        centres = left.groupBy("key").agg(*[F.min(F.col("nid").bitwiseXOR(F.lit(s))).alias(f"c{i}") for i, s in enumerate(seeds)])
-        centres = centres.select("key", F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(seeds)])).alias("centres"))
-        trial = stored(left.join(centres, "key").select("key", "nid", F.explode("centres").alias("centre")), "dedup-trial")
-        pairs = trial.where("nid <> centre").select(F.least("nid", "centre").alias("a"), F.greatest("nid", "centre").alias("b")).distinct()
+    links, checked, labels, n_labels = None, None, None, 0
+    for round_ in range(rounds if n_wanted else 0):
+        pairs = _pairs_of_round(members, labels, n_labels, round_)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         new = _compare(stored(pairs, "dedup-pairs"), wanted, n_wanted, texts, idf, threshold)
-        edges.append(new.where("linked").select("a", "b"))
-        checked = stored(new if checked is None else checked.unionByName(new), "dedup-checked")
-        done = trial.select("key", "nid", "centre", F.least("nid", "centre").alias("a"), F.greatest("nid", "centre").alias("b")).join(
-            checked, ["a", "b"], "left").groupBy("key", "nid").agg(
-            F.max(F.coalesce(F.col("linked"), F.lit(False)) | (F.col("nid") == F.col("centre"))).alias("done"))
-        rest = done.where("not done").select("key", "nid")
-        left = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "dedup-members")
-        if not left.limit(1).count():
-            break
-        tries = min(4 * tries, 64)
-    if edges:
-        links = edges[0]
-        for e in edges[1:]:
-            links = links.union(e)
+        found = new.where("linked").select("a", "b")
+        links = found if links is None else links.union(found)
+        checked = new if checked is None else checked.union(new)
         labels = components(links)
-        nodes = nodes.join(small_side(labels, labels.count()), "nid", "left")
-    else:
+        n_labels = labels.count()
+    if labels is None:
         nodes = nodes.withColumn("label", F.col("nid"))
+    else:
+        nodes = nodes.join(small_side(labels, n_labels), "nid", "left")
     nodes = stored(nodes.select("text_md5", "first_id", "copies", F.coalesce("label", "nid").alias("label")), "dedup-labels")
     classes = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_text = stored(nodes.join(classes, "label").select(F.col("text_md5").alias("_md5"), "class_id", "class_size"), "dedup-classes")
@@ -251,6 +245,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_md5")
 
 
+def _pairs_of_round(members: DataFrame, labels: DataFrame | None, n_labels: int, round_: int) -> DataFrame:
+    """The (a, b) pairs of nodes to compare: the members (key, nid) of each bucket with its centre of this round."""
+    if round_:  # only buckets that hold several classes
+        known = small_side(labels, n_labels)
+        members = members.join(known, "nid", "left").select("key", "nid", "degree", F.coalesce("label", "nid").alias("label"))
+        open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+        members = stored(members.join(open_, "key"), "dedup-open")
+        # Flipping bits that depend on bucket and round makes some node the least one.
+        flip = F.xxhash64("key", F.lit(round_))
+        centres = members.groupBy("key").agg(F.min(F.col("nid").bitwiseXOR(flip)).alias("c")).select("key", F.col("c").bitwiseXOR(flip).alias("centre"))
+        of_centre = small_side(labels.select(F.col("nid").alias("centre"), F.col("label").alias("cl")), n_labels)
+        centres = centres.join(of_centre, "centre", "left").select("key", "centre", F.coalesce("cl", "centre").alias("cl"))
+        trial = members.join(centres, "key").where("label <> cl")
+    else:
+        first = members.groupBy("key").agg(F.max(F.struct("degree", "nid")).alias("c")).select("key", F.col("c.nid").alias("centre"))
+        trial = members.join(first, "key").where("nid <> centre")
+    return trial.select(F.least("nid", "centre").alias("a"), F.greatest("nid", "centre").alias("b")).distinct()
+
+
 def _compare(pairs: DataFrame, wanted: DataFrame, n_wanted: int, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b, linked) for every pair of nodes: signatures first, then whole texts."""
 
