@@ -29,10 +29,10 @@ IDF_SPAN = 0.25
 
 _rng = np.random.default_rng(20240229)
 _POOL = 1 << 16  # random variates are drawn from pools of this size by 16 bits of a hash each
-_R = _rng.gamma(2.0, 1.0, _POOL)
-_R_INV = 1.0 / _R
-_LN_C = np.log(_rng.gamma(2.0, 1.0, _POOL))
-_BETA = _rng.random(_POOL)
+_R = _rng.gamma(2.0, 1.0, _POOL).astype(np.float32)
+_R_INV = 1 / _R
+_LN_C = np.log(_rng.gamma(2.0, 1.0, _POOL)).astype(np.float32)
+_BETA = _rng.random(_POOL).astype(np.float32)
 _SEEDS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)[:, None]
 _PAIRS = np.array([p for n, first in zip(BAND_GROUPS, np.cumsum((0,) + BAND_GROUPS)) for p in combinations(range(first, first + n), 2)])
 
@@ -60,18 +60,24 @@ def weigh(shingles: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 
 def sample(shingles: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
     """Improved consistent weighted sampling: 48 samples, each equal for two sets with the probability of their weighted Jaccard similarity."""
-    best, out = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.uint64)
+    best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
+    ln_w, row = np.log(weights).astype(np.float32), np.arange(SAMPLES)
     for at in range(0, len(shingles), block):
-        u, ln_w = shingles[at : at + block], np.log(weights[at : at + block])
+        u = shingles[at : at + block]
         h = (u ^ _SEEDS) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        i, j, k = ((h >> np.uint64(s)) & np.uint64(_POOL - 1) for s in (16, 32, 48))
-        beta, r = _BETA[k], _R[i]
-        t = np.floor(ln_w * _R_INV[i] + beta)
-        ln_a = _LN_C[j] - r * (t - beta + 1.0)
+        part = h.view(np.uint16).reshape(SAMPLES, len(u), 4)  # three of the four 16-bit parts pick the variates
+        r, beta = _R[part[:, :, 1]], _BETA[part[:, :, 3]]
+        t = _R_INV[part[:, :, 1]]
+        t *= ln_w[at : at + block]
+        t += beta
+        np.floor(t, out=t)
+        ln_a = t - beta
+        ln_a += np.float32(1)
+        ln_a *= r
+        np.subtract(_LN_C[part[:, :, 2]], ln_a, out=ln_a)
         first = ln_a.argmin(axis=1)
-        row = np.arange(SAMPLES)
         low = ln_a[row, first]
         better = low < best
         best[better] = low[better]
