@@ -42,4 +42,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS
 FROM lines LEFT JOIN shared USING (k) GROUP BY doc_id
 """
 
-LLM_ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op6_dedup_lines": OP6}
+#: CRC-32 by its definition, as DuckDB has no function for it: a table from the polynomial, then byte by byte.
+OP1 = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+bytes AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+coded AS (
+  SELECT doc_id, md5(text) AS d, CAST(strlen(text) + 8 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(text) + 1, 2),
+      lambda i: CAST(concat('0x', substr(h, CAST(i AS INTEGER), 2)) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INTEGER) + 1]))) AS crc
+  FROM bytes, crc_table),
+placed AS (
+  SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS start, row_number() OVER (ORDER BY d, doc_id NULLS FIRST) - 1 AS place,
+    CAST(sum(size) OVER () AS BIGINT) AS total
+  FROM coded WINDOW w AS (ORDER BY d, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+grouped AS (SELECT *, min(start) OVER (PARTITION BY d) AS g1, max(start + size) OVER (PARTITION BY d) AS g2 FROM placed),
+held AS (
+  SELECT k, k * total / CAST(24 AS DOUBLE) AS target, CASE WHEN small THEN g1 ELSE start END AS a,
+    CASE WHEN small THEN g2 ELSE start + size END AS b
+  FROM (SELECT *, g2 - g1 <= CAST(0.02 AS DOUBLE) * total / 24 AS small FROM grouped), range(1, 24) ks(k)
+  WHERE start * 24 < k * total AND (start + size) * 24 >= k * total),
+cuts AS (SELECT CASE WHEN target - a < b - target THEN a ELSE b END AS cut FROM held),
+sharded AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cut <= start) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
+
+LLM_ORACLES: dict[str, str] = {"op1_shard_by_bytes": OP1, "op2_decontaminate": OP2, "op6_dedup_lines": OP6}
