@@ -38,13 +38,13 @@ def test_equals_brute_force(spark, shards):
 
 def test_small_groups_stay_whole_and_sizes_near(spark):
     rows = [(i, f"document {i // 3 if i < 300 else 1000 + i} " + "word " * 40, "en", "a") for i in range(900)]
-    got = shard_by_bytes(frame(spark, rows), 10).collect()
+    got = shard_by_bytes(frame(spark, rows), 10, group_share=0.05).collect()
     shards_of = {}
     for r in got:
         shards_of.setdefault(r["text_md5"], set()).add(r["shard"])
     assert max(map(len, shards_of.values())) == 1
     sums = [sum(r["size"] for r in got if r["shard"] == s) for s in range(10)]
-    assert max(sums) - min(sums) <= 0.05 * sum(sums) / 10
+    assert max(sums) - min(sums) <= 0.1 * sum(sums) / 10
 
 
 def test_hot_text_is_spread(spark):
