@@ -22,10 +22,15 @@ def texts(rng):
     return ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 120))) for _ in range(120)]
 
 
-def test_equals_the_library(library):
+@pytest.mark.parametrize("memo", [1_000_000, 5, 0])
+def test_equals_the_library(library, monkeypatch, memo):
+    from tillroll.llm import token_counts
+    monkeypatch.setattr(token_counts, "MEMO", memo)
     counter = Counter(PATH)
     some = texts(random.Random(1))
-    assert counter.count(some) == [library(t) for t in some]
+    want = [library(t) for t in some]
+    assert counter.count(some) == want and counter.count(some[::-1]) == want[::-1]
+    assert len(counter.memo) <= memo
 
 
 @pytest.mark.parametrize("chunk,overlap", [(16, 4), (40, 8), (64, 60), (200, 20)])
@@ -36,7 +41,7 @@ def test_splicing_equals_the_library(library, chunk, overlap):
 
 
 def test_column(spark, library):
-    rows = edge_rows() + [(500, "lorem ipsum " * 20_000, "en", "a"), (501, "q" * 70_000, "en", "a")]
+    rows = edge_rows() + [(500, "lorem ipsum " * 20_000, "en", "a"), (501, "q" * 140_000, "en", "a")]
     got = frame(spark, rows).select("doc_id", "text", token_count("text", PATH).alias("n")).collect()
     assert [r["n"] for r in got] == [library(r["text"]) for r in got]
     assert frame(spark, rows).where("false").select(token_count("text", PATH)).count() == 0

@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts of more characters than this are encoded in overlapping chunks.
-CHUNK = 32_768
+CHUNK = 65_536
 OVERLAP = 512
-#: Distinct words whose counts one Python worker remembers; when full, it starts anew (only speed depends on it).
-MEMO = 400_000
+#: Distinct words whose counts a Python worker remembers from task to task; further words are counted anew in each batch.
+MEMO = 1_000_000
 
 _SPACES = " \t\n\r\x0b\x0c"
 
@@ -45,15 +45,16 @@ class Counter:
         """Token counts of texts of ordinary length: the counts of their white-space separated words, each encoded once."""
         split = [t.encode().split() for t in texts]
         new = list({w for words in split for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list({w for words in split for w in words})
+        room = MEMO - len(self.memo)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.memo.update(zip(part, map(len, encoded)))
         known = self.memo.__getitem__
-        return [sum(map(known, words)) for words in split]
+        counts = [sum(map(known, words)) for words in split]
+        for w in new[max(room, 0):]:
+            del self.memo[w]
+        return counts
 
     def count_long(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Token count of a text of any length, holding one or two chunks at a time.
@@ -104,6 +105,16 @@ class Counter:
         return None
 
 
+_counters: dict[str, Counter] = {}
+
+
+def _counter(path: str) -> Counter:
+    """This process's counter; Spark's Python workers serve many tasks."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def token_count(text: Column | str, tokenizer_path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Number of tokens of a whole text, without added special tokens; null and empty texts have none.
 
@@ -115,7 +126,7 @@ def token_count(text: Column | str, tokenizer_path: str, chunk: int = CHUNK, ove
 
     @F.arrow_udf("bigint")
     def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(tokenizer_path)
+        counter = _counter(tokenizer_path)
         for part in parts:
             texts = [t or "" for t in part.to_pylist()]
             short = iter(counter.count([t for t in texts if len(t) <= chunk]))
