@@ -25,14 +25,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows that one file of a small intermediate table holds.
+ROWS_PER_FILE = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the cluster's shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads the files instead of
     recomputing what made them, and a table used several times is made once.
     All files of an application lie under one folder; see ``drop_stored``.
+    With ``rows``, the number of narrow rows at most, the table gets as many
+    files as these need: a loop over a small table then runs few tasks.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -68,8 +68,8 @@ def balance(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-7, max_s
         F.when(ratio > 1, F.log(F.lit(float(MAX_RATE))) * reach).otherwise(0.0).alias("high"),
         F.when(ratio >= MAX_RATE, F.log(F.lit(float(MAX_RATE))) * reach).otherwise(F.log(ratio)).alias("lam"),
         (ratio >= MAX_RATE).alias("done"))
-    state = stored(state.withColumn("lam", F.least(F.greatest("lam", "low"), "high")), "mix-state")
-    sources = state.count()
+    sources = targets.count()
+    state = stored(state.withColumn("lam", F.least(F.greatest("lam", "low"), "high")), "mix-state", sources)
     for _ in range(max_steps):
         open_ = state.where(~F.col("done"))
         words = F.col("n") * F.col("size") * rate
@@ -87,7 +87,7 @@ def balance(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-7, max_s
         moved = open_.join(sums, "sid").select(
             "sid", "target", "unit", "source_size", low.alias("low"), high.alias("high"),
             F.when(near | (low == high), F.col("lam")).otherwise(step).alias("lam"), (near | (low == high)).alias("done"))
-        state = stored(moved.unionByName(state.where("done")), "mix-state")
+        state = stored(moved.unionByName(state.where("done")), "mix-state", sources)
         if not state.where(~F.col("done")).limit(1).count():
             break
     return state.select("sid", "lam", "unit")

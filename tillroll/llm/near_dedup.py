@@ -156,9 +156,9 @@ def components(edges: DataFrame) -> DataFrame:
     while n:
         seen = both.join(small_side(labels.select(F.col("nid").alias("b"), "label"), n), "b")
         low = seen.groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("m"))
-        low = stored(labels.join(low, "nid").select("nid", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
+        low = stored(labels.join(low, "nid").select("nid", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels", n)
         jump = small_side(low.select(F.col("nid").alias("label"), F.col("label").alias("further")), n)
-        moved = stored(low.join(jump, "label").select("nid", "old", F.least("label", "further").alias("label")), "labels")
+        moved = stored(low.join(jump, "label").select("nid", "old", F.least("label", "further").alias("label")), "labels", n)
         labels = moved.select("nid", "label")
         if not moved.where("old <> label").limit(1).count():
             break
