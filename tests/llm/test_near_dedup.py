@@ -91,6 +91,15 @@ def test_keep_first(spark):
     assert keep_first(df.where("false")).count() == 0
 
 
+def test_keep_first_keeps_different_texts_without_or_with_the_same_id(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60, 3000) for _ in range(6)]
+    rows = [(None, t, "en", "a") for t in texts[:4]] + [(None, texts[0], "en", "b"), (5, texts[4], "en", "a"), (5, texts[5], "en", "a"),
+                                                        (5, texts[5], "en", "a"), (None, None, "en", "a"), (None, None, "en", "b"), (7, None, "en", "a"), (7, None, "en", "a")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in keep_first(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(None, t) for t in texts[:4]] + [(5, texts[4]), (5, texts[5]), (None, None), (None, None), (7, None)], key=repr)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.8])
 def test_samples_agree_as_often_as_the_weighted_jaccard(share):
     rng = np.random.default_rng(5)

@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     them on average, so it meets many centres of its class.
 
     Returns one row per input row: the id, ``class_id`` (the smallest id in
-    the class), ``class_size`` (rows), and ``text_md5``. Documents with null text are each a class of their
+    the class), ``class_size`` (rows), ``text_md5``, and ``class_md5`` (the smallest MD5 of the class's texts, which
+    tells classes apart also where ids are null or repeated; null for null texts). Documents with null text are each a class of their
     own, with their own id. Texts without words (also the empty text) are
     only ever equal to the very same text. Repeated rows are copies of each other. An
     empty table gives no rows.
@@ -243,12 +244,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     else:
         nodes = nodes.join(small_side(labels, n_labels), "nid", "left")
     nodes = stored(nodes.select("text_md5", "first_id", "copies", F.coalesce("label", "nid").alias("label")), "dedup-labels")
-    classes = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_text = stored(nodes.join(classes, "label").select(F.col("text_md5").alias("_md5"), "class_id", "class_size"), "dedup-classes")
+    classes = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"),
+                                         F.min("text_md5").alias("class_md5"))
+    of_text = stored(nodes.join(classes, "label").select(F.col("text_md5").alias("_md5"), "class_id", "class_size", "class_md5"), "dedup-classes")
     ids = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("text_md5"))
     return ids.join(small_side(of_text, of_text.count()), F.col("text_md5") == F.col("_md5"), "left").select(
         F.col("id").alias(id_col), F.when(F.col("text_md5").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_md5")
+        F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_md5", "class_md5")
 
 
 def _pairs_of_round(members: DataFrame, labels: DataFrame | None, n_labels: int, round_: int) -> DataFrame:
@@ -299,13 +301,14 @@ def _compare(pairs: DataFrame, wanted: DataFrame, n_wanted: int, texts: DataFram
 def keep_first(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, of which each class of near duplicates keeps the one with the smallest id.
 
-    Of rows that repeat that id, with the same text or another text of the class, one stays.
-    Documents with null text all stay, but for repeated ids, of which one row stays.
+    Of rows that repeat that id, with the same text or another text of the class, one stays. Texts of different classes all stay,
+    also if they have the same id or none. Documents with null text all stay, but for repeated ids, of which one row
+    stays; those without an id are all different documents.
     """
     found = near_duplicates(docs, threshold, id_col, text_col)
-    kept = stored(found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(
-        F.col(id_col).alias("_id"), F.when(F.col("text_md5").isNotNull(), F.col("class_id")).alias("_class")).agg(
-        F.min("text_md5").alias("_md5"), F.count("*").alias("_rows")), "dedup-kept")
+    first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("text_md5").isNotNull() | F.col(id_col).isNotNull()))
+    kept = stored(first.groupBy(F.col("class_md5"), F.when(F.col("class_md5").isNull(), F.col(id_col)).alias("_alone")).agg(
+        F.first(id_col).alias("_id"), F.min("text_md5").alias("_md5"), F.count("*").alias("_rows")).select("_id", "_md5", "_rows"), "dedup-kept")
     n = kept.count()
     own = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*own).alias("_row"), F.col(id_col).alias("_rid"), F.md5(F.col(text_col).cast("binary")).alias("_rmd5"))
@@ -313,4 +316,5 @@ def keep_first(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     single = joined.where("_rows = 1").select("_row")
     # Only rows that repeat an id are brought together.
     repeated = joined.where("_rows > 1").groupBy("_id", "_md5").agg(F.first("_row").alias("_row")).select("_row")
-    return single.union(repeated).select("_row.*")
+    unnamed = keyed.where(F.col("_rid").isNull() & F.col("_rmd5").isNull()).select("_row")
+    return single.union(repeated).union(unnamed).select("_row.*")
