@@ -59,3 +59,14 @@ def test_few_and_none(spark):
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 100), (100, 1, 1), (100, 2, 0)]
     assert got[0][3] == pytest.approx(0.5)
     assert search(df.where("false"), df).count() == 0 and search(df, df.where("false")).count() == 0
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(2)
+    vectors = {int(i): [float(x) for x in np.float32(rng.normal(size=8))] for i in range(60)}
+    rows = [(i, v) for i, v in vectors.items() for _ in range(12)] + [(i, [100.0 + j] * 8) for i, v in vectors.items() for j in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = {i: v for i, v in vectors.items() if i % 30 == 0}
+    asked = spark.createDataFrame(list(queries.items()), "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in search(df, asked, lists=1, probes=1).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in brute(vectors, queries, 10)]

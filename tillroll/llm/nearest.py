@@ -68,7 +68,7 @@ def fit(vectors: DataFrame, dim: int, id_col: str, vector_col: str, lists: int,
 
 def scan(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, rotation: np.ndarray,
          k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the indices and distances of its ``k`` nearest vectors (not those with its own id), ties to the smaller id.
+    """For each query the indices and distances of the nearest vectors of its ``k`` nearest ids (without its own), ties to the smaller id.
 
     Rotated vectors are read in blocks of columns. After each block a
     candidate's distance is estimated from the part read; the candidates that a
@@ -81,7 +81,8 @@ def scan(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: n
     turned, asked = (vectors @ rotation).astype(np.float32), (queries @ rotation).astype(np.float32)
     edges = list(range(0, dim, COLUMN_BLOCK)) + [dim]
     blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges, edges[1:])]
-    first = np.arange(min(len(ids), 8 * k))
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    first, repeated = starts[: 8 * k], len(starts) < len(ids)  # one vector of an id
     for q in range(len(queries)):
         near = np.sort(((vectors[first] - queries[q]) ** 2).sum(axis=1)[ids[first] != query_ids[q]])
         limit = near[k - 1] if len(near) >= k else np.inf
@@ -93,7 +94,10 @@ def scan(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: n
             keep = part * (dim / b) <= limit * (1 + SLACK / np.sqrt(b)) ** 2
             alive, part = alive[keep], part[keep]
         exact = np.sqrt(((vectors[alive] - queries[q]) ** 2).sum(axis=1))
-        best = np.argsort(exact, kind="stable")[:k]  # alive is in the order of ids
+        best = np.argsort(exact, kind="stable")  # alive is in the order of ids
+        if repeated:
+            best = best[np.sort(np.unique(ids[alive[best]], return_index=True)[1])]
+        best = best[:k]
         yield q, order[alive[best]], exact[best]
 
 
@@ -125,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 128
     if sizes is None:
         return empty
     dim = sizes["dim"]
-    clean = clean.where(F.size("v") == dim)
+    clean = clean.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
     asked = queries.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(
         F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where(F.size("q") == dim)
     index = spark.sparkContext.broadcast(fit(clean, dim, "vec_id", "v", lists))
