@@ -70,3 +70,14 @@ def test_repeated_ids_leave_room_for_others(spark):
     asked = spark.createDataFrame(list(queries.items()), "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in search(df, asked, lists=1, probes=1).collect())
     assert [g[:3] for g in got] == [w[:3] for w in brute(vectors, queries, 10)]
+
+
+@pytest.mark.parametrize("offset, step", [(0.0, 1e25), (1e4, 2.0**-9)])
+def test_large_and_almost_equal_vectors(spark, offset, step):
+    rng = np.random.default_rng(3)
+    vectors = {int(i): [float(x) for x in np.float32(offset + step * rng.integers(1, 9, 24))] for i in range(200)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    queries = {i: v for i, v in vectors.items() if i % 100 == 0}
+    got = sorted(tuple(r) for r in search(df, df.where("vec_id % 100 = 0"), lists=1, probes=1).collect())
+    want = brute(vectors, queries, 10)
+    assert len(got) == len(want) and recall(got, want) >= 0.95

@@ -78,20 +78,23 @@ def scan(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: n
     dim = vectors.shape[1]
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
-    turned, asked = (vectors @ rotation).astype(np.float32), (queries @ rotation).astype(np.float32)
+    turned, asked = vectors @ rotation, queries @ rotation
+    # Bound of the rounding of a rotated difference, in units of both norms.
+    eps = 4 * dim * np.finfo(np.float64).eps
+    slack, own_slack = eps * np.sqrt((vectors**2).sum(axis=1)), eps * np.sqrt((queries**2).sum(axis=1))
     edges = list(range(0, dim, COLUMN_BLOCK)) + [dim]
     blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges, edges[1:])]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     first, repeated = starts[: 8 * k], len(starts) < len(ids)  # one vector of an id
     for q in range(len(queries)):
         near = np.sort(((vectors[first] - queries[q]) ** 2).sum(axis=1)[ids[first] != query_ids[q]])
-        limit = near[k - 1] if len(near) >= k else np.inf
+        limit = np.sqrt(near[k - 1]) if len(near) >= k else np.inf
         alive, part = np.flatnonzero(ids != query_ids[q]), None
         for (a, b), block in zip(zip(edges, edges[1:]), blocks):
             gap = block[alive] - asked[q, a:b]
             add = np.einsum("ij,ij->i", gap, gap)
             part = add if part is None else part + add
-            keep = part * (dim / b) <= limit * (1 + SLACK / np.sqrt(b)) ** 2
+            keep = np.sqrt(part) <= limit * np.sqrt(b / dim) * (1 + SLACK / np.sqrt(b)) + slack[alive] + own_slack[q]
             alive, part = alive[keep], part[keep]
         exact = np.sqrt(((vectors[alive] - queries[q]) ** 2).sum(axis=1))
         best = np.argsort(exact, kind="stable")  # alive is in the order of ids
