@@ -78,6 +78,21 @@ def test_a_chain_of_edits_is_one_class(spark):
     assert rows_of(near_duplicates(df).select("doc_id", "class_id", "class_size")) == want
 
 
+def test_edits_of_edits_in_crowded_buckets(spark):
+    """Links between texts far from the most connected one, in buckets that many others share."""
+    rng = random.Random(7)
+    texts = [prose(rng, 150, 3000).split()]
+    while len(texts) < 400:
+        w = list(texts[int(len(texts) * rng.random() ** 2)])
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"edit{rng.random()}"
+        texts.append(w)
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate(texts)]
+    df = frame(spark, rows)
+    want, _ = brute(rows, inverse_frequencies(df.select("text")))
+    assert rows_of(near_duplicates(df).select("doc_id", "class_id", "class_size")) == want
+
+
 def test_keep_first(spark):
     rows = planted() + edge_rows()
     df = frame(spark, rows)

@@ -21,6 +21,8 @@ SAMPLES = BAND_ROWS * sum(BAND_GROUPS)
 #: Equal samples, of 48, below which a pair is not compared further: at a similarity of 0.8, 38.4 are expected with a
 #: deviation of 2.8, so that a similar pair falls below with probability 1e-6.
 LEAST_EQUAL = 24
+#: Nodes of one bucket, on either side, that are compared at a time, rows of such blocks in one task, and shingles held next to each other.
+BLOCK_NODES, BLOCK_ROWS, BLOCK_SHINGLES = 256, 4096, 1 << 20
 #: Counters of the document frequency sketch.
 CELL_BITS = 20
 #: How far the rarest shingle outweighs one that is in every document. Mild, because shingles of a large group of
@@ -176,14 +178,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     similarity of at least ``threshold`` are linked, and a class is a
     connected part.
 
-    No bucket is expanded into all its pairs, and none is capped: each round
-    compares all nodes of a bucket with one of them, its centre, so the work
-    grows with the number of nodes. The first centre is the node that meets
+    No bucket is capped. Most links are found in ``rounds`` that compare all
+    nodes of a bucket with one of them, its centre. The first centre is the node that meets
     most others over all its buckets: the original among its edited copies,
     and the same one in many buckets. In each of the later ``rounds`` it is another node for every
-    bucket, and only nodes of another class than the centre's are compared. A
-    document has 35 buckets, and two documents of similarity 0.8 share nine of
-    them on average, so it meets many centres of its class.
+    bucket, and only nodes of another class than the centre's are compared.
+    Then the buckets that still hold several classes are finished: every node
+    outside a bucket's largest class is compared with all nodes of other
+    classes in it (``_links_of_rest``), so the classes don't depend on the centres.
 
     Returns one row per input row: the id, ``class_id`` (the smallest id in
     the class), ``class_size`` (rows), ``text_md5``, and ``class_md5`` (the smallest MD5 of the class's texts, which
@@ -214,15 +216,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("s").alias("s"))
     nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), "dedup-nodes")
 
-    buckets = nodes.select("nid", F.explode("s.keys").alias("key"))
+    buckets = nodes.select("nid", F.posexplode("s.keys").alias("pair", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = buckets.join(shared, "key")
     members = stored(members, "dedup-members")
     degree = members.groupBy("nid").agg(F.sum("n").alias("degree"))
     n_hit = degree.count()
-    members = stored(members.join(small_side(degree, n_hit), "nid").select("key", "nid", "degree"), "dedup-members")
+    members = stored(members.join(small_side(degree, n_hit), "nid").select("key", "pair", "nid", "degree"), "dedup-members")
     hit = stored(members.select("nid").distinct(), "dedup-hit")
-    wanted = nodes.join(small_side(hit, hit.count()), "nid").select("nid", F.col("text_md5").alias("md5"), F.col("first_id"), F.col("s.samples").alias("samples"))
+    wanted = nodes.join(small_side(hit, hit.count()), "nid").select("nid", F.col("text_md5").alias("md5"), F.col("first_id"), F.col("s.samples").alias("samples"),
+                                                                        F.col("s.keys").alias("keys"))
     wanted = stored(wanted, "dedup-wanted")
     n_wanted = wanted.count()
     texts = rows.join(small_side(wanted.select("nid", "md5", "first_id"), n_wanted), (md5 == F.col("md5")) & F.col("id").eqNullSafe(F.col("first_id")))
@@ -243,7 +246,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         nodes = nodes.withColumn("label", F.col("nid"))
     else:
         nodes = nodes.join(small_side(labels, n_labels), "nid", "left")
-    nodes = stored(nodes.select("text_md5", "first_id", "copies", F.coalesce("label", "nid").alias("label")), "dedup-labels")
+    nodes = nodes.withColumn("label", F.coalesce("label", "nid"))
+    if labels is not None:
+        merged = components(_links_of_rest(members, labels, n_labels, wanted, n_wanted, texts, idf, threshold))
+        merged = merged.select(F.col("nid").alias("label"), F.col("label").alias("further"))
+        nodes = nodes.join(small_side(merged, merged.count()), "label", "left").withColumn("label", F.coalesce("further", "label"))
+    nodes = stored(nodes.select("text_md5", "first_id", "copies", "label"), "dedup-labels")
     classes = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"),
                                          F.min("text_md5").alias("class_md5"))
     of_text = stored(nodes.join(classes, "label").select(F.col("text_md5").alias("_md5"), "class_id", "class_size", "class_md5"), "dedup-classes")
@@ -298,6 +306,97 @@ def _compare(pairs: DataFrame, wanted: DataFrame, n_wanted: int, texts: DataFram
                   "dedup-compared")
 
 
+def _links_of_rest(members: DataFrame, labels: DataFrame, n_labels: int, wanted: DataFrame, n_wanted: int, texts: DataFrame, idf,
+                   threshold: float) -> DataFrame:
+    """(a, b): labels of classes to merge, from all pairs of nodes of different classes that share a bucket.
+
+    One node of each such pair lies outside the bucket's largest class. These
+    nodes and all nodes of the bucket are dealt into blocks by hashes of
+    the nodes, so that rows grow with the pairs by ``BLOCK_NODES`` and a crowded bucket
+    is spread over many tasks. A pair with ``LEAST_EQUAL`` equal samples is compared on the
+    whole texts, in the first bucket that it shares only. A block returns
+    the links that join its classes, not every link.
+    """
+    own = members.join(small_side(labels, n_labels), "nid", "left").select("key", "pair", "nid", F.coalesce("label", "nid").alias("label"))
+    sizes = own.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    sizes = sizes.select("key", F.col("most.label").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK_NODES).alias("rows"),
+                         F.ceil(F.col("n") / BLOCK_NODES).alias("cols"))
+    open_ = stored(own.join(sizes, "key").withColumn("rest", F.col("label") != F.col("largest")), "dedup-open")
+    dealt = F.xxhash64("nid", F.lit(1))
+    left = open_.where("rest").withColumn("row", F.pmod(dealt, "rows")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    right = open_.withColumn("col", F.pmod(dealt, "cols")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    blocks = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).select(
+        F.xxhash64("key", "row", "col").alias("block"), "pair", "nid", "label", "rest", "asks")
+    blocks = stored(blocks, "dedup-blocks")
+    parts = 1 + blocks.count() // BLOCK_ROWS
+    signed = small_side(wanted.select("nid", "samples", "keys"), n_wanted, 25_000)
+
+    def near(rows: pa.Table) -> pa.Table:
+        block, pair, nid, label = (rows.column(c).to_numpy() for c in ("block", "pair", "nid", "label"))
+        rest, asks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "asks"))
+        drawn = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, len(_PAIRS))
+        order = np.argsort(block, kind="stable")
+        out = [[], [], [], [], []]
+        for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            i, j = at[asks[at]], at[~asks[at]]
+            other = (label[i][:, None] != label[j]) & (~rest[j] | (nid[i][:, None] < nid[j]))
+            x, y = np.nonzero(other)
+            x, y = i[x], j[y]
+            close = (drawn[x] == drawn[y]).sum(axis=1) >= LEAST_EQUAL
+            x, y = x[close], y[close]
+            here = (keys[x] == keys[y]).argmax(axis=1) == pair[at[0]]
+            x, y = x[here], y[here]
+            if len(x):
+                ids, first, of = np.unique(nid[np.concatenate([x, y])], return_index=True, return_inverse=True)
+                for c, v in zip(out, (block[at[0]], ids, label[np.concatenate([x, y])[first]], of[: len(x)], of[len(x) :])):
+                    c.append(v)
+        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in out[1:]]], names=["block", "nids", "labels", "a", "b"])
+
+    schema = "block long, nids array<long>, labels array<long>, a array<long>, b array<long>"
+    found = stored(blocks.join(signed, "nid").withColumn("part", F.pmod("block", F.lit(parts))).groupBy("part").applyInArrow(near, schema), "dedup-rest")
+    parts = 1 + (found.agg(F.sum(F.size("nids"))).first()[0] or 0) // BLOCK_ROWS * 4
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def link(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        uniq, first = np.unique(texts.column("nid").to_numpy(), return_index=True)
+        shingles = dict(zip(uniq.tolist(), shingles_of(texts.column("text").combine_chunks().take(pa.array(first)))))
+        links = [p for nids, labels, a, b in zip(*(pairs.column(c).to_pylist() for c in ("nids", "labels", "a", "b")))
+                 for p in joining([shingles[i] for i in nids], np.array(labels), np.array(a), np.array(b), idf.value, threshold)]
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in links], schema=result)
+
+    needed = found.select(F.pmod("block", F.lit(parts)).alias("part"), F.explode("nids").alias("nid")).distinct().join(texts, "nid")
+    pairs = found.select(F.pmod("block", F.lit(parts)).alias("of_part"), "nids", "labels", "a", "b")
+    links = needed.select("part", "nid", "text").groupBy("part").cogroup(pairs.groupBy("of_part")).applyInArrow(link, "a long, b long")
+    return stored(links.distinct(), "dedup-merged")
+
+
+def joining(own: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, a: np.ndarray, b: np.ndarray, idf: np.ndarray,
+            threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of labels joined by the pairs (a, b) of texts of at least ``threshold``; pairs that are joined already are passed over."""
+    weights = [weigh(*o, idf) for o in own]
+    total, length, now = np.array([w.sum() for w in weights]), np.array([len(w) for w in weights]), labels.copy()
+    least = threshold * (1 - 1e-9)  # sums in another order may differ in their last bits; ``similarity`` decides
+    order = np.argsort(a, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        i, others = int(a[at[0]]), b[at]
+        u, w = own[i][0], weights[i]
+        others = others[(now[others] != now[i]) & (np.minimum(total[others], total[i]) >= least * np.maximum(total[others], total[i]))]
+        for run in np.split(others, np.flatnonzero(np.diff(np.cumsum(length[others]) // BLOCK_SHINGLES)) + 1):
+            run = run[now[run] != now[i]]
+            if not len(run):
+                continue
+            theirs, heavy = np.concatenate([own[j][0] for j in run]), np.concatenate([weights[j] for j in run])
+            place = np.minimum(np.searchsorted(u, theirs), len(u) - 1)
+            shared = np.where(u[place] == theirs, np.minimum(w[place], heavy), 0.0)
+            both = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(length[run])[:-1]]))
+            for j in run[both >= least * (total[i] + total[run] - both)].tolist():
+                if now[j] != now[i] and similarity(own[i], own[j], idf) >= threshold:
+                    yield int(labels[i]), int(labels[j])
+                    now[now == now[j]] = now[i]
+
+
 def keep_first(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, of which each class of near duplicates keeps the one with the smallest id.
 
