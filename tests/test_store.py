@@ -6,7 +6,7 @@ from tillroll.sources import store
 def test_bucketed_and_hashed_layouts(spark, tables):
     tables.orders, tables.order_items, tables.user_sessions          # make sure they are stored
     key = store._store_key(spark, tables.sf_dir)
-    n = store.bucket_count(spark, tables.sf_dir)
+    n = store.bucket_count(spark, tables.sf_dir, "order_items")
     detail = {r.col_name: r.data_type for r in
               spark.sql(f"DESCRIBE TABLE EXTENDED tillroll_{key}_order_items").collect()}
     assert detail.get("Num Buckets") == str(n)
