@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (decontaminate, language_id, lattice_lm, line_dedup, mixing, near_dedup, nearest, sharding, token_counts,
-                          url_filter)
+from tillroll.llm import (bisector, decontaminate, language_id, lattice_lm, line_dedup, mixing, near_dedup, nearest, periodic_runs, sharding,
+                          token_counts, url_filter)
 from tillroll.llm.common import crc32_mod, ship
 from tillroll.llm.oracles import LLM_ORACLES  # noqa: F401
 from tillroll.sources.parquet import read_table
@@ -79,6 +79,41 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic tail in the texts of every tenth checksum.
+
+    With h the CRC-32 of doc_id, g = floor(h / 10) and n words: if h is a
+    multiple of 10 and n > 0, each word i >= a becomes word a + (i - a) % p,
+    where a = g % n and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("_h", h).withColumn(
+        "_w", F.when(F.col("_h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    rows = rows.withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    rows = rows.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")),
+                                    F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")))
+    looped = F.array_join(F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), F.lit(1), F.col("_n")), " ")
+    return rows.withColumn("text", F.when(F.col("_a").isNotNull(), looped).otherwise(F.col("text"))).drop("_h", "_w", "_g", "_n", "_a", "_p")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = looped_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs, min_exponent=4, min_length=6)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    top = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
 def _registered(f):
     @functools.wraps(f)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +125,4 @@ def _registered(f):
 
 LLM_QUERIES = {f.__name__: _registered(f) for f in (
     op1_shard_by_bytes, op2_decontaminate, op3_url_filter, op4_near_duplicates, op5_lattice_scores, op6_dedup_lines,
-    op7_token_counts, op8_nearest, op9_mix_sources, op10_language)}
+    op7_token_counts, op8_nearest, op9_mix_sources, op10_language, op12_periodic_runs, op13_centroids)}

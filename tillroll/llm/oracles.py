@@ -72,4 +72,30 @@ SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
 FROM sharded
 """
 
-LLM_ORACLES: dict[str, str] = {"op1_shard_by_bytes": OP1, "op2_decontaminate": OP2, "op6_dedup_lines": OP6}
+_OP13_ROUND = """,
+near{r} AS (
+  SELECT rid, min(struct_pack(d := list_sum(list_transform(list_zip(kept.v, cent{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := cent{r}.c)) AS best
+  FROM kept, cent{r} GROUP BY rid)"""
+_OP13_MOVE = """,
+sums{r} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept JOIN near{r} USING (rid)) GROUP BY c, i),
+cent{next} AS (
+  SELECT c, coalesce(m, v) AS v FROM cent{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM sums{r} GROUP BY c) USING (c))"""
+OP13 = """
+WITH numbered AS (
+  SELECT vec_id, embedding, row_number() OVER () AS rid FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+kept AS (SELECT vec_id, rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM numbered),
+cent0 AS (
+  SELECT row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS c, v FROM kept
+  ORDER BY sha256(concat('1:', vec_id)), v LIMIT 16)""" + "".join(
+    _OP13_ROUND.format(r=r) + _OP13_MOVE.format(r=r, next=r + 1) for r in range(3)) + _OP13_ROUND.format(r=3) + """,
+sizes AS (SELECT best.c AS c, sum(best.d) AS s FROM near3 GROUP BY best.c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sizes.s AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(s) FROM sizes) AS BIGINT) AS inertia, sha256(array_to_string(cent3.v, ',')) AS centroid_sha256
+FROM kept JOIN near3 USING (rid) JOIN cent3 ON best.c = cent3.c JOIN sizes USING (c)
+"""
+
+LLM_ORACLES: dict[str, str] = {"op1_shard_by_bytes": OP1, "op2_decontaminate": OP2, "op6_dedup_lines": OP6, "op13_centroids": OP13}
