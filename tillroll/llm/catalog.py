@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (bisector, decontaminate, language_id, lattice_lm, line_dedup, mixing, near_dedup, nearest, periodic_runs, sharding,
-                          token_counts, url_filter)
+                          suffix_dedup, token_counts, url_filter)
 from tillroll.llm.common import crc32_mod, ship
 from tillroll.llm.oracles import LLM_ORACLES  # noqa: F401
 from tillroll.sources.parquet import read_table
@@ -79,6 +79,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op11_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def looped_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with a periodic tail in the texts of every tenth checksum.
 
@@ -125,4 +131,4 @@ def _registered(f):
 
 LLM_QUERIES = {f.__name__: _registered(f) for f in (
     op1_shard_by_bytes, op2_decontaminate, op3_url_filter, op4_near_duplicates, op5_lattice_scores, op6_dedup_lines,
-    op7_token_counts, op8_nearest, op9_mix_sources, op10_language, op12_periodic_runs, op13_centroids)}
+    op7_token_counts, op8_nearest, op9_mix_sources, op10_language, op11_remove_repeats, op12_periodic_runs, op13_centroids)}

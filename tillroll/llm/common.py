@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,20 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def row_numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with columns ``f`` and ``r`` that tell every row apart and stay the same when it is read again.
+
+    They are the hash of the row's file and its place in it. A table that is
+    not read from files as it is (``df`` has no file metadata) is written first.
+    """
+    try:
+        numbered = df.select("*", F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+        numbered.schema  # noqa: B018 - analysed here
+        return numbered
+    except AnalysisException:
+        return row_numbered(stored(df, name), name)
+
+
 def attach(docs: DataFrame, decisions: DataFrame, cols: list[str], id_col: str, text_col: str) -> DataFrame:
     """Rows ``_row`` (a struct of all columns of ``docs``) with the columns ``cols`` of ``decisions``, as ``_<name>``.
 
