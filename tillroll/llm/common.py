@@ -94,22 +94,42 @@ def row_numbered(df: DataFrame, name: str) -> DataFrame:
         return row_numbered(stored(df, name), name)
 
 
-def attach(docs: DataFrame, decisions: DataFrame, cols: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Rows ``_row`` (a struct of all columns of ``docs``) with the columns ``cols`` of ``decisions``, as ``_<name>``.
+def whole_rows(docs: DataFrame, name: str, **cols: Column) -> DataFrame:
+    """Every row of ``docs`` as the struct ``_row``, with ``cols`` and the ``row_numbered`` keys ``f`` and ``r``.
 
-    ``decisions`` has one row per row of ``docs``, told by the id and
-    ``text_md5`` (of the text, null as empty). Rows that repeat both are paired one to one.
+    Operators work on the keys and narrow columns (the rest is not read then); ``attach`` brings decisions back to the rows.
     """
-    def nth(key: str, digest: str) -> Column:
-        return F.row_number().over(Window.partitionBy(key, digest).orderBy(digest))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_lid"),
-                       F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_lmd5"))
-    rows = rows.withColumn("_ln", nth("_lid", "_lmd5"))
-    found = decisions.select(F.col(id_col).alias("_rid"), F.col("text_md5").alias("_rmd5"), *[F.col(c).alias(f"_{c}") for c in cols])
-    found = found.withColumn("_rn", nth("_rid", "_rmd5"))
-    joined = rows.join(found, F.col("_lid").eqNullSafe(F.col("_rid")) & (F.col("_lmd5") == F.col("_rmd5")) & (F.col("_ln") == F.col("_rn")))
-    return joined.select("_row", *[f"_{c}" for c in cols])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return row_numbered(docs.select(F.struct(*own).alias("_row"), *[c.alias(k) for k, c in cols.items()]), name)
+
+
+def attach(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``whole_rows`` joined with the ``decisions`` (f, r and others) on them.
+
+    Keys are unique, so no task gets more than its share. The decisions of a
+    partition are hashed and the rows stream past them: no sort and no window holds whole texts.
+    """
+    return rows.join(decisions.hint("shuffle_hash"), ["f", "r"]).drop("f", "r")
+
+
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with exclusive running sums (columns named by ``sums``) in the given order, which should have no ties.
+
+    The rows are range-partitioned on the order and stored; one row of totals
+    per partition passes through the driver, so no task holds all rows.
+    """
+    df = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    totals = df.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).orderBy("_part").collect()
+    before, at = [], {k: 0 * totals[0][k] for k in sums} if totals else {}  # zeros of the sums' types
+    for t in totals:
+        before.append((t["_part"], *at.values()))
+        at = {k: at[k] + t[k] for k in sums}
+    kinds = ", ".join(f"_before_{k} {df.select(c.alias(k)).groupBy().agg(F.sum(k)).schema[0].dataType.simpleString()}" for k, c in sums.items())
+    before = small_side(df.sparkSession.createDataFrame(before, f"_part int, {kinds}"), len(before))
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = [(F.col(f"_before_{k}") + F.sum(c).over(here) - c).alias(k) for k, c in sums.items()]
+    own = [c for c in df.columns if c != "_part"]
+    return df.join(before, "_part").select(*own, *run)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -63,7 +63,8 @@ grouped AS (SELECT *, min(start) OVER (PARTITION BY d) AS g1, max(start + size)
 held AS (
   SELECT k, k * total / CAST(24 AS DOUBLE) AS target, CASE WHEN small THEN g1 ELSE start END AS a,
     CASE WHEN small THEN g2 ELSE start + size END AS b
-  FROM (SELECT *, g2 - g1 <= CAST(0.02 AS DOUBLE) * total / 24 AS small FROM grouped), range(1, 24) ks(k)
+  FROM (SELECT *, least(k * total / CAST(24 AS DOUBLE) - g1, g2 - k * total / CAST(24 AS DOUBLE)) <= CAST(0.02 AS DOUBLE) * total / 24 AS small
+        FROM grouped, range(1, 24) ks(k))
   WHERE start * 24 < k * total AND (start + size) * 24 >= k * total),
 cuts AS (SELECT CASE WHEN target - a < b - target THEN a ELSE b END AS cut FROM held),
 sharded AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cut <= start) AS INTEGER) AS shard FROM placed)
