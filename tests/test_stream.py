@@ -9,8 +9,8 @@ import pytest
 
 from tillroll.operators import reports, writes
 from tillroll.session import ensure_checkpoint_dir
-from tillroll.streaming.kitchen import (BOARD_SCHEMA, FEED_SCHEMA, Board, feed_rows, kitchen_queue_stream, run_board_stream,
-                                        write_feed)
+from tillroll.streaming import kitchen
+from tillroll.streaming.kitchen import BOARD_SCHEMA, FEED_SCHEMA, board, feed_rows, kitchen_queue_stream, run_board_stream, write_feed
 
 T = dt.datetime(2024, 1, 30, 9)
 USERS = "id bigint, username string, name string, role string"
@@ -53,25 +53,50 @@ def test_orders_arrive_and_finish_in_different_batches_across_a_restart(spark):
     seen = []
     for k, drop in enumerate(drops(spark)):          # each call restarts the query on the same folders
         spark.createDataFrame(drop, FEED_SCHEMA).coalesce(1).write.parquet(f"{work}/feed/drop={k}")
-        board = run_board_stream(spark, f"{work}/feed", users(spark), work, compact_every=2)
+        board = run_board_stream(spark, f"{work}/feed", users(spark), work)
         seen.append(sorted((r.id, r.item_count) for r in board.collect()))
     assert seen == [[(1, 1), (2, 5)], [(1, 1), (2, 5), (3, 1)], [(2, 5), (3, 1)], [(2, 5), (3, 1)]]
 
 
-def test_a_retried_epoch_gives_the_same_board(spark):
-    root = f"{ensure_checkpoint_dir(spark)}/board-{uuid.uuid4().hex}"
-    board = Board(spark, root, compact_every=3)
-    for epoch, drop in enumerate([*drops(spark), [checkout(20 + 1)], [checkout(22)], [checkout(22)]]):
-        batch = spark.createDataFrame(drop, FEED_SCHEMA)
-        board.step(batch, epoch, users(spark))
-        once = sorted(map(tuple, board.at(epoch).collect()))
-        board.step(batch, epoch, users(spark))
-        assert sorted(map(tuple, board.at(epoch).collect())) == once
+def state_rows(spark, work):
+    return spark.read.format("statestore").load(f"{work}/stream-checkpoint")
+
+
+@pytest.mark.parametrize("users_too_many", [False, True])
+def test_a_retried_epoch_gives_the_same_board_and_finished_buckets_leave_the_store(spark, monkeypatch, users_too_many):
+    if users_too_many:
+        monkeypatch.setattr(kitchen, "BROADCAST_USERS", 1)
+    work = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(work).getFileSystem(spark._jsc.hadoopConfiguration())
+    all_drops = [*drops(spark), [checkout(21)], [checkout(22)], [checkout(22)]]
+    for k, drop in enumerate(all_drops):
+        spark.createDataFrame(drop, FEED_SCHEMA).coalesce(1).write.parquet(f"{work}/feed/drop={k}")
+        once = sorted(map(tuple, run_board_stream(spark, f"{work}/feed", users(spark), work).collect()))
+        # the epoch's commit is lost: it is run again
+        assert fs.delete(hadoop(f"{work}/stream-checkpoint/commits/{k}"), False)
+        assert sorted(map(tuple, run_board_stream(spark, f"{work}/feed", users(spark), work).collect())) == once
     assert [r[0] for r in once] == [2, 3, 21, 22]
+    assert state_rows(spark, work).count() <= 4
+    spark.createDataFrame([request(i, 9, "complete", 9) for i in (2, 3, 21, 22)], FEED_SCHEMA).coalesce(1).write.parquet(f"{work}/feed/drop=last")
+    assert run_board_stream(spark, f"{work}/feed", users(spark), work).count() == 0
+    assert state_rows(spark, work).count() == 0
+
+
+def test_a_hot_order_and_odd_texts(spark):
+    """One order holds a third of the feed; notes and amounts come back as they were."""
+    work = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
+    odd = (5000, 5, ("pending", 'say "hi"\n\\ ☕ ,[]', T.replace(microsecond=123456), Decimal("12345678.90"), 7, [1, None, 2]), None)
+    rows = [checkout(1), odd, checkout(9, quantities=())] + [request(1, n, "voided", 8) for n in range(1, 900)]
+    spark.createDataFrame(rows, FEED_SCHEMA).repartition(3, "order_id").write.parquet(f"{work}/feed")
+    got = {r.id: r for r in run_board_stream(spark, f"{work}/feed", users(spark), work, files_per_batch=3).collect()}
+    assert sorted(got) == [1, 5, 9]
+    assert (got[5].notes, got[5].created_at, got[5].total, got[5].item_count) == (odd[2][1], odd[2][2], odd[2][3], 3)
+    assert got[9].item_count == 0 and got[9].notes is None
 
 
 def test_an_empty_feed_leaves_an_empty_board(spark, tables):
     work = f"{ensure_checkpoint_dir(spark)}/stream-test-{uuid.uuid4().hex}"
     write_feed(feed_rows(tables.orders.limit(0), tables.order_items.limit(0), tables.status_events.limit(0)), f"{work}/feed", 2)
     assert run_board_stream(spark, f"{work}/feed", users(spark), work).count() == 0
-    assert Board(spark, work).at(-1).columns == [c.split()[0] for c in BOARD_SCHEMA.split(", ")]
+    assert board(spark, f"{work}/none").columns == [c.split()[0] for c in BOARD_SCHEMA.split(", ")]
