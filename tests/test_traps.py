@@ -5,6 +5,7 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.functions import scalars
@@ -624,3 +625,86 @@ def test_signup_rounds_never_leave_outcomes_empty(spark):
     regs = spark.createDataFrame([], "username string, email string")
     got = dict(rows(writes.registration_conflicts(s, users, regs), "id", "outcome"))
     assert got == replay_signups(data, set(), set())
+
+
+def jobs_of(spark, action):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("fold_rows", [200_000, 40, 3, 0])
+def test_signup_parts_match_sequential_replay(spark, fold_rows):
+    """One pass over all, labelled parts, and parts too large for one task give the same outcomes."""
+    rnd = random.Random(fold_rows)
+    t = TS(2024, 1, 1)
+    data = [(i, rnd.choice([f"N{rnd.randrange(60)}", f"n{rnd.randrange(60)}", "hot"]), f"m{rnd.randrange(70)}", t + dt.timedelta(seconds=rnd.randrange(30)))
+            for i in range(150)] + [(200, None, "m1", t), (201, None, None, t), (202, None, "q", t)]
+    users = spark.createDataFrame([], USERS)
+    regs = spark.createDataFrame([], "username string, email string")
+    got = dict(rows(writes.registration_conflicts(spark.createDataFrame(data, SIGNUPS), users, regs, fold_rows), "id", "outcome"))
+    taken, want = set(), {}
+    for i, u, e, _ in sorted(data, key=lambda d: (d[3], d[0])):
+        keys = {k for k in (("u", u and u.lower()), ("e", e and e.lower())) if k[1] is not None}
+        want[i] = "request_exists" if keys & taken else "accepted"
+        taken |= keys if want[i] == "accepted" else set()
+    assert got == want
+
+
+@pytest.mark.parametrize("n, fold_rows, most", [(10_000, 200_000, 25), (2_000, 1_999, 200)])
+def test_a_long_chain_of_clashes_takes_a_bounded_number_of_jobs(spark, n, fold_rows, most):
+    t = TS(2024, 1, 1)
+    chain = [(i, f"u{i // 2}", f"e{(i + 1) // 2}", t + dt.timedelta(seconds=i)) for i in range(n)]
+    if fold_rows < n:  # two chains, each below the bound, both together above it
+        chain = chain[: n // 2] + [(n + i, f"x{i // 2}", f"y{(i + 1) // 2}", t) for i in range(n // 2)]
+    s = spark.createDataFrame(chain, SIGNUPS)
+    users = spark.createDataFrame([], USERS)
+    regs = spark.createDataFrame([], "username string, email string")
+    got, jobs = jobs_of(spark, lambda: dict(rows(writes.registration_conflicts(s, users, regs, fold_rows), "id", "outcome")))
+    assert got == replay_signups(chain, set(), set())
+    assert jobs <= most
+
+
+def test_one_checkout_gives_all_five_results(spark, tables, monkeypatch, tmp_path):
+    from tillroll.operators import checkout
+    t, priced = tables, []
+    real = writes.price_lines
+    monkeypatch.setattr(writes, "price_lines", lambda *a: priced.append(1) or real(*a))
+    done = checkout.checkout(t.carts, t.cart_lines, t.products, t.product_sizes, t.product_addons, t.user_sessions)
+    assert len(priced) == 1
+    lines = real(t.cart_lines, t.products, t.product_sizes, t.product_addons)
+    totals = writes.cart_totals(lines, t.carts)
+    accepted = writes.accepted_carts(t.carts, t.cart_lines, t.products)
+    same = {"orders": writes.checkout_orders(t.carts, totals, t.user_sessions), "items": writes.checkout_items(lines, t.carts),
+            "addons": writes.checkout_addons(t.cart_lines, t.product_addons, t.carts), "payments": writes.checkout_payments(t.carts, totals),
+            "sessions": writes.checkout_sessions(t.carts, None, t.user_sessions, accepted)}
+    for name, want in same.items():
+        got = getattr(done, name)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), name
+    # the results read the stages: no menu table is joined again but for the addons
+    read = {*done.items.inputFiles(), *done.orders.inputFiles()}
+    assert not any("product" in f for f in read) and any("checkout-lines" in f for f in read)
+    done.write(str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/orders").count() == done.payments.count() == spark.read.parquet(f"{tmp_path}/payments").count()
+    assert "reject_reason" not in spark.read.parquet(f"{tmp_path}/orders").columns
+
+
+def test_audit_log_takes_two_passes_whoever_is_gone(spark, tables, monkeypatch):
+    """All users of the newest events are gone: the second pass finds the rest, exactly."""
+    t = tables
+    full = audit.audit_log(t.orders, t.order_items, t.users, t.user_sessions, limit=60).collect()
+    gone = {r["username"] for r in full}
+    left = t.users.filter(~F.col("username").isin(*gone))
+    stages = []
+    real = audit.staged
+    monkeypatch.setattr(audit, "staged", lambda df, name: stages.append(name) or real(df, name))
+    got = audit.audit_log(t.orders, t.order_items, left, t.user_sessions, limit=60)
+    assert len(stages) == 3
+    every = audit.audit_events(t.orders, t.order_items, left, t.user_sessions, keep_source=True)
+    want = every.orderBy(F.col("event_time").desc(), "action_type", "source_id").limit(60).drop("source_id")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]

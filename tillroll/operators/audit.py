@@ -17,14 +17,12 @@ refund, since only the current status is known.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.scalars import clock_time, grouped_2dp, hours_1dp_text, minutes_between
 from tillroll.schema import AUDIT_LIMIT, PESO
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources.stage import staged
 
 ORDER_KINDS = ("listed", "completed", "voided", "refunded")
 SESSION_KINDS = ("clocked-in", "clocked-out")
@@ -172,25 +170,27 @@ def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
 def newest_known(orders: DataFrame, users: DataFrame, user_sessions: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` events of known users, as narrow rows.
 
-    The newest k events are taken first (each partition keeps its own k;
-    nothing is fully sorted or shuffled), and only their users are looked up.
-    If fewer than ``limit`` survive, k is doubled until enough do or the
-    events run out, so the answer is exact.
+    First the newest ``limit`` events are taken (each partition keeps that
+    many; nothing is fully sorted or shuffled), and only their users are
+    looked up. If some of them are not users, a second pass keeps the events of
+    known users, of all events, and takes the newest of these. So there are two passes
+    at most, whatever share of the events belongs to users who are gone.
     """
     ev = order_events(orders).unionByName(session_events(user_sessions))
     newest = [F.col("event_time").desc(), F.col("action_type"), F.col("source_id")]
     ids = users.select(F.col("id").cast("bigint").alias("uid"))
-    spark, k = orders.sparkSession, limit
-    while True:
-        top = _written(ev.orderBy(*newest).limit(k), spark)
-        taken = top.count()
-        known = top.join(ids, F.col("actor_id") == F.col("uid")).drop("uid")
+
+    def known(events: DataFrame) -> DataFrame:
+        mine = events.join(ids, F.col("actor_id") == F.col("uid"), "left_semi")
         cashiers = ids.withColumnRenamed("uid", "cashier_uid")
-        done = known.filter(F.col("action_type") == "completed").join(cashiers, F.col("cashier_id") == F.col("cashier_uid"), "left_semi")
-        known = _written(known.filter(F.col("action_type") != "completed").unionByName(done).orderBy(*newest).limit(limit), spark)
-        if taken < k or known.count() >= limit:
-            return known
-        k *= 2
+        done = mine.filter(F.col("action_type") == "completed").join(cashiers, F.col("cashier_id") == F.col("cashier_uid"), "left_semi")
+        return mine.filter(F.col("action_type") != "completed").unionByName(done)
+
+    top = staged(ev.orderBy(*newest).limit(limit), "audit-top")
+    kept = staged(known(top), "audit-known")
+    if kept.count() == limit or top.count() < limit:
+        return kept
+    return staged(known(ev).orderBy(*newest).limit(limit), "audit-known")
 
 
 #: Up to this many rows the audit log's lookups are sent to every executor; beyond, the planner shuffles them.
@@ -205,13 +205,6 @@ def _wanted(top: DataFrame) -> DataFrame:
     return top.select(F.explode(F.array("actor_id", "cashier_id")).alias("w_uid")).filter(F.col("w_uid").isNotNull()).distinct()
 
 
-def _written(df: DataFrame, spark) -> DataFrame:
-    """Write a few rows once to the shared checkpoint folder, for the lookups that follow."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-audit/{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def audit_log(orders: DataFrame, order_items: DataFrame, users: DataFrame,
               user_sessions: DataFrame, limit: int = AUDIT_LIMIT) -> DataFrame:
     """The newest ``limit`` events of all six kinds.

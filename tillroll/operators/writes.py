@@ -12,7 +12,9 @@ on the map side rather than landing whole in one task.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from tillroll.functions.scalars import blank_to_null, money, quantity_or_one
 from tillroll.operators.reports import ntz
 from tillroll.schema import (ACCOUNT_STATES, CHECKOUT_PAYMENT_METHODS, DISCOUNT_RATE, KITCHEN_ROLES,
                              MONEY, MONEY_OUT, TAX_RATE)
+from tillroll.sources.stage import staged
 
 
 def _ci(c: Column) -> Column:
@@ -152,7 +155,7 @@ def cart_totals(priced_lines: DataFrame, carts: DataFrame) -> DataFrame:
         F.round(sub - disc + tax, 2).cast(MONEY_OUT).alias("total"))
 
 
-def _reason(carts: DataFrame, totals: DataFrame) -> DataFrame:
+def judged_carts(carts: DataFrame, totals: DataFrame) -> DataFrame:
     """Carts with their totals and the reason the server would refuse them:
     no items (no lines, whatever their quantities), then a payment method
     other than cash or gcash."""
@@ -162,7 +165,7 @@ def _reason(carts: DataFrame, totals: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS), F.lit(False)), "invalid_payment_method"))
 
 
-def _cart_sessions(accepted: DataFrame, user_sessions: DataFrame) -> DataFrame:
+def cart_sessions(accepted: DataFrame, user_sessions: DataFrame) -> DataFrame:
     """The session of each accepted cart (cart_id, cashier_id, created_at):
     adds ``session_id`` and ``new_since``.
 
@@ -183,8 +186,8 @@ def _cart_sessions(accepted: DataFrame, user_sessions: DataFrame) -> DataFrame:
                                                           F.col("logged_out_at").alias("out")).alias("s"))
     carts = accepted.select(F.col("cashier_id").cast("bigint").alias("uid"), F.col("created_at").alias("ts"), F.lit(1).alias("kind"),
                             F.col("cart_id").cast("bigint").alias("rid"), F.lit(None).cast(logins.schema["s"].dataType).alias("s"))
-    ev = logins.unionByName(carts).repartitionByRange("uid", "ts", "kind", "rid") \
-        .withColumn("part", F.spark_partition_id()).checkpoint()
+    ev = staged(logins.unionByName(carts).repartitionByRange("uid", "ts", "kind", "rid")
+                .withColumn("part", F.spark_partition_id()), "cart-sessions")
     lasts = ev.groupBy("uid", "part").agg(F.max("s").alias("last"))
     earlier = Window.partitionBy("uid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(F.col("uid").alias("c_uid"), F.col("part").alias("c_part"), F.max("last").over(earlier).alias("carried"))
@@ -204,14 +207,30 @@ def _cart_sessions(accepted: DataFrame, user_sessions: DataFrame) -> DataFrame:
                     F.col("first.ts").alias("new_since"))
 
 
-def checkout_orders(carts: DataFrame, totals: DataFrame, user_sessions: DataFrame) -> DataFrame:
+def accepted_carts(carts: DataFrame, cart_lines: DataFrame, products: DataFrame) -> DataFrame:
+    """The carts that checkout accepts, (cart_id, cashier_id, created_at), found without pricing a line: those with a
+    payment method the server takes and a line of a known product."""
+    known = cart_lines.join(products.select(F.col("id").alias("p_id")), F.col("product_id") == F.col("p_id"), "left_semi")
+    payable = carts.filter(F.col("payment_method").isin(*CHECKOUT_PAYMENT_METHODS))
+    return payable.join(known.select(F.col("cart_id").alias("l_cart_id")), F.col("cart_id") == F.col("l_cart_id"), "left_semi").select(
+        "cart_id", "cashier_id", "created_at")
+
+
+def checkout_orders(carts: DataFrame, totals: DataFrame, user_sessions: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
     """One row per cart. Accepted carts become pending orders of the
     cashier's open session (see ``checkout_sessions`` for those that open
-    one); the others have no session and carry the reason they are refused."""
-    j = _reason(carts, totals)
-    accepted = j.filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
-    of_cart = _cart_sessions(accepted, user_sessions).select(F.col("cart_id").alias("s_cart_id"), "session_id")
-    j = j.join(of_cart, j["cart_id"] == of_cart["s_cart_id"], "left")
+    one); the others have no session and carry the reason they are refused.
+    With ``accepted`` (see ``accepted_carts``) the totals are computed once; without, they also tell the accepted carts."""
+    j = judged_carts(carts, totals)
+    if accepted is None:
+        accepted = j.filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
+    return order_rows(j, cart_sessions(accepted, user_sessions))
+
+
+def order_rows(judged: DataFrame, of_cart: DataFrame) -> DataFrame:
+    """B04a's rows from carts with totals and reason, and the accepted carts' sessions."""
+    of_cart = of_cart.select(F.col("cart_id").alias("s_cart_id"), "session_id")
+    j = judged.join(of_cart, judged["cart_id"] == of_cart["s_cart_id"], "left")
     return j.select(
         F.col("cart_id").alias("id"), "cashier_id", "session_id",
         F.when(F.col("reason").isNull(), F.lit("pending")).alias("status"),
@@ -222,10 +241,15 @@ def checkout_orders(carts: DataFrame, totals: DataFrame, user_sessions: DataFram
         "created_at", F.col("reason").alias("reject_reason"))
 
 
-def checkout_sessions(carts: DataFrame, totals: DataFrame, user_sessions: DataFrame) -> DataFrame:
-    """B04e: the sessions that checkouts open, for cashiers without an open one."""
-    accepted = _reason(carts, totals).filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
-    opened = _cart_sessions(accepted, user_sessions).filter(F.col("new_since").isNotNull())
+def checkout_sessions(carts: DataFrame, totals: DataFrame | None, user_sessions: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """B04e: the sessions that checkouts open, for cashiers without an open one. With ``accepted`` no totals are needed."""
+    if accepted is None:
+        accepted = judged_carts(carts, totals).filter(F.col("reason").isNull()).select("cart_id", "cashier_id", "created_at")
+    return session_rows(cart_sessions(accepted, user_sessions))
+
+
+def session_rows(of_cart: DataFrame) -> DataFrame:
+    opened = of_cart.filter(F.col("new_since").isNotNull())
     return opened.groupBy(F.col("session_id").alias("id")).agg(
         F.min("cashier_id").alias("user_id"), F.min("new_since").alias("logged_in_at"))
 
@@ -266,11 +290,15 @@ def checkout_addons(cart_lines: DataFrame, product_addons: DataFrame, carts: Dat
         money("extra_price").alias("addon_price"), money(F.col("extra_price") * q).alias("addon_subtotal"))
 
 
-def checkout_payments(orders: DataFrame) -> DataFrame:
-    """B04d: one payment per accepted order: received = due, change 0."""
-    return orders.filter(F.col("reject_reason").isNull()).select(
-        F.col("id").alias("order_id"), "payment_method", F.col("total").alias("amount_due"),
-        F.col("total").alias("amount_received"), F.lit(0).cast(MONEY).alias("change_due"),
+def checkout_payments(carts: DataFrame, totals: DataFrame) -> DataFrame:
+    """B04d: one payment per accepted cart: received = due, change 0. No session is looked up."""
+    return payment_rows(judged_carts(carts, totals))
+
+
+def payment_rows(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNull()).select(
+        F.col("cart_id").alias("order_id"), "payment_method", money("total").alias("amount_due"),
+        money("total").alias("amount_received"), F.lit(0).cast(MONEY).alias("change_due"),
         F.lit(None).cast("string").alias("reference_no"), F.col("created_at").alias("paid_at"))
 
 
@@ -338,7 +366,11 @@ def reject_registrations(requests: DataFrame, registrations: DataFrame) -> dict[
     return {"outcomes": outcomes, "remaining": remaining}
 
 
-def registration_conflicts(signups: DataFrame, users: DataFrame, registrations: DataFrame) -> DataFrame:
+#: Contested sign-ups that one task may decide in order.
+FOLD_ROWS = 200_000
+
+
+def registration_conflicts(signups: DataFrame, users: DataFrame, registrations: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Outcome of each new sign-up: ``user_exists`` (username or email
     is a user), else ``request_exists`` (a registration of any status has
     it), else ``accepted``. Within the batch, requests are served in
@@ -346,23 +378,20 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     accepted* one gets ``request_exists``.
 
     Sign-ups that share no username or email with another one in the batch
-    are accepted at once. The contested rest is resolved in rounds without
-    pairing rows: per username and per email group, the earliest live
-    (undecided or accepted) request and the earliest accepted one are
-    aggregates; a request that is
-    the earliest live in both its groups is accepted, one with an earlier
-    accepted clash is refused. Each round decides at least the earliest
-    undecided request, so the rounds end by themselves; the state is
-    checkpointed to the session's checkpoint folder between rounds so
-    lineage stays short.
+    are accepted at once. The contested rest falls into connected parts, which
+    do not touch each other; a part is decided by one pass over its
+    sign-ups in order. Up to ``fold_rows`` contested sign-ups are one such pass. Beyond,
+    parts are labelled (``_parts``) and dealt to tasks; only parts that alone have more rows are
+    resolved in rounds (``_by_rounds``), which need no part in one place.
+    So a long chain of clashes takes no more jobs than a short one.
     """
     user_clash = _clashing_ids(signups, "id", users).withColumnRenamed("kid", "u_id")
     reg_clash = _clashing_ids(signups, "id", registrations).withColumnRenamed("kid", "r_id")
-    base = (signups.join(user_clash, signups["id"] == user_clash["u_id"], "left")
-            .join(reg_clash, signups["id"] == reg_clash["r_id"], "left")
-            .select("id", "username", "email", "requested_at",
-                    F.when(F.col("u_id").isNotNull(), "user_exists")
-                     .when(F.col("r_id").isNotNull(), "request_exists").alias("outcome"))).checkpoint()
+    base = staged(signups.join(user_clash, signups["id"] == user_clash["u_id"], "left")
+                  .join(reg_clash, signups["id"] == reg_clash["r_id"], "left")
+                  .select("id", "username", "email", "requested_at",
+                          F.when(F.col("u_id").isNotNull(), "user_exists")
+                          .when(F.col("r_id").isNotNull(), "request_exists").alias("outcome")), "signups")
     decided = base.filter(F.col("outcome").isNotNull()).select("id", "username", "email", "outcome")
     cand = base.filter(F.col("outcome").isNull()).select(
         "id", "username", "email", F.struct("requested_at", "id").alias("ord"))
@@ -370,17 +399,90 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
     # batch depend on the order; the rest are accepted outright.
     ckeys = _identity_keys(cand, "id")
     shared = ckeys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    contested_ids = ckeys.join(shared, ["kind", "key"], "left_semi").select(F.col("kid").alias("c_id")).distinct()
+    contested_ids = staged(ckeys.join(shared, ["kind", "key"], "left_semi").select(F.col("kid").alias("c_id")).distinct(), "signups-contested")
     free = cand.join(contested_ids, cand["id"] == contested_ids["c_id"], "left_anti").select(
         "id", "username", "email", F.lit("accepted").alias("outcome"))
     contested = cand.join(contested_ids, cand["id"] == contested_ids["c_id"], "left_semi")
-    if contested.limit(1).count() == 0:
+    n = contested_ids.count()
+    if not n:
         return decided.unionByName(free)
-    contested = contested.checkpoint()
-    keys = _identity_keys(contested, "id").join(contested.select(F.col("id").alias("kid"), "ord"), "kid")
-    keys = keys.checkpoint()
+    # Each username and each email as a number, the smallest id that has it.
+    mine = _identity_keys(contested, "id")
+    number = mine.groupBy("kind", "key").agg(F.min("kid").alias("first"))
+    numbers = mine.join(number, ["kind", "key"]).groupBy("kid").agg(
+        F.max(F.when(F.col("kind") == "u", F.col("first"))).alias("ukey"), F.max(F.when(F.col("kind") == "e", F.col("first"))).alias("ekey"))
+    keyed = contested.join(numbers, contested["id"] == numbers["kid"], "left").drop("kid")
+    done = decided.unionByName(free)
+    if n <= fold_rows:
+        return done.unionByName(_in_order(keyed.coalesce(1)))
+    keyed = staged(keyed, "signups-keyed")
+    label = staged(_parts(keyed), "signups-parts")
+    large = staged(label.groupBy("part").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > fold_rows).select("part"), "signups-large")
+    labelled = keyed.join(label, "id")
+    done = done.unionByName(_in_order(labelled.join(large, "part", "left_anti").repartition("part")))
+    if large.limit(1).count():
+        done = done.unionByName(_by_rounds(labelled.join(large, "part", "left_semi").drop("part")))
+    return done
+
+
+def _in_order(keyed: DataFrame) -> DataFrame:
+    """Decide sign-ups by one pass in order over each partition, which must hold whole parts."""
+    rows = keyed.sortWithinPartitions("ord").select("id", "username", "email", "ukey", "ekey")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, emails = set(), set()
+        for batch in batches:
+            out = []
+            for name, email in zip(batch.column("ukey").to_pylist(), batch.column("ekey").to_pylist()):
+                free = (name is None or name not in names) and (email is None or email not in emails)
+                out.append("accepted" if free else "request_exists")
+                if free:
+                    names.add(name)
+                    emails.add(email)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "username", "email")), pa.array(out, pa.string())],
+                                             ["id", "username", "email", "outcome"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(decide, f"id {kind['id']}, username string, email string, outcome string")
+
+
+def _parts(keyed: DataFrame) -> DataFrame:
+    """(id, part): sign-ups that share a username or an email, directly or over others, have one part, its smallest id.
+
+    Every sign-up is linked to the numbers of its username and email, which are ids. Rounds of two steps then hang each id's larger
+    neighbours, and next its smaller ones, on its smallest neighbour, until nothing
+    changes: every part is a star, after about as many rounds as its longest chain has binary digits.
+    """
+    links = keyed.select(F.col("id").alias("a"), F.explode(F.array("ukey", "ekey")).alias("b")).filter(F.col("a") > F.col("b")).distinct()
+    links = staged(links, "signups-links")  # a > b
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(large, "signups-links")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+        nxt = staged(small.select("l.a", "l.b").filter(F.col("a") > F.col("b")).distinct(), "signups-links")
+        state = [d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for d in (links, nxt)]
+        links = nxt
+        if state[0] == state[1]:
+            break
+    return keyed.select("id").join(links, keyed["id"] == links["a"], "left").select("id", F.coalesce("b", "id").alias("part"))
+
+
+def _by_rounds(contested: DataFrame) -> DataFrame:
+    """Decide sign-ups in rounds, without pairing rows: per username and per
+    email group, the earliest live (undecided or accepted) request and the
+    earliest accepted one are aggregates; a request that is the earliest live
+    in both its groups is accepted, one with an earlier accepted clash is
+    refused. Each round decides at least the earliest undecided request."""
+    contested = staged(contested, "signups-rounds")
+    pairs = F.array(F.struct(F.lit("u").alias("kind"), F.col("ukey").alias("key")), F.struct(F.lit("e").alias("kind"), F.col("ekey").alias("key")))
+    keys = contested.select(F.col("id").alias("kid"), "ord", F.explode(pairs).alias("p")).select("kid", "ord", "p.kind", "p.key")
+    keys = staged(keys.filter(F.col("key").isNotNull()), "signups-keys")
     # state: 0 undecided, 1 accepted, 2 refused
-    state = contested.select("id", F.lit(0).alias("state")).checkpoint()
+    state = staged(contested.select("id", F.lit(0).alias("state")), "signups-state")
     while state.filter(F.col("state") == 0).limit(1).count():
         ks = keys.join(state.withColumnRenamed("id", "kid"), "kid")
         live = F.col("state") < 2
@@ -394,12 +496,9 @@ def registration_conflicts(signups: DataFrame, users: DataFrame, registrations:
         nxt = (state.join(per, state["id"] == per["kid"], "left")
                .select("id", F.when(F.col("state") != 0, F.col("state"))
                        .when(F.col("beaten"), 2).when(F.col("earliest"), 1).otherwise(0).alias("state")))
-        state = nxt.checkpoint()
-    resolved = contested.join(state, "id").select(
-        "id", "username", "email",
-        F.when(F.col("state") == 1, "accepted").when(F.col("state") == 2, "request_exists")
-         .alias("outcome"))
-    return decided.unionByName(free).unionByName(resolved)
+        state = staged(nxt, "signups-state")
+    return contested.join(state, "id").select(
+        "id", "username", "email", F.when(F.col("state") == 1, "accepted").when(F.col("state") == 2, "request_exists").alias("outcome"))
 
 
 # ---- B08: order status changes ------------------------------------------------------------
@@ -548,7 +647,8 @@ def sessionize_logins(login_events: DataFrame) -> DataFrame:
     event of the next part from a summary with one row per user and part.
     """
     ev = login_events.select("id", "user_id", "ts", "event_type").repartitionByRange("user_id", "ts", "id") \
-        .withColumn("part", F.spark_partition_id()).checkpoint()
+        .withColumn("part", F.spark_partition_id())
+    ev = staged(ev, "login-events")
     w = Window.partitionBy("user_id", "part").orderBy("ts", "id")
     firsts = ev.groupBy("user_id", "part").agg(F.min(F.struct("ts", "id", "event_type")).alias("first"))
     nb = firsts.select(F.col("user_id").alias("nb_user"), F.col("part").alias("nb_part"),

@@ -160,6 +160,17 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from co where reject_reason is null"""),
     "checkout_sessions": (CHECKOUT_TABLES, f""", {PRICED}, {TOTALS}, {CHECKOUT}
         select distinct session_id::bigint id, cashier_id user_id, opened logged_in_at from placed where opened is not null"""),
+    "checkout_write_set": (CHECKOUT_TABLES, f""", {PRICED}, {TOTALS}, {CHECKOUT},
+        taken AS (select * from co where reject_reason is null),
+        li AS (select cast(round(pl.unit_price * {_q}, 2) as decimal(10,2)) amount from pl where pl.cart_id in (select id from taken)),
+        ad AS (select cast(round(a.extra_price * {Q1.format(q='cl.quantity')}, 2) as decimal(10,2)) amount
+          from pos_cart_lines cl join pos_product_addons a on a.product_id = cl.product_id and a.is_available = 1
+          where cl.with_addons and cl.cart_id in (select id from taken))
+        select 'orders' table_name, count(*) n_rows, cast(sum(total) as decimal(30,2)) amount from taken
+        union all select 'order_items', count(*), cast(sum(amount) as decimal(30,2)) from li
+        union all select 'order_item_addons', count(*), cast(sum(amount) as decimal(30,2)) from ad
+        union all select 'payments', count(*), cast(sum(total) as decimal(30,2)) from taken
+        union all select 'user_sessions', count(distinct session_id), cast(null as decimal(30,2)) from placed where opened is not null"""),
     "accept_registrations": (REG_TABLES, f", {REQ}, {PEND}, {ACCEPT} select * from acc"),
     "accept_registrations_users": (REG_TABLES, f""", {REQ}, {PEND}, {ACCEPT}
         select cast((select max(id) from pos_users) + p.id as bigint) id, p.username, p.name, p.email, p.role,

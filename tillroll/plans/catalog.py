@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import audit, insights, reports, writes
+from tillroll.operators import audit, checkout, insights, reports, writes
 from tillroll.schema import AS_OF
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.fixtures import PosTables
@@ -158,12 +158,6 @@ def _priced(t: PosTables):
     return writes.price_lines(t.cart_lines, t.products, t.product_sizes, t.product_addons)
 
 
-def _checkout(t: PosTables):
-    priced = _priced(t)
-    ensure_checkpoint_dir(t.spark)
-    return priced, writes.checkout_orders(t.carts, writes.cart_totals(priced, t.carts), t.user_sessions)
-
-
 @register("price_lines")
 def _price_lines(t: PosTables):
     return _priced(t)
@@ -181,7 +175,8 @@ def _cart_totals(t: PosTables):
 
 @register("checkout_orders")
 def _checkout_orders(t: PosTables):
-    return _checkout(t)[1]
+    accepted = writes.accepted_carts(t.carts, t.cart_lines, t.products)
+    return writes.checkout_orders(t.carts, writes.cart_totals(_priced(t), t.carts), t.user_sessions, accepted)
 
 
 @register("checkout_items")
@@ -196,13 +191,18 @@ def _checkout_addons(t: PosTables):
 
 @register("checkout_payments")
 def _checkout_payments(t: PosTables):
-    return writes.checkout_payments(_checkout(t)[1])
+    return writes.checkout_payments(t.carts, writes.cart_totals(_priced(t), t.carts))
 
 
 @register("checkout_sessions")
 def _checkout_sessions(t: PosTables):
-    ensure_checkpoint_dir(t.spark)
-    return writes.checkout_sessions(t.carts, writes.cart_totals(_priced(t), t.carts), t.user_sessions)
+    return writes.checkout_sessions(t.carts, None, t.user_sessions, writes.accepted_carts(t.carts, t.cart_lines, t.products))
+
+
+@register("checkout_write_set")
+def _checkout_write_set(t: PosTables):
+    """All five results of one staged checkout, counted."""
+    return checkout.write_set(checkout.checkout(t.carts, t.cart_lines, t.products, t.product_sizes, t.product_addons, t.user_sessions))
 
 
 @register("accept_registrations")
