@@ -1,11 +1,9 @@
 import numpy as np
 import pytest
 
+from tillroll.llm import nearest
 from tillroll.llm.nearest import search
 
-SF = "/root/testdata/sf0.01/embeddings.parquet"
-
-
 def brute(vectors, queries, k):
     ids = np.array(sorted(vectors))
     x = np.array([vectors[i] for i in ids], float)
@@ -22,8 +20,10 @@ def recall(got, want):
     return len({(r[0], r[2]) for r in got} & {(w[0], w[2]) for w in want}) / len(want)
 
 
-def test_recall_and_scores(spark):
-    df = spark.read.parquet(SF).select("vec_id", "embedding")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_scores(spark, sf):
+    """At two sizes, with the lists and probes that the sizes and the measured recall give."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
     vectors = {r["vec_id"]: r["embedding"] for r in df.collect()}
     queries = {i: v for i, v in vectors.items() if i % 100 == 0}
     want = brute(vectors, queries, 10)
@@ -37,7 +37,6 @@ def test_recall_and_scores(spark):
 
 
 def test_all_lists_are_exact(spark, monkeypatch):
-    from tillroll.llm import nearest
     monkeypatch.setattr(nearest, "VECTORS_PER_TASK", 50)
     monkeypatch.setattr(nearest, "QUERIES_PER_TASK", 3)
     rng = np.random.default_rng(1)
@@ -81,3 +80,20 @@ def test_large_and_almost_equal_vectors(spark, offset, step):
     got = sorted(tuple(r) for r in search(df, df.where("vec_id % 100 = 0"), lists=1, probes=1).collect())
     want = brute(vectors, queries, 10)
     assert len(got) == len(want) and recall(got, want) >= 0.95
+
+
+def test_probes_follow_the_data(spark):
+    """Clustered vectors need few lists; vectors that fill the space evenly need many. Both reach the recall."""
+    rng = np.random.default_rng(4)
+    centres = 20 * rng.normal(size=(40, 16))
+    probed = {}
+    for name, x in (("clustered", np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16))), ("even", rng.normal(size=(2000, 16)))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        clean = df.select("vec_id", df["embedding"].alias("v"))
+        index = nearest.fit(clean, 16, "vec_id", "v", 44)
+        own = index.nearest_lists(x, 1)[:, 0]
+        indexed = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, own))], "vec_id long, v array<double>, list int")
+        probed[name] = nearest.probes_for(indexed, 16, index, 10)
+        got = [tuple(r) for r in search(df, df.where("vec_id % 100 = 0")).collect()]
+        assert recall(got, brute(dict(enumerate(x)), {i: x[i] for i in range(0, 2000, 100)}, 10)) >= 0.92
+    assert probed["clustered"] < probed["even"] / 2

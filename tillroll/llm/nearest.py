@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,10 @@ from tillroll.llm.common import stored
 
 #: Vectors, about, on which the lists' centres are fitted; every vector is indexed.
 SAMPLE = 20_000
+#: Vectors picked to measure how many lists must be probed, and the share of their true neighbours that the probed lists must hold.
+TRIALS, RECALL = 256, 0.96
+#: Sampled vectors compared with all centres at a time.
+FIT_ROWS = 2_048
 #: Vectors of one list, and queries that probe it, that meet in one task.
 VECTORS_PER_TASK, QUERIES_PER_TASK = 16_384, 2_048
 #: Rotated dimensions that are read before each test.
@@ -45,6 +50,45 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def probes_for(indexed: DataFrame, dim: int, index: Index, k: int, recall: float = RECALL, trials: int = TRIALS) -> int:
+    """The least number of lists that hold the share ``recall`` of the ``k`` nearest of ``trials`` vectors.
+
+    The trial vectors are picked by a hash of the id; their true neighbours are taken
+    from all vectors of ``indexed`` (vec_id, v, list), in one pass in which every task keeps its ``k`` best per trial.
+    """
+    drawn = indexed.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(trials).select("vec_id", "v").toArrow()
+    if not drawn.num_rows:
+        return 1
+    ids, x = drawn.column(0).to_numpy(), matrix(drawn.column(1), dim)
+    known = indexed.sparkSession.sparkContext.broadcast((ids, x))
+
+    def nearest_of_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_ids, asked = known.value
+        best = np.full((len(asked), k), np.inf)
+        lists = np.full((len(asked), k), -1, np.int32)
+        for part in parts:
+            own, of = part.column("vec_id").to_numpy(), part.column("list").to_numpy()
+            v = matrix(part.column("v"), dim)
+            for at in range(0, len(v), FIT_ROWS):
+                gap = ((v[at : at + FIT_ROWS] ** 2).sum(axis=1) - 2 * asked @ v[at : at + FIT_ROWS].T) + (asked**2).sum(axis=1)[:, None]
+                gap[asked_ids[:, None] == own[at : at + FIT_ROWS]] = np.inf
+                both = np.concatenate([best, gap], axis=1)
+                all_lists = np.concatenate([lists, np.broadcast_to(of[at : at + FIT_ROWS], gap.shape)], axis=1)
+                keep = np.argpartition(both, k - 1, axis=1)[:, :k]
+                best, lists = np.take_along_axis(both, keep, 1), np.take_along_axis(all_lists, keep, 1)
+        q, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, j]), pa.array(lists[q, j])], names=["q", "d", "list"])
+
+    near = indexed.mapInArrow(nearest_of_task, "q int, d double, list int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "list"))
+    true = near.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "list").toArrow()  # trials x k rows
+    if not true.num_rows:
+        return 1
+    order = index.nearest_lists(x, len(index.centres))
+    place = np.argsort(order, axis=1)[true.column(0).to_numpy(), true.column(1).to_numpy()]
+    return int(np.sort(place)[int(np.ceil(recall * len(place))) - 1]) + 1
+
+
 def fit(vectors: DataFrame, dim: int, id_col: str, vector_col: str, lists: int, sample: int = SAMPLE, rounds: int = 12) -> Index:
     """Fit list centres (k-means) on about ``sample`` vectors picked by a hash of the id, and draw the rotation."""
     n = vectors.count()
@@ -58,7 +102,8 @@ def fit(vectors: DataFrame, dim: int, id_col: str, vector_col: str, lists: int,
     distinct = np.unique(x, axis=0)
     centres = distinct[rng.permutation(len(distinct))[: max(1, min(lists, len(distinct) // 8))]]
     for _ in range(rounds):
-        of = ((centres**2).sum(axis=1) - 2 * distinct @ centres.T).argmin(axis=1)
+        of = np.concatenate([((centres**2).sum(axis=1) - 2 * distinct[i : i + FIT_ROWS] @ centres.T).argmin(axis=1)
+                             for i in range(0, len(distinct), FIT_ROWS)])
         total = np.zeros_like(centres)
         np.add.at(total, of, distinct)
         size = np.bincount(of, minlength=len(centres))[:, None]
@@ -104,13 +149,16 @@ def scan(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: n
         yield q, order[alive[best]], exact[best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 128, probes: int = 48,
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` approximately nearest vectors by Euclidean distance of every query, out of all ``vectors``.
 
     ``queries`` has the same columns; a query's candidates are the vectors
     with other ids. Vectors go to the list of their nearest centre; a query
-    scans ``probes`` lists (``scan``). A list with many vectors, such as
+    scans ``probes`` lists (``scan``). Unless they are given, there are about as many lists as the
+    square root of the vectors (at most an eighth of the sample), and as many probes as
+    hold ``RECALL`` of the true neighbours of some of the vectors (``probes_for``): few where vectors
+    lie in clusters, many where they fill the space evenly. A list with many vectors, such as
     that of one vector that fills a third of the table, is dealt over several
     tasks by a hash of the id, and so are the queries that probe a list; only
     each task's ``k`` best per query are shuffled to the final ranking.
@@ -135,6 +183,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 128
     clean = clean.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
     asked = queries.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(
         F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where(F.size("q") == dim)
+    clean = stored(clean, "ann-vectors")
+    if lists is None:
+        lists = max(16, math.isqrt(clean.count()))
     index = spark.sparkContext.broadcast(fit(clean, dim, "vec_id", "v", lists))
 
     def lists_of(n: int):
@@ -148,6 +199,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 128
 
     # Vectors travel as floats of the input's own precision; both sides are cut into bounded pieces.
     indexed = stored(clean.withColumn("list", lists_of(1)("v")[0]), "ann-index")
+    if probes is None:
+        probes = probes_for(indexed, dim, index.value, k)
     probing = stored(asked.withColumn("list", F.explode(lists_of(probes)("q"))), "ann-probes")
     in_list = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     at_list = {r["list"]: r["n"] for r in probing.groupBy("list").agg(F.count("*").alias("n")).collect()}
