@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from helpers import edge_rows, frame, prose, rows_of
 
-from tillroll.llm.near_dedup import components, inverse_frequencies, keep_first, near_duplicates, sample, shingles_of, similarity, weigh
+from tillroll.llm.near_dedup import IDF_SPAN, RARE, Idf, components, inverse_frequencies, keep_first, near_duplicates, sample, shingles_of, similarity, weigh
 
 
 def planted():
@@ -118,7 +118,7 @@ def test_keep_first_keeps_different_texts_without_or_with_the_same_id(spark):
 @pytest.mark.parametrize("share", [0.3, 0.8])
 def test_samples_agree_as_often_as_the_weighted_jaccard(share):
     rng = np.random.default_rng(5)
-    equal, true, idf = [], [], np.ones(1 << 20) * 1.1
+    equal, true, idf = [], [], Idf(np.zeros(0, np.uint64), np.zeros(0))
     for _ in range(150):
         u = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
         n = int(len(u) * 2 * share / (1 + share))
@@ -139,3 +139,41 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 900), (900, 700), (1000, 1001)]
     got = {r["nid"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[700] == got[900] == got[500] == 500 and got[1001] == 1000
+
+
+def brute_idf(texts):
+    own = [set(u.tolist()) for u, _ in shingles_of(pa.array(texts))]
+    df = {}
+    for shingles in own:
+        for u in shingles:
+            df[u] = df.get(u, 0) + 1
+    return {u: 1 + IDF_SPAN * min(1.0, np.log(len(own) / n) / np.log(1 / RARE)) for u, n in df.items()}
+
+
+def test_weights_are_exact_and_do_not_depend_on_the_corpus_size(spark):
+    rng = random.Random(6)
+    texts = [t for _, t, *_ in planted()]
+    idf = inverse_frequencies(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).select("text"))
+    want = brute_idf(texts)
+    u = np.array(sorted(want), np.uint64)
+    assert np.allclose(idf.of(u), [want[x] for x in u.tolist()])
+    # the same mixture, nine times as many documents, with fresh words in the rest of each text
+    more = [t if k == 0 else f"{t} {prose(rng, 20, 10**6)}" for k in range(9) for t in texts]
+    large = inverse_frequencies(frame(spark, [(i, t, "en", "a") for i, t in enumerate(more)]).select("text"))
+    pair = list(shingles_of(pa.array([texts[-100], texts[-99]])))
+    near = list(shingles_of(pa.array([texts[1], texts[2]])))
+    for a, b in (pair, near):
+        assert abs(similarity(a, b, idf) - similarity(a, b, large)) < 0.002
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    """Blocks bounded by nodes and by bytes, with long texts among short ones."""
+    from tillroll.llm import near_dedup
+    rng = random.Random(9)
+    rows = planted() + [(70_000 + i, prose(random.Random(i // 3), 3000, 4000) + f" tail{i}", "en", "a") for i in range(9)]
+    rows += [(80_000 + i, " ".join(["common passage of many words in a row"] * 8) + " " + prose(rng, rng.randint(5, 60), 100), "en", "a") for i in range(60)]
+    df = frame(spark, rows)
+    want, _ = brute(rows, inverse_frequencies(df.select("text")))
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)
+    monkeypatch.setattr(near_dedup, "TASK_BYTES", 20_000)
+    assert rows_of(near_duplicates(df).select("doc_id", "class_id", "class_size")) == want

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import flat_bytes, gram_hashes, mix, slices, small_side, stored, word_hashes
@@ -23,9 +23,13 @@ SAMPLES = BAND_ROWS * sum(BAND_GROUPS)
 LEAST_EQUAL = 24
 #: Nodes of one bucket, on either side, that are compared at a time, rows of such blocks in one task, and shingles held next to each other.
 BLOCK_NODES, BLOCK_ROWS, BLOCK_SHINGLES = 256, 4096, 1 << 20
-#: Counters of the document frequency sketch.
+#: Bytes of texts that meet in one task, about.
+TASK_BYTES = 8 << 20
+#: Counters of the sketch that finds the shingles whose documents are counted.
 CELL_BITS = 20
-#: How far the rarest shingle outweighs one that is in every document. Mild, because shingles of a large group of
+#: Shingles in less than this share of all documents have the full weight.
+RARE = 1 / 500
+#: How far a rare shingle outweighs one that is in every document. Mild, because shingles of a large group of
 #: near copies are frequent for that very reason.
 IDF_SPAN = 0.25
 
@@ -56,8 +60,34 @@ def cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def weigh(shingles: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1.0 + np.log(counts)) * idf[cells(shingles)]
+class Idf:
+    """Inverse document frequencies: 1 + IDF_SPAN for rare shingles, down to 1 for those in every document.
+
+    ``frequent`` (ascending) are the shingles in at least the share ``RARE``
+    of the documents, with their exact weights; in between, the weight falls
+    with the logarithm of the share. It depends on shares alone, so two texts are as
+    similar in a small corpus as in a large one of the same mixture. The number of such shingles is
+    at most the mean number of shingles in a document, divided by ``RARE``, whatever the number of documents.
+    """
+
+    def __init__(self, frequent: np.ndarray, share: np.ndarray):
+        self.frequent = frequent
+        self.weights = 1.0 + IDF_SPAN * np.clip(np.log(1 / np.maximum(share, RARE)) / np.log(1 / RARE), 0.0, 1.0)
+        self.maybe = np.zeros(1 << CELL_BITS, bool)
+        self.maybe[cells(frequent)] = True
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), 1.0 + IDF_SPAN)
+        at = np.flatnonzero(self.maybe[cells(shingles)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.frequent, shingles[at]), len(self.frequent) - 1)
+            known = self.frequent[place] == shingles[at]
+            out[at[known]] = self.weights[place[known]]
+        return out
+
+
+def weigh(shingles: np.ndarray, counts: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1.0 + np.log(counts)) * idf.of(shingles)
 
 
 def sample(shingles: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -94,7 +124,7 @@ def bucket_keys(samples: np.ndarray) -> np.ndarray:
     return mix(mix(bands[a] * np.uint64(3) + bands[b]) + np.arange(len(_PAIRS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: Idf) -> float:
     """Weighted Jaccard similarity of two texts' shingles: sum of the smaller weights by sum of the larger."""
     wa, wb = weigh(*a, idf), weigh(*b, idf)
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -103,13 +133,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / all_) if all_ else 0.0
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Weight of every sketch cell, from the document frequencies of all shingles of all ``texts`` (one column, ``text``).
+def inverse_frequencies(texts: DataFrame) -> Idf:
+    """The weights of all shingles, from the documents among ``texts`` (one column, ``text``) that hold them.
 
-    A shingle adds 1 to its cell for every document that holds it; the mean load
-    of the other shingles is taken off. The sketch has a fixed size, so it can
-    go to every executor at any scale: with more data only shingles that are
-    rare anyway become harder to tell apart, and those weigh about the same.
+    A sketch of fixed size adds 1 to a shingle's cell for every document that
+    holds it. Only shingles in cells of at least the share ``RARE`` can be frequent;
+    these are counted exactly, with partial sums in every task.
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +167,25 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     schema = "slice int, docs long, load binary"
     rows = texts.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()  # 8 MB
     got = {r["slice"]: r for r in rows}
-    if -1 not in got:
-        return np.ones(1 << CELL_BITS)
-    docs = got[-1]["docs"]
-    load = np.concatenate([np.frombuffer(got[i]["load"], np.uint64) for i in range(256)]).astype(np.float64)
-    frequency = np.maximum(1.0, load - load.sum() / len(load))
-    return 1.0 + IDF_SPAN * np.clip(1.0 - np.log(frequency) / np.log(1.0 + max(docs, 1)), 0.0, 1.0)
+    docs = got[-1]["docs"] if -1 in got else 0
+    if not docs:
+        return Idf(np.zeros(0, np.uint64), np.zeros(0))
+    load = np.concatenate([np.frombuffer(got[i]["load"], np.uint64) for i in range(256)])
+    least = int(np.ceil(RARE * docs))
+    full = texts.sparkSession.sparkContext.broadcast(load >= least)
+
+    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for piece in slices(part.column(0)):
+                found = np.concatenate([u[full.value[cells(u)]] for u, _ in shingles_of(piece)] or [np.zeros(0, np.uint64)])
+                u, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counted = texts.select("text").mapInArrow(exact, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = counted.toArrow()  # see Idf for the bound
+    shingles = counted.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return Idf(shingles[order], counted.column(1).to_numpy()[order] / docs)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,34 +240,38 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
 
-    @F.arrow_udf("struct<keys:array<bigint>,samples:binary>")
+    width = -np.log(threshold * (1 - 1e-9))
+
+    @F.arrow_udf("struct<keys:array<bigint>,samples:binary,bin:int>")
     def sketch(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            keys, at, drawn = [], [0], []
+            keys, at, drawn, bins = [], [0], [], []
             for u, n in shingles_of(part):
-                s = sample(u, weigh(u, n, idf.value)) if len(u) else None
+                w = weigh(u, n, idf.value)
+                s = sample(u, w) if len(u) else None
+                bins.append(int(np.log(w.sum()) / width) if len(u) else 0)
                 keys.append(bucket_keys(s).astype(np.int64) if len(u) else np.zeros(0, np.int64))
                 at.append(at[-1] + len(keys[-1]))
                 drawn.append(s.astype(np.uint16).tobytes() if len(u) else b"")
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)), pa.array(drawn, pa.binary())],
-                                             names=["keys", "samples"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)), pa.array(drawn, pa.binary()), pa.array(bins, pa.int32())],
+                                             names=["keys", "samples", "bin"])
 
     md5 = F.md5(F.col("text").cast("binary"))
-    nodes = rows.select("id", md5.alias("text_md5"), sketch("text").alias("s")).groupBy("text_md5").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("s").alias("s"))
+    nodes = rows.select("id", md5.alias("text_md5"), F.octet_length("text").alias("bytes"), sketch("text").alias("s")).groupBy("text_md5").agg(
+        F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("s").alias("s"), F.first("bytes").alias("bytes"))
     nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), "dedup-nodes")
 
-    buckets = nodes.select("nid", F.posexplode("s.keys").alias("pair", "key"))
+    buckets = nodes.select("nid", F.col("s.bin").alias("bin"), "bytes", F.posexplode("s.keys").alias("pair", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = buckets.join(shared, "key")
     members = stored(members, "dedup-members")
     degree = members.groupBy("nid").agg(F.sum("n").alias("degree"))
     n_hit = degree.count()
-    members = stored(members.join(small_side(degree, n_hit), "nid").select("key", "pair", "nid", "degree"), "dedup-members")
+    members = stored(members.join(small_side(degree, n_hit), "nid").select("key", "pair", "nid", "bin", "bytes", "degree"), "dedup-members")
     hit = stored(members.select("nid").distinct(), "dedup-hit")
     wanted = nodes.join(small_side(hit, hit.count()), "nid").select("nid", F.col("text_md5").alias("md5"), F.col("first_id"), F.col("s.samples").alias("samples"),
-                                                                        F.col("s.keys").alias("keys"))
+                                                                        F.col("s.keys").alias("keys"), "bytes")
     wanted = stored(wanted, "dedup-wanted")
     n_wanted = wanted.count()
     texts = rows.join(small_side(wanted.select("nid", "md5", "first_id"), n_wanted), (md5 == F.col("md5")) & F.col("id").eqNullSafe(F.col("first_id")))
@@ -310,30 +356,38 @@ def _links_of_rest(members: DataFrame, labels: DataFrame, n_labels: int, wanted:
                    threshold: float) -> DataFrame:
     """(a, b): labels of classes to merge, from all pairs of nodes of different classes that share a bucket.
 
-    One node of each such pair lies outside the bucket's largest class. These
-    nodes and all nodes of the bucket are dealt into blocks by hashes of
-    the nodes, so that rows grow with the pairs by ``BLOCK_NODES`` and a crowded bucket
+    A bucket is first split by the sums of the nodes' weights: two texts of at least
+    ``threshold`` have sums within that ratio, so their bins are the same or next to each other, and every node goes
+    to the parts of its own bin and the next. One node of each pair lies
+    outside the part's largest class. These nodes and all nodes of the part
+    are dealt into blocks by hashes of the nodes, of some ``BLOCK_NODES`` nodes and ``TASK_BYTES`` of text at most on
+    either side, so that rows grow with the pairs by that factor and a crowded bucket
     is spread over many tasks. A pair with ``LEAST_EQUAL`` equal samples is compared on the
     whole texts, in the first bucket that it shares only. A block returns
     the links that join its classes, not every link.
     """
-    own = members.join(small_side(labels, n_labels), "nid", "left").select("key", "pair", "nid", F.coalesce("label", "nid").alias("label"))
-    sizes = own.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
-    sizes = sizes.select("key", F.col("most.label").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK_NODES).alias("rows"),
-                         F.ceil(F.col("n") / BLOCK_NODES).alias("cols"))
-    open_ = stored(own.join(sizes, "key").withColumn("rest", F.col("label") != F.col("largest")), "dedup-open")
+    own = members.join(small_side(labels, n_labels), "nid", "left").select(
+        "key", "pair", "nid", "bin", "bytes", F.coalesce("label", "nid").alias("label"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("span"))
+    sizes = own.groupBy("key", "span", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("key", "span").agg(
+        F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("most.n < n")
+
+    def cuts(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(size / TASK_BYTES))
+
+    sizes = sizes.select("key", "span", F.col("most.label").alias("largest"),
+                         cuts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("rows"), cuts(F.col("n"), F.col("bytes")).alias("cols"))
+    open_ = stored(own.join(sizes, ["key", "span"]).withColumn("rest", F.col("label") != F.col("largest")), "dedup-open")
     dealt = F.xxhash64("nid", F.lit(1))
     left = open_.where("rest").withColumn("row", F.pmod(dealt, "rows")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
     right = open_.withColumn("col", F.pmod(dealt, "cols")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     blocks = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).select(
-        F.xxhash64("key", "row", "col").alias("block"), "pair", "nid", "label", "rest", "asks")
+        F.xxhash64("key", "span", "row", "col").alias("block"), "pair", "nid", "bin", "span", "label", "rest", "asks")
     blocks = stored(blocks, "dedup-blocks")
     parts = 1 + blocks.count() // BLOCK_ROWS
     signed = small_side(wanted.select("nid", "samples", "keys"), n_wanted, 25_000)
 
     def near(rows: pa.Table) -> pa.Table:
-        block, pair, nid, label = (rows.column(c).to_numpy() for c in ("block", "pair", "nid", "label"))
+        block, pair, nid, label, bin_, span = (rows.column(c).to_numpy() for c in ("block", "pair", "nid", "label", "bin", "span"))
         rest, asks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "asks"))
         drawn = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
         keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, len(_PAIRS))
@@ -342,6 +396,7 @@ def _links_of_rest(members: DataFrame, labels: DataFrame, n_labels: int, wanted:
         for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             i, j = at[asks[at]], at[~asks[at]]
             other = (label[i][:, None] != label[j]) & (~rest[j] | (nid[i][:, None] < nid[j]))
+            other &= np.maximum(bin_[i][:, None], bin_[j]) == span[at[0]]  # two nodes of one bin meet in two parts
             x, y = np.nonzero(other)
             x, y = i[x], j[y]
             close = (drawn[x] == drawn[y]).sum(axis=1) >= LEAST_EQUAL
@@ -356,7 +411,9 @@ def _links_of_rest(members: DataFrame, labels: DataFrame, n_labels: int, wanted:
 
     schema = "block long, nids array<long>, labels array<long>, a array<long>, b array<long>"
     found = stored(blocks.join(signed, "nid").withColumn("part", F.pmod("block", F.lit(parts))).groupBy("part").applyInArrow(near, schema), "dedup-rest")
-    parts = 1 + (found.agg(F.sum(F.size("nids"))).first()[0] or 0) // BLOCK_ROWS * 4
+    sized = wanted.select("nid", "bytes")
+    held = found.select("block", F.explode("nids").alias("nid")).join(small_side(sized, n_wanted), "nid").agg(F.sum("bytes")).first()[0] or 0
+    parts = 1 + held // TASK_BYTES
     result = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(texts: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -372,7 +429,7 @@ def _links_of_rest(members: DataFrame, labels: DataFrame, n_labels: int, wanted:
     return stored(links.distinct(), "dedup-merged")
 
 
-def joining(own: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, a: np.ndarray, b: np.ndarray, idf: np.ndarray,
+def joining(own: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, a: np.ndarray, b: np.ndarray, idf: Idf,
             threshold: float) -> Iterator[tuple[int, int]]:
     """Pairs of labels joined by the pairs (a, b) of texts of at least ``threshold``; pairs that are joined already are passed over."""
     weights = [weigh(*o, idf) for o in own]
