@@ -24,8 +24,7 @@ def op1_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.shared_spans(docs, read_table(spark, sf_dir, "benchmark"), window=10)
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
-    return marked.select("doc_id", "n_words", decontaminate.covered_words("hits").alias("n_hit"), items.alias("items")).select(
+    return marked.select("doc_id", "n_words", decontaminate.covered_words("hits").alias("n_hit"), "items").select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import flat_bytes, gram_hashes, slices, word_hashes
+from tillroll.llm.common import flat_bytes, gram_hashes, mix, slices, small_side, stored, whole_rows, word_hashes
 
 #: Words of one fingerprint. A window of 10 words then has 6 of them, and winnowing over 6 keeps at least one.
 GRAM = 5
-#: Item bytes that go to every executor at once; a larger benchmark is matched in several such blocks.
-BLOCK_BYTES = 32 << 20
+#: Bits of the filter of item fingerprints per fingerprint, and the bits it has at most (4 MB).
+BITS_PER_PRINT, MAX_BITS = 16, 1 << 25
 
 HIT = "array<struct<item:string,first:int,after:int>>"
+#: A word or a run of words, whatever its case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -33,12 +35,10 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of one block of benchmark items, and the items' words to extend hits along."""
+    """Fingerprints of some benchmark items, and the items' words to extend hits along."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
-        self.ids, self.window = ids, window
-        words, at = word_hashes(*flat_bytes(pa.array(texts, pa.large_string())))
-        self.words = [words[a:b] for a, b in zip(at, at[1:])]
+    def __init__(self, ids: list[str], words: list[np.ndarray], window: int):
+        self.ids, self.window, self.words = ids, window, words
         found, self.short = [], {}
         for i, w in enumerate(self.words):
             if len(w) >= window:
@@ -98,9 +98,14 @@ class Index:
         return p - (n - 1 - int(other[-1]) if len(other) else n), after
 
 
+def short_hash(grams: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of runs of ``n`` words, for items that short, apart from those of other lengths."""
+    return mix(grams + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def shared_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", out: str = "hits",
-                 words_out: str = "n_words", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 words_out: str = "n_words", items_out: str = "items") -> DataFrame:
     """Add to every document the spans of words that it shares with benchmark items.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z. A
@@ -109,66 +114,145 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
 
     Winnowing keeps, of every ``window - 4`` neighbouring 5-word hashes, the
     smallest, in documents and items alike. Any shared run of ``window`` words
-    therefore shares a kept fingerprint at the same place, and extending the
-    fingerprint hits word by word finds every such run and no other.
+    therefore shares a kept fingerprint at the same place. The fingerprints of
+    documents and items are joined; the pairs of document and item so found
+    are extended from the fingerprints word by word, which finds every such run and no other.
 
-    The items' fingerprints go to all executors in blocks of at most
-    ``block_bytes`` text (a single larger item is its own block); documents are
-    not shuffled. A benchmark of several blocks is matched block by block over
-    the same rows.
+    Both sides stay distributed. A filter of bounded size over the items' fingerprints goes to the tasks that
+    read the documents, so that few others of theirs reach the join; the join itself is exact.
+    Equal items are one item with several ids until the end. Whole texts are
+    brought to their items only for documents with a common fingerprint.
 
-    Adds ``out``, an array of (item, first word, word after) with the item's id
-    as a string, and ``words_out``, the number of words; input columns of these
-    names are replaced. A null text or a text without words has no hits. An
+    Adds ``out``, an array of (item, first word, word after) with the smallest id of the item's text
+    as a string; ``items_out``, the ids of all found items as strings, sorted and distinct; and ``words_out``, the number of words. Input
+    columns of these names are replaced. A null text or a text without words has no hits. An
     item without words is never found; an item with a null id is reported
-    under the empty string. Repeated documents and items are handled each for
-    itself. An empty benchmark finds nothing.
+    under the empty string. Repeated documents are handled each for
+    itself. An empty benchmark finds nothing. Very long texts are read in blocks.
     """
+    own = [c for c in docs.columns if c not in (out, words_out, items_out)]
+    rows = whole_rows(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in own or c == text_col]), "decontaminate-rows", text=F.col(f"`{text_col}`"))
+    hits = _hits(rows.select("f", "r", "text"), benchmark, window, item_col, item_text_col)
+    hits = stored(hits, "decontaminate-hits")
+    marked = rows.withColumn("_n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")).join(
+        small_side(hits, hits.count(), 100_000), ["f", "r"], "left")
+    none, no_items = F.array().cast(HIT), F.array().cast("array<string>")
+    return marked.select(*[F.col("_row")[c].alias(c) for c in own], F.coalesce("_hits", none).alias(out),
+                         F.coalesce("_items", no_items).alias(items_out), F.col("_n").alias(words_out))
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> DataFrame:
+    """(f, r, _hits, _items) of the documents with shared spans."""
     if window < GRAM:
         raise ValueError(f"a window has at least {GRAM} words")
-    spark = docs.sparkSession
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, words_out)]
-    found = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in block], [r["text"] for r in block], window))
-        found.append(_matcher(index)(F.col(text_col)))
-    if not found:
-        empty = spark.sparkContext.broadcast(Index([], [], window))
-        found = [_matcher(empty)(F.col(text_col))]
-    first = F.col("_found")[0]
-    return (docs.select(*kept, F.array(*found).alias("_found"))
-            .select(*kept, first["hits"].alias(out) if len(found) == 1 else
-                    F.flatten(F.transform("_found", lambda x: x["hits"])).alias(out),
-                    first["n_words"].alias(words_out)))
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
-    """The items in blocks of bounded size, one block on the driver at a time."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"),
-                             F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // block_bytes)
-    for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-
-
-def _matcher(index):
-    @F.arrow_udf(f"struct<n_words:bigint,hits:{HIT}>")
-    def match(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in texts:
-            hits, n_words = [], []
-            for piece in slices(part):
-                words, at = word_hashes(*flat_bytes(piece))
-                hits += index.value.match(words, at)
-                n_words.append(np.diff(at))
-            flat = [h for doc in hits for h in doc]
-            spans = pa.StructArray.from_arrays(
-                [pa.array([h[0] for h in flat], pa.string()), pa.array([h[1] for h in flat], pa.int32()),
-                 pa.array([h[2] for h in flat], pa.int32())], names=["item", "first", "after"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(d) for d in hits]), pa.int32()), spans)
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), lists], names=["n_words", "hits"])
-
-    return match
+    spark = rows.sparkSession
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("text"))
+    items = items.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.collect_set("id").alias("ids"))
+    items = stored(items.mapInArrow(_item_prints(window), "key string, ids array<string>, n int, words binary, prints array<bigint>"), "decontaminate-items")
+    prints = items.select("key", F.explode("prints").alias("h"))
+    n = prints.count()
+    lengths = sorted(r["n"] for r in items.where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # below window
+    seen = spark.sparkContext.broadcast(_filter(prints, n))
+    found = rows.mapInArrow(_document_prints(window, lengths, seen), "f bigint, r bigint, h bigint")
+    pairs = found.join(prints, "h").select("f", "r", "key").distinct()
+    of_doc = pairs.join(items.select("key", "ids", "words"), "key").groupBy("f", "r").agg(F.collect_list(F.struct("key", "ids", "words")).alias("w"))
+    of_doc = stored(of_doc, "decontaminate-pairs")
+    texts = rows.join(small_side(of_doc, of_doc.count(), 10_000), ["f", "r"])
+    return texts.mapInArrow(_extended(window), f"f bigint, r bigint, _hits {HIT}, _items array<string>")
+
+
+def _filter(prints: DataFrame, n: int) -> np.ndarray:
+    """A bit for every value that the top bits of an item's fingerprint take; merged in the tasks, of bounded size."""
+    bits = min(MAX_BITS, 1 << max(10, (BITS_PER_PRINT * n).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for part in parts:
+            own[part.column("h").to_numpy().view(np.uint64) >> np.uint64(shift)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            for row in part.column("bits").to_pylist():
+                own |= np.frombuffer(row, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
+
+    marked = prints.select("h").coalesce(16).mapInArrow(mark, "bits binary").coalesce(1).mapInArrow(merge, "bits binary").first()
+    return np.unpackbits(np.frombuffer(marked["bits"], np.uint8)).astype(bool) if marked else np.zeros(bits, bool)
+
+
+def _item_prints(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, at = word_hashes(*flat_bytes(batch.column("text")))
+            own = [words[a:b] for a, b in zip(at, at[1:])]
+            prints = []
+            for w in own:
+                if len(w) >= window:
+                    grams = gram_hashes(w, GRAM)
+                    prints.append(np.unique(grams[winnow(grams, window - GRAM + 1)]).view(np.int64))
+                else:
+                    prints.append(short_hash(gram_hashes(w, len(w)), len(w)).view(np.int64) if len(w) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("ids"), pa.array(np.diff(at).astype(np.int32)), pa.array([w.tobytes() for w in own], pa.binary()),
+                 pa.array(prints, pa.list_(pa.int64()))], names=["key", "ids", "n", "words", "prints"])
+
+    return run
+
+
+def _document_prints(window: int, lengths: list[int], seen):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = seen.value
+        shift = np.uint64(64 - (len(bits).bit_length() - 1))
+        for batch in batches:
+            done = 0
+            for texts in slices(batch.column("text")):
+                words, at = word_hashes(*flat_bytes(texts))
+                grams = gram_hashes(words, GRAM)
+                kept = winnow(grams, window - GRAM + 1)  # of the joined texts: a superset of each text's own
+                found = [(kept, grams[kept], GRAM)]
+                for n in lengths:
+                    grams = short_hash(gram_hashes(words, n), n)
+                    found.append((np.arange(len(grams)), grams, n))
+                for place, h, n in found:
+                    some = bits[h >> shift]
+                    place, h = place[some], h[some]
+                    doc = np.searchsorted(at, place, "right") - 1
+                    inside = place + n <= at[doc + 1]
+                    pairs = np.unique(np.stack([doc[inside], h[inside].view(np.int64)], axis=1), axis=0)
+                    doc = done + pairs[:, 0]
+                    yield pa.RecordBatch.from_arrays([batch.column("f").take(pa.array(doc)), batch.column("r").take(pa.array(doc)), pa.array(pairs[:, 1])],
+                                                     names=["f", "r", "h"])
+                done += len(texts)
+
+    return run
+
+
+def _extended(window: int):
+    span = pa.struct([("item", pa.string()), ("first", pa.int32()), ("after", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in slices(batch.column("text")):
+                wanted, keys = {}, []
+                for row in batch.column("w").slice(done, len(texts)).to_pylist():
+                    keys.append({item["key"] for item in row})
+                    wanted.update((item["key"], item) for item in row)
+                index = Index(list(wanted), [np.frombuffer(item["words"], np.uint64) for item in wanted.values()], window)
+                hits, items = [], []
+                for found in index.match(*word_hashes(*flat_bytes(texts))):
+                    hits.append([{"item": min(wanted[k]["ids"]), "first": a, "after": b} for k, a, b in found])
+                    items.append(sorted({i for k, _, _ in found for i in wanted[k]["ids"]}))
+                at = np.flatnonzero([len(h) > 0 for h in hits])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("f").take(pa.array(done + at)), batch.column("r").take(pa.array(done + at)),
+                     pa.array([hits[i] for i in at], pa.list_(span)), pa.array([items[i] for i in at], pa.list_(pa.string()))], names=["f", "r", "_hits", "_items"])
+                done += len(texts)
+
+    return run
 
 
 def covered_words(hits: str) -> F.Column:
@@ -181,6 +265,10 @@ def covered_words(hits: str) -> F.Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.0,
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, of whose words at most ``max_share`` lie in spans shared with the benchmark."""
-    marked = shared_spans(docs, benchmark, window, text_col, item_col, item_text_col, "_hits", "_n_words")
-    clean = marked.where(covered_words("_hits") <= F.lit(max_share) * F.col("_n_words"))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = whole_rows(docs, "decontaminate-rows", text=F.col(f"`{text_col}`"))
+    hits = _hits(rows.select("f", "r", "text"), benchmark, window, item_col, item_text_col)
+    dirty = stored(hits.select("f", "r", covered_words("_hits").alias("_hit")), "decontaminate-dirty")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    marked = rows.join(small_side(dirty, dirty.count()), ["f", "r"], "left")
+    clean = F.coalesce("_hit", F.lit(0)) <= (F.lit(max_share) * words if max_share else F.lit(0))
+    return marked.where(clean).select("_row.*")
