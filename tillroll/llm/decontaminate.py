@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import flat_bytes, gram_hashes, mix, slices, small_side, stored, whole_rows, word_hashes
+from tillroll.llm.common import WORD_BYTES, flat_bytes, gram_hashes, mix, slices, small_side, stored, whole_rows, word_hashes
 
 #: Words of one fingerprint. A window of 10 words then has 6 of them, and winnowing over 6 keeps at least one.
 GRAM = 5
@@ -17,8 +17,6 @@ GRAM = 5
 BITS_PER_PRINT, MAX_BITS = 16, 1 << 25
 
 HIT = "array<struct<item:string,first:int,after:int>>"
-#: A word or a run of words, whatever its case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -134,7 +132,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
     rows = whole_rows(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in own or c == text_col]), "decontaminate-rows", text=F.col(f"`{text_col}`"))
     hits = _hits(rows.select("f", "r", "text"), benchmark, window, item_col, item_text_col)
     hits = stored(hits, "decontaminate-hits")
-    marked = rows.withColumn("_n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")).join(
+    marked = rows.withColumn("_n", _word_counts("text")).join(
         small_side(hits, hits.count(), 100_000), ["f", "r"], "left")
     none, no_items = F.array().cast(HIT), F.array().cast("array<string>")
     return marked.select(*[F.col("_row")[c].alias(c) for c in own], F.coalesce("_hits", none).alias(out),
@@ -161,6 +159,26 @@ def _hits(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, ite
     return texts.mapInArrow(_extended(window), f"f bigint, r bigint, _hits {HIT}, _items array<string>")
 
 
+def _word_counts(text: str) -> F.Column:
+    """Number of words of a text column; a null text has none."""
+
+    @F.arrow_udf("bigint")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            counts = [np.zeros(0, np.int64)]
+            for piece in slices(part):
+                data, at = flat_bytes(piece)
+                inside = WORD_BYTES[data] != 0
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1]
+                first = at[:-1][at[:-1] < len(data)]
+                begins[first] = inside[first]
+                counts.append(np.diff(np.concatenate([[0], np.cumsum(begins)])[at]))
+            yield pa.array(np.concatenate(counts))
+
+    return count(text)
+
+
 def _filter(prints: DataFrame, n: int) -> np.ndarray:
     """A bit for every value that the top bits of an item's fingerprint take; merged in the tasks, of bounded size."""
     bits = min(MAX_BITS, 1 << max(10, (BITS_PER_PRINT * n).bit_length()))
@@ -268,7 +286,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     rows = whole_rows(docs, "decontaminate-rows", text=F.col(f"`{text_col}`"))
     hits = _hits(rows.select("f", "r", "text"), benchmark, window, item_col, item_text_col)
     dirty = stored(hits.select("f", "r", covered_words("_hits").alias("_hit")), "decontaminate-dirty")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     marked = rows.join(small_side(dirty, dirty.count()), ["f", "r"], "left")
-    clean = F.coalesce("_hit", F.lit(0)) <= (F.lit(max_share) * words if max_share else F.lit(0))
+    clean = F.coalesce("_hit", F.lit(0)) <= (F.lit(max_share) * _word_counts("text") if max_share else F.lit(0))
     return marked.where(clean).select("_row.*")
