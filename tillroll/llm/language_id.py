@@ -133,9 +133,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     @F.arrow_udf("struct<gram:array<int>,n:array<int>>")
     def features(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            found = [gram_counts(t.as_py()) for t in part]
-            found = [(at := np.flatnonzero(c), c[at]) if c is not None else (np.zeros(0, int),) * 2 for c in found]
-            yield pa.array([{"gram": a, "n": c} for a, c in found], pa.struct([("gram", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
+            grams, ns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for t in part:  # the dense counts of one text at a time
+                counts = gram_counts(t.as_py())
+                at = np.flatnonzero(counts) if counts is not None else np.zeros(0, np.int64)
+                grams.append(at.astype(np.int32))
+                ns.append(counts[at].astype(np.int32) if len(at) else grams[0])
+            ends = pa.array(np.cumsum([0] + [len(g) for g in grams[1:]]), pa.int32())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (grams, ns)], names=["gram", "n"])
 
     sample = (rows.where(draw < F.element_at(share, F.col("label")))
               .select("label", F.xxhash64("id", F.lit(7)).alias("order"), features("text").alias("x")))
