@@ -3,7 +3,7 @@ import re
 from helpers import UPPER
 
 from tillroll.llm.catalog import URL_RULES
-from tillroll.llm.url_filter import judge
+from tillroll.llm.url_filter import FEATURES, SMOOTHING, _with_features, judge, matching_rule, parse
 
 URLS = [None, "", "no scheme", "://", "http://", "HTTP://A.Example.NET/en/x?y=1", "http://example.net/en", "http://example.net/en/",
         "http://badexample.net/en/", "http://x.net", "http://x.net/", "http://net/", "http://net", "https://example.com/de/?a://b/c",
@@ -60,6 +60,41 @@ def test_trees_learn_the_lexical_features(spark):
     assert len(got) == 80 and right >= 76
 
 
+def test_features_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    urls = [u for u in URLS if u is not None and len(u) < 4000] + ["http://a.b.net/x-y/z?p=1&q=2#f", "https://sub.example.com/de/12-3", "http://k.net/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id long, url string")
+    base = parse(pages).withColumn("_m", matching_rule(URL_RULES)).select(
+        "id", "url", "host", "path", F.col("_m.verdict").alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"),
+        F.substring_index("host", ".", -2).alias("domain"))
+    blocked = F.col("ruled") == "block"
+    suffixes = base.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_pages"), F.count(F.when(blocked, 1)).alias("suffix_blocked"),
+                                          F.count("ruled").alias("suffix_ruled"))
+    domains = base.groupBy("domain").agg(F.log1p(F.count("*")).alias("domain_pages"))
+    got = {r["id"]: r for r in _with_features(base, suffixes, 99, domains, 99, 0.4).collect()}
+    hosts = [brute(u) for u in urls]
+    last = [h[0].rsplit(".", 1)[-1] for h in hosts]
+    two = [".".join(h[0].split(".")[-2:]) for h in hosts]
+    for i, u in enumerate(urls):
+        host, path, _, verdict = hosts[i]
+        query = u.split("#", 1)[0].rsplit("?", 1)[1] if "?" in u.split("#", 1)[0] else ""
+        others = [h[3] for j, h in enumerate(hosts) if last[j] == last[i] and j != i and h[3]]
+        want = {"url_chars": len(u), "host_chars": len(host), "path_chars": len(path), "host_labels": len(host.split(".")),
+                "path_depth": len(re.findall("/+", path)), "params": query.count("&") + 1 if query else 0,
+                "digit_ratio": sum(c in "0123456789" for c in u) / len(u) if u else 0.0, "hyphens": u.count("-"),
+                "entropy": -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values()) if u else 0.0,
+                "suffix_pages": math.log1p(last.count(last[i])), "domain_pages": math.log1p(two.count(two[i])),
+                "suffix_block_rate": (others.count("block") + SMOOTHING * 0.4) / (len(others) + SMOOTHING)}
+        assert set(want) == set(FEATURES)
+        for name, value in want.items():
+            if name == "params" and "?" in u and "#" in u and u.index("#") < u.index("?"):
+                continue  # a mark after the fragment's begin is no query
+            assert abs(got[i][name] - value) < 1e-9, (u, name, got[i][name], value)
+
+
 def test_no_python_in_the_plan(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.org/fr/"), (3, "http://b.com/")] * 5, "page_id long, url string")
     plan = judge(pages, URL_RULES)._jdf.queryExecution().toString()

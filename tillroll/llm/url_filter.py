@@ -14,6 +14,7 @@ from tillroll.llm.common import ascii_lower, small_side, stored
 ALLOW, BLOCK = "allow", "block"
 #: URLs per class, on average, that the trees are trained on.
 SAMPLE_PER_CLASS = 20_000
+SMOOTHING = 20
 FEATURES = ("url_chars", "host_chars", "path_chars", "host_labels", "path_depth", "params", "digit_ratio", "hyphens",
             "entropy", "suffix_pages", "suffix_block_rate", "domain_pages")
 
@@ -42,7 +43,12 @@ def matching_rule(rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.array(*[fit(*r) for r in rules]))
 
 
-def _with_features(urls: DataFrame, suffixes: DataFrame, n_suffixes: int, domains: DataFrame, n_domains: int) -> DataFrame:
+def _with_features(urls: DataFrame, suffixes: DataFrame, n_suffixes: int, domains: DataFrame, n_domains: int, prior: float) -> DataFrame:
+    """Add ``FEATURES`` to (url, host, path, suffix, domain, ruled).
+
+    The share of blocked URLs among those of the suffix that rules label leaves out the row's own label, so that no
+    training row sees its answer; ``SMOOTHING`` URLs of the ``prior`` share are added to each suffix.
+    """
     url = F.col("url")
     chars = F.length(url)
 
@@ -64,12 +70,14 @@ def _with_features(urls: DataFrame, suffixes: DataFrame, n_suffixes: int, domain
         F.when(F.length(query) > 0, F.length(query) - F.length(F.replace(query, F.lit("&"), F.lit(""))) + 1).otherwise(0).cast("double").alias("params"),
         F.coalesce((chars - F.length(F.translate(url, "0123456789", ""))) / F.when(chars > 0, chars), F.lit(0.0)).alias("digit_ratio"),
         times(F.lit("-")).cast("double").alias("hyphens"), entropy.alias("entropy"))
-    return urls.join(small_side(suffixes, n_suffixes), "suffix", "left").join(small_side(domains, n_domains), "domain", "left").na.fill(
-        0.0, ["suffix_pages", "suffix_block_rate", "domain_pages"])
+    own, own_block = F.col("ruled").isNotNull().cast("int"), F.coalesce(F.col("ruled") == BLOCK, F.lit(False)).cast("int")
+    rate = (F.col("suffix_blocked") - own_block + SMOOTHING * prior) / (F.col("suffix_ruled") - own + SMOOTHING)
+    joined = urls.join(small_side(suffixes, n_suffixes), "suffix", "left").join(small_side(domains, n_domains), "domain", "left")
+    return joined.withColumn("suffix_block_rate", rate).drop("suffix_blocked", "suffix_ruled")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
-          sample_per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+          sample_per_class: int = SAMPLE_PER_CLASS, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Allow or block every URL: by the longest rule that fits, else by gradient-boosted trees.
 
     host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
@@ -82,8 +90,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     ``sample_per_class`` of each verdict picked by a hash of the URL. Features:
     lengths, path depth, host labels, digit ratio, character entropy, number
     of parameters, hyphens, and statistics of the host's last label and of its last two
-    (pages, and the smoothed share of blocked ones among those that rules
-    label), which are taken over all pages. If the rules label none or
+    (pages, and the smoothed share of blocked ones among the others that rules
+    label), which are taken over all pages; ``features`` may name fewer. If the rules label none or
     only one verdict, the other URLs get that verdict (none: allow).
 
     Returns one row per input row: id, host, path, rule (else null), verdict,
@@ -105,14 +113,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     prior = n_block / (n_block + n_allow)
     suffixes = stored(base.groupBy("suffix").agg(
         F.log1p(F.count("*")).alias("suffix_pages"),
-        ((F.count(F.when(blocked, 1)) + 20 * prior) / (F.count("ruled") + 20)).alias("suffix_block_rate")), "suffixes")
+        F.count(F.when(blocked, 1)).alias("suffix_blocked"), F.count("ruled").alias("suffix_ruled")), "suffixes")
     domains = stored(base.groupBy("domain").agg(F.log1p(F.count("*")).alias("domain_pages")), "domains")
-    rows = _with_features(base, suffixes, suffixes.count(), domains, domains.count())
+    rows = _with_features(base, suffixes, suffixes.count(), domains, domains.count(), prior)
 
     share = F.when(blocked, min(1.0, sample_per_class / n_block)).otherwise(min(1.0, sample_per_class / n_allow))
     labelled = rows.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url", "id"), F.lit(1_000_003)) / 1_000_003.0 < share))
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = stored(labelled.select(*FEATURES, blocked.cast("double").alias("label")), "url-sample")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    train = stored(labelled.select(*features, blocked.cast("double").alias("label")), "url-sample")
     if train.select("label").distinct().count() < 2:
         return base.select(F.col("id").alias(id_col), "host", "path", "rule",
                            F.coalesce("ruled", F.lit(BLOCK if prior >= 0.5 else ALLOW)).alias("verdict"), F.lit(None).cast("double").alias("score"))
