@@ -5,6 +5,15 @@ near_dedup  keeps one document of every class of near duplicates
 decontam    drops documents that share ten words in a row with a benchmark item
 mix         takes each document 0, 1 or 2 times, so that the sources reach their target words
 shard       adds shard and slot: 24 contiguous shards of about equal bytes
+
+Defined cases. Null text: rejected by ``language``, as is a text without a letter, so later stages
+see none in a run; taken alone, ``near_dedup`` keeps documents with null text (repeated ids once),
+``decontam`` keeps them, ``mix`` takes them once at size 0 and ``shard`` counts 8 bytes. Null ids: rows of their own in
+every stage; null sources are one source, null lang is not learnt from. Very long texts are read whole, in blocks.
+Ties: the larger probability's first language in code point order; of a class of near duplicates the smallest id, then the
+smallest MD5, stays; mix and shard order equal sizes and equal texts by id. Repeated rows: ``near_dedup`` keeps one of them; the other stages treat each as a document. An
+empty table goes through all stages and gives an empty result with all columns. Other columns are passed on
+whatever their names; input columns called ``shard`` or ``slot`` are replaced by the last stage.
 """
 
 from __future__ import annotations
