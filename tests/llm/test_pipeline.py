@@ -68,10 +68,21 @@ def test_stages(spark):
 
 def test_run_on_edge_rows(spark, tmp_path):
     for df in (frame(spark, edge_rows()), frame(spark, edge_rows()).where("false")):
-        out = df
-        for _, stage in corpus_pipeline.STAGES:
+        out, before = df, {repr(tuple(r[c] for c in df.columns if c not in ("shard", "slot"))) for r in df.collect()}
+        for name, stage in corpus_pipeline.STAGES:
             out = stored(stage(spark, out, SF), "t")
+            rows = out.collect()
+            # every row is one of the input, whole, but for the columns that the last stage replaces
+            assert {repr(tuple(r[c] for c in df.columns if c not in ("shard", "slot"))) for r in rows} <= before, name
+            if name in ("language", "near_dedup", "decontam"):
+                assert all(any(c.isalpha() for c in r["text"] or "") for r in rows)
+            if name == "near_dedup":
+                assert len({r["text"] for r in rows}) == len(rows)
         assert set(out.columns) == set(df.columns)
+        slots = {}
+        for r in rows:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and bool(slots) == bool(before)
 
 
 def test_nothing_else_imports_the_subpackage():

@@ -97,6 +97,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     one task, on a sample of about ``sample_per_language`` texts of each language,
     picked by a hash of the id; of that sample a fifth is kept aside to
     calibrate the temperature. Without labelled rows the model has no languages.
+    Repeated rows count as often as they occur; rows of equal ids are ordered by label and length for training.
+    Very long texts are read whole, in blocks; empty texts have no letter. Other columns are not looked at.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
@@ -205,7 +207,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epo
 def language(model: Model, text: Column | str, spark) -> Column:
     """Predict (lang, score) of whole texts: ``und`` and 0.0 if the text is null or has no letter.
 
-    The score is the calibrated probability of the predicted language. The
+    The score is the calibrated probability of the predicted language; of equally probable
+    ones the first in code point order is taken. Texts of any length are read whole; repeated rows get equal results. The
     model (a few MB, of fixed size per language) goes to the executors once.
     """
     shared = spark.sparkContext.broadcast(model)
@@ -227,6 +230,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, text_col: str = "te
     Learns from the labelled documents themselves. Rejected are null texts,
     texts without letters and texts on which the model cannot decide. Without
     any labelled document nothing can be told, and every text with a letter stays.
+    Each of repeated rows is judged alike; an empty table stays empty.
     """
     model = fit(docs, text_col, label_col, id_col)
     if not model.languages:
