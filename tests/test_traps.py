@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import scalars
 from tillroll.operators import audit, insights, reports, writes
+from tillroll.plans.inspect import plan_text
 
 TS = dt.datetime
 
@@ -376,6 +377,24 @@ def test_held_carts_are_read_as_strictly_as_a_browser_does(spark):
     assert got == [("ok", 7, Decimal("25.01"), Decimal("28.01")), ("space", 7, Decimal("25.01"), Decimal("28.01"))]
 
 
+def test_held_carts_values_of_another_kind_count_as_missing(spark):
+    item = '{"unitPrice":2.5,"quantity":2}'
+    texts = {"twice": f'[{{"id":"x","id":"h","items":[{item}]}}]', "text": '[{"id":"h","items":[{"unitPrice":"2.5","quantity":2}]}]',
+             "large": f'[{{"id":"h","items":[{{"unitPrice":1e400,"quantity":1}},{item}]}}]',
+             "number": f'[3,{{"id":"h","items":[{item}]}},null]', "items": '[{"id":"h","items":5}]',
+             "md5": '[], "d751713988987e9331980363e24189ce"], ['}
+    df = spark.createDataFrame(list(texts.items()), "holder_id string, held_json string")
+    got = rows(writes.held_cart_totals(df), "holder_id", "position", "held_id", "subtotal")
+    assert got == [("items", 1, "h", Decimal("0.00")), ("large", 1, "h", Decimal("5.00")), ("number", 2, "h", Decimal("5.00")),
+                   ("text", 1, "h", Decimal("5.00")), ("twice", 1, "h", Decimal("5.00"))]
+
+
+def test_held_carts_are_parsed_once(spark):
+    df = spark.createDataFrame([("a", "[]")], "holder_id string, held_json string")
+    plan = plan_text(writes.held_cart_totals(df), "simple")
+    assert plan.lower().count("parsejson") == 1
+
+
 # ---- U01 / U04 / U05 / U06 ------------------------------------------------------------------
 def test_category_counts_zero_and_all(spark):
     products = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 9, 1)], "id int, category_id int, is_available int")

@@ -670,36 +670,39 @@ HELD_CARTS_SCHEMA = (
     "addons:array<struct<id:bigint,name:string,extra_price:decimal(24,8)>>,"
     "unitPrice:decimal(24,8),quantity:decimal(14,6)>>,"
     "isDiscountActive:boolean,note:string>>")
-# Strict JSON: no quotes, numbers or names that a standard reader refuses.
-_STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowNonNumericNumbers": "false",
-           "allowNumericLeadingZeros": "false", "allowComments": "false"}
 
 
-def _json_list(text: Column) -> Column:
-    """The parsed list of held carts, or NULL unless the whole text is one JSON list.
+def _json_lists(held: DataFrame, holder_col: str, json_col: str) -> DataFrame:
+    """(holder, carts): the list of held carts, or NULL unless the whole text is one JSON list.
 
-    The reader looks at the first value of a text only. Put inside a list and
-    inside an object, whatever follows the value breaks at least one of the two.
+    The reader ends at the first whole value of a text. So the text is read as the first member of a list that its own
+    MD5 ends: the MD5 comes second exactly when the text is one value and nothing follows it.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{HELD_CARTS_SCHEMA}>", _STRICT)
-    whole = F.from_json(F.concat(F.lit('{"carts":'), text, F.lit("}")), f"carts {HELD_CARTS_SCHEMA}, broken string",
-                        {**_STRICT, "columnNameOfCorruptRecord": "broken"})
-    return F.when((F.size(wrapped) == 1) & whole["broken"].isNull() & whole["carts"].isNotNull(), F.get(wrapped, 0))
+    text = F.col(json_col)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+    read = held.select(F.col(holder_col), F.md5(text).alias("_md5"), both.alias("_both"))
+    return read.select(holder_col, F.when(F.try_variant_get("_both", "$[1]", "string") == F.col("_md5"),
+                                          F.try_variant_get("_both", "$[0]", HELD_CARTS_SCHEMA)).alias("carts"))
 
 
 def held_cart_totals(held: DataFrame, json_col: str = "held_json", holder_col: str = "holder_id") -> DataFrame:
     """Parse each browser's held-cart list and price every held cart.
 
-    A document that is not valid JSON as a whole, or not a JSON list, holds
-    no carts. The list is newest first, so a cart's number is (list length -
+    Each document is parsed once, into a Variant, and its carts are taken from that. A document that is not valid JSON
+    as a whole, or not a JSON list, holds no carts. A value of another kind, or a number too large, counts as missing and
+    costs no other value of its document. An object that names a key twice is read (its last value) only
+    under ``spark.sql.variant.allowDuplicateKeys``, as ``build_session`` sets it; else its document holds no carts.
+
+    The list is newest first, so a cart's number is (list length -
     index): the oldest is 1. Prices and quantities keep their decimals; a
     missing price or quantity makes its line 0. ``item_count`` is the sum of
     the quantities without a fraction. Totals follow B03 (12 % tax before the
     5 % discount, each amount rounded on its own) on exact decimals.
     """
-    parsed = held.select(holder_col, _json_list(F.col(json_col)).alias("carts"))
-    carts = parsed.filter(F.col("carts").isNotNull()).select(
-        holder_col, F.size("carts").alias("n"), F.posexplode("carts").alias("idx", "cart"))
+    parsed = _json_lists(held, holder_col, json_col)
+    # The outer form keeps the planner from filtering on the list first, which would parse every text twice.
+    carts = parsed.select(holder_col, F.size("carts").alias("n"), F.posexplode_outer("carts").alias("idx", "cart")) \
+        .filter(F.col("cart").isNotNull())
     items = F.coalesce(F.col("cart.items"), F.array().cast(
         carts.schema["cart"].dataType["items"].dataType))
     count = F.aggregate(items, F.lit(0).cast("decimal(30,6)"),

@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",      # as a browser reads JSON: the last value counts
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
