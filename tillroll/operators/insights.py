@@ -166,6 +166,11 @@ def daily_history(orders: DataFrame, user_sessions: DataFrame, as_of: dt.datetim
     day before they meet, so the day join and the yesterday self-join are
     over a few thousand rows at most, whatever the input size.
     """
+    return history_rows(order_days(orders), staff_days(user_sessions, as_of), as_of)
+
+
+def order_days(orders: DataFrame) -> DataFrame:
+    """Counts and sums of the orders per day of their current status."""
     st = F.col("status")
     ts = (F.when(st == "completed", F.col("completed_at")).when(st == "refunded", F.col("refunded_at"))
           .when(st == "voided", F.col("voided_at")))
@@ -178,13 +183,21 @@ def daily_history(orders: DataFrame, user_sessions: DataFrame, as_of: dt.datetim
     def amt(kind):
         return F.sum(F.when(F.col("st") == kind, F.col("total")).otherwise(0)).cast(MONEY_OUT)
 
-    od = o.groupBy("day").agg(cnt("completed").alias("transactions_made"), amt("completed").alias("daily_revenue"),
-                              cnt("refunded").alias("orders_refunded"), amt("refunded").alias("refunded_total"),
-                              cnt("voided").alias("orders_voided"), amt("voided").alias("voided_total"))
+    return o.groupBy("day").agg(cnt("completed").alias("transactions_made"), amt("completed").alias("daily_revenue"),
+                                cnt("refunded").alias("orders_refunded"), amt("refunded").alias("refunded_total"),
+                                cnt("voided").alias("orders_voided"), amt("voided").alias("voided_total"))
+
+
+def staff_days(user_sessions: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Seconds clocked and distinct staff per login day."""
     dur = seconds_between(F.col("logged_in_at"), F.coalesce(F.col("logged_out_at"), ntz(as_of)))
-    sd = user_sessions.groupBy(F.to_date("logged_in_at").alias("s_day")).agg(
+    return user_sessions.groupBy(F.to_date("logged_in_at").alias("s_day")).agg(
         F.sum(dur).cast("bigint").alias("seconds_clocked"),
         F.count_distinct("user_id").alias("staff_count"))
+
+
+def history_rows(od: DataFrame, sd: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """U06's rows from the days of ``order_days`` and ``staff_days``."""
     report_day = F.lit(as_of.strftime("%Y-%m-%d")).cast("date")
     active = od.select("day").unionByName(sd.select(F.col("s_day").alias("day")))
     spine = active.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence(

@@ -80,7 +80,7 @@ def cart_key(product_id: Column, size_id: Column, addon_ids: Column) -> Column:
 RANGE_BITS = 16
 
 
-def _fold_ranges(parts: DataFrame, parent: Column) -> DataFrame:
+def fold_parts(parts: DataFrame, parent: Column) -> DataFrame:
     """Combine neighbouring parts of a key's change sequence, those with the
     same ``parent``, into one part each.
 
@@ -113,21 +113,36 @@ def merge_cart_lines(cart_adds: DataFrame, range_bits: int = RANGE_BITS) -> Data
     levels as the largest ``seq`` needs). However a hot key's changes are spread over
     ``seq``, no window holds more than ``2 ** range_bits`` rows of it.
     """
+    parts, _ = fold_sequence(cart_adds, range_bits)
+    return lines_left(parts)
+
+
+def cart_changes(cart_adds: DataFrame) -> DataFrame:
+    """Each change as a part of its own: (cart_id, cart_key, pos, reset, t, m), see ``fold_parts``."""
     if "addon_ids" in cart_adds.columns:
         ids = F.coalesce(F.col("addon_ids"), F.array().cast("array<bigint>"))
     else:
         ids = F.when(F.col("addon_id").isNull(), F.array().cast("array<bigint>")) \
                .otherwise(F.array(F.col("addon_id").cast("bigint")))
     change = F.col("change").cast("bigint")
-    parts = cart_adds.select(
+    return cart_adds.select(
         "cart_id", cart_key(F.col("product_id"), F.col("size_id"), ids).alias("cart_key"),
         F.col("seq").cast("bigint").alias("pos"), (change == 0).alias("reset"), change.alias("t"),
         F.least(change, F.lit(0)).cast("bigint").alias("m"))
+
+
+def fold_sequence(cart_adds: DataFrame, range_bits: int = RANGE_BITS) -> tuple[DataFrame, int | None]:
+    """One part per line for all its changes, and the smallest ``seq`` (None without changes)."""
+    parts = cart_changes(cart_adds)
     ends = cart_adds.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
     bits = max((abs(int(x)).bit_length() for x in ends if x is not None), default=0)
     for _ in range(-(-bits // range_bits) - 1):
-        parts = _fold_ranges(parts, F.shiftright("pos", range_bits))
-    parts = _fold_ranges(parts, F.lit(0).cast("bigint"))
+        parts = fold_parts(parts, F.shiftright("pos", range_bits))
+    return fold_parts(parts, F.lit(0).cast("bigint")), ends["low"]
+
+
+def lines_left(parts: DataFrame) -> DataFrame:
+    """The lines above 0 that parts reaching back to an empty cart leave."""
     return parts.select("cart_id", "cart_key", (F.col("t") - F.col("m")).cast("bigint").alias("quantity")) \
         .filter(F.col("quantity") > 0)
 

@@ -8,14 +8,18 @@ pending list's newest 10).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.operators import audit, checkout, insights, reports, writes
+from tillroll.operators import audit, checkout, incremental, insights, reports, writes
 from tillroll.schema import AS_OF
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.fixtures import PosTables
+from tillroll.sources.stage import stage_path, staged
+from tillroll.sources.store import bucket_count
 from tillroll.streaming.kitchen import kitchen_queue_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -333,6 +337,50 @@ def _labels(t: PosTables):
     return insights.transaction_labels(reports.cashier_transactions(t.orders, t.order_items))
 
 
+# ---- batch by batch -----------------------------------------------------------------
+@register("merge_cart_lines_batches")
+def _merge_batches(t: PosTables):
+    """B02 in three batches of ``seq``, each kept as its summary only."""
+    ends = t.cart_adds.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    low, high = (ends.low or 0, ends.high or 0)
+    first, second = low + (high - low) // 3, low + 2 * (high - low) // 3
+    cuts = (F.col("seq") < first, (F.col("seq") >= first) & (F.col("seq") < second), F.col("seq") >= second)
+    return incremental.summary_lines(*[staged(incremental.cart_summaries(t.cart_adds.filter(c)), "cart-batch") for c in cuts])
+
+
+@register("sessionize_logins_batches")
+def _session_batches(t: PosTables):
+    """B10 in two batches, the open sessions carried over."""
+    ev = t.login_events
+    ends = ev.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    if ends.low is None:
+        return writes.sessionize_logins(ev)
+    middle = reports.ntz(ends.low + (ends.high - ends.low) / 2)
+    none = writes.sessionize_logins(ev.limit(0))
+    first = incremental.sessionize_batch(ev.filter(F.col("ts") < middle), none)
+    second = incremental.sessionize_batch(ev.filter(F.col("ts") >= middle), staged(first["open"], "open-sessions"))
+    return first["closed"].unionByName(second["closed"]).unionByName(second["open"])
+
+
+@register("daily_history_kept")
+def _history_kept(t: PosTables):
+    """U06 from partials: all days up to the report's, then the changes since that day began."""
+    cut = dt.datetime.combine(AS_OF.date(), dt.time())
+    orders, sessions = incremental.orders_changed_since(t.orders, cut), incremental.sessions_changed_since(t.user_sessions, cut)
+    kept = incremental.day_partials(incremental.orders_as_of(t.orders, cut), incremental.sessions_as_of(t.user_sessions, cut)).staged()
+    changes = incremental.day_changes(incremental.orders_as_of(orders, cut), orders, incremental.sessions_as_of(sessions, cut), sessions)
+    return incremental.partials_history(kept.plus(changes).staged(), AS_OF)
+
+
+@register("apply_order_status_stored")
+def _apply_status_stored(t: PosTables):
+    """B08 on a stored order table of which only the buckets with requests are written again."""
+    path = stage_path(t.spark, "order-buckets")
+    incremental.write_orders(t.orders, path, bucket_count(t.spark, t.sf_dir, "orders"))
+    incremental.apply_status_stored(t.spark, path, t.status_events, t.users)
+    return incremental.read_orders(t.spark, path)
+
+
 # ---- streaming -------------------------------------------------------------------
 @register("kitchen_queue_stream")
 def _kitchen_stream(t: PosTables):
