@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from test_traps import EVENTS, ORDERS, SESSIONS, TS, USERS, order, rows
 from tillroll.operators import incremental, insights, writes
+from tillroll.plans.inspect import plan_text, scan_summaries
 from tillroll.sources.stage import staged
 
 ADDS = "seq bigint, cart_id bigint, product_id bigint, size_id int, addon_id bigint, change int"
@@ -130,6 +131,22 @@ def test_a_day_left_by_all_its_orders_counts_as_quiet(spark):
     assert got == [(dt.date(2024, 1, 3), 0, 1), (dt.date(2024, 1, 4), 0, 0)]
 
 
+def test_a_days_changes_are_found_by_filters_in_the_scan(tables):
+    cut = TS(2024, 1, 30)
+    for df, columns in ((incremental.orders_changed_since(tables.orders, cut), ("completed_at", "refunded_at", "voided_at")),
+                        (incremental.sessions_changed_since(tables.user_sessions, cut), ("logged_in_at", "logged_out_at"))):
+        (scan,) = scan_summaries(df)
+        assert all(f"GreaterThanOrEqual({c}," in scan["pushed"] for c in columns)
+
+
+def test_touched_buckets_prune_the_scan(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    incremental.write_orders(spark.createDataFrame([order(i, 3, "pending") for i in range(50)], ORDERS), path, 8)
+    buckets, stored = incremental.stored_orders(spark, path)
+    assert buckets == 8
+    assert "PartitionFilters: [bucket#" in plan_text(stored.filter(F.col("bucket").isin([1, 5])))
+
+
 # ---- B08 -----------------------------------------------------------------------------------
 def files_of(path):
     return {os.path.join(folder, f) for folder, _, names in os.walk(path) for f in names if f.endswith(".parquet")}

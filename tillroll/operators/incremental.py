@@ -192,14 +192,15 @@ def _placed(orders: DataFrame, buckets: int) -> DataFrame:
     return orders.withColumn("bucket", F.pmod(F.xxhash64(F.col("id").cast("bigint")), F.lit(buckets)).cast("int"))
 
 
-def _stored(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+def stored_orders(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The number of buckets, and the orders with their ``bucket`` (a filter on it opens those folders only)."""
     layout = spark.read.parquet(f"{path}/layout").first()
     schema = StructType.fromJson(json.loads(layout.schema)).add("bucket", IntegerType())
     return layout.buckets, spark.read.schema(schema).parquet(f"{path}/rows")
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, path)[1].drop("bucket")
+    return stored_orders(spark, path)[1].drop("bucket")
 
 
 def apply_status_stored(spark: SparkSession, path: str, status_events: DataFrame, users: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def apply_status_stored(spark: SparkSession, path: str, status_events: DataFrame
     only. The outcomes and the new rows are staged before any bucket is replaced. A run that is lost while buckets are being
     replaced is mended by running it again: B08 leaves an order alone that already has its requests applied.
     """
-    buckets, stored = _stored(spark, path)
+    buckets, stored = stored_orders(spark, path)
     requested = _placed(status_events.select(F.col("order_id").alias("id")).filter(F.col("id").isNotNull()), buckets)
     touched = [r.bucket for r in requested.select("bucket").distinct().collect()]
     result = apply_order_status(stored.filter(F.col("bucket").isin(touched)).drop("bucket"), status_events, users)
