@@ -10,7 +10,7 @@ from helpers import UPPER, edge_rows, frame
 from sentencepiece import SentencePieceProcessor
 
 from tillroll.llm import lattice_lm
-from tillroll.llm.lattice_lm import Pieces, score_documents, word_scores
+from tillroll.llm.lattice_lm import Pieces, most_frequent, score_documents, word_scores
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -98,3 +98,16 @@ def test_empty_and_no_training(spark):
     held = df.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
     got = score_documents(held, PATH).collect()
     assert got and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_head_holds_every_hot_word(spark):
+    """Also words that training texts lack; what is left out is rare, and the head is bounded by rows and bytes."""
+    rng = random.Random(8)
+    times = {f"w{i}": rng.randint(1, 9) for i in range(500)} | {"held": 4000, "often": 900, "x" * 3000: 5000}
+    words = spark.createDataFrame([(w.encode(), 0 if w == "held" else m, m) for w, m in times.items()], "word binary, c long, m long")
+    for rows, size in ((0, 10**6), (2, 10**6), (3, 10**6), (100, 10**6), (1000, 10**6), (1000, 3100), (1000, 1000)):
+        head = {r["word"].decode() for r in most_frequent(words, rows, size).collect()}
+        assert len(head) <= rows and sum(map(len, head)) <= size
+        for w in times.keys() - head:
+            assert times[w] < 2 * sum(times.values()) / (rows + 1) or times[w] * (size + 1) < 2 * sum(m * len(v) for v, m in times.items())
+    assert "held" in {r["word"].decode() for r in most_frequent(words, 3, 10**6).collect()}

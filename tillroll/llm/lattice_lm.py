@@ -15,6 +15,8 @@ from tillroll.llm.common import crc32_mod, stored
 
 #: Frequent words whose counts and scores go to every executor; all other words are joined.
 HEAD_WORDS = 150_000
+#: Bytes of these words at most.
+HEAD_BYTES = 16 << 20
 #: Distinct words a task counts before it passes the counts on.
 FLUSH = 300_000
 #: Words up to this many bytes are scored many at a time.
@@ -171,8 +173,9 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     pieces, so every text has a probability), and that of a text the product over its words and the end.
 
     Words are counted and scored once each over the whole corpus. The
-    ``head_words`` most frequent ones, at most, go to the executors; each text's other words are joined
-    with the table of all words, which is never collected.
+    ``head_words`` most frequent ones of all texts, training or not, go to the executors (at most, and at most
+    ``HEAD_BYTES`` of them); each text's other words are joined with the table of all words, which is never
+    collected. None of those is a hot key: see ``most_frequent``.
 
     Returns one row per input row: the id, ``held_out``, ``n_tokens`` (words
     and the end), ``n_known`` (tokens that occur in training texts),
@@ -185,7 +188,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = Counter(), set()
+        known, other = Counter(), Counter()
         for part in parts:
             for text, held in zip(part.column(0), part.column(1).to_pylist()):
                 if held:
@@ -194,10 +197,11 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                     known.update(tokens_of(text.as_py()))
                 if len(known) + len(other) > FLUSH:
                     yield _counted(known, other)
-                    known, other = Counter(), set()
+                    known, other = Counter(), Counter()
         yield _counted(known, other)
 
-    words = rows.select("text", "held_out").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    words = rows.select("text", "held_out").mapInArrow(count, "word binary, c long, m long").groupBy("word").agg(
+        F.sum("c").alias("c"), F.sum("m").alias("m"))
     words = stored(words, "lm-words")
     ends = rows.where(~F.col("held_out")).count()
     total = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -232,20 +236,15 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     def weigh(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             scores = word_scores(part.column(0).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=["word", "c", "m", "lp"])
 
-    words = stored(words.mapInArrow(weigh, "word binary, c long, lp double"), "lm-scores")
+    words = stored(words.mapInArrow(weigh, "word binary, c long, m long, lp double"), "lm-scores")
     base_mass = float(np.log10(n_tokens + 0.5 * (v + 1)))
 
-    # The head: all words at least as frequent as the smallest power of two that leaves at most head_words of them.
-    bins = words.where("c > 0").groupBy(F.floor(F.log2("c")).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
-    least, room = None, head_words
-    for r in bins:
-        if r["n"] > room:
-            break
-        least, room = 2 ** r["b"], room - r["n"]
-    head = words.where(F.col("c") >= (least if least else 1 << 62)).toArrow()
-    table = dict(zip(head.column(0).to_pylist(), zip(np.log10(head.column(1).to_numpy() + 0.5).tolist(), head.column(2).to_numpy().tolist())))
+    head = most_frequent(words, head_words).select("word", "c", "lp").toArrow()
+    in_training = head.column(1).to_numpy()
+    table = dict(zip(head.column(0).to_pylist(),
+                     zip((in_training > 0).tolist(), np.log10(in_training + 0.5).tolist(), head.column(2).to_numpy().tolist())))
     frequent = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,rest:array<binary>,times:array<int>>")
@@ -260,9 +259,9 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                 for w, c in own.items():
                     seen += c
                     if (x := get(w)) is not None:
-                        hits += c
-                        b_sum += c * x[0]
-                        s_sum += c * x[1]
+                        hits += c * x[0]
+                        b_sum += c * x[1]
+                        s_sum += c * x[2]
                     else:
                         rest.append(w)
                         times.append(c)
@@ -280,7 +279,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     texts = stored(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", split("text").alias("x")), "lm-texts")
     rare = texts.select("rid", F.explode(F.arrays_zip("x.rest", "x.times")).alias("w")).select(
         "rid", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.join(words, "word").groupBy("rid").agg(
+    rare = rare.join(words.drop("m"), "word").groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"),
         F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("base2"), F.sum(F.col("times") * F.col("lp")).alias("score2"))
     tokens = F.col("x.n") + 1
@@ -293,7 +292,28 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
         (F.col("x.score") + F.coalesce("score2", zero) + end_score).alias("score"))
 
 
-def _counted(known: Counter, other: set) -> pa.RecordBatch:
-    other = [w for w in other if w not in known]
-    return pa.RecordBatch.from_arrays([pa.array([*known, *other], pa.binary()), pa.array([*known.values(), *[0] * len(other)], pa.int64())],
-                                      names=["word", "c"])
+def most_frequent(words: DataFrame, rows: int, size: int = HEAD_BYTES) -> DataFrame:
+    """The most frequent of ``words`` (word, m: times in all texts), at most ``rows`` of them with at most ``size`` bytes in all.
+
+    Whole ranges of frequency are taken, from a power of two to the next, the highest
+    first, until one doesn't fit. The words of that range number more than ``rows``, together with those
+    taken, each at least half as frequent as any word left out; so a word left out makes up
+    less than 2 / ``rows`` of all words, or, for its length, 2 / ``size`` of all their bytes.
+    """
+    power = F.floor(F.log2("m"))
+    ranges = words.groupBy(power.alias("power")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).orderBy(F.desc("power")).collect()
+    least = None
+    for r in ranges:  # at most 64
+        rows, size = rows - r["n"], size - r["size"]
+        if rows < 0 or size < 0:
+            break
+        least = r["power"]
+    return words.where(power >= least) if least is not None else words.where("false")
+
+
+def _counted(known: Counter, other: Counter) -> pa.RecordBatch:
+    """Of every word how often it occurs in training texts (``known``), and in them and the ``other`` ones."""
+    new = [w for w in other if w not in known]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*known, *new], pa.binary()), pa.array([*known.values(), *[0] * len(new)], pa.int64()),
+         pa.array([*(c + other[w] for w, c in known.items()), *(other[w] for w in new)], pa.int64())], names=["word", "c", "m"])
