@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACES, ascii_lower, small_side, stored
+from tillroll.llm.common import SPACES, ascii_lower, row_numbered, stored
 
-#: Dropped positions (not rows) that may be sent to every executor.
+#: Dropped positions (not rows; 4 bytes each) that may be sent to every executor.
 BROADCAST_POSITIONS = 1_000_000
+#: Hashes of lines (20 bytes each) that may be sent to every executor.
+BROADCAST_LINES = 500_000
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id",
@@ -29,31 +31,35 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
 
     Only hashes and positions are shuffled for the counts. Lines are counted
     per (line, document) first and per line after, both with map-side partial
-    aggregation, so a line that is in every document is no hot key.
+    aggregation, so a line that is in every document is no hot key. Nor is it one where
+    the shared lines meet their places: up to ``BROADCAST_LINES`` shared lines are broadcast; of more, those that
+    make up over 1 / ``BROADCAST_LINES`` of all places are, and only the places of
+    others are shuffled by line. Decisions come back to the texts by file and row, which no two texts share.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    base = row_numbered(docs.select(F.col(id_col).alias("id"), text.alias("text")), "line-texts")
     key = ascii_lower(F.btrim("line", F.lit(SPACES)))
     lines = stored(
-        base.select("id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"),
-                    F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select("id", "t1", "t2", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-        .select("id", "t1", "t2", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")), "lines")
-    shared = (lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-              .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-              .where(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
-    shared = stored(shared, "shared-lines")
-    dropped = (lines.join(small_side(shared, shared.count()), ["h1", "h2"])
-               .where(~F.col("id").eqNullSafe(F.col("keeper")))
-               .select("id", "t1", "t2", "pos").distinct()
-               .groupBy("id", "t1", "t2").agg(F.collect_list("pos").alias("gone")))
-    dropped = stored(dropped.select(F.col("id").alias("gid"), F.col("t1").alias("g1"), F.col("t2").alias("g2"), "gone"),
-                     "dropped-lines")
-    weight = dropped.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
-    joined = base.join(
-        small_side(dropped, weight, BROADCAST_POSITIONS),
-        F.col("id").eqNullSafe(F.col("gid")) & (F.xxhash64("text") == F.col("g1")) & (F.hash("text") == F.col("g2")),
-        "left")
+        base.select("id", "f", "r", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("id", "f", "r", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
+        .select("id", "f", "r", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2")), "lines")
+    hot = F.col("places") * BROADCAST_LINES > lines.count()  # fewer lines than BROADCAST_LINES
+    known = (lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("places"))
+             .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"), F.sum("places").alias("places"))
+             .select("h1", "h2", "keeper", (F.col("n") >= min_docs).alias("shared"), hot.alias("hot")).where("shared or hot"))
+    known = stored(known, "known-lines")
+    shared = known.where("shared").select("h1", "h2", "keeper")
+    if shared.count() <= BROADCAST_LINES:
+        met = lines.join(F.broadcast(shared), ["h1", "h2"])
+    else:
+        often = known.where("hot")
+        met = lines.join(F.broadcast(often.where("shared").select("h1", "h2", "keeper")), ["h1", "h2"]).unionByName(
+            lines.join(F.broadcast(often.select("h1", "h2")), ["h1", "h2"], "left_anti")
+            .join(known.where("shared and not hot").select("h1", "h2", "keeper"), ["h1", "h2"]))
+    dropped = (met.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("f", "r").agg(F.collect_list("pos").alias("gone")))
+    dropped = stored(dropped, "dropped-lines")
+    weight = dropped.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
+    joined = base.join(F.broadcast(dropped) if weight <= BROADCAST_POSITIONS else dropped.hint("shuffle_hash"), ["f", "r"], "left")
     # array_except uses a hash set: linear in the number of lines, and it keeps the order.
     parts = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.get(parts, i))
