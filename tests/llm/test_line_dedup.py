@@ -38,7 +38,6 @@ def test_equals_brute_force(spark):
 
 @pytest.mark.parametrize("lines", [0, 1, 5, 40])
 def test_shuffled_joins_give_the_same(spark, monkeypatch, lines):
-    monkeypatch.setattr(line_dedup, "BROADCAST_POSITIONS", 0)
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", lines)
     rng = random.Random(5)
     rows = edge_rows() + [(400 + i // 2, "\n".join(["a line in all of the documents", "own line " + prose(rng, 9)] + [f"shared {rng.randint(0, 9)}"] * 3), "en", "a")

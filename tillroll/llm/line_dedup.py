@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import SPACES, ascii_lower, row_numbered, stored
 
-#: Dropped positions (not rows; 4 bytes each) that may be sent to every executor.
-BROADCAST_POSITIONS = 1_000_000
 #: Hashes of lines (20 bytes each) that may be sent to every executor.
 BROADCAST_LINES = 500_000
 
@@ -57,9 +55,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
             lines.join(F.broadcast(often.select("h1", "h2")), ["h1", "h2"], "left_anti")
             .join(known.where("shared and not hot").select("h1", "h2", "keeper"), ["h1", "h2"]))
     dropped = (met.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("f", "r").agg(F.collect_list("pos").alias("gone")))
-    dropped = stored(dropped, "dropped-lines")
-    weight = dropped.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
-    joined = base.join(F.broadcast(dropped) if weight <= BROADCAST_POSITIONS else dropped.hint("shuffle_hash"), ["f", "r"], "left")
+    # The positions of a partition are hashed and the texts stream past them, at every size alike.
+    joined = base.join(stored(dropped, "dropped-lines").hint("shuffle_hash"), ["f", "r"], "left")
     # array_except uses a hash set: linear in the number of lines, and it keeps the order.
     parts = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.get(parts, i))
