@@ -131,8 +131,8 @@ def _texts(d: DataFrame) -> DataFrame:
                     details.alias("details"), "event_time", "source_id")
 
 
-def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
-                 user_sessions: DataFrame, kinds=ALL_KINDS, keep_source: bool = False) -> DataFrame:
+def audit_events(orders: DataFrame | None, order_items: DataFrame | None, users: DataFrame,
+                 user_sessions: DataFrame | None, kinds=ALL_KINDS, keep_source: bool = False) -> DataFrame:
     """All audit events of the given kinds (R03a-f for one kind each), with
     the actor's username and name. Events whose actor (or, for a
     completion, whose cashier) is not a user drop out.
@@ -140,7 +140,7 @@ def audit_events(orders: DataFrame, order_items: DataFrame, users: DataFrame,
     Units are counted and joined first, while orders and lines still lie on
     the order id. Completions, and only they, then meet the cashiers, and all
     events the actors, each in one inner join. Session events take part in
-    the actor join alone.
+    the actor join alone. A table that no kind of ``kinds`` reads may be None.
     """
     parts = []
     rest = [k for k in kinds if k in ORDER_KINDS and k != "completed"]
