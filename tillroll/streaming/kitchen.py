@@ -52,8 +52,8 @@ FEED_SCHEMA = ("feed_seq bigint, order_id bigint, "
 ROWS_PER_FILE = 1_000_000
 #: Rows of users that may be broadcast to every executor.
 BROADCAST_USERS = 500_000
-#: Parts into which every user's feed rows are dealt where the users are too many to broadcast.
-SALT = 16
+#: Parts into which a user's feed rows are dealt where the users are too many to broadcast.
+SALT = 4
 #: Buckets of order ids. Fixed for the life of a stream's checkpoint.
 BUCKETS = 64
 
@@ -68,13 +68,18 @@ def moves(feed: DataFrame, users: DataFrame, buckets: int = BUCKETS) -> DataFram
     A pending checkout of a known cashier arrives with its ``card`` (R09's columns as JSON of texts);
     a completion counts only from a Kitchen or Manager user; a void or refund
     goes on with its actor, who must be the order's cashier. Repeats are
-    dropped per batch of rows, before the shuffle. Users are joined once for all kinds.
+    dropped per batch of rows, before the shuffle. Users are joined once, for checkouts and completions; voids and
+    refunds, most of the requests, need nothing of them and are not shuffled for it.
     """
     checkout, request = F.col("checkout"), F.col("request")
     kind = (F.when((checkout["status"] == "pending") & request.isNull(), _ARRIVES).when(request["event_type"] == "complete", _COMPLETED)
             .when(request["event_type"].isin("voided", "refunded"), _UNDONE))
     rows = feed.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn(
         "who", F.when(F.col("kind") == _ARRIVES, checkout["cashier_id"]).otherwise(request["actor_id"]))
+    bucket = F.pmod(F.xxhash64("order_id"), F.lit(buckets)).cast("int").alias("bucket")
+    undone = rows.where((F.col("kind") == _UNDONE) & F.col("who").isNotNull()).select(
+        bucket, "order_id", "kind", "who", F.lit(None).cast("string").alias("card"))
+    rows = rows.where(F.col("kind") != _UNDONE)
     known = users.select(F.col("id").cast("bigint").alias("u_id"), "name", "username", F.col("role").isin(*KITCHEN_ROLES).alias("in_kitchen"))
     on = F.col("who") == F.col("u_id")
     if users.count() <= BROADCAST_USERS:
@@ -88,11 +93,9 @@ def moves(feed: DataFrame, users: DataFrame, buckets: int = BUCKETS) -> DataFram
         ("checkout.status", "status"), ("checkout.notes", "notes"), ("checkout.created_at", "created_at"), ("checkout.total", "total"),
         ("name", "cashier_name"), ("username", "cashier_username"))]
     card = F.when(F.col("kind") == _ARRIVES, F.to_json(F.struct(*texts, F.coalesce(units, F.lit(0)).cast("string").alias("item_count"))))
-    rows = rows.join(known, on, "left").where(
-        F.when(F.col("kind") == _ARRIVES, F.col("u_id").isNotNull()).when(F.col("kind") == _COMPLETED, F.col("in_kitchen")).otherwise(F.col("who").isNotNull()))
-    rows = rows.select(F.pmod(F.xxhash64("order_id"), F.lit(buckets)).cast("int").alias("bucket"), "order_id", "kind",
-                       F.when(F.col("kind") != _COMPLETED, F.col("who")).alias("who"), card.alias("card"))
-    return rows.mapInArrow(_distinct, _MOVES)
+    rows = rows.join(known, on).where((F.col("kind") == _ARRIVES) | F.col("in_kitchen"))
+    rows = rows.select(bucket, "order_id", "kind", F.when(F.col("kind") == _ARRIVES, F.col("who")).alias("who"), card.alias("card"))
+    return rows.unionByName(undone).mapInArrow(_distinct, _MOVES)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
