@@ -25,7 +25,7 @@ from pyspark.sql.types import IntegerType, StructType
 from tillroll.functions.scalars import seconds_between
 from tillroll.operators.insights import history_rows, order_days
 from tillroll.operators.reports import ntz
-from tillroll.operators.writes import apply_order_status, fold_parts, fold_sequence, lines_left, sessionize_logins
+from tillroll.operators.writes import apply_order_status, fold_parts, fold_sequence, lines_left, sessionize_logins, spread
 from tillroll.sources.stage import staged
 
 
@@ -44,10 +44,12 @@ def fold_summaries(*batches: DataFrame) -> DataFrame:
 
     The batches must be cut out of the changes at sequence numbers (no batch has changes between those of another) and
     be neighbours: a batch that lies between two folded ones can't be added any more. Their order of arrival does not matter.
+    Summaries should be stored: their rows are counted first, so that no task sorts more than its share.
     """
     parts = batches[0]
     for b in batches[1:]:
         parts = parts.unionByName(b)
+    parts = spread(parts, sum(b.count() for b in batches), "cart_id", "cart_key")  # both windows lie on the line's key
     return fold_parts(parts, F.min("pos").over(Window.partitionBy("cart_id", "cart_key")))
 
 

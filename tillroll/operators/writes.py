@@ -78,17 +78,31 @@ def cart_key(product_id: Column, size_id: Column, addon_ids: Column) -> Column:
 
 
 RANGE_BITS = 16
+#: Rows of changes, at most, that one task of a fold sorts on average.
+ROWS_PER_TASK = 500_000
 
 
-def fold_parts(parts: DataFrame, parent: Column) -> DataFrame:
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt on ``keys`` into parts of ``ROWS_PER_TASK`` rows on average, where the session's shuffle would make larger ones."""
+    parts = -(-rows // ROWS_PER_TASK)
+    default = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(parts, *keys) if parts > int(default) else df
+
+
+def fold_parts(parts: DataFrame, parent: Column | None, rows: int = 0) -> DataFrame:
     """Combine neighbouring parts of a key's change sequence, those with the
-    same ``parent``, into one part each.
+    same ``parent`` (None: all of the key), into one part each. ``rows`` bounds
+    the parts' number, if known: then no task sorts more than its share of them.
 
     A part is (pos, reset, t, m): on a quantity q it acts as
     max(q + t, t - m), or, with ``reset``, it gives t whatever q was.
     """
     group = Window.partitionBy("cart_id", "cart_key", "parent")
-    p = parts.withColumn("parent", parent)
+    keys = ["cart_id", "cart_key"]
+    if parent is None:
+        p = spread(parts, rows, *keys).withColumn("parent", F.lit(0).cast("bigint"))
+    else:
+        p = spread(parts.withColumn("parent", parent), rows, *keys, "parent")
     p = p.withColumn("last_reset", F.max(F.when(F.col("reset"), F.col("pos"))).over(group)) \
          .filter(F.col("last_reset").isNull() | (F.col("pos") >= F.col("last_reset")))
     before = group.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,11 +148,11 @@ def cart_changes(cart_adds: DataFrame) -> DataFrame:
 def fold_sequence(cart_adds: DataFrame, range_bits: int = RANGE_BITS) -> tuple[DataFrame, int | None]:
     """One part per line for all its changes, and the smallest ``seq`` (None without changes)."""
     parts = cart_changes(cart_adds)
-    ends = cart_adds.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    bits = max((abs(int(x)).bit_length() for x in ends if x is not None), default=0)
+    ends = cart_adds.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    bits = max((abs(int(ends[x])).bit_length() for x in ("low", "high") if ends[x] is not None), default=0)
     for _ in range(-(-bits // range_bits) - 1):
-        parts = fold_parts(parts, F.shiftright("pos", range_bits))
-    return fold_parts(parts, F.lit(0).cast("bigint")), ends["low"]
+        parts = fold_parts(parts, F.shiftright("pos", range_bits), ends["n"])
+    return fold_parts(parts, None, ends["n"]), ends["low"]
 
 
 def lines_left(parts: DataFrame) -> DataFrame:
