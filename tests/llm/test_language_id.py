@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -140,3 +141,18 @@ def test_equals_plain_tfidf_ftrl_and_temperature(spark):
     for r in held.select("text", language(model, "text", spark).alias("g")).collect():
         lang, score = predict(r["text"])
         assert r["g"]["lang"] == lang and abs(r["g"]["score"] - score) < 1e-6
+
+
+def test_counting_a_long_text_needs_little_memory_beside_it(monkeypatch):
+    """Grams are hashed in steps: equal counts whatever the step, and temporary arrays far below 80 bytes a character."""
+    text = "Straße ΑΣ,  ΟΔΟΣ the quick br0wn fox \n" * 5000
+    gram_counts("a")
+    tracemalloc.start()
+    got = gram_counts(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text) and got.sum() > len(text)
+    short = gram_counts(text[:4000])
+    for step in (1, 7, 1 << 22):
+        monkeypatch.setattr(language_id, "STEP", step)
+        assert np.array_equal(gram_counts(text[:4000]), short)

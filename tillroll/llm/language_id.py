@@ -17,6 +17,8 @@ DIM = 1 << BITS
 #: Labelled texts per language, on average, that the regression is fitted on. Document frequencies come from all of them.
 SAMPLE_PER_LANGUAGE = 1500
 BLOCK = 1 << 20
+#: Code points whose grams are hashed at a time: bounds the temporary arrays (some 80 bytes a code point).
+STEP = 1 << 15
 
 UNDETERMINED = "und"
 
@@ -30,21 +32,28 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _code_points(text: str) -> Iterator[np.ndarray]:
+    """The lower-cased text's code points, ``STEP`` at a time; lower-cased in larger blocks, since a letter's neighbours may count."""
+    for at in range(0, len(text), BLOCK):
+        code = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        for i in range(0, len(code), STEP):
+            yield code[i : i + STEP]
+
+
 def gram_counts(text: str) -> np.ndarray | None:
     """How often each hashed n-gram of 1 to 3 characters occurs in the whole text; None if it has no letter.
 
     Letters are lower-cased; every run of other characters becomes one space.
     """
     letter, counts, tail, any_letter = _is_letter(), None, np.array([32], np.uint32), False
-    for at in range(0, len(text), BLOCK):
-        code = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    for code in _code_points(text):
         is_letter = letter[code]
         any_letter |= bool(is_letter.any())
         code = np.concatenate([tail, np.where(is_letter, code, np.uint32(32))])
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
         code = code[keep]
-        old = min(len(tail), 2) if at else 0  # grams that lie within the carried characters are counted already
+        old = 0 if counts is None else min(len(tail), 2)  # grams that lie within the carried characters are counted already
         one = code * np.uint32(0x9E3779B1)
         two = code[:-1] * np.uint32(0x85EBCA77) + code[1:] * np.uint32(0xC2B2AE3D)
         three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0x27D4EB2F) + code[2:] * np.uint32(0x165667B1)
